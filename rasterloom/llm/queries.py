@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact import exact_dedup
+from .pieces import round_trip
+from .quality import quality_rules
 from .simhash import simhash_components
 
 
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
 
@@ -17,7 +24,15 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), width=4, k=4, seed=42)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_simhash_near_dedup)}
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), PIECES)
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"), PIECES, RANKS)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_sentencepiece, op4_simhash_near_dedup, op6_quality_rules)}
 
 ORACLES = {
     "op1_exact_dedup": """
