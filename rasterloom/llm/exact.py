@@ -20,6 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .common import partitions, rows_of, texts, written
@@ -236,3 +237,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     owners = dealt.mapInArrow(_owners(memory_bytes, keep), "rep long, keep_id long, keep_rep long, group_size long")
     each = local.select("rep", "sha", "ids").join(owners, "rep").select("*", F.posexplode("ids").alias("at", "id"))
     return each.select(F.col("id").alias(id_col), "keep_id", "group_size", ((F.col("at") == 0) & (F.col("rep") == F.col("keep_rep"))).alias("kept"), F.col("sha").alias("text_sha256"))
+
+
+def exact_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
+    """The rows of docs that stay, with their columns: one for each distinct text. Of rows that repeat id and text, one stays."""
+    stays = exact_dedup(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
+    tagged = docs.withColumn("_text_sha", F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"), 256))
+    found = tagged.join(stays, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha")), "left_semi")
+    one = F.row_number().over(Window.partitionBy(f"`{id_col}`", "_text_sha").orderBy("_text_sha"))
+    return found.withColumn("_one", one).where("_one = 1").select(*(F.col(f"`{c}`") for c in docs.columns))

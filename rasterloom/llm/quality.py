@@ -179,9 +179,19 @@ def quality_rules(docs: DataFrame, piece_path: str, rank_path: str, id_col: str
     return chosen.mapInArrow(run, f"`{id_col}` long, " + ", ".join(f"{a} {c}" for a, _, c in COLUMNS))
 
 
-def quality_filter(docs: DataFrame, piece_path: str, rank_path: str, id_col: str = "doc_id", **options) -> DataFrame:
-    """docs without what the rules reject; a row with a null id is judged like any other and stays or goes with all rows without an id."""
-    from pyspark.sql import functions as F
+def quality_filter(docs: DataFrame, piece_path: str, rank_path: str, text_col: str = "text", lang_col: str | None = "lang", bands: dict | None = None, least_tokens: int = 50) -> DataFrame:
+    """The rows of docs that the rules keep, with all their columns, judged where they stand: no shuffle. Rows that repeat stay or go alike."""
+    bands = BANDS if bands is None else bands
+
+    def run(batches):
+        model = loaded(piece_path, rank_path)
+        for batch in batches:
+            said = batch[text_col].cast(pa.binary()).to_pylist()
+            langs = batch[lang_col].to_pylist() if lang_col else [None] * len(said)
+            keep = []
+            for text, lang in zip(said, langs):
+                keep.append(measured(text or b"", lang, model, bands, least_tokens)[-1])
+                model.words.age()
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    kept = quality_rules(docs, piece_path, rank_path, id_col, **options).where("kept").select(F.col(f"`{id_col}`").alias("_kept")).distinct()
-    return docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_kept")), "left_semi")
+    return docs.mapInArrow(run, docs.schema)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact import exact_dedup
+from .mixing import Targets, mixing_weights
 from .pieces import round_trip
 from .quality import quality_rules
 from .simhash import simhash_components
@@ -15,6 +16,10 @@ from .simhash import simhash_components
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
+#: The mixture: half of the tokens English, a fifth from the largest source, few very short texts; four fifths of all tokens.
+TARGETS = Targets(source={"src0": 0.2}, language={"en": 0.5, "de": 0.2, "fr": 0.15, "es": 0.15}, topic={"note": 0.05, "article": 0.55, "chapter": 0.4})
+BUDGET = 0.8
+
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"), keep="max")
@@ -24,6 +29,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), width=4, k=4, seed=42)
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_weights(table(spark, sf_dir, "documents"), TARGETS, BUDGET).drop("text", "n_chars")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), PIECES)
 
@@ -32,7 +41,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), PIECES, RANKS)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op3_sentencepiece, op4_simhash_near_dedup, op6_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_sentencepiece, op4_simhash_near_dedup, op6_quality_rules)}
 
 ORACLES = {
     "op1_exact_dedup": """
