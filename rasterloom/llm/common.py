@@ -179,3 +179,33 @@ class Recent:
         """Called between documents, never within one."""
         if len(self.new) >= self.most:
             self.old, self.new = self.new, {}
+
+
+# ---------------------------------------------------------------- placing rows
+
+
+def _murmur_int(value: int, seed: int = 42) -> int:
+    """The hash by which Spark deals out an int column."""
+    m = 0xFFFFFFFF
+    k = (value & m) * 0xCC9E2D51 & m
+    k = (k << 15 | k >> 17) & m
+    h = seed ^ (k * 0x1B873593 & m)
+    h = (h << 13 | h >> 19) & m
+    h = (h * 5 + 0xE6546B64) & m
+    h ^= 4
+    h ^= h >> 16
+    h = h * 0x85EBCA6B & m
+    h ^= h >> 13
+    h = h * 0xC2B2AE35 & m
+    h ^= h >> 16
+    return h - (1 << 32) if h >> 31 else h
+
+
+def spots(n: int) -> list[int]:
+    """For each of n partitions a number that hash partitioning over n puts there: buckets with these numbers fill partitions one by one."""
+    found: dict[int, int] = {}
+    value = 0
+    while len(found) < n:
+        found.setdefault(_murmur_int(value) % n, value)
+        value += 1
+    return [found[p] for p in range(n)]
