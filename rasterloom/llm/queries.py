@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .anchors import repeated_passages
 from .common import table
 from .exact import exact_dedup
+from .factors import earlier_copies
 from .mixing import Targets, mixing_weights
 from .pieces import round_trip
 from .quality import quality_rules
@@ -52,7 +53,11 @@ def op9_fixed_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"), width=35)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_sentencepiece, op4_simhash_near_dedup, op6_quality_rules, op7_warc, op9_fixed_anchors)}
+def op10_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return earlier_copies(table(spark, sf_dir, "documents"), width=50)
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_sentencepiece, op4_simhash_near_dedup, op6_quality_rules, op7_warc, op9_fixed_anchors, op10_previous_factors)}
 
 ORACLES = {
     "op1_exact_dedup": """
