@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .anchors import repeated_passages
 from .common import table
+from .ctw import context_tree_scores
 from .exact import exact_dedup
 from .factors import earlier_copies
 from .mixing import Targets, mixing_weights
@@ -49,6 +50,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_tree_scores(table(spark, sf_dir, "documents"), folds=7, fold=2)
+
+
 def op9_fixed_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"), width=35)
 
@@ -57,7 +62,7 @@ def op10_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return earlier_copies(table(spark, sf_dir, "documents"), width=50)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_sentencepiece, op4_simhash_near_dedup, op6_quality_rules, op7_warc, op9_fixed_anchors, op10_previous_factors)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_sentencepiece, op4_simhash_near_dedup, op6_quality_rules, op7_warc, op8_context_tree, op9_fixed_anchors, op10_previous_factors)}
 
 ORACLES = {
     "op1_exact_dedup": """
