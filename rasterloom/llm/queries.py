@@ -10,6 +10,7 @@ from .common import table
 from .ctw import context_tree_scores
 from .exact import exact_dedup
 from .factors import earlier_copies
+from .lines import line_components
 from .mixing import Targets, mixing_weights
 from .pieces import round_trip
 from .quality import quality_rules
@@ -41,6 +42,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_components(table(spark, sf_dir, "documents"), width=5, threshold=0.8)
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), PIECES, RANKS)
 
@@ -62,7 +67,7 @@ def op10_previous_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return earlier_copies(table(spark, sf_dir, "documents"), width=50)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_sentencepiece, op4_simhash_near_dedup, op6_quality_rules, op7_warc, op8_context_tree, op9_fixed_anchors, op10_previous_factors)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_mixing, op3_sentencepiece, op4_simhash_near_dedup, op5_line_dedup, op6_quality_rules, op7_warc, op8_context_tree, op9_fixed_anchors, op10_previous_factors)}
 
 ORACLES = {
     "op1_exact_dedup": """
