@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import image_queries
+
+QUERIES = dict(image_queries.QUERIES)
+ORACLES = dict(image_queries.ORACLES)

@@ -1,0 +1,26 @@
+"""Row types: encoded sources, requests, parameters, rasters, costs, errors, outputs."""
+
+from __future__ import annotations
+
+from pyspark.sql import types as T
+
+FORMATS = ("jpeg", "png", "webp", "avif")
+ENCODERS = ("jpegli", "mozfast", "mozsmall")
+EFFORTS = ("fastest", "fast", "balanced", "high")
+
+
+def struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in fields.items()])
+
+
+LONG, INT, FLOAT, STR, BOOL, BYTES = T.LongType(), T.IntegerType(), T.FloatType(), T.StringType(), T.BooleanType(), T.BinaryType()
+SOURCE = struct(path=STR, length=LONG, content=BYTES)
+REQUEST = struct(req_id=LONG, ts=T.TimestampType(), url=STR, accept=STR, method=STR)
+PARAMS = struct(
+    max_width=LONG, max_height=LONG, quality=FLOAT, encoder=STR, output=STR, webp_quality=FLOAT, png_effort=STR, png_quantize=BOOL, png_quantize_colors=INT,
+    auto_rotate=BOOL, icc=BOOL, flatten_bg=T.ArrayType(T.ShortType()), linear_light=BOOL, avif_quality=INT,
+)
+RASTER = struct(width=INT, height=INT, channels=INT, data=BYTES)
+COST = struct(staged=LONG, resize_input=LONG, output=LONG, whole_source=LONG, compressed=LONG)
+ERROR = struct(kind=STR, message=STR, detail=STR)
+OUTPUT = struct(format=STR, width=INT, height=INT, orientation=INT, cost=COST, data=BYTES, error=ERROR)
