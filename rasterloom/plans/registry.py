@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import image_queries
+from . import image_queries, kernel_queries
 
-QUERIES = dict(image_queries.QUERIES)
-ORACLES = dict(image_queries.ORACLES)
+QUERIES = image_queries.QUERIES | kernel_queries.QUERIES
+ORACLES = image_queries.ORACLES | kernel_queries.ORACLES
