@@ -34,7 +34,7 @@ def terms(w: Column, h: Column, ch: Column, out_w: Column, out_h: Column, *, lin
     return {
         "staged": full,
         "resize_input": F.when(linear, saturating(w, h, ch, F.lit(2))).otherwise(F.lit(0).cast("long")),
-        "output": saturating(out_w, out_h, F.lit(3)),
+        "output": saturating(out_w, out_h, ch, F.lit(3)),
         "whole_source": F.when(progressive, saturating(w, h, components, F.lit(2))).otherwise(F.lit(0).cast("long")),
         "compressed": F.when(fmt == "jpeg", held).otherwise(srcbuf + held).cast("long"),
     }

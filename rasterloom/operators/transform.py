@@ -123,7 +123,7 @@ def fit(w: int, h: int, box_w: int, box_h: int) -> tuple[int, int]:
 def estimate(found: dict, out_w: int, out_h: int, held: int, linear: bool) -> dict:
     full = found["width"] * found["height"] * found["channels"]
     return {
-        "staged": full, "resize_input": 2 * full if linear else 0, "output": 3 * out_w * out_h,
+        "staged": full, "resize_input": 2 * full if linear else 0, "output": 3 * out_w * out_h * found["channels"],
         "whole_source": 2 * found["width"] * found["height"] * found["components"] if found["progressive"] else 0,
         "compressed": held if found["format"] == "jpeg" else 2 * held,
     }

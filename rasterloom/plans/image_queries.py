@@ -98,7 +98,7 @@ def dct_scale(spark, sf_dir):
 
 @query(f"""WITH {IMAGES}, c AS (SELECT p_partkey, w, h, fmt, {_FIT[0]} AS ow, {_FIT[1]} AS oh, CASE p_size % 5 WHEN 0 THEN 'gray' WHEN 1 THEN 'graya' WHEN 2 THEN 'rgb' WHEN 3 THEN 'rgba' ELSE CASE WHEN fmt = 'jpeg' THEN 'cmyk' ELSE 'palette' END END AS color, p_size FROM i),
 t AS (SELECT *, CASE WHEN (fmt = 'png' AND color IN ('rgba', 'graya', 'palette')) OR (fmt = 'webp' AND color IN ('rgba', 'graya')) OR fmt = 'avif' OR (fmt = 'jpeg' AND color = 'cmyk') THEN 4 ELSE 3 END AS ch FROM c),
-u AS (SELECT p_partkey, fmt, w * h * ch AS staged, CASE WHEN p_size % 2 = 0 THEN 2 * w * h * ch ELSE 0 END AS resize_input, 3 * ow * oh AS output, CASE WHEN fmt = 'jpeg' AND p_size % 3 = 0 THEN 2 * w * h * 3 ELSE 0 END AS whole_source, CASE WHEN fmt = 'jpeg' THEN w ELSE w * h // 4 + w END AS compressed FROM t)
+u AS (SELECT p_partkey, fmt, w * h * ch AS staged, CASE WHEN p_size % 2 = 0 THEN 2 * w * h * ch ELSE 0 END AS resize_input, 3 * ow * oh * ch AS output, CASE WHEN fmt = 'jpeg' AND p_size % 3 = 0 THEN 2 * w * h * 3 ELSE 0 END AS whole_source, CASE WHEN fmt = 'jpeg' THEN w ELSE w * h // 4 + w END AS compressed FROM t)
 SELECT p_partkey, staged, resize_input, output, whole_source, CAST(compressed AS BIGINT) AS compressed, CAST(staged + resize_input + output + whole_source + compressed AS BIGINT) AS estimate,
 staged + resize_input + output + whole_source + compressed > 134217728 AS refused,
 'estimate=' || CAST(staged + resize_input + output + whole_source + compressed AS BIGINT) || ' limit=134217728 staged=' || staged || ' resize_input=' || resize_input || ' output=' || output || ' whole_source=' || whole_source || ' compressed=' || CAST(compressed AS BIGINT) AS report FROM u""")
