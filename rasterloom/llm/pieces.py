@@ -132,12 +132,13 @@ class MergePieces:
         out = self.decode_part(ids)
         return out[1:] if out.startswith(" ") else out
 
-    def known(self, segment: str) -> tuple[str, str, int, list[int]]:
-        """(ids in decimal, each after a space; decoded text; count; ids) of a segment, from the cache if it is there."""
+    def known(self, segment: str) -> tuple[str, str, int]:
+        """(ids in decimal, each after a space; decoded text; count) of a segment, from the cache if it is there."""
         found = self.segments.get(segment)
         if found is None:
             ids = self.segment_ids(segment)
-            found = ("".join([f" {i}" for i in ids]), self.decode_part(ids), len(ids), ids)
+            decoded = self.decode_part(ids)
+            found = ("".join([f" {i}" for i in ids]), segment if decoded == segment else decoded, len(ids))
             if len(segment) <= 64:
                 self.segments.put(segment, found)
         return found
@@ -177,7 +178,7 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
                         decoded = decoded[1:]
                     row = (doc, sum([f[2] for f in found]) + 1, sha((ids[1:] + " " + end if ids else end).encode()).hexdigest(), sha(decoded.encode()).hexdigest())
                     if whole:
-                        row += ([i for f in found for i in f[3]] + [model.end], decoded)
+                        row += ([int(i) for i in ids.split()] + [model.end], decoded)
                     out.append(row)
                     model.segments.age()
                     model.pairs.age()
