@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import blocks as B
-from .common import BYTES, U64, partitions
+from .common import BYTES, U64, mix, partitions
 
 #: The id of documents without one: after all others.
 LAST = (1 << 63) - 1
@@ -44,7 +44,6 @@ class Stretches:
             span *= 2
         if span < w:
             least = np.minimum(least[: len(least) - (w - span)], least[w - span :])
-        least = B.shorten(least)
         turn = np.ones(n, bool)
         turn[1:] = least[1:] != least[:-1]
         turn[self.bounds[1:-1][self.bounds[1:-1] < n]] = True
@@ -53,7 +52,8 @@ class Stretches:
         doc = np.searchsorted(self.bounds, starts, "right") - 1
         ends = np.minimum(ends, self.bounds[doc + 1] - width + 1)  # no string goes over a document's end
         there = ends > starts
-        self.starts, self.ends, self.keys, self.docs = starts[there], ends[there], least[starts[there]], doc[there]
+        self.starts, self.ends, self.docs = starts[there], ends[there], doc[there]
+        self.keys = B.shorten(mix(least[self.starts]))  # smallest hashes lie close to zero: spread again, they fill the buckets evenly
 
 
 def _rank(ident) -> int:
