@@ -5,7 +5,7 @@ what the longest-previous-factor array says: in suffix order, the nearest suffix
 with which a suffix has most in common. No machine holds the suffix array of everything, so suffixes are dealt out so that those which share `width` bytes
 meet: each string of that length is known by the smallest hash among its k-byte substrings. First, blocks of documents ask which of these hashes
 more than one document has; then the stretches under such a hash go to its bucket, each distinct stretch once per block with its smallest document. A
-bucket sorts its suffixes by prefix doubling up to `width` bytes, a few megabytes at a time, finds previous and next smaller documents, and says for
+bucket sorts its suffixes up to `width` bytes, a few megabytes at a time, finds previous and next smaller documents, and says for
 each stretch where a suffix has an earlier match.
 """
 
@@ -34,7 +34,7 @@ class Stretches:
         self.bounds = np.cumsum([0] + [len(t) for t in said])
         buf = np.frombuffer(self.bytes, np.uint8)
         n = len(buf) - width + 1
-        self.keys = self.starts = self.ends = np.zeros(0, np.int64)
+        self.keys = self.starts = self.ends = self.docs = np.zeros(0, np.int64)
         if n <= 0:
             self.keys = self.keys.view(U64)
             return
@@ -98,7 +98,7 @@ def _shared(said):
 
 
 class Shared:
-    """The stretches of a block whose hash is shared: each distinct one with its smallest document, in the order of their keys."""
+    """The stretches of a block whose hash is shared: each distinct one with its smallest document, in the order of their keys and bytes."""
 
     def __init__(self, parts, width: int, k: int, n: int, heard: dict):
         self.parts = [(ids, said, Stretches(said, width, k)) for ids, said in parts]
@@ -107,22 +107,42 @@ class Shared:
         hit = np.zeros(len(mine), bool)
         for i, data in heard.get(0, {}).items():
             hit[cuts[i] : cuts[i + 1]] = B.flags(data, cuts[i + 1] - cuts[i])
-        self.owner: dict[tuple[int, bytes], int] = {}
-        self.found: list[list[tuple[int, int, tuple[int, bytes]]]] = []
-        for ids, said, s in self.parts:
-            at = np.flatnonzero(hit[np.searchsorted(mine, s.keys)]) if len(mine) else []
-            here = []
-            if len(at):
-                for start, end, key, doc in zip(s.starts[at].tolist(), s.ends[at].tolist(), s.keys[at].tolist(), s.docs[at].tolist()):
-                    name = (key, s.bytes[start : end + width - 1])
-                    rank = _rank(ids[doc])
-                    if rank < self.owner.get(name, LAST + 1):
-                        self.owner[name] = rank
-                    here.append((start, rank, name))
-            self.found.append(here)
-        self.names = sorted(self.owner)
-        keys = np.array([key for key, _ in self.names], U64)
-        self.cuts = B.bucket_cuts(keys, n)
+        index: dict[bytes, int] = {}
+        keys, least = [], []
+        #: For each part of the block: where its shared stretches start, whose they are, and which.
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for ids, _, s in self.parts:
+            at = np.flatnonzero(hit[np.searchsorted(mine, s.keys)]) if len(mine) else np.zeros(0, np.int64)
+            ranks = np.array([_rank(i) for i in ids], np.int64)[s.docs[at]] if len(at) else np.zeros(0, np.int64)
+            said, which = s.bytes, []
+            for start, end, key, rank in zip(s.starts[at].tolist(), (s.ends[at] + width - 1).tolist(), s.keys[at].tolist(), ranks.tolist()):
+                name = said[start:end]
+                j = index.get(name)
+                if j is None:
+                    j = index[name] = len(keys)
+                    keys.append(key)
+                    least.append(rank)
+                elif rank < least[j]:
+                    least[j] = rank
+                which.append(j)
+            self.found.append((s.starts[at], ranks, np.array(which, np.int64)))
+        names = sorted(index)
+        of = np.array([index[x] for x in names], np.int64)
+        keys, least = np.array(keys, U64), np.array(least, np.int64)
+        order = np.argsort(keys[of], kind="stable")
+        of = of[order]
+        self.names = [names[i] for i in order.tolist()]
+        self.keys, self.least = keys[of], least[of]
+        place = np.empty(len(of), np.int64)
+        place[of] = np.arange(len(of))
+        self.found = [(starts, ranks, place[which]) for starts, ranks, which in self.found]
+        self.sizes = np.array([len(x) for x in self.names], np.int64) - width + 1
+        self.cuts = B.bucket_cuts(self.keys, n)
+
+
+def spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places from each start on, as many as its size says, one span after another."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
 def _stretches(width: int, k: int, n: int):
@@ -131,33 +151,32 @@ def _stretches(width: int, k: int, n: int):
     def ask(parts, heard):
         shared = Shared(parts, width, k, n, heard)
         for i in range(n):
-            names = shared.names[shared.cuts[i] : shared.cuts[i + 1]]
-            if names:
-                yield i, 1, (np.array([key for key, _ in names], U64), np.array([len(x) for _, x in names], np.int64), b"".join([x for _, x in names]), np.array([shared.owner[x] for x in names], np.int64))
+            a, b = shared.cuts[i], shared.cuts[i + 1]
+            if b > a:
+                yield i, 1, (shared.keys[a:b], shared.sizes[a:b], b"".join(shared.names[a:b]), shared.least[a:b])
 
     return ask
 
 
 def suffix_ranks(text: np.ndarray, where: np.ndarray, width: int) -> np.ndarray:
-    """Ranks of the suffixes that start at `where`, compared up to `width` bytes, by prefix doubling. text has width zeros behind it."""
-    n = len(text) - width
+    """Ranks of the suffixes that start at `where`, compared up to `width` bytes: sorted by words of eight bytes from the last to the first, the last
+    two overlapping. Only these suffixes are sorted, not those that start between them. text has width bytes more behind it.
+    """
+    if width < 8:
+        raise ValueError("matches have 8 bytes at least")
+    n = len(text) - 8
     word = np.zeros(n, U64)
     for i in range(8):
         word = word << U64(8) | text[i : i + n].astype(U64)
-    rank, span = np.unique(word, return_inverse=True)[1].astype(U64), 8
-    if span > width:
-        raise ValueError("matches have 8 bytes at least")
-    while span < width:
-        step = min(span, width - span)
-        last = span + step >= width
-        at = where if last else np.arange(n)
-        ahead = at + step
-        key = rank[at] << U64(32) | np.where(ahead < n, rank[np.minimum(ahead, n - 1)] + U64(1), U64(0))
-        rank = np.unique(key, return_inverse=True)[1].astype(U64)
-        span += step
-        if last:
-            return rank.astype(np.int64)
-    return rank[where].astype(np.int64)
+    words = [word[where + at] for at in (*range(0, width - 8, 8), width - 8)]
+    order = np.lexsort(words[::-1])
+    new = np.zeros(len(where), bool)
+    for w in words:
+        w = w[order]
+        new[1:] |= w[1:] != w[:-1]
+    rank = np.empty(len(where), np.int64)
+    rank[order] = np.cumsum(new)
+    return rank
 
 
 def smaller_before(values: np.ndarray) -> np.ndarray:
@@ -191,40 +210,43 @@ def earlier_matches(ranks: np.ndarray, docs: np.ndarray) -> np.ndarray:
 def _matches(width: int):
     def answer(said):
         """For each block's stretches, in order, bits: does a smaller document have the string that starts here."""
-        least: dict[tuple[int, bytes], int] = {}
-        names: list[list[tuple[int, bytes]]] = []
-        for _, (keys, lengths, joined, owners) in said:
-            ends = np.cumsum(lengths).tolist()
-            here = [(key, joined[end - size : end]) for key, size, end in zip(keys.tolist(), lengths.tolist(), ends)]
-            for name, owner in zip(here, owners.tolist()):
-                if owner < least.get(name, LAST + 1):
-                    least[name] = owner
-            names.append(here)
-        marks: dict[tuple[int, bytes], np.ndarray] = {}
-        batch, held, key = [], 0, None
-
-        def sort_out():
-            sizes = np.array([len(x) for _, x in batch])
-            text = np.frombuffer(b"".join([x for _, x in batch]) + bytes(width), np.uint8)
-            counts = sizes - width + 1
-            firsts = np.cumsum(sizes) - sizes
-            where = np.repeat(firsts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-            docs = np.repeat(np.array([least[x] for x in batch], np.int64), counts)
-            marked = earlier_matches(suffix_ranks(text, where, width), docs)
-            for name, part in zip(batch, np.split(marked, np.cumsum(counts)[:-1])):
-                marks[name] = part
-
-        for name in sorted(least):
-            if held > ARRAY_BYTES and name[0] != key:
-                sort_out()
-                batch, held = [], 0
-            batch.append(name)
-            held, key = held + len(name[1]), name[0]
-        if batch:
-            sort_out()
-        for (block, (_, _, _, owners)), here in zip(said, names):
-            flags = [marks[x] if least[x] == owner else np.ones(len(x[1]) - width + 1, bool) for x, owner in zip(here, owners.tolist())]
-            yield block, 1, B.bits(np.concatenate(flags))
+        index: dict[bytes, int] = {}
+        keys, least, which = [], [], []
+        for _, (sent, sizes, joined, owners) in said:
+            ends = np.cumsum(sizes + width - 1).tolist()
+            here, start = [], 0
+            for key, end, owner in zip(sent.tolist(), ends, owners.tolist()):
+                name = joined[start:end]
+                start = end
+                j = index.get(name)
+                if j is None:
+                    j = index[name] = len(keys)
+                    keys.append(key)
+                    least.append(owner)
+                elif owner < least[j]:
+                    least[j] = owner
+                here.append(j)
+            which.append(np.array(here, np.int64))
+        names, least = list(index), np.array(least, np.int64)
+        sizes = np.array([len(x) for x in names], np.int64) - width + 1
+        firsts = np.cumsum(sizes) - sizes
+        marked = np.zeros(int(sizes.sum()), bool)
+        keys = np.array(keys, U64)
+        order = np.argsort(keys, kind="stable")
+        new = np.append(np.flatnonzero(np.diff(keys[order], prepend=~keys[order[:1]]) != 0), len(order))
+        held = np.concatenate([[0], np.cumsum(sizes[order] + width - 1)])
+        at = 0
+        while at < len(new) - 1:  # whole hashes, up to ARRAY_BYTES
+            to = max(at + 1, int(np.searchsorted(held[new], held[new[at]] + ARRAY_BYTES, "right")) - 1)
+            some = order[new[at] : new[to]]
+            text = np.frombuffer(b"".join([names[i] for i in some.tolist()]) + bytes(width), np.uint8)
+            long = sizes[some] + width - 1
+            where = spans(np.cumsum(long) - long, sizes[some])
+            marked[spans(firsts[some], sizes[some])] = earlier_matches(suffix_ranks(text, where, width), np.repeat(least[some], sizes[some]))
+            at = to
+        for (block, (_, _, _, owners)), here in zip(said, which):
+            later = np.repeat(owners > least[here], sizes[here])  # another block has the stretch in a smaller document
+            yield block, 1, B.bits(marked[spans(firsts[here], sizes[here])] | later)
 
     return answer
 
@@ -232,24 +254,20 @@ def _matches(width: int):
 def _removal(width: int, k: int, n: int, whole: bool):
     def conclude(parts, heard):
         shared = Shared(parts, width, k, n, heard)
-        marks: dict[tuple[int, bytes], np.ndarray] = {}
+        firsts = np.cumsum(shared.sizes) - shared.sizes
+        marked = np.zeros(int(shared.sizes.sum()), bool)
         for i, data in heard.get(1, {}).items():
-            names = shared.names[shared.cuts[i] : shared.cuts[i + 1]]
-            sizes = np.array([len(x) - width + 1 for _, x in names])
-            for name, part in zip(names, np.split(B.flags(data, int(sizes.sum())), np.cumsum(sizes)[:-1])):
-                marks[name] = part
-        for (ids, said, s), here in zip(shared.parts, shared.found):
+            a, b = shared.cuts[i], shared.cuts[i + 1]
+            if b > a:
+                size = int(shared.sizes[a:b].sum())
+                marked[firsts[a] : firsts[a] + size] = B.flags(data, size)
+        for (ids, said, s), (starts, ranks, which) in zip(shared.parts, shared.found):
+            sizes = shared.sizes[which]
+            here = marked[spans(firsts[which], sizes)] | np.repeat(ranks > shared.least[which], sizes)  # the block has it in a smaller document
+            at = spans(starts, sizes)[here]
             turn = np.zeros(len(s.bytes) + 1, np.int32)
-            for start, rank, name in here:
-                size = len(name[1]) - width + 1
-                if rank > shared.owner[name]:  # this block has the stretch in a smaller document
-                    turn[start] += 1
-                    turn[start + size - 1 + width] -= 1
-                    continue
-                at = start + np.flatnonzero(marks[name])
-                if len(at):
-                    turn[at] += 1
-                    turn[at + width] -= 1
+            turn[at] += 1
+            turn[at + width] -= 1
             gone = np.cumsum(turn[:-1]) > 0
             buf = np.frombuffer(s.bytes, np.uint8)
             for doc, text, a, b in zip(ids, said, s.bounds[:-1].tolist(), s.bounds[1:].tolist()):
