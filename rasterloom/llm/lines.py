@@ -2,7 +2,7 @@
 
 Lines are normalised (lower case, runs of white space as one space) and equal ones fall together first. A line's set is that of its character shingles,
 hashed once; the hash space is cut into bins, and the smallest few hashes of a bin are a band: two sets have a band in common about as often as that many
-MinHashes agree. Short lines get their bands from several seeds. Within a band's bucket each line is first compared with the one before it, a chain and
+MinHashes agree. Short lines get their bands from several seeds, long ones from the shingles at word starts alone. Within a band's bucket each line is first compared with the one before it, a chain and
 not all pairs; what the exact Jaccard similarity confirms is joined by distributed union-find. Buckets that still hold several components then compare
 lines across components, those outside the bucket's largest component with the rest, so no pair that shares a band is left unchecked and none within a
 component is looked at again. One line of each component stays: the first by document id and line number.
@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from .common import written
 from .components import connected_components
 
-#: Hashes that make a band.
-BAND = 5
-#: Sets of at least MANY shingles use 16 bins of one seed; those of at most MANY / 0.8, and so all that may be similar to such, also 4 bins of 4 seeds.
-MANY = 64
+#: Hashes that make a band: of shingles at word starts, and of all shingles. The former are HEAD_MORE characters longer, for those of frequent words
+#: would fill buckets with lines that have nothing else in common.
+HEAD_BAND, BAND, HEAD_MORE = 3, 5, 3
+#: By shingles at word starts: from MANY on, bands of these in 16 bins; from FEW to MANY / 0.8, of these in 4 bins of 4 seeds; up to FEW / 0.8, of all
+#: shingles in 4 bins of 4 seeds. So any two lines that may be similar have bands of one kind in common.
+MANY, FEW = 24, 10
 #: Shorter lines match only if they are equal after normalising.
 LEAST_SHINGLES = 8
 
@@ -35,7 +37,11 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
 
 
 def normalised(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")))
+    """Lower case, runs of white space as one space; the pattern runs only where plain searches find something for it."""
+    odd = F.contains(line, F.lit("  "))
+    for c in "\t\v\f\r":
+        odd = odd | F.contains(line, F.lit(c))
+    return F.lower(F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line)))
 
 
 def numbered_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -49,40 +55,56 @@ def shingles(norm: Column, width: int) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(norm, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1)), lambda s: F.xxhash64(s)))
 
 
-def _bands(ordered: str, size: str, bits: int, label: int) -> tuple[Column, Column]:
-    """Of a sorted array of hashes: where its bins start (a column _starts<label> must then hold this), and a key for each bin with two hashes or more, of its BAND smallest."""
-    s = F.col(ordered)
-    starts = F.filter(F.sequence(F.lit(0), F.col(size) - 1), lambda i: (i == 0) | (F.shiftright(F.get(s, i - 1), 64 - bits) != F.shiftright(F.get(s, i), 64 - bits)))
-    cut = F.transform(starts, lambda p, j: F.slice(s, p + 1, F.least(F.lit(BAND), F.coalesce(F.get(F.col(f"_starts{label}"), j + 1), F.col(size)) - p)))
-    return starts, F.transform(F.filter(cut, lambda e: F.size(e) > 1), lambda e: F.xxhash64(F.lit(label), e))
+def _starts(ordered: Column, bits: int) -> Column:
+    """Where the bins begin in a sorted array of hashes."""
+    bin_of = lambda x: F.shiftright(x, 64 - bits)
+    return F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (bin_of(F.get(ordered, i - 1)) != bin_of(F.get(ordered, i))))
+
+
+def _bands(ordered: Column, starts: Column, label: Column, size: int) -> Column:
+    """A key for each bin with two hashes or more, of its `size` smallest."""
+    cut = F.transform(starts, lambda p, j: F.slice(ordered, p + 1, F.least(F.lit(size), F.coalesce(F.get(starts, j + 1), F.size(ordered)) - p)))
+    return F.transform(F.filter(cut, lambda e: F.size(e) > 1), lambda e: F.xxhash64(label, e))
+
+
+def _let(value: Column, body) -> Column:
+    """body of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def band_rows(nodes: DataFrame, width: int) -> DataFrame:
-    """(band, node, m): m is the size of the line's set."""
-    rows = nodes.select("node", shingles(F.col("norm"), width).alias("hashes")).withColumn("m", F.size("hashes")).where(F.col("m") >= LEAST_SHINGLES)
-    many = rows.where(F.col("m") >= MANY).select("node", "m", F.sort_array("hashes").alias("s"))
-    starts, keys = _bands("s", "m", 4, 0)
-    found = many.withColumn("_starts0", starts).select("node", "m", F.explode(keys).alias("band"))
-    few = rows.where(F.col("m") <= int(MANY / 0.8))
-    seeds = F.explode(F.array(*(F.lit(i) for i in range(1, 5))))
-    few = few.select("node", "m", "hashes", seeds.alias("seed"))
-    few = few.select("node", "m", "seed", F.sort_array(F.transform("hashes", lambda h: F.xxhash64(h, F.col("seed")))).alias("s"))
-    starts, keys = _bands("s", "m", 2, 1)
-    few = few.withColumn("_starts1", starts).select("node", "m", F.explode(keys).alias("band"))
-    return found.unionByName(few).select("band", "node", "m")
+    """(band, node, length). But for short lines the bands are of the shingles at the starts of words, which an edit hits as often as any others, at a
+    sixth of the work; the exact similarity is that of all shingles. No filter stands over these columns: pushed below, it would work them out again.
+    """
+    none = F.array().cast("array<bigint>")
+    rows = nodes.select("node", "norm", F.length("norm").alias("length"), F.array_distinct(F.transform(F.regexp_extract_all("norm", F.lit(f"(?s)(?:^| )(?=(.{{{width + HEAD_MORE}}}))"), F.lit(1)), lambda s: F.xxhash64(s))).alias("heads"))
+    n = F.size("heads")
+    rows = rows.select(
+        "node", "length", F.when(n >= MANY, F.sort_array("heads")).otherwise(none).alias("s"), F.when(n.between(FEW, int(MANY / 0.8)), F.col("heads")).otherwise(none).alias("some"),
+        F.when(n <= int(FEW / 0.8), shingles(F.col("norm"), width)).otherwise(none).alias("hashes"),
+    )
+    rows = rows.select("node", "length", "s", "some", "hashes", F.when(F.size("s") > 0, _starts(F.col("s"), 4)).otherwise(F.array().cast("array<int>")).alias("starts"))
+    seeds = F.array(*(F.lit(i) for i in range(1, 5)))
+
+    def seeded(hashes: str, label: int, size: int) -> Column:
+        found = F.flatten(F.transform(seeds, lambda i: _let(F.sort_array(F.transform(hashes, lambda h: F.xxhash64(h, i))), lambda o: _let(_starts(o, 2), lambda p: _bands(o, p, F.lit(label), size)))))
+        return F.when(F.size(hashes) >= LEAST_SHINGLES, found).otherwise(none)
+
+    keys = F.concat(_bands(F.col("s"), F.col("starts"), F.lit(0), HEAD_BAND), seeded("some", 1, HEAD_BAND), seeded("hashes", 2, BAND))
+    return rows.select(F.explode(keys).alias("band"), "node", "length")
 
 
 def similar(pairs: DataFrame, nodes: DataFrame, width: int, threshold: float) -> DataFrame:
     """Of (a, b) those whose sets' exact Jaccard similarity reaches the threshold."""
     one = nodes.select(F.col("node").alias("a"), F.col("norm").alias("x"))
     two = nodes.select(F.col("node").alias("b"), F.col("norm").alias("y"))
-    sets = pairs.join(one, "a").join(two, "b").select("a", "b", shingles(F.col("x"), width).alias("p"), shingles(F.col("y"), width).alias("q"))
-    common = sets.select("a", "b", F.size(F.array_intersect("p", "q")).alias("c"), (F.size("p") + F.size("q")).alias("n"))
-    return common.where(F.col("c") >= threshold * (F.col("n") - F.col("c"))).select("a", "b")
+    alike = _let(F.struct(shingles(F.col("x"), width).alias("p"), shingles(F.col("y"), width).alias("q")), lambda v: _let(F.struct(F.size(F.array_intersect(v["p"], v["q"])).alias("c"), (F.size(v["p"]) + F.size(v["q"])).alias("n")), lambda u: u["c"] >= threshold * (u["n"] - u["c"])))
+    return pairs.join(one, "a").join(two, "b").where(alike).select("a", "b")
 
 
 def _sizes_fit(a: str, b: str, threshold: float) -> Column:
-    return F.least(F.col(a), F.col(b)) >= threshold * F.greatest(F.col(a), F.col(b))
+    """Lengths too far apart for the similarity, unless a line repeats its own shingles; those are told by a wide margin."""
+    return F.least(F.col(a), F.col(b)) >= (threshold / 4) * F.greatest(F.col(a), F.col(b))
 
 
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -97,21 +119,21 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = lines.groupBy("norm").agg(F.min(place("id").cast("decimal(38,0)")).alias("first"), F.count("*").alias("copies"))
     nodes = _kept(nodes.select(F.monotonically_increasing_id().alias("node"), F.md5("norm").alias("key"), "first", "copies", "norm"), "lines")
     order = Window.partitionBy("band").orderBy("node")
-    chained = band_rows(nodes, width).select("band", "node", "m", F.lag("node").over(order).alias("prev"), F.lag("m").over(order).alias("prev_m"), F.lead("node").over(order).alias("next"))
+    chained = band_rows(nodes, width).select("band", "node", "length", F.lag("node").over(order).alias("prev"), F.lag("length").over(order).alias("prev_length"), F.lead("node").over(order).alias("next"))
     several = _kept(chained.where("prev is not null or next is not null").drop("next"), "bands")
     there = several.select("node").distinct()
     candidates = _kept(nodes.select("node", "norm").join(there, "node", "left_semi"), "candidates")
-    pairs = several.where(F.col("prev").isNotNull() & (F.col("prev") != F.col("node")) & _sizes_fit("m", "prev_m", threshold)).select(F.col("node").alias("a"), F.col("prev").alias("b")).distinct()
+    pairs = several.where(F.col("prev").isNotNull() & (F.col("prev") != F.col("node")) & _sizes_fit("length", "prev_length", threshold)).select(F.col("node").alias("a"), F.col("prev").alias("b")).distinct()
     links = _kept(similar(pairs, candidates, width, threshold), "links")
     roots = _kept(connected_components(links), "roots")
     # across the components that a bucket still holds
-    labelled = several.select("band", "node", "m").join(roots, "node", "left").select("band", "node", "m", F.coalesce("root", "node").alias("root"))
+    labelled = several.select("band", "node", "length").join(roots, "node", "left").select("band", "node", "length", F.coalesce("root", "node").alias("root"))
     labelled = _kept(labelled, "labelled")
     parts = labelled.groupBy("band", "root").count().groupBy("band").agg(F.max_by("root", "count").alias("most"), F.count("*").alias("parts")).where("parts > 1")
     mixed = _kept(labelled.join(parts.select("band", "most"), "band"), "mixed")
-    left = mixed.where("root <> most").select("band", F.col("node").alias("a"), F.col("m").alias("ma"), F.col("root").alias("ra"))
-    right = mixed.select("band", F.col("node").alias("b"), F.col("m").alias("mb"), F.col("root").alias("rb"), "most")
-    across = left.join(right, "band").where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("most")) | (F.col("a") < F.col("b"))) & _sizes_fit("ma", "mb", threshold))
+    left = mixed.where("root <> most").select("band", F.col("node").alias("a"), F.col("length").alias("la"), F.col("root").alias("ra"))
+    right = mixed.select("band", F.col("node").alias("b"), F.col("length").alias("lb"), F.col("root").alias("rb"), "most")
+    across = left.join(right, "band").where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("most")) | (F.col("a") < F.col("b"))) & _sizes_fit("la", "lb", threshold))
     more = similar(across.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), candidates, width, threshold)
     roots = _kept(connected_components(links.union(more)), "roots")
     named = _kept(nodes.select("node", "key", "first", "copies").join(roots, "node", "left").select("key", "first", "copies", F.coalesce("root", "node").alias("component")), "named")
