@@ -2,7 +2,7 @@
 
 Lines are normalised (lower case, runs of white space as one space) and equal ones fall together first. A line's set is that of its character shingles,
 hashed once; the hash space is cut into bins, and the smallest few hashes of a bin are a band: two sets have a band in common about as often as that many
-MinHashes agree. Short lines get their bands from several seeds, long ones from the shingles at word starts alone. Within a band's bucket each line is first compared with the one before it, a chain and
+MinHashes agree. Short lines get their bands from several seeds. Within a band's bucket each line is first compared with the one before it, a chain and
 not all pairs; what the exact Jaccard similarity confirms is joined by distributed union-find. Buckets that still hold several components then compare
 lines across components, those outside the bucket's largest component with the rest, so no pair that shares a band is left unchecked and none within a
 component is looked at again. One line of each component stays: the first by document id and line number.
@@ -18,12 +18,11 @@ from pyspark.sql import functions as F
 from .common import written
 from .components import connected_components
 
-#: Hashes that make a band: of shingles at word starts, and of all shingles. The former are HEAD_MORE characters longer, for those of frequent words
-#: would fill buckets with lines that have nothing else in common.
-HEAD_BAND, BAND, HEAD_MORE = 3, 5, 3
-#: By shingles at word starts: from MANY on, bands of these in 16 bins; from FEW to MANY / 0.8, of these in 4 bins of 4 seeds; up to FEW / 0.8, of all
-#: shingles in 4 bins of 4 seeds. So any two lines that may be similar have bands of one kind in common.
-MANY, FEW = 24, 10
+#: Hashes that make a band.
+BAND = 5
+#: Sets of at least MANY shingles use 16 bins of one seed; those of at most MANY / 0.8 also 4 bins of 4 seeds. The sizes of sets with a Jaccard similarity of
+#: 0.8 differ by that factor at most, so two lines that may be similar have bands of one kind in common.
+MANY = 64
 #: Shorter lines match only if they are equal after normalising.
 LEAST_SHINGLES = 8
 
@@ -73,24 +72,15 @@ def _let(value: Column, body) -> Column:
 
 
 def band_rows(nodes: DataFrame, width: int) -> DataFrame:
-    """(band, node, length). But for short lines the bands are of the shingles at the starts of words, which an edit hits as often as any others, at a
-    sixth of the work; the exact similarity is that of all shingles. No filter stands over these columns: pushed below, it would work them out again.
-    """
+    """(band, node, length). No filter stands over these columns: pushed below, it would work the sets out again."""
     none = F.array().cast("array<bigint>")
-    rows = nodes.select("node", "norm", F.length("norm").alias("length"), F.array_distinct(F.transform(F.regexp_extract_all("norm", F.lit(f"(?s)(?:^| )(?=(.{{{width + HEAD_MORE}}}))"), F.lit(1)), lambda s: F.xxhash64(s))).alias("heads"))
-    n = F.size("heads")
-    rows = rows.select(
-        "node", "length", F.when(n >= MANY, F.sort_array("heads")).otherwise(none).alias("s"), F.when(n.between(FEW, int(MANY / 0.8)), F.col("heads")).otherwise(none).alias("some"),
-        F.when(n <= int(FEW / 0.8), shingles(F.col("norm"), width)).otherwise(none).alias("hashes"),
-    )
-    rows = rows.select("node", "length", "s", "some", "hashes", F.when(F.size("s") > 0, _starts(F.col("s"), 4)).otherwise(F.array().cast("array<int>")).alias("starts"))
+    rows = nodes.select("node", F.length("norm").alias("length"), shingles(F.col("norm"), width).alias("hashes"))
+    n = F.size("hashes")
+    rows = rows.select("node", "length", F.when(n >= MANY, F.sort_array("hashes")).otherwise(none).alias("s"), F.when(n.between(LEAST_SHINGLES, int(MANY / 0.8)), F.col("hashes")).otherwise(none).alias("some"))
+    rows = rows.select("node", "length", "s", "some", F.when(F.size("s") > 0, _starts(F.col("s"), 4)).otherwise(F.array().cast("array<int>")).alias("starts"))
     seeds = F.array(*(F.lit(i) for i in range(1, 5)))
-
-    def seeded(hashes: str, label: int, size: int) -> Column:
-        found = F.flatten(F.transform(seeds, lambda i: _let(F.sort_array(F.transform(hashes, lambda h: F.xxhash64(h, i))), lambda o: _let(_starts(o, 2), lambda p: _bands(o, p, F.lit(label), size)))))
-        return F.when(F.size(hashes) >= LEAST_SHINGLES, found).otherwise(none)
-
-    keys = F.concat(_bands(F.col("s"), F.col("starts"), F.lit(0), HEAD_BAND), seeded("some", 1, HEAD_BAND), seeded("hashes", 2, BAND))
+    seeded = F.flatten(F.transform(seeds, lambda i: _let(F.sort_array(F.transform("some", lambda h: F.xxhash64(h, i))), lambda o: _let(_starts(o, 2), lambda p: _bands(o, p, F.lit(1), BAND)))))
+    keys = F.concat(_bands(F.col("s"), F.col("starts"), F.lit(0), BAND), F.when(F.size("some") > 0, seeded).otherwise(none))
     return rows.select(F.explode(keys).alias("band"), "node", "length")
 
 

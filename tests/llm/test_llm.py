@@ -210,6 +210,30 @@ def test_lines_need_no_python(docs):
     assert not re.search("Python|Arrow|Pandas", shown)
 
 
+def line_groups(spark, said, **options):
+    """The component of each line, one document a line."""
+    got = lines.line_components(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string"), **options).collect()
+    return [{r.doc_id: r.component for r in got}[i] for i in range(len(said))]
+
+
+def test_lines_of_unlike_word_counts_share_bands(spark):
+    long = "donaudampfschifffahrtsgesellschaft kraftfahrzeughaftpflichtversicherung rechtsschutzversicherungsgesellschaft arbeiterunfallversicherungsgesetz nahrungsmittelunvertraglichkeit betriebskostenabrechnung geschwindigkeitsbegrenzung bezirksschornsteinfegermeister"
+    rnd = random.Random(8)
+    said = [long, long.replace("kraft", "1 2 3 4 5 6 7 kraft")]
+    for n in range(56, 92, 4):  # across MANY and MANY / 0.8, one end longer by up to a fifth
+        base = "".join(rnd.choice("abcdefghij") for _ in range(n))
+        said += [base, base + " " + " ".join("klmnopqrst"[: n // 16])]
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in said]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2]))
+    found = spark.createDataFrame(list(enumerate(said)), "node long, norm string")
+    bands = collections.defaultdict(set)
+    for r in lines.band_rows(found, 5).collect():
+        bands[r.node].add(r.band)
+    assert len(bands[0] & bands[1]) >= 3
+    got = line_groups(spark, said)
+    assert all(a == b for a, b in zip(got[::2], got[1::2])) and len(set(got)) == len(said) // 2
+
+
 # ---------------------------------------------------------------- quality
 
 
