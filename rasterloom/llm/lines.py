@@ -72,16 +72,16 @@ def _let(value: Column, body) -> Column:
 
 
 def band_rows(nodes: DataFrame, width: int) -> DataFrame:
-    """(band, node, length). No filter stands over these columns: pushed below, it would work the sets out again."""
+    """(band, node, m): m is the size of the line's set. No filter stands over these columns: pushed below, it would work the sets out again."""
     none = F.array().cast("array<bigint>")
-    rows = nodes.select("node", F.length("norm").alias("length"), shingles(F.col("norm"), width).alias("hashes"))
+    rows = nodes.select("node", shingles(F.col("norm"), width).alias("hashes"))
     n = F.size("hashes")
-    rows = rows.select("node", "length", F.when(n >= MANY, F.sort_array("hashes")).otherwise(none).alias("s"), F.when(n.between(LEAST_SHINGLES, int(MANY / 0.8)), F.col("hashes")).otherwise(none).alias("some"))
-    rows = rows.select("node", "length", "s", "some", F.when(F.size("s") > 0, _starts(F.col("s"), 4)).otherwise(F.array().cast("array<int>")).alias("starts"))
+    rows = rows.select("node", n.alias("m"), F.when(n >= MANY, F.sort_array("hashes")).otherwise(none).alias("s"), F.when(n.between(LEAST_SHINGLES, int(MANY / 0.8)), F.col("hashes")).otherwise(none).alias("some"))
+    rows = rows.select("node", "m", "s", "some", F.when(F.size("s") > 0, _starts(F.col("s"), 4)).otherwise(F.array().cast("array<int>")).alias("starts"))
     seeds = F.array(*(F.lit(i) for i in range(1, 5)))
     seeded = F.flatten(F.transform(seeds, lambda i: _let(F.sort_array(F.transform("some", lambda h: F.xxhash64(h, i))), lambda o: _let(_starts(o, 2), lambda p: _bands(o, p, F.lit(1), BAND)))))
     keys = F.concat(_bands(F.col("s"), F.col("starts"), F.lit(0), BAND), F.when(F.size("some") > 0, seeded).otherwise(none))
-    return rows.select(F.explode(keys).alias("band"), "node", "length")
+    return rows.select(F.explode(keys).alias("band"), "node", "m")
 
 
 def similar(pairs: DataFrame, nodes: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -93,8 +93,8 @@ def similar(pairs: DataFrame, nodes: DataFrame, width: int, threshold: float) ->
 
 
 def _sizes_fit(a: str, b: str, threshold: float) -> Column:
-    """Lengths too far apart for the similarity, unless a line repeats its own shingles; those are told by a wide margin."""
-    return F.least(F.col(a), F.col(b)) >= (threshold / 4) * F.greatest(F.col(a), F.col(b))
+    """What the sizes of two sets allow: what they share is at most the smaller one, all of them at least the larger one."""
+    return F.least(F.col(a), F.col(b)) >= threshold * F.greatest(F.col(a), F.col(b))
 
 
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -109,21 +109,21 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = lines.groupBy("norm").agg(F.min(place("id").cast("decimal(38,0)")).alias("first"), F.count("*").alias("copies"))
     nodes = _kept(nodes.select(F.monotonically_increasing_id().alias("node"), F.md5("norm").alias("key"), "first", "copies", "norm"), "lines")
     order = Window.partitionBy("band").orderBy("node")
-    chained = band_rows(nodes, width).select("band", "node", "length", F.lag("node").over(order).alias("prev"), F.lag("length").over(order).alias("prev_length"), F.lead("node").over(order).alias("next"))
+    chained = band_rows(nodes, width).select("band", "node", "m", F.lag("node").over(order).alias("prev"), F.lag("m").over(order).alias("prev_m"), F.lead("node").over(order).alias("next"))
     several = _kept(chained.where("prev is not null or next is not null").drop("next"), "bands")
     there = several.select("node").distinct()
     candidates = _kept(nodes.select("node", "norm").join(there, "node", "left_semi"), "candidates")
-    pairs = several.where(F.col("prev").isNotNull() & (F.col("prev") != F.col("node")) & _sizes_fit("length", "prev_length", threshold)).select(F.col("node").alias("a"), F.col("prev").alias("b")).distinct()
+    pairs = several.where(F.col("prev").isNotNull() & (F.col("prev") != F.col("node")) & _sizes_fit("m", "prev_m", threshold)).select(F.col("node").alias("a"), F.col("prev").alias("b")).distinct()
     links = _kept(similar(pairs, candidates, width, threshold), "links")
     roots = _kept(connected_components(links), "roots")
     # across the components that a bucket still holds
-    labelled = several.select("band", "node", "length").join(roots, "node", "left").select("band", "node", "length", F.coalesce("root", "node").alias("root"))
+    labelled = several.select("band", "node", "m").join(roots, "node", "left").select("band", "node", "m", F.coalesce("root", "node").alias("root"))
     labelled = _kept(labelled, "labelled")
     parts = labelled.groupBy("band", "root").count().groupBy("band").agg(F.max_by("root", "count").alias("most"), F.count("*").alias("parts")).where("parts > 1")
     mixed = _kept(labelled.join(parts.select("band", "most"), "band"), "mixed")
-    left = mixed.where("root <> most").select("band", F.col("node").alias("a"), F.col("length").alias("la"), F.col("root").alias("ra"))
-    right = mixed.select("band", F.col("node").alias("b"), F.col("length").alias("lb"), F.col("root").alias("rb"), "most")
-    across = left.join(right, "band").where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("most")) | (F.col("a") < F.col("b"))) & _sizes_fit("la", "lb", threshold))
+    left = mixed.where("root <> most").select("band", F.col("node").alias("a"), F.col("m").alias("ma"), F.col("root").alias("ra"))
+    right = mixed.select("band", F.col("node").alias("b"), F.col("m").alias("mb"), F.col("root").alias("rb"), "most")
+    across = left.join(right, "band").where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("most")) | (F.col("a") < F.col("b"))) & _sizes_fit("ma", "mb", threshold))
     more = similar(across.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), candidates, width, threshold)
     roots = _kept(connected_components(links.union(more)), "roots")
     named = _kept(nodes.select("node", "key", "first", "copies").join(roots, "node", "left").select("key", "first", "copies", F.coalesce("root", "node").alias("component")), "named")

@@ -234,6 +234,12 @@ def test_lines_of_unlike_word_counts_share_bands(spark):
     assert all(a == b for a, b in zip(got[::2], got[1::2])) and len(set(got)) == len(said) // 2
 
 
+def test_lines_that_repeat_a_phrase_match_at_any_length(spark):
+    phrase = "buy two of these fine lamps today and get the third for free "
+    one, two, other = line_groups(spark, [phrase * 2, phrase * 12, "nothing that either of those two lines says is said in here"])
+    assert one == two != other
+
+
 # ---------------------------------------------------------------- quality
 
 
