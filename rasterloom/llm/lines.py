@@ -23,7 +23,7 @@ BAND = 5
 #: Sets of at least MANY shingles use 16 bins of one seed; those of at most MANY / 0.8 also 4 bins of 4 seeds. The sizes of sets with a Jaccard similarity of
 #: 0.8 differ by that factor at most, so two lines that may be similar have bands of one kind in common.
 MANY = 64
-#: Shorter lines match only if they are equal after normalising.
+#: Smaller sets get no bands; where they are not to be matched by themselves, such lines match only if they are equal after normalising.
 LEAST_SHINGLES = 8
 
 
@@ -71,17 +71,31 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def band_rows(nodes: DataFrame, width: int) -> DataFrame:
-    """(band, node, m): m is the size of the line's set. No filter stands over these columns: pushed below, it would work the sets out again."""
+def band_rows(nodes: DataFrame, width: int, threshold: float = 0.8, short: bool = False) -> DataFrame:
+    """(band, kind, node, m): m is the size of the line's set; kind 0 are bands. No filter stands over these columns: pushed below, it would work the sets out again.
+
+    With short, each set that may be similar to one of fewer than LEAST_SHINGLES has a key of its own (kind 1) and, if the similarity then still reaches the
+    threshold, keys of itself less one shingle (kind 2): two such sets are similar only if they are equal or one is the other less one shingle.
+    """
+    most = int((LEAST_SHINGLES - 1) / threshold) if short else 0
+    if short and int((1 - threshold) * most) > 1:
+        raise ValueError(f"short lines of a similarity of {threshold} may differ by more than one shingle")
     none = F.array().cast("array<bigint>")
     rows = nodes.select("node", shingles(F.col("norm"), width).alias("hashes"))
     n = F.size("hashes")
-    rows = rows.select("node", n.alias("m"), F.when(n >= MANY, F.sort_array("hashes")).otherwise(none).alias("s"), F.when(n.between(LEAST_SHINGLES, int(MANY / 0.8)), F.col("hashes")).otherwise(none).alias("some"))
-    rows = rows.select("node", "m", "s", "some", F.when(F.size("s") > 0, _starts(F.col("s"), 4)).otherwise(F.array().cast("array<int>")).alias("starts"))
+    rows = rows.select("node", n.alias("m"), F.when(n >= MANY, F.sort_array("hashes")).otherwise(none).alias("s"), F.when(n.between(LEAST_SHINGLES, int(MANY / 0.8)), F.col("hashes")).otherwise(none).alias("some"), F.when(n.between(1, most), F.sort_array("hashes")).otherwise(none).alias("few"))
+    rows = rows.select("node", "m", "s", "some", "few", F.when(F.size("s") > 0, _starts(F.col("s"), 4)).otherwise(F.array().cast("array<int>")).alias("starts"))
     seeds = F.array(*(F.lit(i) for i in range(1, 5)))
     seeded = F.flatten(F.transform(seeds, lambda i: _let(F.sort_array(F.transform("some", lambda h: F.xxhash64(h, i))), lambda o: _let(_starts(o, 2), lambda p: _bands(o, p, F.lit(1), BAND)))))
     keys = F.concat(_bands(F.col("s"), F.col("starts"), F.lit(0), BAND), F.when(F.size("some") > 0, seeded).otherwise(none))
-    return rows.select(F.explode(keys).alias("band"), "node", "m")
+    keyed = lambda k, kind: F.struct(k.alias("band"), F.lit(kind).alias("kind"))
+    keys = F.transform(keys, lambda k: keyed(k, 0))
+    if short:
+        nothing = F.array().cast("array<struct<band:bigint,kind:int>>")
+        own = F.when(F.col("m").between(1, most), F.array(keyed(F.xxhash64(F.lit(2), "few"), 1))).otherwise(nothing)
+        less = F.when(F.col("m").between(2, most) & (F.col("m") - 1 >= threshold * F.col("m")), F.transform("few", lambda x: keyed(F.xxhash64(F.lit(2), F.array_remove("few", x)), 2))).otherwise(nothing)
+        keys = F.concat(keys, own, less)
+    return rows.select(F.explode(keys).alias("key"), "node", "m").select("key.band", "key.kind", "node", "m")
 
 
 def similar(pairs: DataFrame, nodes: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -97,24 +111,28 @@ def _sizes_fit(a: str, b: str, threshold: float) -> Column:
     return F.least(F.col(a), F.col(b)) >= threshold * F.greatest(F.col(a), F.col(b))
 
 
-def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
+def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, short: bool = False) -> DataFrame:
     """One row per line with a word: id, line_no (from 0), component (a number), component_size (lines, copies included), kept.
 
-    A null text has no lines; lines without a word are left alone and have no row. Lines of fewer than LEAST_SHINGLES shingles match only equal ones. Of a
-    component the line with the smallest (id, line_no) stays; a null id counts as the largest; rows that repeat an id and its text repeat its lines, and then
+    A null text has no lines; lines without a word are left alone and have no row. Lines of fewer than LEAST_SHINGLES shingles
+    match only equal ones unless short is set, lines of none always. Of a component the line with the smallest (id, line_no) stays; a null id counts as the largest; rows that repeat an id and its text repeat its lines, and then
     the copies that stand at the kept place all count as it.
     """
     place = lambda i: F.coalesce(F.col(i), F.lit((1 << 63) - 1)).cast("decimal(19,0)") * F.lit(10**9).cast("decimal(10,0)") + F.col("line_no")
     lines = numbered_lines(docs, id_col, text_col)
     nodes = lines.groupBy("norm").agg(F.min(place("id").cast("decimal(38,0)")).alias("first"), F.count("*").alias("copies"))
     nodes = _kept(nodes.select(F.monotonically_increasing_id().alias("node"), F.md5("norm").alias("key"), "first", "copies", "norm"), "lines")
-    order = Window.partitionBy("band").orderBy("node")
-    chained = band_rows(nodes, width).select("band", "node", "m", F.lag("node").over(order).alias("prev"), F.lag("m").over(order).alias("prev_m"), F.lead("node").over(order).alias("next"))
-    several = _kept(chained.where("prev is not null or next is not null").drop("next"), "bands")
+    order = Window.partitionBy("band").orderBy("kind", "node")
+    whole = F.first(F.when(F.col("kind") == 1, F.col("node")), ignorenulls=True).over(order)
+    chained = band_rows(nodes, width, threshold, short).select("band", "kind", "node", "m", F.lag("node").over(order).alias("prev"), F.lag("m").over(order).alias("prev_m"), F.lead("node").over(order).alias("next"), whole.alias("whole"))
+    chained = _kept(chained.where("kind = 0 and (prev is not null or next is not null) or kind > 0 and whole <> node").drop("next"), "bands")
+    several = chained.where("kind = 0")
+    # a key is all that makes a short set, so these are links already: each to the one line that stands for its set, or for itself less a shingle
+    shorts = chained.where("kind > 0").select(F.col("node").alias("a"), F.col("whole").alias("b")).distinct()
     there = several.select("node").distinct()
     candidates = _kept(nodes.select("node", "norm").join(there, "node", "left_semi"), "candidates")
     pairs = several.where(F.col("prev").isNotNull() & (F.col("prev") != F.col("node")) & _sizes_fit("m", "prev_m", threshold)).select(F.col("node").alias("a"), F.col("prev").alias("b")).distinct()
-    links = _kept(similar(pairs, candidates, width, threshold), "links")
+    links = _kept(similar(pairs, candidates, width, threshold).union(shorts), "links")
     roots = _kept(connected_components(links), "roots")
     # across the components that a bucket still holds
     labelled = several.select("band", "node", "m").join(roots, "node", "left").select("band", "node", "m", F.coalesce("root", "node").alias("root"))

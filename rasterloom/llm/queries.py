@@ -43,7 +43,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_components(table(spark, sf_dir, "documents"), width=5, threshold=0.8)
+    return line_components(table(spark, sf_dir, "documents"), width=5, threshold=0.8, short=True)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -240,6 +240,23 @@ def test_lines_that_repeat_a_phrase_match_at_any_length(spark):
     assert one == two != other
 
 
+def test_short_lines_match_by_their_sets(spark):
+    rnd = random.Random(9)
+    said = ["click here", "click here!", "tap", "taps", "x" * 50, "x" * 120, "read more", "read mores", "read more..", "log in", "log in now"]
+    said += ["".join(rnd.choice("ab") for _ in range(rnd.randint(3, 15))) for _ in range(150)]
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in said]
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if said[i] == said[j] or a | b and len(a & b) >= 0.8 * len(a | b) and min(len(a), len(b)) < lines.LEAST_SHINGLES]
+    want = union_of(len(said), links)
+    some = [i for i, x in enumerate(sets) if len(x) < lines.LEAST_SHINGLES]
+    got = line_groups(spark, said, short=True)
+    assert got[0] == got[1] and got[2] != got[3] and got[4] == got[5]
+    assert all(got[a] == got[b] for a, b in links)
+    more = union_of(len(said), [*links, *((i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a | b and len(a & b) >= 0.8 * len(a | b))])
+    assert all(more[i] == more[j] for i in some for j in some if got[i] == got[j]) and len(set(want)) < len(said)
+    with pytest.raises(ValueError):
+        lines.line_components(spark.createDataFrame([(1, "a")], "doc_id long, text string"), threshold=0.7, short=True)
+
+
 # ---------------------------------------------------------------- quality
 
 
