@@ -29,7 +29,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies stays, the one with the smallest id."""
+    """One document of each component of near copies stays, the one with the smallest id; a null id counts as the largest, and by the text's hash where ids are equal or null."""
     return simhash_dedup(docs)
 
 

@@ -49,16 +49,19 @@ def fingerprint(hashes: list[int]) -> int:
     return int(np.packbits(bits, bitorder="little").view(U64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
-    """(id, fp): the 64-bit fingerprint of each whole text as a signed long. Null text: empty, fingerprint zero."""
-    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42, marked: bool = False) -> DataFrame:
+    """(id, fp): the 64-bit fingerprint of each whole text as a signed long. Null text: empty, fingerprint zero. With marked also mark, a hash of the text."""
+    schema = pa.schema([("id", pa.int64()), ("fp", pa.int64())] + [("mark", pa.int64())] * marked)
 
     def run(batches):
         for chunk in rows_of(batches, 4 << 20):
-            fps = np.array([fingerprint(shingle_hashes(text, width, seed)) for _, text in chunk], U64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in chunk], pa.int64()), pa.array(fps)], schema=schema)
+            cols = [pa.array([r[0] for r in chunk], pa.int64()), pa.array(np.array([fingerprint(shingle_hashes(r[1], width, seed)) for r in chunk], U64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols + ([pa.array([r[2] for r in chunk], pa.int64())] if marked else []), schema=schema)
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "id long, fp long")
+    rows = texts(docs, id_col, text_col)
+    if marked:
+        rows = rows.withColumn("mark", F.xxhash64("text"))
+    return rows.mapInArrow(run, "id long, fp long" + ", mark long" * marked)
 
 
 def blocks_of(k: int) -> list[tuple[int, int]]:
@@ -185,6 +188,15 @@ def linked(distinct: DataFrame, k: int, shard_rows: int = 4000) -> DataFrame:
     return rows.repartition(n, "bucket", "one", "two").mapInArrow(_forest(k), "fp long, other long")
 
 
+def _rooted(fps: DataFrame, k: int) -> DataFrame:
+    """(fp, least, root) of each distinct fingerprint: the smallest id that has it, and the component."""
+    nodes = written(fps.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    edges = linked(nodes.select("fp"), k).select(F.col("fp").alias("a"), F.col("other").alias("b"))
+    roots = connected_components(edges)
+    found = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    return written(found, "roots")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, k: int = 4, seed: int = 42) -> DataFrame:
     """One row per row of docs: id, fingerprint (16 hex digits), component_id (smallest id reachable over links of at most k bits).
 
@@ -192,18 +204,26 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     cost one row. Null ids never name a component unless nothing else can (component_id is then null). Repeated rows share a component.
     """
     fps = written(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
-    nodes = written(fps.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    edges = linked(nodes.select("fp"), k).select(F.col("fp").alias("a"), F.col("other").alias("b"))
-    roots = connected_components(edges)
-    found = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    found = written(found, "roots")
+    found = _rooted(fps, k)
     names = written(found.groupBy("root").agg(F.min("least").alias("component_id")), "names")
     of = written(found.select("fp", "root").join(names, "root").select("fp", "component_id"), "members")
     return fps.join(of, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, k: int = 4, seed: int = 42) -> DataFrame:
-    """docs without near copies: of each component the row with the smallest id stays. Ids must not repeat; columns are those of docs."""
-    found = simhash_components(docs, id_col, text_col, width, k, seed)
-    stays = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("_stays")).distinct()
-    return docs.join(stays, F.col(f"`{id_col}`") == F.col("_stays"), "left_semi")
+    """docs without near copies, with its columns: of each component the row with the smallest (id, hash of the text) stays, and one row only.
+
+    A null id counts as the largest, a null text as the empty one; ids may repeat. Of rows with one id and one text that with the smallest columns, in
+    their order, stays.
+    """
+    fps = written(fingerprints(docs, id_col, text_col, width, seed, marked=True), "fingerprints")
+    found = _rooted(fps, k).select("fp", "root")
+    rows = fps.groupBy("fp", "id", "mark").agg(F.count("*").alias("copies")).join(found, "fp")
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark", "copies")).alias("best"))
+    stays = written(best.select(F.col("best.id").alias("_stays"), F.col("best.mark").alias("_mark"), F.col("best.copies").alias("_copies")), "stays")
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_stays")) & (F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) == F.col("_mark"))
+    if stays.where("_copies > 1").isEmpty():
+        return docs.join(stays, same, "left_semi")
+    once = docs.join(stays.where("_copies = 1"), same, "left_semi")
+    more = docs.join(stays.where("_copies > 1"), same).groupBy("_stays", "_mark").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("_row"))
+    return once.union(more.select(*(F.col(f"_row.`{c}`") for c in docs.columns)))

@@ -134,6 +134,27 @@ def test_simhash(docs):
     assert multiset((r.doc_id, r.fingerprint, r.component_id) for r in got) == multiset(want)
 
 
+def test_simhash_dedup_keeps_one_row_of_each_component(docs, spark):
+    def roots_of(rows):
+        fps = [plain_fingerprint(t or "", 4) for _, t in rows]
+        return union_of(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if bin(fps[i] ^ fps[j]).count("1") <= 4])
+
+    extra = [(None, " ".join(words_of(90, 71))), (None, " ".join(words_of(90, 72))), (None, " ".join(words_of(90, 72))), (50, " ".join(words_of(90, 73))), (50, " ".join(words_of(90, 74))), (51, " ".join(words_of(90, 74))), (None, None)]
+    more = docs.union(spark.createDataFrame([(i, t, "en", lang, "s", 1, 2, None, 5, 6) for lang in ("b", "a") for i, t in extra], DDL))
+    for df in (docs, more):
+        rows = [(r.doc_id, r.text) for r in df.collect()]
+        want = {}
+        for (i, _), r in zip(rows, roots_of(rows)):
+            key = (i is None, i or 0)
+            want[r] = min(key, want.get(r, key))
+        got = simhash.simhash_dedup(df)
+        assert got.columns == df.columns
+        kept = got.collect()
+        assert multiset((r.doc_id is None, r.doc_id or 0) for r in kept) == multiset(want.values())
+        assert len(set(roots_of([(r.doc_id, r.text) for r in kept]))) == len(kept)
+        assert sorted(map(str, kept)) == sorted(map(str, simhash.simhash_dedup(df.repartition(5)).collect()))
+
+
 def test_trie_join_is_brute_force():
     rng = np.random.default_rng(1)
     centres = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
