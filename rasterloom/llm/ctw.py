@@ -1,9 +1,9 @@
 """Language-model scores by context-tree weighting.
 
-A byte is eight binary decisions, each in the context of the bits already read of it and of up to DEPTH bytes before. Every node of the context tree
+A byte is eight binary decisions, each in the context of the bits already read of it and of up to `depth` bytes before. Every node of the context tree
 has a Krichevsky-Trofimov estimate of its bits; going up, a node's probability is the mean of its own estimate and the product of its children's, so
-that all depths mix by how well they did on the training texts. The tree has at most 256**DEPTH contexts, whatever the corpus: its counts are summed up
-over the cluster and its weights computed once; each text then costs one look-up per byte. Its code length per byte is -score * log2(10) / bytes.
+that all depths mix by how well they did on the training texts. A tree of DEPTH bytes has at most 256**DEPTH contexts, whatever the corpus: its counts are summed up
+over the cluster and its weights computed once; each text then costs one look-up per byte. Deeper trees grow with the corpus and stay on the cluster (deep.py). A text's code length per byte is -score * log2(10) / bytes.
 
 Beside it the unigram base score, whose vocabulary is not bounded: counts of words are summed up in buckets by hash, and each block of documents is
 told those of its own words.
@@ -21,13 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
-from .common import U64, partitions, word_hashes, written
+from . import deep
+from .common import U64, _remove, partitions, rows_of, texts, word_hashes, written
+from .deep import EDGE, kt
+from .lines import _kept
 from .simhash import LOWER
 
-#: Bytes of context. 256**2 contexts of 255 nodes are the bound of what the driver and each worker hold.
+#: Bytes of context up to which the tree is held whole: 256**2 contexts of 255 nodes are the bound of what the driver and each worker hold. EDGE never
+#: occurs in UTF-8: it stands before the first byte of a text, and is the symbol that ends it.
 DEPTH = 2
-#: Never occurs in UTF-8: before the first byte of a text, and the symbol that ends it.
-EDGE = 255
+#: A bucket of a deeper tree goes through its contexts in so many ranges, one at a time.
+RANGES = 2
 #: The hash of the end token.
 END = np.array([0x5EED5EED5EED5EED], U64)
 
@@ -40,21 +44,6 @@ def held_out(ident, folds: int = 7, fold: int = 2) -> bool:
 # ---------------------------------------------------------------- the tree
 
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """Stirling's series, from x + 8 down."""
-    shift = np.zeros_like(x)
-    y = x.astype(float).copy()
-    for _ in range(8):
-        shift += np.log(y)
-        y += 1
-    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
-
-
-def kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """The natural log of the estimate's probability of such a sequence of bits."""
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - math.log(math.pi) - log_gamma(zeros + ones + 1.0)
-
-
 class ContextTree:
     """rows[two bytes]: which row of table, log10 P(byte), is theirs: that of the pair, of its last byte, or the root's, as far down as training has seen."""
 
@@ -211,26 +200,180 @@ def _score(n: int, folds: int, fold: int, model, tokens: int, types: int):
     return conclude
 
 
-def context_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2) -> DataFrame:
+# ---------------------------------------------------------------- deeper trees
+
+
+def _splitters(docs: DataFrame, id_col: str, text_col: str, depth: int, n: int) -> list[int]:
+    """The smallest context of each range; there are at most RANGES for each of n buckets."""
+
+    def run(batches):
+        held = [deep.sampled([t for _, t in chunk], depth, 256) for chunk in rows_of(batches, 4 << 20)]
+        if held:
+            found = np.concatenate(held)
+            found = found[np.argsort(deep.mix(found))[:1024]].view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found)], names=["context"])
+
+    rows = texts(docs, id_col, text_col).mapInArrow(run, "context long").toArrow()  # at most 1024 from each partition
+    found = np.sort(rows["context"].to_numpy().view(U64))
+    return sorted({0, *(int(x) for x in found[[len(found) * i // (RANGES * n) for i in range(1, RANGES * n)]])} if len(found) else {0})
+
+
+def _entries(held: list, depth: int, train) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct (context, byte) in order, and how often its training documents have each."""
+    learn = np.concatenate([np.repeat(np.array([train(i) for i in ids], bool), [len(t) + 1 for t in said]) for ids, said in held])
+    contexts, byte, counts = [], [], []
+    for v, at, keys in deep.by_last(*map(list, zip(*(deep.places(said, depth) for _, said in held)))):
+        taught, times = np.unique(keys[learn[at]], return_counts=True)
+        once = np.union1d(taught, keys[~learn[at]])
+        count = np.zeros(len(once), np.int64)
+        count[np.searchsorted(once, taught)] = times
+        c, b = deep.split(v, once)
+        contexts.append(c)
+        byte.append(b)
+        counts.append(count)
+    return np.concatenate(contexts), np.concatenate(byte), np.concatenate(counts)
+
+
+def _ends(low: list[int], i: int) -> tuple[int, int]:
+    """The first and the last context of a range."""
+    return low[i], low[i + 1] - 1 if i + 1 < len(low) else deep.ALL
+
+
+def _ask(n: int, folds: int, fold: int, depth: int, low: list[int]):
+    """Per block: (words, their training counts, per range its number, packed contexts and training counts)."""
+
+    def ask(parts, _):
+        held, keys, counts = [], [END], [np.zeros(1, np.int64)]
+        for ids, said in parts:
+            held.append((ids, said))
+            train = [not held_out(i, folds, fold) for i in ids]
+            hashes, firsts = _tokens(said)
+            k, of = np.unique(hashes, return_inverse=True)
+            keys += [k, END]
+            counts += [np.bincount(of, np.repeat(train, np.diff(firsts)).astype(np.int64), len(k)).astype(np.int64), np.array([sum(train)])]
+        keys, of = np.unique(np.concatenate(keys), return_inverse=True)
+        counts = np.bincount(of, np.concatenate(counts), len(keys)).astype(np.int64)
+        cuts = B.bucket_cuts(keys, n)
+        contexts, byte, count = _entries(held, depth, lambda i: not held_out(i, folds, fold))
+        places = np.append(np.searchsorted(contexts, np.array(low, U64)), len(contexts))
+        for i in range(n):
+            mine = {j: deep.pack(*(x[places[j] : places[j + 1]] for x in (contexts, byte, count))) for j in range(RANGES * i, min(RANGES * (i + 1), len(low))) if places[j + 1] > places[j]}
+            if cuts[i + 1] > cuts[i] or mine:
+                yield i, 0, (keys[cuts[i] : cuts[i + 1]], counts[cuts[i] : cuts[i + 1]], mine)
+
+    return ask
+
+
+def _ranges(said, depth: int, low: list[int]):
+    """The subtrees of each range of a bucket, which code each entry of each block is, and (index of the block, where its entries begin and end)."""
+    for j in sorted({j for _, d in said for j in d[2]}):
+        there = [k for k, (_, d) in enumerate(said) if j in d[2]]
+        found = [deep.unpack(said[k][1][2][j]) for k in there]
+        cuts = np.cumsum([0] + [len(f[1]) for f in found])
+        once, code, total, back = deep.entries(*(np.concatenate(c) for c in zip(*found)))
+        del found
+        yield deep.Subtrees(once, code, total, depth, *_ends(low, j)), back, list(zip(there, cuts[:-1], cuts[1:]))
+
+
+def _climb(depth: int, low: list[int]):
+    """To block -1: tokens, types and the open nodes of a bucket's ranges."""
+
+    def answer(said):
+        keys, of = np.unique(np.concatenate([d[0] for _, d in said]), return_inverse=True)
+        counts = np.bincount(of, np.concatenate([d[1] for _, d in said]), len(keys)).astype(np.int64)
+        yield -1, 1, (int(counts.sum()), int((counts > 0).sum()), [x for tree, _, _ in _ranges(said, depth, low) for x in tree.opened()])
+
+    return answer
+
+
+def _tell(depth: int, low: list[int], spine):
+    """To each block the training counts of its words, and log10 of the probability of each of its entries."""
+
+    def answer(said):
+        keys = np.concatenate([d[0] for _, d in said])
+        once, of = np.unique(keys, return_inverse=True)
+        counts = np.bincount(of, np.concatenate([d[1] for _, d in said]), len(once)).astype(np.int64)[of]
+        told = [[np.zeros(0, np.float32)] for _ in said]
+        for tree, back, blocks in _ranges(said, depth, low):
+            logs = tree.logs(spine.value).astype(np.float32)
+            for k, a, b in blocks:
+                told[k].append(logs[back[a:b]])
+        at = 0
+        for (block, d), logs in zip(said, told):
+            mine = counts[at : at + len(d[0])]
+            yield block, 0, (mine.astype(np.uint32) if not len(mine) or mine.max() < 1 << 32 else mine, deep.pack_logs(np.concatenate(logs)))
+            at += len(d[0])
+
+    return answer
+
+
+def _score_deep(n: int, folds: int, fold: int, depth: int, tokens: int, types: int):
+    def conclude(parts, heard):
+        held = [(ids, said, *_tokens(said)) for ids, said in parts]
+        mine = np.unique(np.concatenate([h for _, _, h, _ in held] + [END]))
+        cuts, counts = B.bucket_cuts(mine, n), np.zeros(len(mine), np.int64)
+        answers = heard.get(0, {})
+        for i, (words, _) in answers.items():
+            counts[cuts[i] : cuts[i + 1]] = words
+        told = np.concatenate([deep.unpack_logs(answers[i][1]) for i in sorted(answers)])  # buckets are in the order of their contexts
+        chance, at = np.zeros(sum(len(t) + 1 for _, said, _, _ in held for t in said), np.float32), 0
+        for _, where, keys in deep.by_last(*map(list, zip(*(deep.places(said, depth) for _, said, _, _ in held)))):
+            once, of = np.unique(keys, return_inverse=True)
+            chance[where] = told[at : at + len(once)][of]
+            at += len(once)
+        if at != len(told):
+            raise RuntimeError("answers do not fit the questions")
+        logs = np.log10(counts + 1.0) - math.log10(tokens + types + 1.0)
+        end = int(np.searchsorted(mine, END)[0])
+        done = 0
+        for ids, said, hashes, firsts in held:
+            at = np.searchsorted(mine, hashes)
+            base = np.concatenate([[0.0], np.cumsum(logs[at])])
+            known = np.concatenate([[0], np.cumsum(counts[at] > 0)])
+            begins = np.cumsum([0] + [len(t) + 1 for t in said])
+            score = np.concatenate([[0.0], np.cumsum(chance[done : done + begins[-1]], dtype=np.float64)])
+            done += begins[-1]
+            for ident, text, a, b, c in zip(ids, said, firsts[:-1], firsts[1:], begins):
+                yield (
+                    ident, held_out(ident, folds, fold), int(b - a) + 1, int(known[b] - known[a]) + int(counts[end] > 0), tokens,
+                    float(base[b] - base[a] + logs[end]), float(score[c + len(text) + 1] - score[c]), len(text),
+                )
+
+    return conclude
+
+
+def context_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, depth: int = DEPTH) -> DataFrame:
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     score is log10 of the probability that the context tree, learnt from all rows that are not held out, gives to the text's UTF-8 bytes and their end.
     A null text counts as empty: its only token is the end. Repeated rows count each time. A null id is trained on or held out by the CRC of nothing.
-    Without any training text every bit has one half and N is 0. Words are counted by 64-bit hashes.
+    Without any training text every bit has one half and N is 0. Words are counted by 64-bit hashes. depth: bytes of context, DEPTH to deep.MOST.
     """
+    if not DEPTH <= depth <= deep.MOST:
+        raise ValueError(f"depth must be from {DEPTH} to {deep.MOST}")
     spark = docs.sparkSession
     n = partitions(spark)
     rows = B.blocked(docs, id_col, text_col, n)
+    schema = pa.schema([(id_col, pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())])
+    ddl = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
+    per_byte = -F.col("score") * math.log2(10) / (F.col("n_bytes") + 1)
+    if depth > DEPTH:
+        low = _splitters(docs, id_col, text_col, depth, n)
+        asked = _kept(B.first_questions(rows, _ask(n, folds, fold, depth, low), n), "questions")
+        totals = [pickle.loads(r[0]) for r in _kept(B.answered(asked, _climb(depth, low), n), "open").select("data").collect()]  # two contexts a depth from each bucket
+        spine = spark.sparkContext.broadcast(deep.joined([x for t in totals for x in t[2]], depth))
+        told = _kept(B.answered(asked, _tell(depth, low, spine), n), "told")
+        _remove(spark, asked.inputFiles()[0].rsplit("/", 1)[0])  # the largest of the tables; nothing reads it again
+        out = B.concluded(rows, told, _score_deep(n, folds, fold, depth, sum(t[0] for t in totals), sum(t[1] for t in totals)), schema, ddl)
+        return out.withColumn("bits_per_byte", per_byte).drop("n_bytes")
     sums = written(B.answered(B.first_questions(rows, _count(n, folds, fold), n), _sum, n), "counts")
     totals = [pickle.loads(r[0]) for r in sums.where("block = -1").select("data").collect()]  # at most 2**24 codes, and two numbers from each bucket
     tokens, types = sum(t[0] for t in totals), sum(t[1] for t in totals)
     codes = np.concatenate([t[2] for t in totals] or [np.zeros(0, np.int32)]).astype(np.int64)
     times = np.concatenate([t[3] for t in totals] or [np.zeros(0, np.int64)])
     model = spark.sparkContext.broadcast(ContextTree(codes, times) if len(codes) else Even())  # at most 65,793 rows of 1 KiB
-    schema = pa.schema([(id_col, pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())])
-    ddl = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
     out = B.concluded(rows, sums.where("block >= 0"), _score(n, folds, fold, model, tokens, types), schema, ddl)
-    return out.withColumn("bits_per_byte", -F.col("score") * math.log2(10) / (F.col("n_bytes") + 1)).drop("n_bytes")
+    return out.withColumn("bits_per_byte", per_byte).drop("n_bytes")
 
 
 class Even:

@@ -56,7 +56,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context_tree_scores(table(spark, sf_dir, "documents"), folds=7, fold=2)
+    return context_tree_scores(table(spark, sf_dir, "documents"), folds=7, fold=2, depth=8)
 
 
 def op9_fixed_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:

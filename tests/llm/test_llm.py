@@ -433,6 +433,67 @@ def test_context_tree(docs):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], rel=1e-9) and a[6] == pytest.approx(b[6], rel=1e-5)
 
 
+def deep_ctw(rows, depth):
+    """Scores by a tree of dictionaries."""
+    nodes, down = collections.defaultdict(lambda: [0, 0]), collections.defaultdict(set)
+    edge = b"\xff" * depth
+
+    def steps(t):
+        b = edge + t.encode() + b"\xff"
+        for p in range(depth, len(b)):
+            for k in range(8):
+                yield b[p - depth : p], 1 << k | b[p] >> (8 - k), b[p] >> (7 - k) & 1
+
+    for i, t in rows:
+        for ctx, node, bit in [] if ctw.held_out(i) else steps(t):
+            for d in range(depth + 1):
+                nodes[ctx[depth - d :], node][bit] += 1
+                if d:
+                    down[ctx[depth - d + 1 :], node].add((ctx[depth - d :], node))
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.log(math.pi) - math.lgamma(a + b + 1)
+    w, share = {}, {}
+    for key in sorted(nodes, key=lambda k: -len(k[0])):
+        own = kt(*nodes[key])
+        w[key] = own if len(key[0]) == depth else math.log(0.5) + np.logaddexp(own, sum(w[k] for k in down[key]))
+        share[key] = 1.0 if len(key[0]) == depth else math.exp(math.log(0.5) + own - w[key])
+
+    def one(ctx, node):
+        reach, sure = 1.0, 0.0
+        for d in range(depth + 1):
+            key = (ctx[depth - d :], node)
+            if key not in nodes:
+                return sure + reach * 0.5
+            a, b = nodes[key]
+            sure += reach * share[key] * (b + 0.5) / (a + b + 1)
+            reach *= 1 - share[key]
+        return sure
+
+    return [sum(math.log10(q if bit else 1 - q) for q, bit in ((one(ctx, node), bit) for ctx, node, bit in steps(t))) for _, t in rows]
+
+
+@pytest.mark.parametrize("depth", [3, 8])
+def test_deep_context_tree(docs, depth):
+    rows = [(i, t[:600]) for i, t in pairs()]
+    short = docs.withColumn("text", F.substring("text", 1, 600))
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in ctw.context_tree_scores(short, depth=depth).collect())
+    for a, b in zip(got, sorted((-1 if i is None else i, s) for (i, _), s in zip(rows, deep_ctw(rows, depth))), strict=True):
+        assert a[0] == b[0] and a[1] == pytest.approx(b[1], rel=1e-5)
+    base = {r.doc_id: tuple(r)[:6] for r in ctw.context_tree_scores(short).collect()}
+    assert all(base[r.doc_id] == pytest.approx(tuple(r)[:6]) for r in ctw.context_tree_scores(short, depth=depth).collect() if r.doc_id is not None)
+
+
+def test_query_8_looks_back_eight_bytes(spark, monkeypatch):
+    from rasterloom.llm import queries
+
+    said = ["q" + "".join(x) + "!" for x in (random.Random(k).choices("ab", k=7) for k in range(3)) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(x[:8] + ("cd"[x[1] == "a"]) for x in said)), "doc_id long, text string")
+    monkeypatch.setattr(queries, "table", lambda *_: df)
+    got = {r.doc_id: r.score for r in queries.op8_context_tree(spark, "").collect()}
+    two = {r.doc_id: r.score for r in ctw.context_tree_scores(df).collect()}
+    assert sum(got.values()) > sum(two.values())
+    assert ctw.context_tree_scores(df.limit(0), depth=8).count() == 0
+
+
 def test_tree_sums_to_one():
     codes, _ = ctw._gram_codes([b"abracadabra abracadabra", b"alakazam"])
     tree = ctw.ContextTree(*(x.astype(np.int64) for x in np.unique(codes, return_counts=True)))
