@@ -17,6 +17,12 @@ from rasterloom.functions import colour, cost, geometry, grammar
 KEY, SALT = bytes.fromhex("deadbeef" * 8), bytes.fromhex("cafebabe" * 8)
 
 
+def test_the_whole_table_from_linear(spark):
+    got = [r.s for r in spark.range(65536).orderBy("id").select(colour.from_linear(F.col("id")).alias("s")).collect()]
+    said = [v / 65535 for v in range(65536)]
+    assert got == [int((12.92 * x if x <= 0.0031308 else 1.055 * x ** (1 / 2.4) - 0.055) * 255 + 0.5) for x in said]
+
+
 def run(spark, rows, ddl, *columns):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], f"_i int, {ddl}")
     shown = df.select("_i", *columns)
