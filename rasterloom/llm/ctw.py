@@ -24,7 +24,6 @@ from . import blocks as B
 from . import deep
 from .common import U64, _remove, partitions, rows_of, texts, word_hashes, written
 from .deep import EDGE, kt
-from .lines import _kept
 from .simhash import LOWER
 
 #: Bytes of context up to which the tree is held whole: 256**2 contexts of 255 nodes are the bound of what the driver and each worker hold. EDGE never
@@ -359,10 +358,10 @@ def context_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     per_byte = -F.col("score") * math.log2(10) / (F.col("n_bytes") + 1)
     if depth > DEPTH:
         low = _splitters(docs, id_col, text_col, depth, n)
-        asked = _kept(B.first_questions(rows, _ask(n, folds, fold, depth, low), n), "questions")
-        totals = [pickle.loads(r[0]) for r in _kept(B.answered(asked, _climb(depth, low), n), "open").select("data").collect()]  # two contexts a depth from each bucket
+        asked = written(B.first_questions(rows, _ask(n, folds, fold, depth, low), n), "questions")
+        totals = [pickle.loads(r[0]) for r in written(B.answered(asked, _climb(depth, low), n), "open").select("data").collect()]  # two contexts a depth from each bucket
         spine = spark.sparkContext.broadcast(deep.joined([x for t in totals for x in t[2]], depth))
-        told = _kept(B.answered(asked, _tell(depth, low, spine), n), "told")
+        told = written(B.answered(asked, _tell(depth, low, spine), n), "told")
         _remove(spark, asked.inputFiles()[0].rsplit("/", 1)[0])  # the largest of the tables; nothing reads it again
         out = B.concluded(rows, told, _score_deep(n, folds, fold, depth, sum(t[0] for t in totals), sum(t[1] for t in totals)), schema, ddl)
         return out.withColumn("bits_per_byte", per_byte).drop("n_bytes")

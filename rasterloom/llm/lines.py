@@ -1,151 +1,345 @@
-"""Fuzzy line deduplication by MinHash, in DataFrame operations alone.
-
-Lines are normalised (lower case, runs of white space as one space) and equal ones fall together first. A line's set is that of its character shingles,
-hashed once; the hash space is cut into bins, and the smallest few hashes of a bin are a band: two sets have a band in common about as often as that many
-MinHashes agree. Short lines get their bands from several seeds. Within a band's bucket each line is first compared with the one before it, a chain and
-not all pairs; what the exact Jaccard similarity confirms is joined by distributed union-find. Buckets that still hold several components then compare
-lines across components, those outside the bucket's largest component with the rest, so no pair that shares a band is left unchecked and none within a
-component is looked at again. One line of each component stays: the first by document id and line number.
+"""Fuzzy line deduplication by MinHash.
+
+Lines are normalised (lower case, runs of white space as one space) and equal ones fall together first. A line's set is that of its character shingles.
+Bands are the smallest few hashes of a part of the hash space, of one seed or several, always as many as the band is long: two sets share a band as often
+as so many MinHashes agree. Which seeds and parts serve is chosen by the size of the set alone, and a Jaccard similarity of 0.8 bounds how far two sizes are
+apart, so overlapping classes give every similar pair a class in common. Sets of a few shingles have exact keys instead. Within a band's bucket each line
+is first compared with the one before it, a chain and not all pairs; what the exact Jaccard similarity confirms is joined by distributed union-find.
+Buckets that still hold several components then compare lines across components, those outside the bucket's largest component with the rest. A parity
+sketch of each set bounds the difference of two sets from below, so it passes over pairs without losing one. One line of each component stays: the first by document id and line number.
+
+Hashing and comparing shingles run in Arrow batches, everything else in DataFrame operations: see README for the figures of native forms.
 """
 
 from __future__ import annotations
 
-import gc
+import re
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import U64, mix, partitions, rows_of, texts, written
 from .components import connected_components
 
-#: Hashes that make a band.
-BAND = 5
-#: Sets of at least MANY shingles use 16 bins of one seed; those of at most MANY / 0.8 also 4 bins of 4 seeds. The sizes of sets with a Jaccard similarity of
-#: 0.8 differ by that factor at most, so two lines that may be similar have bands of one kind in common.
-MANY = 64
-#: Smaller sets get no bands; where they are not to be matched by themselves, such lines match only if they are equal after normalising.
-LEAST_SHINGLES = 8
+#: Sets of fewer distinct shingles have exact keys.
+FEW = 8
+#: Classes of sets by their number of distinct shingles, ends included; neighbours overlap by the factor that a similarity of 0.8 allows.
+SMALL, MIDDLE, LARGE = (FEW, 80), (64, 320), (256, 1 << 62)
+#: Bands of a line, in each class, and hashes of a band: small sets have as many MinHashes, middle ones four seeds of four parts, large ones sixteen parts.
+BANDS, HASHES, HASHES_LARGE = 16, 6, 7
+#: Bits of a hash that are sorted below the number of its line.
+LOW = 44
+#: Words of 64 bits in the parity sketch of a set.
+SKETCH = 4
+ODD_SPACE = re.compile("[\t\v\f\r]| {2}")
+SPACES = re.compile("[ \t\v\f\r]+")
+_random = np.random.default_rng(21)
+CHARS = _random.integers(0, 1 << 63, 64, dtype=U64) * U64(2) + U64(1)
+SEEDS = _random.integers(0, 1 << 63, BANDS * HASHES, dtype=U64) * U64(2) + U64(1)
+
+
+# ---------------------------------------------------------------- lines
+
+
+def normalised(text: str) -> list[str]:
+    """The lines of a text in lower case, runs of white space as one space, none at the ends."""
+    text = text.lower()
+    if ODD_SPACE.search(text):
+        text = SPACES.sub(" ", text)
+    return [line.strip(" ") for line in text.split("\n")]
+
+
+def numbered_lines(docs: DataFrame, id_col: str, text_col: str, keyed: bool = False) -> DataFrame:
+    """(id, line_no, norm) of every line with a word; keyed: (id, line_no, key), key being 128 bits of norm."""
+    last = pa.field("key", pa.binary()) if keyed else pa.field("norm", pa.string())
+    schema = pa.schema([("id", pa.int64()), ("line_no", pa.int32()), last])
+
+    def run(batches):
+        for chunk in rows_of(batches, 2 << 20):
+            ids, numbers, norms = [], [], []
+            for doc, text in chunk:
+                for i, norm in enumerate(normalised(text.decode("utf-8", "replace"))):
+                    if norm:
+                        ids.append(doc)
+                        numbers.append(i)
+                        norms.append(key_of(norm) if keyed else norm)
+            for at in range(0, len(ids), 50_000):
+                to = at + 50_000
+                yield pa.RecordBatch.from_arrays([pa.array(x[at:to], f.type) for x, f in zip((ids, numbers, norms), schema)], schema=schema)
+
+    return texts(docs, id_col, text_col).mapInArrow(run, "id long, line_no int, " + ("key binary" if keyed else "norm string"))
+
+
+def key_of(norm: str) -> bytes:
+    return xxhash.xxh3_128_digest(norm.encode())
+
+
+# ---------------------------------------------------------------- sets and bands
+
+
+class Sets:
+    """The sets of some lines, as sorted distinct numbers (line, hash) of 64 bits."""
+
+    def __init__(self, norms: list[str], width: int):
+        points = np.frombuffer("".join(norms).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U64)
+        ends = np.cumsum([len(x) for x in norms], dtype=np.int64)
+        self.n, n = len(norms), max(0, len(points) - width + 1)
+        within = np.ones(n + width, bool)
+        for j in range(1, width):  # no shingle goes over a line's end
+            within[ends[ends >= j] - j] = False
+        with np.errstate(over="ignore"):
+            hashes = points[:n] * CHARS[0]
+            for j in range(1, width):
+                hashes += points[j : n + j] * CHARS[j]
+            hashes ^= hashes >> U64(32)
+            hashes *= CHARS[-1]
+        hashes >>= U64(64 - LOW)
+        hashes |= np.repeat(np.arange(self.n, dtype=U64) << U64(LOW), np.diff(ends, prepend=0))[:n]
+        keys = hashes[within[:n]]
+        keys.sort()
+        new = np.ones(len(keys), bool)
+        np.not_equal(keys[1:], keys[:-1], out=new[1:])
+        self.keys = keys[new]
+        self.line = (self.keys >> U64(LOW)).astype(np.int64)
+        self.m = np.bincount(self.line, minlength=self.n)
+
+    def of(self, size: tuple[int, int]) -> np.ndarray:
+        """The numbers of the lines whose sets have such a size."""
+        return self.keys[((self.m >= size[0]) & (self.m <= size[1]))[self.line]]
+
+    def sketches(self) -> np.ndarray:
+        """Per line SKETCH words whose bits are the parities of the shingles that fall on them."""
+        bit = (self.keys >> U64(3)) & U64(64 * SKETCH - 1)
+        place = self.line * (64 * SKETCH) + bit.astype(np.int64)
+        odd = np.bincount(place, minlength=self.n * 64 * SKETCH) & 1
+        return np.packbits(odd.astype(np.uint8), bitorder="little").view(U64).reshape(self.n, SKETCH)
+
+
+def reseeded(keys: np.ndarray, seed: int) -> np.ndarray:
+    """The same sets under another hash, sorted again."""
+    low = U64((1 << LOW) - 1)
+    with np.errstate(over="ignore"):
+        out = keys >> U64(LOW) << U64(LOW) | mix((keys & low) * SEEDS[seed]) >> U64(64 - LOW)
+    out.sort()
+    return out
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """A written table; what earlier steps shuffled can then be cleared away."""
-    out = written(df, name)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
+def folded(columns: list[np.ndarray], label: np.ndarray) -> np.ndarray:
+    """One number of 64 bits for a label and some hashes."""
+    out = mix(label.astype(U64) + U64(1))
+    with np.errstate(over="ignore"):
+        for c in columns:
+            out = mix(out * U64(0x9E3779B97F4A7C15) + c)
     return out
 
 
-def normalised(line: Column) -> Column:
-    """Lower case, runs of white space as one space; the pattern runs only where plain searches find something for it."""
-    odd = F.contains(line, F.lit("  "))
-    for c in "\t\v\f\r":
-        odd = odd | F.contains(line, F.lit(c))
-    return F.lower(F.trim(F.when(odd, F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")).otherwise(line)))
+def part_bands(keys: np.ndarray, bits: int, size: int, label: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bands, lines): the `size` smallest hashes of each of 2**bits parts of the hash space, where a set has so many there."""
+    part = keys >> U64(LOW - bits)
+    first = np.flatnonzero(np.diff(part, prepend=~part[:1]) != 0)
+    first = first[np.diff(np.append(first, len(part))) >= size]
+    mask = U64((1 << LOW) - 1)
+    name = (part[first] & U64((1 << bits) - 1)) + U64(label << 8)
+    return folded([keys[first + j] & mask for j in range(size)], name), (keys[first] >> U64(LOW)).astype(np.int64)
 
 
-def numbered_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, line_no, norm) of every line with a word."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.posexplode(F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n")).alias("line_no", "line"))
-    return rows.select("id", "line_no", normalised(F.col("line")).alias("norm")).where("norm <> ''")
+def min_bands(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bands, lines): BANDS times HASHES MinHashes."""
+    line = keys >> U64(LOW)
+    first = np.flatnonzero(np.diff(line, prepend=~line[:1]) != 0)
+    low = keys & U64((1 << LOW) - 1)
+    bands, lines = [], []
+    for b in range(BANDS if len(first) else 0):
+        with np.errstate(over="ignore"):
+            least = [np.minimum.reduceat(mix(low * SEEDS[b * HASHES + j]), first) for j in range(HASHES)]
+        bands.append(folded(least, np.full(len(first), 1024 + b)))
+        lines.append(line[first].astype(np.int64))
+    return (np.concatenate(bands), np.concatenate(lines)) if bands else (np.zeros(0, U64), np.zeros(0, np.int64))
 
 
-def shingles(norm: Column, width: int) -> Column:
-    """The distinct hashes of all runs of `width` characters."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(norm, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1)), lambda s: F.xxhash64(s)))
+def few_keys(norm: str, width: int, threshold: float, most: int) -> list[tuple[int, int]]:
+    """(key, kind) of a small set: kind 1 the set itself; kind 2 itself less one shingle, if it then is still similar."""
+    whole = sorted({norm[i : i + width] for i in range(len(norm) - width + 1)})
+    if not 1 <= len(whole) <= most:
+        return []
+    key = lambda parts: xxhash.xxh3_64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass"), 2)
+    less = len(whole) > 1 and len(whole) - 1 >= threshold * len(whole)
+    return [(key(whole), 1)] + [(key(whole[:i] + whole[i + 1 :]), 2) for i in range(len(whole) if less else 0)]
 
 
-def _starts(ordered: Column, bits: int) -> Column:
-    """Where the bins begin in a sorted array of hashes."""
-    bin_of = lambda x: F.shiftright(x, 64 - bits)
-    return F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (bin_of(F.get(ordered, i - 1)) != bin_of(F.get(ordered, i))))
+def bands_of(norms: list[str], width: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bands, kinds, lines) of some lines; kind 0 are bands of MinHashes."""
+    sets = Sets(norms, width)
+    found = [part_bands(sets.of(LARGE), 4, HASHES_LARGE, 0), min_bands(sets.of(SMALL))]
+    middle = sets.of(MIDDLE)
+    found += [part_bands(reseeded(middle, s), 2, HASHES, 1 + s) for s in range(4)]
+    most = int((FEW - 1) / threshold)
+    keys, kinds, lines = [], [], []
+    for i in np.flatnonzero((sets.m >= 1) & (sets.m <= most)).tolist():
+        for key, kind in few_keys(norms[i], width, threshold, most):
+            keys.append(key)
+            kinds.append(kind)
+            lines.append(i)
+    count = sum(len(b) for b, _ in found)
+    bands = np.concatenate([b for b, _ in found] + [np.array(keys, U64)])
+    return bands, np.concatenate([np.zeros(count, np.int8), np.array(kinds, np.int8)]), np.concatenate([x for _, x in found] + [np.array(lines, np.int64)])
 
 
-def _bands(ordered: Column, starts: Column, label: Column, size: int) -> Column:
-    """A key for each bin with two hashes or more, of its `size` smallest."""
-    cut = F.transform(starts, lambda p, j: F.slice(ordered, p + 1, F.least(F.lit(size), F.coalesce(F.get(starts, j + 1), F.size(ordered)) - p)))
-    return F.transform(F.filter(cut, lambda e: F.size(e) > 1), lambda e: F.xxhash64(label, e))
+def _norms(batches, chars: int = 1 << 18):
+    """(node numbers, lines) in chunks of about so many characters."""
+    nodes, norms, held = [], [], 0
+    for batch in batches:
+        for node, norm in zip(batch["node"].to_pylist(), batch["norm"].to_pylist()):
+            nodes.append(node)
+            norms.append(norm)
+            held += len(norm)
+            if held >= chars:
+                yield np.array(nodes, np.int64), norms
+                nodes, norms, held = [], [], 0
+    if nodes:
+        yield np.array(nodes, np.int64), norms
 
 
-def _let(value: Column, body) -> Column:
-    """body of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def band_rows(nodes: DataFrame, width: int, threshold: float = 0.8) -> DataFrame:
+    """(band, kind, node) of (node, norm)."""
+    schema = pa.schema([("band", pa.int64()), ("kind", pa.int8()), ("node", pa.int64())])
 
+    def run(batches):
+        for node, norms in _norms(batches):
+            bands, kinds, lines = bands_of(norms, width, threshold)
+            for at in range(0, len(bands), 50_000):
+                to = at + 50_000
+                yield pa.RecordBatch.from_arrays([pa.array(bands[at:to].view(np.int64)), pa.array(kinds[at:to]), pa.array(node[lines[at:to]])], schema=schema)
 
-def band_rows(nodes: DataFrame, width: int, threshold: float = 0.8, short: bool = False) -> DataFrame:
-    """(band, kind, node, m): m is the size of the line's set; kind 0 are bands. No filter stands over these columns: pushed below, it would work the sets out again.
+    return nodes.select("node", "norm").mapInArrow(run, "band long, kind byte, node long")
 
-    With short, each set that may be similar to one of fewer than LEAST_SHINGLES has a key of its own (kind 1) and, if the similarity then still reaches the
-    threshold, keys of itself less one shingle (kind 2): two such sets are similar only if they are equal or one is the other less one shingle.
-    """
-    most = int((LEAST_SHINGLES - 1) / threshold) if short else 0
-    if short and int((1 - threshold) * most) > 1:
-        raise ValueError(f"short lines of a similarity of {threshold} may differ by more than one shingle")
-    none = F.array().cast("array<bigint>")
-    rows = nodes.select("node", shingles(F.col("norm"), width).alias("hashes"))
-    n = F.size("hashes")
-    rows = rows.select("node", n.alias("m"), F.when(n >= MANY, F.sort_array("hashes")).otherwise(none).alias("s"), F.when(n.between(LEAST_SHINGLES, int(MANY / 0.8)), F.col("hashes")).otherwise(none).alias("some"), F.when(n.between(1, most), F.sort_array("hashes")).otherwise(none).alias("few"))
-    rows = rows.select("node", "m", "s", "some", "few", F.when(F.size("s") > 0, _starts(F.col("s"), 4)).otherwise(F.array().cast("array<int>")).alias("starts"))
-    seeds = F.array(*(F.lit(i) for i in range(1, 5)))
-    seeded = F.flatten(F.transform(seeds, lambda i: _let(F.sort_array(F.transform("some", lambda h: F.xxhash64(h, i))), lambda o: _let(_starts(o, 2), lambda p: _bands(o, p, F.lit(1), BAND)))))
-    keys = F.concat(_bands(F.col("s"), F.col("starts"), F.lit(0), BAND), F.when(F.size("some") > 0, seeded).otherwise(none))
-    keyed = lambda k, kind: F.struct(k.alias("band"), F.lit(kind).alias("kind"))
-    keys = F.transform(keys, lambda k: keyed(k, 0))
-    if short:
-        nothing = F.array().cast("array<struct<band:bigint,kind:int>>")
-        own = F.when(F.col("m").between(1, most), F.array(keyed(F.xxhash64(F.lit(2), "few"), 1))).otherwise(nothing)
-        less = F.when(F.col("m").between(2, most) & (F.col("m") - 1 >= threshold * F.col("m")), F.transform("few", lambda x: keyed(F.xxhash64(F.lit(2), F.array_remove("few", x)), 2))).otherwise(nothing)
-        keys = F.concat(keys, own, less)
-    return rows.select(F.explode(keys).alias("key"), "node", "m").select("key.band", "key.kind", "node", "m")
+
+def sketched(nodes: DataFrame, width: int) -> DataFrame:
+    """(node, m, s0 ...): the size of the set and its parity sketch."""
+    names = [f"s{i}" for i in range(SKETCH)]
+    schema = pa.schema([("node", pa.int64()), ("m", pa.int64()), *((x, pa.int64()) for x in names)])
+
+    def run(batches):
+        for node, norms in _norms(batches):
+            sets = Sets(norms, width)
+            sketches = sets.sketches().view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(sets.m), *(pa.array(np.ascontiguousarray(sketches[:, i])) for i in range(SKETCH))], schema=schema)
+
+    return nodes.select("node", "norm").mapInArrow(run, "node long, m long, " + ", ".join(f"{x} long" for x in names))
+
+
+def may_fit(a: str, b: str, threshold: float) -> Column:
+    """False only where two sets can't be similar: of two sets with that Jaccard similarity the difference has at most this share of both, and each bit in
+    which the sketches differ is one element of the difference at least."""
+    differ = sum((F.bit_count(F.col(f"{a}s{i}").bitwiseXOR(F.col(f"{b}s{i}"))) for i in range(1, SKETCH)), F.bit_count(F.col(f"{a}s0").bitwiseXOR(F.col(f"{b}s0"))))
+    share = (1 - threshold) / (1 + threshold)
+    return differ <= (F.col(f"{a}m") + F.col(f"{b}m")) * F.lit(share) + F.lit(1e-6)
 
 
 def similar(pairs: DataFrame, nodes: DataFrame, width: int, threshold: float) -> DataFrame:
     """Of (a, b) those whose sets' exact Jaccard similarity reaches the threshold."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            sets: dict[int, set] = {}
+            a, b, keep = batch["a"].to_pylist(), batch["b"].to_pylist(), []
+            for i, j, x, y in zip(a, b, batch["x"].to_pylist(), batch["y"].to_pylist()):
+                for k, norm in ((i, x), (j, y)):
+                    if k not in sets:
+                        sets[k] = {norm[p : p + width] for p in range(len(norm) - width + 1)}
+                both = len(sets[i] & sets[j])
+                keep.append(both >= threshold * (len(sets[i]) + len(sets[j]) - both))
+            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], schema=schema).filter(pa.array(keep, pa.bool_()))
+
     one = nodes.select(F.col("node").alias("a"), F.col("norm").alias("x"))
     two = nodes.select(F.col("node").alias("b"), F.col("norm").alias("y"))
-    alike = _let(F.struct(shingles(F.col("x"), width).alias("p"), shingles(F.col("y"), width).alias("q")), lambda v: _let(F.struct(F.size(F.array_intersect(v["p"], v["q"])).alias("c"), (F.size(v["p"]) + F.size(v["q"])).alias("n")), lambda u: u["c"] >= threshold * (u["n"] - u["c"])))
-    return pairs.join(one, "a").join(two, "b").where(alike).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _sizes_fit(a: str, b: str, threshold: float) -> Column:
-    """What the sizes of two sets allow: what they share is at most the smaller one, all of them at least the larger one."""
-    return F.least(F.col(a), F.col(b)) >= threshold * F.greatest(F.col(a), F.col(b))
+def hot_bands(nodes: DataFrame, width: int, threshold: float, share: int = 64, least: int = 16) -> DataFrame:
+    """(band, salts): bands that would make a partition uneven, found in a sample of the lines, and into how many parts to deal them.
+
+    A band counts from a sixteenth of a partition's rows on, so there are at most sixteen for each partition.
+    """
+    n = partitions(nodes.sparkSession)
+    some = band_rows(nodes.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0), width, threshold).groupBy("band").count().where(F.col("count") >= least)
+    total = nodes.count() * BANDS
+    large = max(1, total // (16 * n))
+    return some.select("band", F.ceil(F.col("count") * share / large).cast("int").alias("salts")).where("salts > 1")
+
+
+def chains(nodes: DataFrame, width: int, threshold: float) -> DataFrame:
+    """(band, kind, node, prev, whole): buckets of more than one line; prev is the line before in the bucket, whole the one that stands for an exact key.
+
+    A hot bucket is chained in parts by a hash of the line, and the first lines of its parts once more.
+    """
+    hot = written(hot_bands(nodes, width, threshold), "hot")
+    rows = band_rows(nodes, width, threshold).join(F.broadcast(hot), "band", "left")  # at most sixteen for each partition
+    rows = rows.select("band", "kind", "node", F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).alias("part"), F.col("salts").isNotNull().alias("hot"))
+    order = Window.partitionBy("band", "part").orderBy("kind", "node")
+    whole = F.first(F.when(F.col("kind") == 1, F.col("node")), ignorenulls=True).over(order)
+    found = rows.select("band", "kind", "node", "hot", F.lag("node").over(order).alias("prev"), F.lead("node").over(order).alias("next"), whole.alias("whole"))
+    found = written(found.where("hot or prev is not null or next is not null").drop("next"), "bands")
+    heads = found.where("hot and prev is null")
+    over = Window.partitionBy("band").orderBy("kind", "node")
+    heads = heads.select("band", "kind", "node", F.lag("node").over(over).alias("prev"), F.coalesce(F.first(F.when(F.col("kind") == 1, F.col("node")), ignorenulls=True).over(over), "whole").alias("whole"))
+    return found.where("not (hot and prev is null)").drop("hot").unionByName(heads)
 
 
-def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, short: bool = False) -> DataFrame:
+def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row per line with a word: id, line_no (from 0), component (a number), component_size (lines, copies included), kept.
 
-    A null text has no lines; lines without a word are left alone and have no row. Lines of fewer than LEAST_SHINGLES shingles
-    match only equal ones unless short is set, lines of none always. Of a component the line with the smallest (id, line_no) stays; a null id counts as the largest; rows that repeat an id and its text repeat its lines, and then
-    the copies that stand at the kept place all count as it.
+    Lines are in one component if a chain of lines joins them whose shingle sets have a Jaccard similarity of at least threshold (0.8 or more) each; lines
+    of fewer characters than a shingle match equal ones only. Sets of under FEW shingles are matched exactly, others by bands that find a pair at 0.8 with
+    a probability of about 0.97, and more similar ones almost surely.
+    A null text has no lines; lines without a word are left alone and have no row; an empty table gives an empty result. Of a component the line with the
+    smallest (id, line_no) stays; a null id counts as the largest; rows that repeat an id and its text repeat its lines, and then the copies that stand at
+    the kept place all count as it. Other columns of docs, whatever their names, play no part. Components that don't settle in 60 rounds are an error.
     """
-    place = lambda i: F.coalesce(F.col(i), F.lit((1 << 63) - 1)).cast("decimal(19,0)") * F.lit(10**9).cast("decimal(10,0)") + F.col("line_no")
+    if not 0.8 <= threshold <= 1 or width > len(CHARS):
+        raise ValueError("classes of sizes and keys of small sets are made for similarities of 0.8 or more")
+    place = (F.coalesce(F.col("id"), F.lit((1 << 63) - 1)).cast("decimal(19,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("line_no")).cast("decimal(38,0)")
     lines = numbered_lines(docs, id_col, text_col)
-    nodes = lines.groupBy("norm").agg(F.min(place("id").cast("decimal(38,0)")).alias("first"), F.count("*").alias("copies"))
-    nodes = _kept(nodes.select(F.monotonically_increasing_id().alias("node"), F.md5("norm").alias("key"), "first", "copies", "norm"), "lines")
-    order = Window.partitionBy("band").orderBy("kind", "node")
-    whole = F.first(F.when(F.col("kind") == 1, F.col("node")), ignorenulls=True).over(order)
-    chained = band_rows(nodes, width, threshold, short).select("band", "kind", "node", "m", F.lag("node").over(order).alias("prev"), F.lag("m").over(order).alias("prev_m"), F.lead("node").over(order).alias("next"), whole.alias("whole"))
-    chained = _kept(chained.where("kind = 0 and (prev is not null or next is not null) or kind > 0 and whole <> node").drop("next"), "bands")
+    nodes = lines.groupBy("norm").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "first", "copies", "norm"), "lines")
+    chained = written(chains(nodes, width, threshold), "chains")
     several = chained.where("kind = 0")
-    # a key is all that makes a short set, so these are links already: each to the one line that stands for its set, or for itself less a shingle
-    shorts = chained.where("kind > 0").select(F.col("node").alias("a"), F.col("whole").alias("b")).distinct()
-    there = several.select("node").distinct()
-    candidates = _kept(nodes.select("node", "norm").join(there, "node", "left_semi"), "candidates")
-    pairs = several.where(F.col("prev").isNotNull() & (F.col("prev") != F.col("node")) & _sizes_fit("m", "prev_m", threshold)).select(F.col("node").alias("a"), F.col("prev").alias("b")).distinct()
-    links = _kept(similar(pairs, candidates, width, threshold).union(shorts), "links")
-    roots = _kept(connected_components(links), "roots")
+    # a key is all that makes a small set: each is compared with the one line that stands for its set, or for itself less a shingle
+    shorts = chained.where("kind > 0 and whole <> node").select(F.col("node").alias("a"), F.col("whole").alias("b"))
+    pairs = written(several.where("prev <> node").select(F.greatest("node", "prev").alias("a"), F.least("node", "prev").alias("b")).union(shorts).distinct(), "pairs")
+    there = several.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
+    candidates = written(nodes.select("node", "norm").join(there, "node", "left_semi"), "candidates")
+    links = written(similar(pairs, candidates, width, threshold), "links")
+    roots = connected_components(links)
     # across the components that a bucket still holds
-    labelled = several.select("band", "node", "m").join(roots, "node", "left").select("band", "node", "m", F.coalesce("root", "node").alias("root"))
-    labelled = _kept(labelled, "labelled")
+    labelled = several.select("band", "node").distinct().join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    labelled = written(labelled, "labelled")
     parts = labelled.groupBy("band", "root").count().groupBy("band").agg(F.max_by("root", "count").alias("most"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = _kept(labelled.join(parts.select("band", "most"), "band"), "mixed")
-    left = mixed.where("root <> most").select("band", F.col("node").alias("a"), F.col("m").alias("ma"), F.col("root").alias("ra"))
-    right = mixed.select("band", F.col("node").alias("b"), F.col("m").alias("mb"), F.col("root").alias("rb"), "most")
-    across = left.join(right, "band").where((F.col("ra") != F.col("rb")) & ((F.col("rb") == F.col("most")) | (F.col("a") < F.col("b"))) & _sizes_fit("ma", "mb", threshold))
-    more = similar(across.select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"), candidates, width, threshold)
-    roots = _kept(connected_components(links.union(more)), "roots")
-    named = _kept(nodes.select("node", "key", "first", "copies").join(roots, "node", "left").select("key", "first", "copies", F.coalesce("root", "node").alias("component")), "named")
-    best = _kept(named.groupBy("component").agg(F.min("first").alias("stays"), F.sum("copies").alias("component_size")), "best")
-    member = _kept(named.join(best, "component").select("key", "component", "component_size", "stays"), "members")
-    each = lines.select("id", "line_no", F.md5("norm").alias("key"), place("id").cast("decimal(38,0)").alias("place")).join(member, "key")
+    mixed = labelled.join(parts.select("band", "most"), "band")
+    sketches = sketched(candidates.join(mixed.select("node").distinct(), "node", "left_semi"), width)
+    mixed = written(mixed.join(sketches, "node"), "mixed")
+    named = lambda p: [F.col(c).alias(f"{p}{c}") for c in ("node", "root", "m", *(f"s{i}" for i in range(SKETCH)))]
+    left = mixed.where("root <> most").select("band", *named("a_"))
+    right = mixed.select("band", "most", *named("b_"))
+    fits = (F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("most")) | (F.col("a_node") < F.col("b_node"))) & may_fit("a_", "b_", threshold)
+    across = left.join(right, "band").where(fits).select(F.greatest("a_node", "b_node").alias("a"), F.least("a_node", "b_node").alias("b")).distinct()
+    more = written(similar(across.join(pairs, ["a", "b"], "left_anti"), candidates, width, threshold), "more")
+    if not more.isEmpty():
+        roots = connected_components(links.union(more))
+    # of lines that no other is like, the node itself is the component
+    named = nodes.select("node", "norm", "first", "copies").join(roots, "node", "left").select(F.coalesce("root", "node").alias("component"), "norm", "first", "copies", F.col("root").isNotNull().alias("joined"))
+    schema = pa.schema([("component", pa.int64()), ("key", pa.binary()), ("first", pa.decimal128(38, 0)), ("copies", pa.int64()), ("joined", pa.bool_())])
+
+    def keyed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["component"], pa.array([key_of(x) for x in b["norm"].to_pylist()], pa.binary()), b["first"], b["copies"], b["joined"]], schema=schema)
+
+    named = written(named.mapInArrow(keyed, "component long, key binary, first decimal(38,0), copies long, joined boolean"), "named")
+    best = named.where("joined").groupBy("component").agg(F.min("first").alias("stays"), F.sum("copies").alias("size"))
+    member = named.join(best, "component", "left").select("key", "component", F.coalesce("size", "copies").alias("component_size"), F.coalesce("stays", "first").alias("stays"))
+    each = numbered_lines(docs, id_col, text_col, keyed=True).select("id", "line_no", "key", place.alias("place")).join(member, "key")
     return each.select(F.col("id").alias(id_col), "line_no", "component", "component_size", (F.col("place") == F.col("stays")).alias("kept"))

@@ -215,7 +215,7 @@ def test_lines(docs):
     rows = [r for r in rows if r[2]]
     texts = sorted({r[2] for r in rows})
     sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in texts]
-    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if min(len(a), len(b)) >= 8 and len(a & b) >= 0.8 * len(a | b)]
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a | b and len(a & b) >= 0.8 * len(a | b)]
     root = dict(zip(texts, union_of(len(texts), links)))
     assert links
     place = lambda r: (r[0] if r[0] is not None else math.inf, r[1])
@@ -226,9 +226,59 @@ def test_lines(docs):
     assert multiset((r.doc_id, r.line_no, r.component_size, r.kept) for r in got) == want
 
 
-def test_lines_need_no_python(docs):
-    shown = lines.band_rows(docs.select(F.lit(1).alias("node"), F.col("text").alias("norm")), 5)._jdf.queryExecution().toString()
-    assert not re.search("Python|Arrow|Pandas", shown)
+def test_bands_find_similar_lines():
+    """At least 0.95 of pairs with a similarity just above 0.8 share a band, in each class of sizes and over their borders."""
+    rnd = random.Random(4)
+    shingles = lambda x: {x[i : i + 5] for i in range(len(x) - 4)}
+    for low, high in ((lines.FEW, 20), (20, 60), (60, 90), (90, 240), (240, 330), (330, 1200)):
+        pairs = []
+        while len(pairs) < 150:
+            one = two = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(rnd.randint(low + 4, high + 4)))
+            for _ in range(200):
+                at = rnd.randrange(len(two))
+                two = two[:at] + "".join(rnd.choice("abcdefghij") for _ in range(rnd.choice([0, 1, 4]))) + two[at + rnd.choice([0, 1, 4]) :]
+                alike = len(shingles(one) & shingles(two)) / len(shingles(one) | shingles(two))
+                if alike < 0.85:
+                    break
+            if 0.8 <= alike < 0.85:
+                pairs += [(one, two)]
+        bands, _, of = lines.bands_of([x for p in pairs for x in p], 5, 0.8)
+        by = collections.defaultdict(set)
+        for band, line in zip(bands.tolist(), of.tolist()):
+            by[line].add(band)
+        assert sum(bool(by[2 * i] & by[2 * i + 1]) for i in range(len(pairs))) >= 0.95 * len(pairs), (low, high)
+
+
+def test_sketches_never_pass_over_a_similar_pair(spark):
+    rnd = random.Random(6)
+    base = ["".join(rnd.choice("abcdef ") for _ in range(rnd.randint(1, 300))) for _ in range(60)]
+    said = base + [x[: len(x) * 9 // 10] + rnd.choice(["", "zz", "a longer end"]) for x in base]
+    nodes = spark.createDataFrame(list(enumerate(said)), "node long, norm string")
+    one = lines.sketched(nodes, 5)
+    both = one.select(*(F.col(c).alias(f"a_{c}") for c in one.columns)).crossJoin(one.select(*(F.col(c).alias(f"b_{c}") for c in one.columns)))
+    fits = {(r[0], r[1]) for r in both.where(lines.may_fit("a_", "b_", 0.8)).select("a_node", "b_node").collect()}
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in said]
+    assert [r.m for r in one.orderBy("node").collect()] == [len(x) for x in sets]
+    alike = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets) if len(a & b) >= 0.8 * len(a | b)}
+    assert alike <= fits and len(fits) < len(said) ** 2 // 2
+
+
+def test_hot_bands_are_chained_in_parts(spark):
+    rnd = random.Random(7)
+    base = "".join(rnd.choice("abcdefghij ") for _ in range(120))
+    nodes = spark.createDataFrame([(i, base[:50] + f"{i:05d}" + base[50:]) for i in range(4000)], "node long, norm string")
+    hot = lines.hot_bands(nodes, 5, 0.8, share=4).collect()
+    assert hot and max(r.salts for r in hot) > 1
+    rows = [r for r in lines.chains(nodes, 5, 0.8).collect() if r.kind == 0]
+    by = collections.defaultdict(list)
+    for r in rows:
+        by[r.band].append(r)
+    assert max(map(len, by.values())) >= 3000
+    for found in by.values():  # each bucket is one chain
+        ids = [r.node for r in found]
+        place = {x: i for i, x in enumerate(ids)}
+        assert len(set(ids)) == len(ids) == len({r.node for r in found})
+        assert len(set(union_of(len(ids), [(place[r.node], place[r.prev]) for r in found if r.prev is not None]))) == 1
 
 
 def line_groups(spark, said, **options):
@@ -246,11 +296,6 @@ def test_lines_of_unlike_word_counts_share_bands(spark):
         said += [base, base + " " + " ".join("klmnopqrst"[: n // 16])]
     sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in said]
     assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2]))
-    found = spark.createDataFrame(list(enumerate(said)), "node long, norm string")
-    bands = collections.defaultdict(set)
-    for r in lines.band_rows(found, 5).collect():
-        bands[r.node].add(r.band)
-    assert len(bands[0] & bands[1]) >= 3
     got = line_groups(spark, said)
     assert all(a == b for a, b in zip(got[::2], got[1::2])) and len(set(got)) == len(said) // 2
 
@@ -266,16 +311,16 @@ def test_short_lines_match_by_their_sets(spark):
     said = ["click here", "click here!", "tap", "taps", "x" * 50, "x" * 120, "read more", "read mores", "read more..", "log in", "log in now"]
     said += ["".join(rnd.choice("ab") for _ in range(rnd.randint(3, 15))) for _ in range(150)]
     sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in said]
-    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if said[i] == said[j] or a | b and len(a & b) >= 0.8 * len(a | b) and min(len(a), len(b)) < lines.LEAST_SHINGLES]
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if said[i] == said[j] or a | b and len(a & b) >= 0.8 * len(a | b) and min(len(a), len(b)) < lines.FEW]
     want = union_of(len(said), links)
-    some = [i for i, x in enumerate(sets) if len(x) < lines.LEAST_SHINGLES]
-    got = line_groups(spark, said, short=True)
+    some = [i for i, x in enumerate(sets) if len(x) < lines.FEW]
+    got = line_groups(spark, said)
     assert got[0] == got[1] and got[2] != got[3] and got[4] == got[5]
     assert all(got[a] == got[b] for a, b in links)
     more = union_of(len(said), [*links, *((i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a | b and len(a & b) >= 0.8 * len(a | b))])
     assert all(more[i] == more[j] for i in some for j in some if got[i] == got[j]) and len(set(want)) < len(said)
     with pytest.raises(ValueError):
-        lines.line_components(spark.createDataFrame([(1, "a")], "doc_id long, text string"), threshold=0.7, short=True)
+        lines.line_components(spark.createDataFrame([(1, "a")], "doc_id long, text string"), threshold=0.7)
 
 
 # ---------------------------------------------------------------- quality
