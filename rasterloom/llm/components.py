@@ -23,10 +23,10 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(rounds):
         ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).union(edges.select("b", "a"))
-        least = written(ends.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("least")), "least")
+        least = ends.groupBy("node").agg(F.min("other").alias("least")).select("node", F.least("node", "least").alias("least"))
         large = edges.join(least, F.col("b") == F.col("node")).select("a", F.col("least").alias("b")).distinct()
         large = written(large, "large")
-        least = written(large.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")), "least")
+        least = large.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
         small = large.join(least, F.col("a") == F.col("node"))
         small = small.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).union(least.select("node", "least"))
         edges = written(small.distinct(), "edges")

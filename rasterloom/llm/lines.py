@@ -18,7 +18,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, mix, partitions, rows_of, texts, written
@@ -28,8 +28,9 @@ from .components import connected_components
 FEW = 8
 #: Classes of sets by their number of distinct shingles, ends included; neighbours overlap by the factor that a similarity of 0.8 allows.
 SMALL, MIDDLE, LARGE = (FEW, 80), (64, 320), (256, 1 << 62)
-#: Bands of a line, in each class, and hashes of a band: small sets have as many MinHashes, middle ones four seeds of four parts, large ones sixteen parts.
-BANDS, HASHES, HASHES_LARGE = 16, 6, 7
+#: Hashes of a band. Small sets have BANDS bands of MinHashes, middle ones four seeds of three parts, large ones fourteen parts of one seed.
+HASHES, HASHES_LARGE = 6, 7
+BANDS, SEEDED, PARTS, PARTS_LARGE = 12, 4, 3, 14
 #: Bits of a hash that are sorted below the number of its line.
 LOW = 44
 #: Words of 64 bits in the parity sketch of a set.
@@ -136,14 +137,14 @@ def folded(columns: list[np.ndarray], label: np.ndarray) -> np.ndarray:
     return out
 
 
-def part_bands(keys: np.ndarray, bits: int, size: int, label: int) -> tuple[np.ndarray, np.ndarray]:
-    """(bands, lines): the `size` smallest hashes of each of 2**bits parts of the hash space, where a set has so many there."""
-    part = keys >> U64(LOW - bits)
+def part_bands(keys: np.ndarray, parts: int, size: int, label: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bands, lines): the `size` smallest hashes of each of so many parts of the hash space, where a set has as many there."""
+    low, line = keys & U64((1 << LOW) - 1), keys >> U64(LOW)
+    part = line * U64(parts) + (low * U64(parts) >> U64(LOW))
     first = np.flatnonzero(np.diff(part, prepend=~part[:1]) != 0)
     first = first[np.diff(np.append(first, len(part))) >= size]
-    mask = U64((1 << LOW) - 1)
-    name = (part[first] & U64((1 << bits) - 1)) + U64(label << 8)
-    return folded([keys[first + j] & mask for j in range(size)], name), (keys[first] >> U64(LOW)).astype(np.int64)
+    name = part[first] - line[first] * U64(parts) + U64(label << 8)
+    return folded([low[first + j] for j in range(size)], name), line[first].astype(np.int64)
 
 
 def min_bands(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -173,9 +174,9 @@ def few_keys(norm: str, width: int, threshold: float, most: int) -> list[tuple[i
 def bands_of(norms: list[str], width: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bands, kinds, lines) of some lines; kind 0 are bands of MinHashes."""
     sets = Sets(norms, width)
-    found = [part_bands(sets.of(LARGE), 4, HASHES_LARGE, 0), min_bands(sets.of(SMALL))]
+    found = [part_bands(sets.of(LARGE), PARTS_LARGE, HASHES_LARGE, 0), min_bands(sets.of(SMALL))]
     middle = sets.of(MIDDLE)
-    found += [part_bands(reseeded(middle, s), 2, HASHES, 1 + s) for s in range(4)]
+    found += [part_bands(reseeded(middle, s), PARTS, HASHES, 1 + s) for s in range(SEEDED)]
     most = int((FEW - 1) / threshold)
     keys, kinds, lines = [], [], []
     for i in np.flatnonzero((sets.m >= 1) & (sets.m <= most)).tolist():
@@ -203,18 +204,25 @@ def _norms(batches, chars: int = 1 << 18):
         yield np.array(nodes, np.int64), norms
 
 
-def band_rows(nodes: DataFrame, width: int, threshold: float = 0.8) -> DataFrame:
-    """(band, kind, node) of (node, norm)."""
-    schema = pa.schema([("band", pa.int64()), ("kind", pa.int8()), ("node", pa.int64())])
+def band_rows(nodes: DataFrame, width: int, threshold: float = 0.8, hot: dict[int, int] | None = None) -> DataFrame:
+    """(band, part, kind, node) of (node, norm). hot: into how many parts some bands are dealt by a hash of the line; all others are one part, 0."""
+    schema = pa.schema([("band", pa.int64()), ("part", pa.int16()), ("kind", pa.int8()), ("node", pa.int64())])
+    names = np.array(sorted(hot or ()), np.int64)
+    salts = np.array([hot[x] for x in names.tolist()], np.int64) if hot else names
 
     def run(batches):
         for node, norms in _norms(batches):
             bands, kinds, lines = bands_of(norms, width, threshold)
+            bands, node = bands.view(np.int64), node[lines]
+            part = np.zeros(len(bands), np.int16)
+            if len(names):
+                at = np.minimum(np.searchsorted(names, bands), len(names) - 1)
+                split = names[at] == bands
+                part[split] = 1 + mix(node[split].astype(U64)) % salts[at[split]].astype(U64)
             for at in range(0, len(bands), 50_000):
-                to = at + 50_000
-                yield pa.RecordBatch.from_arrays([pa.array(bands[at:to].view(np.int64)), pa.array(kinds[at:to]), pa.array(node[lines[at:to]])], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in (bands, part, kinds, node)], schema=schema)
 
-    return nodes.select("node", "norm").mapInArrow(run, "band long, kind byte, node long")
+    return nodes.select("node", "norm").mapInArrow(run, "band long, part short, kind byte, node long")
 
 
 def sketched(nodes: DataFrame, width: int) -> DataFrame:
@@ -239,55 +247,136 @@ def may_fit(a: str, b: str, threshold: float) -> Column:
     return differ <= (F.col(f"{a}m") + F.col(f"{b}m")) * F.lit(share) + F.lit(1e-6)
 
 
+def alike(pairs: list[tuple[int, int]], norms: list[str], width: int, threshold: float) -> np.ndarray:
+    """Which pairs of lines, by their places in norms, have sets whose Jaccard similarity reaches the threshold.
+
+    Common shingles are counted by their hashes. Where two shingles of one hash could turn the verdict, the shingles themselves decide.
+    """
+    sets = Sets(norms, width)
+    low = sets.keys & U64((1 << LOW) - 1)
+    firsts = np.cumsum(sets.m) - sets.m
+    one, two = np.array(pairs, np.int64).reshape(-1, 2).T
+    both = np.zeros(len(one), np.int64)
+    ends = np.cumsum(sets.m[one] + sets.m[two])
+    at = 0
+    while at < len(one):  # some pairs at a time
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 19), "right")))
+        keys = []
+        for of in (one[at:to], two[at:to]):
+            size = sets.m[of]
+            where = np.repeat(firsts[of] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            keys.append(np.repeat(np.arange(to - at, dtype=U64) << U64(LOW), size) | low[where])
+        keys = np.concatenate(keys)
+        keys.sort()
+        both[at:to] = np.bincount((keys[1:][keys[1:] == keys[:-1]] >> U64(LOW)).astype(np.int64), minlength=to - at)
+        at = to
+    short = both - threshold * (sets.m[one] + sets.m[two] - both)
+    keep = short >= 0
+    for i in np.flatnonzero(np.abs(short) <= 4).tolist():
+        a, b = ({norms[k][p : p + width] for p in range(len(norms[k]) - width + 1)} for k in (one[i], two[i]))
+        keep[i] = len(a & b) >= threshold * len(a | b)
+    return keep
+
+
 def similar(pairs: DataFrame, nodes: DataFrame, width: int, threshold: float) -> DataFrame:
     """Of (a, b) those whose sets' exact Jaccard similarity reaches the threshold."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
         for batch in batches:
-            sets: dict[int, set] = {}
-            a, b, keep = batch["a"].to_pylist(), batch["b"].to_pylist(), []
-            for i, j, x, y in zip(a, b, batch["x"].to_pylist(), batch["y"].to_pylist()):
-                for k, norm in ((i, x), (j, y)):
-                    if k not in sets:
-                        sets[k] = {norm[p : p + width] for p in range(len(norm) - width + 1)}
-                both = len(sets[i] & sets[j])
-                keep.append(both >= threshold * (len(sets[i]) + len(sets[j]) - both))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], schema=schema).filter(pa.array(keep, pa.bool_()))
+            a, b = batch["a"].to_pylist(), batch["b"].to_pylist()
+            places: dict[int, int] = {}
+            norms, found, held, begin = [], [], 0, 0
+            for i, (x, y) in enumerate(zip(batch["x"].to_pylist(), batch["y"].to_pylist())):
+                for node, norm in ((a[i], x), (b[i], y)):
+                    if node not in places:
+                        places[node] = len(norms)
+                        norms.append(norm)
+                        held += len(norm)
+                found.append((places[a[i]], places[b[i]]))
+                if held > 1 << 18 or i == len(a) - 1:
+                    keep = pa.array(alike(found, norms, width, threshold), pa.bool_())
+                    yield pa.RecordBatch.from_arrays([batch["a"].slice(begin, len(found)), batch["b"].slice(begin, len(found))], schema=schema).filter(keep)
+                    places, norms, found, held, begin = {}, [], [], 0, i + 1
 
     one = nodes.select(F.col("node").alias("a"), F.col("norm").alias("x"))
     two = nodes.select(F.col("node").alias("b"), F.col("norm").alias("y"))
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def hot_bands(nodes: DataFrame, width: int, threshold: float, share: int = 64, least: int = 16) -> DataFrame:
-    """(band, salts): bands that would make a partition uneven, found in a sample of the lines, and into how many parts to deal them.
+def hot_bands(nodes: DataFrame, width: int, threshold: float, share: int = 64, least: int = 16) -> dict[int, int]:
+    """Bands that would make a partition uneven, found in a sample of the lines, and into how many parts to deal them.
 
     A band counts from a sixteenth of a partition's rows on, so there are at most sixteen for each partition.
     """
-    n = partitions(nodes.sparkSession)
     some = band_rows(nodes.where(F.pmod(F.xxhash64("node"), F.lit(share)) == 0), width, threshold).groupBy("band").count().where(F.col("count") >= least)
-    total = nodes.count() * BANDS
-    large = max(1, total // (16 * n))
-    return some.select("band", F.ceil(F.col("count") * share / large).cast("int").alias("salts")).where("salts > 1")
+    large = max(1, nodes.count() * BANDS // (16 * partitions(nodes.sparkSession)))
+    found = some.select("band", F.ceil(F.col("count") * share / large).alias("salts")).where("salts > 1")
+    return {r[0]: min(int(r[1]), 1 << 14) for r in found.collect()}
+
+
+CHAIN = pa.schema([("band", pa.int64()), ("part", pa.int16()), ("kind", pa.int8()), ("node", pa.int64()), ("prev", pa.int64()), ("whole", pa.int64())])
+
+
+def _chain(by_part: bool):
+    """Rows in order of their buckets: each with the one before it in its bucket, and the one that stands for an exact key. Lines alone in a bucket go, but
+    if the bucket is a part of a hot one."""
+
+    def run(batches):
+        last = None  # of what came before, not yet said: it may be alone
+        for batch in batches:
+            if not len(batch):
+                continue
+            band, part, kind, node = (batch[i].to_numpy(zero_copy_only=False) for i in range(4))
+            prev, whole = np.full(len(node), -1), np.full(len(node), -1)
+            if last is not None:
+                band, part, kind, node, prev, whole = (np.concatenate([x, y]) for x, y in zip(last, (band, part, kind, node, prev, whole)))
+            same = np.zeros(len(band) + 1, bool)
+            same[1:-1] = band[1:] == band[:-1]
+            if by_part:
+                same[1:-1] &= part[1:] == part[:-1]
+            going = np.flatnonzero(same[:-1])
+            prev[going] = node[going - 1]
+            first = np.maximum.accumulate(np.where(same[:-1], 0, np.arange(len(band))))
+            stands = np.where((kind == 1) & ~same[:-1] & (prev < 0), node, -1)
+            if last is not None:
+                stands[0] = whole[0]
+            whole = stands[first]
+            keep = same[:-1] | same[1:] | (prev >= 0) | ((part > 0) if by_part else False)
+            keep[-1] = False
+            last = [x[-1:] for x in (band, part, kind, node, prev, whole)]
+            yield from _chained(band, part, kind, node, prev, whole, keep)
+        if last is not None:
+            yield from _chained(*last, (last[4] >= 0) | ((last[1] > 0) if by_part else False))
+
+    return run
+
+
+def _chained(band, part, kind, node, prev, whole, keep):
+    band, part, kind, node, prev, whole = (x[keep] for x in (band, part, kind, node, prev, whole))
+    for at in range(0, len(band), 50_000):
+        to = at + 50_000
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(band[at:to]), pa.array(part[at:to]), pa.array(kind[at:to]), pa.array(node[at:to]), pa.array(prev[at:to], mask=prev[at:to] < 0), pa.array(whole[at:to], mask=whole[at:to] < 0)], schema=CHAIN
+        )
 
 
 def chains(nodes: DataFrame, width: int, threshold: float) -> DataFrame:
     """(band, kind, node, prev, whole): buckets of more than one line; prev is the line before in the bucket, whole the one that stands for an exact key.
 
-    A hot bucket is chained in parts by a hash of the line, and the first lines of its parts once more.
+    A bucket's rows stand together in a partition, sorted (spilling), and go by one after another. A hot bucket is chained in parts, and then the first
+    lines of its parts.
     """
-    hot = written(hot_bands(nodes, width, threshold), "hot")
-    rows = band_rows(nodes, width, threshold).join(F.broadcast(hot), "band", "left")  # at most sixteen for each partition
-    rows = rows.select("band", "kind", "node", F.when(F.col("salts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("salts")).cast("int")).alias("part"), F.col("salts").isNotNull().alias("hot"))
-    order = Window.partitionBy("band", "part").orderBy("kind", "node")
-    whole = F.first(F.when(F.col("kind") == 1, F.col("node")), ignorenulls=True).over(order)
-    found = rows.select("band", "kind", "node", "hot", F.lag("node").over(order).alias("prev"), F.lead("node").over(order).alias("next"), whole.alias("whole"))
-    found = written(found.where("hot or prev is not null or next is not null").drop("next"), "bands")
-    heads = found.where("hot and prev is null")
-    over = Window.partitionBy("band").orderBy("kind", "node")
-    heads = heads.select("band", "kind", "node", F.lag("node").over(over).alias("prev"), F.coalesce(F.first(F.when(F.col("kind") == 1, F.col("node")), ignorenulls=True).over(over), "whole").alias("whole"))
-    return found.where("not (hot and prev is null)").drop("hot").unionByName(heads)
+    n, ddl = partitions(nodes.sparkSession), "band long, part short, kind byte, node long, prev long, whole long"
+    hot = hot_bands(nodes, width, threshold)
+    rows = band_rows(nodes, width, threshold, hot).repartition(n, "band", "part").sortWithinPartitions("band", "part", "kind", "node")
+    found = rows.mapInArrow(_chain(True), ddl)
+    if not hot:
+        return written(found.drop("part"), "chains")
+    found = written(found, "chains")
+    alone = F.col("prev").isNull() & (F.col("part") > 0)
+    heads = found.where(alone).select("band", F.lit(0).cast("short").alias("part"), "kind", "node").repartition(n, "band").sortWithinPartitions("band", "kind", "node")
+    return found.where(~alone).unionByName(heads.mapInArrow(_chain(False), ddl)).drop("part")
 
 
 def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -295,7 +384,7 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Lines are in one component if a chain of lines joins them whose shingle sets have a Jaccard similarity of at least threshold (0.8 or more) each; lines
     of fewer characters than a shingle match equal ones only. Sets of under FEW shingles are matched exactly, others by bands that find a pair at 0.8 with
-    a probability of about 0.97, and more similar ones almost surely.
+    a probability of about 0.96, and more similar ones almost surely.
     A null text has no lines; lines without a word are left alone and have no row; an empty table gives an empty result. Of a component the line with the
     smallest (id, line_no) stays; a null id counts as the largest; rows that repeat an id and its text repeat its lines, and then the copies that stand at
     the kept place all count as it. Other columns of docs, whatever their names, play no part. Components that don't settle in 60 rounds are an error.
@@ -306,7 +395,7 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines = numbered_lines(docs, id_col, text_col)
     nodes = lines.groupBy("norm").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
     nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "first", "copies", "norm"), "lines")
-    chained = written(chains(nodes, width, threshold), "chains")
+    chained = chains(nodes, width, threshold)
     several = chained.where("kind = 0")
     # a key is all that makes a small set: each is compared with the one line that stands for its set, or for itself less a shingle
     shorts = chained.where("kind > 0 and whole <> node").select(F.col("node").alias("a"), F.col("whole").alias("b"))
@@ -314,7 +403,7 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     there = several.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
     candidates = written(nodes.select("node", "norm").join(there, "node", "left_semi"), "candidates")
     links = written(similar(pairs, candidates, width, threshold), "links")
-    roots = connected_components(links)
+    roots = written(connected_components(links), "roots")
     # across the components that a bucket still holds
     labelled = several.select("band", "node").distinct().join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     labelled = written(labelled, "labelled")
@@ -329,7 +418,7 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     across = left.join(right, "band").where(fits).select(F.greatest("a_node", "b_node").alias("a"), F.least("a_node", "b_node").alias("b")).distinct()
     more = written(similar(across.join(pairs, ["a", "b"], "left_anti"), candidates, width, threshold), "more")
     if not more.isEmpty():
-        roots = connected_components(links.union(more))
+        roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     # of lines that no other is like, the node itself is the component
     named = nodes.select("node", "norm", "first", "copies").join(roots, "node", "left").select(F.coalesce("root", "node").alias("component"), "norm", "first", "copies", F.col("root").isNotNull().alias("joined"))
     schema = pa.schema([("component", pa.int64()), ("key", pa.binary()), ("first", pa.decimal128(38, 0)), ("copies", pa.int64()), ("joined", pa.bool_())])
