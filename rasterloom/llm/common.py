@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def own(df: DataFrame) -> Callable[[str], str]:
+    """Names for columns of an operator's own that no column of df can clash with."""
+    prefix = "own_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return lambda name: prefix + name
+
+
 def texts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """(id long, text string without nulls) and the columns named in more, whatever else docs holds."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *(F.col(f"`{m}`").alias(f"x_{m}") for m in more))
@@ -141,21 +150,43 @@ class Rolling:
 
 BYTES = Rolling(0x5851F42D4C957F2D, 11)
 WORDS = Rolling(0x2545F4914F6CDD1D, 12)
-WORDS_AGAIN = Rolling(0x9E3779B97F4A7C15, 13)
 
 
-def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the words of these bytes start and end."""
-    white = np.ones(len(buf) + 2, bool)
-    white[1:-1] = IS_WHITE[buf]
-    turns = np.flatnonzero(white[1:] != white[:-1])
-    return turns[::2], turns[1::2]
+def digests(said: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of a 128-bit cryptographic digest of each: nobody can make two that are equal but for what they are digests of."""
+    halves = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in said]), U64).reshape(-1, 2)
+    return halves[:, 0].copy(), halves[:, 1].copy()
+
+
+class Numbers(dict):
+    """The number of each word, in the order in which they are first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+def numbered_words(said: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Which of the distinct words each word of some documents in a row is; the distinct words; how many words each document has."""
+    numbers, counts = Numbers(), []
+    of: list[int] = []
+    for text in said:
+        words = text.split()
+        of += map(numbers.__getitem__, words)
+        counts.append(len(words))
+    return np.array(of, np.int64), list(numbers), np.array(counts, np.int64)
 
 
-def word_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, and a 64-bit hash of each."""
-    starts, ends = word_spans(buf)
-    return starts, ends, BYTES.slices(BYTES.sums(BYTES.values[buf]), starts, ends)
+def paired(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct (first, second), how often each is there, and which of them each input is."""
+    order = np.lexsort((second, first))
+    f, s = first[order], second[order]
+    new = np.ones(len(f), bool)
+    new[1:] = (f[1:] != f[:-1]) | (s[1:] != s[:-1])
+    at = np.flatnonzero(new)
+    where = np.empty(len(f), np.int64)
+    where[order] = np.cumsum(new) - 1
+    return f[at], s[at], np.diff(np.append(at, len(f))), where
 
 
 class Recent:

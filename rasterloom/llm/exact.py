@@ -5,16 +5,21 @@ however many copies the task has. In the second, those distinct texts are dealt
 byte strings into a trie again: the terminal node owns the group. No group's rows ever meet in one task, only one representative per task of
 the first round does.
 
-A trie that outgrows its memory spills by subtree: the largest subtree below the first branching goes to a temporary file of the task (removed
-at once from the folder, as sort spills are), later keys that lead there are appended, and each file is worked off afterwards in a trie of its own.
+A trie that outgrows its memory spills by subtree: from the top down to where no child has over half of all, then the largest subtrees there go to
+temporary files of the task (removed at once from the folder, as sort spills are) until half of the memory is free; a chain of texts that each begin the
+next is so cut at its middle. Later keys that lead there are appended, and each file is worked off afterwards, one after another, in a trie of its own; one
+that is far larger than the memory is dealt into parts by hash first.
 """
 
 from __future__ import annotations
 
 import hashlib
 import marshal
+import os
+import shutil
 import struct
 import tempfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .common import partitions, rows_of, texts, written
+from .common import own, partitions, rows_of, texts, written
 
-#: What a node costs besides the bytes of its label, roughly.
-NODE_BYTES = 400
+#: What a node costs besides the bytes of its label, and a value, roughly.
+NODE_BYTES, VALUE_BYTES = 400, 60
+#: Copies of a text that a task of the first round gathers in a row; it sends the text once for each so many.
+MOST_COPIES = 1 << 16
 
 
 class Node:
@@ -52,10 +59,15 @@ def common_prefix(a: bytes, b: bytes, at: int) -> int:
 
 
 class PatriciaTrie:
-    """Full byte strings in a compressed radix trie; each terminal node holds the values inserted with its string."""
+    """Full byte strings in a compressed radix trie; each terminal node holds the values inserted with its string.
 
-    def __init__(self, memory_bytes: int):
-        self.memory_bytes, self.bytes, self.root, self.spills = memory_bytes, 0, Node(b""), 0
+    most: a node that has so many values gives them to `full` and starts anew.
+    """
+
+    def __init__(self, memory_bytes: int, most: int | None = None):
+        self.memory_bytes, self.most, self.bytes, self.root, self.spills = memory_bytes, most, 0, Node(b""), 0
+        self.full: list[tuple[bytes, list]] = []
+        self.limit, self.deals = memory_bytes, 0
 
     def insert(self, key: bytes, value) -> None:
         node, at, n = self.root, 0, len(key)
@@ -67,14 +79,17 @@ class PatriciaTrie:
                 if node.values is None:
                     node.values = []
                 node.values.append(value)
+                self._grow(VALUE_BYTES)
+                if len(node.values) == self.most:
+                    self.full.append((key, node.values))
+                    self.bytes -= self.most * VALUE_BYTES
+                    node.values = []
                 return
             child = node.below.get(key[at])
             if child is None:
                 child = node.below[key[at]] = Node(key[at:])
                 child.values = [value]
-                self.bytes += n - at + NODE_BYTES
-                if self.bytes > self.memory_bytes:
-                    self._spill()
+                self._grow(n - at + NODE_BYTES + VALUE_BYTES)
                 return
             label = child.label
             if key.startswith(label, at):
@@ -88,6 +103,12 @@ class PatriciaTrie:
             self.bytes += NODE_BYTES
             node, at = fork, at + k
 
+    def _grow(self, more: int) -> None:
+        self.bytes += more
+        if self.bytes > self.limit:
+            self._spill()
+            self.limit = max(self.memory_bytes, self.bytes * 3 // 2)  # what can't spill, such as a path of open nodes, is not gone through again and again
+
     @staticmethod
     def _append(node: Node, key: bytes, values: list) -> None:
         packed = marshal.dumps(values)
@@ -95,25 +116,36 @@ class PatriciaTrie:
         node.file.write(key)
         node.file.write(packed)
 
+    def _sizes(self) -> dict[int, int]:
+        """By id() of each node, what it and all below it hold."""
+        sizes: dict[int, int] = {}
+        for node in reversed(list(self._nodes(self.root))):  # children before their parents
+            sizes[id(node)] = len(node.label) + NODE_BYTES + VALUE_BYTES * len(node.values or ()) + sum(sizes[id(x)] for x in node.below.values())
+        return sizes
+
     def _spill(self) -> None:
-        """The largest subtree below the first branching goes to a file."""
-        node, path = self.root, b""
-        while len(node.below) == 1 and node.values is None:
-            node = next(iter(node.below.values()))
+        """The largest subtrees under the lowest node that has over half of all go to files, until half of the memory is free."""
+        sizes = self._sizes()
+        self.bytes, node, path = sizes[id(self.root)], self.root, b""
+        half = self.bytes // 2
+        open_below = lambda: sorted((x for x in node.below.values() if x.file is None), key=lambda x: -sizes[id(x)])
+        while (found := open_below()) and sizes[id(found[0])] > half and any(x.file is None for x in found[0].below.values()):
+            node = found[0]
             path += node.label
-            if node.file is not None:
-                return
-        sizes = {b: sum(len(x.label) + NODE_BYTES for x in self._nodes(child)) for b, child in node.below.items() if child.file is None}
-        if not sizes:
-            return
-        largest = max(sizes, key=sizes.get)
-        old = node.below[largest]
-        new = node.below[largest] = Node(old.label)
-        new.file = tempfile.TemporaryFile()
-        for key, values in self._walk(old, path):
-            self._append(new, key, values)
-        self.bytes -= sizes[largest]
-        self.spills += 1
+        for old in found:
+            if self.bytes <= half:
+                break
+            new = node.below[old.label[0]] = Node(old.label)
+            new.file = tempfile.TemporaryFile()
+            for key, values, file in self._walk(old, path):
+                if file is not None:
+                    file.seek(0)
+                    shutil.copyfileobj(file, new.file)
+                    file.close()
+                elif values:
+                    self._append(new, key, values)
+            self.bytes -= sizes[id(old)] - NODE_BYTES - len(old.label)
+            self.spills += 1
 
     @staticmethod
     def _nodes(top: Node) -> Iterator[Node]:
@@ -124,32 +156,63 @@ class PatriciaTrie:
             stack.extend(node.below.values())
 
     @staticmethod
-    def _walk(top: Node, path: bytes, files: list | None = None) -> Iterator[tuple[bytes, list]]:
+    def _walk(top: Node, path: bytes) -> Iterator[tuple[bytes, list | None, object]]:
+        """(string, values, file) of each terminal node and each spilled subtree."""
         stack = [(top, path)]
         while stack:
             node, before = stack.pop()
             key = before + node.label
-            if node.file is not None:
-                files.append(node.file)
-            if node.values is not None:
-                yield key, node.values
+            if node.file is not None or node.values is not None:
+                yield key, node.values, node.file
             stack.extend((x, key) for x in node.below.values())
 
     def terminals(self) -> Iterator[tuple[bytes, list]]:
-        """Every distinct string once, with all its values; then those of the spilled subtrees, one trie after another."""
+        """Every distinct string with its values, once (or once for each `most` of them); spilled subtrees follow, one trie after another."""
+        tries: list[PatriciaTrie] = [self]
         files: list = []
-        yield from self._walk(self.root, b"", files)
-        self.root = Node(b"")
-        for file in files:
-            file.seek(0)
-            deeper = PatriciaTrie(self.memory_bytes)
-            while head := file.read(16):
-                n, m = struct.unpack("<QQ", head)
-                key = file.read(n)
-                for value in marshal.loads(file.read(m)):
-                    deeper.insert(key, value)
-            file.close()
-            yield from deeper.terminals()
+        while tries or files:
+            if not tries:
+                file, may_deal = files.pop()
+                size = file.seek(0, os.SEEK_END)
+                if may_deal and size > 4 * self.memory_bytes:
+                    files += [(x, x.tell() <= size // 2) for x in self._dealt(file)]  # what doesn't part is copies of few texts: no load for a trie
+                    continue
+                deeper = PatriciaTrie(self.memory_bytes, self.most)
+                for key, values in self._entries(file):
+                    for value in values:
+                        deeper.insert(key, value)
+                    yield from deeper.drained()
+                tries.append(deeper)
+            trie = tries.pop()
+            yield from trie.drained()
+            for key, values, file in self._walk(trie.root, b""):
+                if file is not None:
+                    files.append((file, True))
+                elif values:
+                    yield key, values
+            trie.root = Node(b"")
+
+    @staticmethod
+    def _entries(file) -> Iterator[tuple[bytes, list]]:
+        file.seek(0)
+        while head := file.read(16):
+            n, m = struct.unpack("<QQ", head)
+            yield file.read(n), marshal.loads(file.read(m))
+        file.close()
+
+    def _dealt(self, file, parts: int = 16) -> list:
+        """A subtree far too large for a trie in parts by a hash of the string, so that a long chain of texts is not written again for every few of them."""
+        out = [Node(b"") for _ in range(parts)]
+        for node in out:
+            node.file = tempfile.TemporaryFile()
+        self.deals += 1
+        for key, values in self._entries(file):
+            self._append(out[zlib.crc32(key, self.deals) % parts], key, values)
+        return [node.file for node in out]
+
+    def drained(self) -> Iterator[tuple[bytes, list]]:
+        while self.full:
+            yield self.full.pop()
 
 
 def _better(keep: str):
@@ -174,12 +237,17 @@ def _local(memory_bytes: int, keep: str):
     better = _better(keep)
 
     def run(batches):
-        trie = PatriciaTrie(memory_bytes)
-        for chunk in rows_of(batches):
-            for doc, text in chunk:
-                trie.insert(text, doc)
+        trie = PatriciaTrie(memory_bytes, MOST_COPIES)
         out, held, rep = [], 0, TaskContext.get().partitionId() << 40
-        for text, ids in trie.terminals():
+
+        def found():
+            for chunk in rows_of(batches):
+                for doc, text in chunk:
+                    trie.insert(text, doc)
+                yield from trie.drained()
+            yield from trie.terminals()
+
+        for text, ids in found():
             best = (ids[0], 0)
             for i, doc in enumerate(ids):
                 if better((doc, i), best):
@@ -187,7 +255,7 @@ def _local(memory_bytes: int, keep: str):
             ids[0], ids[best[1]] = ids[best[1]], ids[0]  # the one that may stay comes first
             sha = hashlib.sha256(text).hexdigest()
             out.append((rep, len(text), int.from_bytes(bytes.fromhex(sha[:16]), "big", signed=True), sha, text, ids, best[0], len(ids)))
-            rep, held = rep + 1, held + len(text)
+            rep, held = rep + 1, held + len(text) + 8 * len(ids)
             if held > 4 << 20:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
                 out, held = [], 0
@@ -241,8 +309,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def exact_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """The rows of docs that stay, with their columns: one for each distinct text. Of rows that repeat id and text, one stays."""
-    stays = exact_dedup(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha"))
-    tagged = docs.withColumn("_text_sha", F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"), 256))
-    found = tagged.join(stays, F.col(f"`{id_col}`").eqNullSafe(F.col("_id")) & (F.col("_text_sha") == F.col("_sha")), "left_semi")
-    one = F.row_number().over(Window.partitionBy(f"`{id_col}`", "_text_sha").orderBy("_text_sha"))
-    return found.withColumn("_one", one).where("_one = 1").select(*(F.col(f"`{c}`") for c in docs.columns))
+    o = own(docs)
+    stays = exact_dedup(docs, id_col, text_col, keep).where("kept").select(F.col(f"`{id_col}`").alias(o("id")), F.col("text_sha256").alias(o("sha")))
+    tagged = docs.withColumn(o("of"), F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary"), 256))
+    found = tagged.join(stays, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(o("id"))) & (F.col(o("of")) == F.col(o("sha"))), "left_semi")
+    one = F.row_number().over(Window.partitionBy(f"`{id_col}`", o("of")).orderBy(o("of")))
+    return found.withColumn(o("one"), one).where(F.col(o("one")) == 1).select(*(F.col(f"`{c}`") for c in docs.columns))

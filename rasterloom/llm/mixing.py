@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import own
+
 #: Cells that a call may have at most; more named categories than that need a coarser grouping.
 MOST_CELLS = 1 << 18
 OTHER = "other"
@@ -91,11 +93,21 @@ def mixing_weights(docs: DataFrame, targets: Targets, budget: float, seed: int =
     """docs with n_tokens, source_key, language_key, topic_key, weight (probability over budget), probability and sampled, each name after `prefix`.
 
     A null text has no tokens; null or unnamed categories count as "other"; documents of cells without tokens have the budget as their probability. Ties do
-    not arise: rows with one id share their uniform number, and a repeated row is sampled or left with its twin. An empty table gives an empty result.
+    not arise: rows with one id share their uniform number, and a repeated row is sampled or left with its twin. An empty table gives an empty result. A column of docs that
+    has one of these names already is kept under its name and "_of_row".
     """
     if not 0 < budget <= 1:
         raise ValueError("budget is a share of the tokens")
     c = {n: f"{prefix}{n}" for n in ("n_tokens", "source_key", "language_key", "topic_key", "weight", "probability", "sampled")}
+    mine, before = {x.lower() for x in c.values()}, {x.lower() for x in docs.columns}
+    for name in [x for x in docs.columns if x.lower() in mine]:
+        other = f"{name}_of_row"
+        while other.lower() in mine | before:
+            other += "_"
+        docs = docs.withColumnRenamed(name, other)
+        before.add(other.lower())
+        id_col, text_col, source_col, lang_col = (other if x == name else x for x in (id_col, text_col, source_col, lang_col))
+    o = own(docs)
     counted = docs.withColumn(c["n_tokens"], word_count(text_col))
     form = topic if topic is not None else form_topic(F.col(f"`{c['n_tokens']}`"))
     keyed = counted.withColumns({c["source_key"]: _key(F.col(f"`{source_col}`"), targets.source), c["language_key"]: _key(F.col(f"`{lang_col}`"), targets.language), c["topic_key"]: _key(form, targets.topic)})
@@ -103,16 +115,17 @@ def mixing_weights(docs: DataFrame, targets: Targets, budget: float, seed: int =
     cells = [tuple(r) for r in keyed.groupBy(*names).agg(F.sum(c["n_tokens"])).collect()]  # at most MOST_CELLS
     p = raked(cells, targets, budget)
     if cells:
-        rates = docs.sparkSession.createDataFrame([(*x[:3], float(y)) for x, y in zip(cells, p)], "_s string, _l string, _t string, _p double")
-        keyed = keyed.join(F.broadcast(rates), (F.col(names[0]) == F.col("_s")) & (F.col(names[1]) == F.col("_l")) & (F.col(names[2]) == F.col("_t")), "left")
+        rates = docs.sparkSession.createDataFrame([(*x[:3], float(y)) for x, y in zip(cells, p)], f"{o('s')} string, {o('l')} string, {o('t')} string, {o('p')} double")
+        keyed = keyed.join(F.broadcast(rates), (F.col(names[0]) == F.col(o("s"))) & (F.col(names[1]) == F.col(o("l"))) & (F.col(names[2]) == F.col(o("t"))), "left")
     else:
-        keyed = keyed.withColumn("_p", F.lit(float(budget)))
+        keyed = keyed.withColumn(o("p"), F.lit(float(budget)))
     even = F.pmod(F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    out = keyed.withColumns({c["weight"]: F.col("_p") / budget, c["probability"]: F.col("_p"), c["sampled"]: even < F.col("_p")})
+    out = keyed.withColumns({c["weight"]: F.col(o("p")) / budget, c["probability"]: F.col(o("p")), c["sampled"]: even < F.col(o("p"))})
     return out.select(*(F.col(f"`{x}`") for x in [*docs.columns, *c.values()]))
 
 
 def mixing_sample(docs: DataFrame, targets: Targets, budget: float, **options) -> DataFrame:
     """The sampled rows of docs, with their columns."""
-    found = mixing_weights(docs, targets, budget, prefix="_mixing_", **options)
-    return found.where("_mixing_sampled").select(*(F.col(f"`{c}`") for c in docs.columns))
+    o = own(docs)
+    found = mixing_weights(docs, targets, budget, prefix=o("mixing_"), **options)
+    return found.where(F.col(o("mixing_sampled"))).select(*(F.col(f"`{c}`") for c in docs.columns))
