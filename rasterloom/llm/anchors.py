@@ -3,7 +3,8 @@
 Every document is cut into non-overlapping blocks of words, the anchors; a repeated window of w words holds at least one whole anchor of its own document
 if an anchor has (w + 1) // 2 words. The anchors of all documents are the index; every rolling window of an anchor's length is a probe. An anchor that a
 probe from anywhere else hits is extended: each window of w words around it is looked up among all the windows around hits, and runs of windows that
-are there twice are the maximal exact repeats. Keys go as sorted differences of 48 bits to the index; the windows that decide go with 96 bits.
+are there twice are the maximal exact repeats. Anchors and probes meet by 48 bits of a rolling hash over digests of their words, where a mistaken hit only
+costs another look. What decides are 128-bit cryptographic digests of the words of a window, taken from the text itself.
 """
 
 from __future__ import annotations
@@ -15,28 +16,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import blocks as B
-from .common import U64, WORDS, WORDS_AGAIN, partitions, word_hashes
+from .common import U64, WORDS, digests, numbered_words, paired, partitions
 
 
 class Words:
     """The words of some documents in a row, hashed; where each document's begin."""
 
     def __init__(self, said: list[bytes]):
-        buf = np.frombuffer(b"\n".join(said), np.uint8)
-        starts, _, self.hashes = word_hashes(buf)
-        offsets = np.cumsum([0] + [len(t) + 1 for t in said])
-        self.firsts = np.searchsorted(starts, offsets)
-        self.counts = np.diff(self.firsts)
+        of, words, self.counts = numbered_words(said)
+        self.hashes = digests(words)[0][of]
+        self.line = b" ".join([x for t in said for x in t.split()])
+        sizes = np.array([len(x) for x in words], np.int64)[of]
+        self.ends = np.cumsum(sizes + 1) - 1
+        self.begins = self.ends - sizes
+        self.firsts = np.concatenate([[0], np.cumsum(self.counts)])
         self.left = np.repeat(self.firsts[1:], self.counts) - np.arange(len(self.hashes))  # words to the document's end, this one included
         self.at = np.arange(len(self.hashes)) - np.repeat(self.firsts[:-1], self.counts)
 
-    def windows(self, rolling, width: int, where: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Starts of the windows within documents, and their hashes."""
+    def exactly(self, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Digests of the windows that start there, each of its words joined by one space."""
+        line = self.line
+        return digests([line[a:b] for a, b in zip(self.begins[starts].tolist(), self.ends[starts + width - 1].tolist())])
+
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the windows within documents, and their rolling hashes."""
         starts = np.flatnonzero(self.left >= width)
-        if where is not None:
-            starts = starts[where[starts]]
-        sums = rolling.sums(self.hashes)
-        return starts, rolling.slices(sums, starts, starts + width)
+        return starts, WORDS.slices(WORDS.sums(self.hashes), starts, starts + width)
 
 
 def _anchors(width: int, n: int):
@@ -46,7 +51,7 @@ def _anchors(width: int, n: int):
         probes, anchors = [], []
         for _, said in parts:
             words = Words(said)
-            starts, keys = words.windows(WORDS, width)
+            starts, keys = words.windows(width)
             keys = B.shorten(keys)
             probes.append(keys)
             anchors.append(keys[words.at[starts] % width == 0])
@@ -99,21 +104,8 @@ def _around(words: Words, hits: np.ndarray, anchor: int, width: int) -> tuple[np
     np.add.at(turn, np.maximum(found - (width - anchor), found - words.at[found]), 1)
     np.add.at(turn, found + 1, -1)
     where = np.cumsum(turn[:-1]) > 0
-    at, first = words.windows(WORDS, width, where)
-    _, second = words.windows(WORDS_AGAIN, width, where)
-    return at, first, (second >> U64(32)).astype(np.uint32)
-
-
-def _pairs(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct (first, second), whether each is there more than once, and where each input went."""
-    order = np.lexsort((second, first))
-    f, s = first[order], second[order]
-    new = np.ones(len(f), bool)
-    new[1:] = (f[1:] != f[:-1]) | (s[1:] != s[:-1])
-    at = np.flatnonzero(new)
-    where = np.empty(len(f), np.int64)
-    where[order] = np.cumsum(new) - 1
-    return f[at], s[at], np.diff(np.append(at, len(f))) > 1, where
+    at = np.flatnonzero((words.left >= width) & where)
+    return at, *words.exactly(at, width)
 
 
 def _windows(anchor: int, width: int, n: int):
@@ -123,12 +115,12 @@ def _windows(anchor: int, width: int, n: int):
         words = [Words(said) for _, said in parts]
         hits = _read_hits(words, anchor, n, heard)
         found = [_around(w, hits, anchor, width)[1:] for w in words]
-        first, second, twice, _ = _pairs(np.concatenate([f for f, _ in found]), np.concatenate([s for _, s in found]))
+        first, second, times, _ = paired(np.concatenate([f for f, _ in found]), np.concatenate([s for _, s in found]))
         cuts = B.bucket_cuts(first, n)
         for i in range(n):
             a, b = cuts[i], cuts[i + 1]
             if b > a:
-                yield i, 1, (first[a:b], second[a:b], B.bits(twice[a:b]))
+                yield i, 1, (first[a:b], second[a:b], B.bits(times[a:b] > 1))
 
     return ask
 
@@ -136,7 +128,8 @@ def _windows(anchor: int, width: int, n: int):
 def _repeated(said):
     """Which windows are there twice in all."""
     sizes = [len(d[0]) for _, d in said]
-    _, _, several, where = _pairs(np.concatenate([d[0] for _, d in said]), np.concatenate([d[1] for _, d in said]))
+    _, _, times, where = paired(np.concatenate([d[0] for _, d in said]), np.concatenate([d[1] for _, d in said]))
+    several = times > 1
     twice = np.concatenate([B.flags(d[2], k) for (_, d), k in zip(said, sizes)])
     several[where[twice]] = True
     at = 0
@@ -150,7 +143,7 @@ def _removal(anchor: int, width: int, n: int, whole: bool):
         held = [(ids, said, Words(said)) for ids, said in parts]
         hits = _read_hits([w for _, _, w in held], anchor, n, heard)
         around = [_around(w, hits, anchor, width) for _, _, w in held]
-        first, _, _, where = _pairs(np.concatenate([a[1] for a in around]), np.concatenate([a[2] for a in around]))
+        first, _, _, where = paired(np.concatenate([a[1] for a in around]), np.concatenate([a[2] for a in around]))
         cuts = B.bucket_cuts(first, n)
         again = np.zeros(len(first), bool)
         for i, data in heard.get(1, {}).items():
@@ -183,7 +176,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     A word goes if it lies in a window of `width` words whose sequence also starts anywhere else, in this document or another; first copies go too. A null
     text has no words; shorter texts than a window keep all. Repeated rows are documents each, so their windows repeat. Words are cut at ASCII white space
-    and compared byte by byte, by hashes of 96 bits.
+    and windows compared by 128-bit cryptographic digests of their bytes. An empty table gives an empty result; other columns play no part.
     """
     n, anchor = partitions(docs.sparkSession), (width + 1) // 2
     fields = [(id_col, pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]

@@ -2,10 +2,10 @@
 
 A byte is eight binary decisions, each in the context of the bits already read of it and of up to `depth` bytes before. Every node of the context tree
 has a Krichevsky-Trofimov estimate of its bits; going up, a node's probability is the mean of its own estimate and the product of its children's, so
-that all depths mix by how well they did on the training texts. A tree of DEPTH bytes has at most 256**DEPTH contexts, whatever the corpus: its counts are summed up
-over the cluster and its weights computed once; each text then costs one look-up per byte. Deeper trees grow with the corpus and stay on the cluster (deep.py). A text's code length per byte is -score * log2(10) / bytes.
+that all depths mix by how well they did on the training texts. The tree grows with the corpus and stays on the cluster (deep.py): blocks of documents
+send their contexts to buckets and are told the probability of each. A text's code length per byte is -score * log2(10) / bytes.
 
-Beside it the unigram base score, whose vocabulary is not bounded: counts of words are summed up in buckets by hash, and each block of documents is
+Beside it the unigram base score, whose vocabulary is not bounded: counts of words are summed up in buckets by digest, and each block of documents is
 told those of its own words.
 """
 
@@ -22,17 +22,13 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import deep
-from .common import U64, _remove, partitions, rows_of, texts, word_hashes, written
-from .deep import EDGE, kt
+from .common import U64, digests, numbered_words, paired, partitions, rows_of, texts, written
 from .simhash import LOWER
 
-#: Bytes of context up to which the tree is held whole: 256**2 contexts of 255 nodes are the bound of what the driver and each worker hold. EDGE never
-#: occurs in UTF-8: it stands before the first byte of a text, and is the symbol that ends it.
-DEPTH = 2
 #: A bucket of a deeper tree goes through its contexts in so many ranges, one at a time.
 RANGES = 2
-#: The hash of the end token.
-END = np.array([0x5EED5EED5EED5EED], U64)
+#: The digest of the end token: of a space, which no word is.
+END = np.concatenate(digests([b" "]))
 
 
 def held_out(ident, folds: int = 7, fold: int = 2) -> bool:
@@ -40,166 +36,19 @@ def held_out(ident, folds: int = 7, fold: int = 2) -> bool:
     return zlib.crc32(b"" if ident is None else str(ident).encode()) % folds == fold
 
 
-# ---------------------------------------------------------------- the tree
-
-
-class ContextTree:
-    """rows[two bytes]: which row of table, log10 P(byte), is theirs: that of the pair, of its last byte, or the root's, as far down as training has seen."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        byte, counts = codes & 255, counts.astype(float)
-        levels = []
-        for depth in range(DEPTH + 1):
-            contexts, of = np.unique(codes >> 8 & (256**depth - 1), return_inverse=True)
-            zeros, ones = np.zeros((len(contexts), 256)), np.zeros((len(contexts), 256))
-            for bit in range(8):
-                node = 1 << bit | byte >> (8 - bit)
-                one = (byte >> (7 - bit) & 1).astype(bool)
-                np.add.at(zeros, (of[~one], node[~one]), counts[~one])
-                np.add.at(ones, (of[one], node[one]), counts[one])
-            levels.append((contexts, zeros, ones))
-        # from the leaves up: log probability of all that a node saw, mixed over the depths below it
-        below = None
-        share = [None] * (DEPTH + 1)
-        for depth in range(DEPTH, -1, -1):
-            contexts, zeros, ones = levels[depth]
-            own = kt(zeros, ones)
-            if below is None:
-                mixed, share[depth] = own, np.ones_like(own)
-            else:
-                lower, values = below
-                product = np.zeros_like(own)
-                np.add.at(product, np.searchsorted(contexts, lower & (256**depth - 1)), values)
-                mixed = math.log(0.5) + np.logaddexp(own, product)
-                share[depth] = np.exp(math.log(0.5) + own - mixed)
-            below = contexts, mixed
-        found = [(contexts, (ones + 0.5) / (zeros + ones + 1), s) for (contexts, zeros, ones), s in zip(levels, share)]
-        self.rows = np.zeros(256**DEPTH, np.int32)
-        self.table = np.concatenate(self._predict(found)).astype(np.float32)
-
-    def _predict(self, found: list) -> list[np.ndarray]:
-        """log10 P(byte) for the root, each byte seen before and each pair of bytes seen before; a depth that was not seen predicts one half per bit."""
-        bits = np.arange(256)
-        path = [(1 << b | bits >> (8 - b), (bits >> (7 - b) & 1).astype(bool)) for b in range(8)]
-
-        def logs(one: np.ndarray) -> np.ndarray:
-            out = np.zeros((len(one), 256))
-            for node, is_one in path:
-                out += np.log10(np.where(is_one, one[:, node], 1 - one[:, node]))
-            return out
-
-        # a node's chance of a one: its share goes to its own estimate, the rest to the node one byte deeper
-        (_, p0, s0), (c1, p1, s1), (c2, p2, _) = found
-        at = np.searchsorted(c1, c2 & 255)
-        alone, with_two = s1 * p1 + (1 - s1) * 0.5, s1[at] * p1[at] + (1 - s1[at]) * p2
-        last = np.arange(256**DEPTH) & 255
-        at = np.minimum(np.searchsorted(c1, last), len(c1) - 1)
-        self.rows = np.where(c1[at] == last, 1 + at, 0).astype(np.int32)
-        self.rows[c2] = 1 + len(c1) + np.arange(len(c2))
-        return [logs(s0 * p0 + (1 - s0) * deeper) for deeper in (np.full((1, 256), 0.5), alone, with_two)]
-
-    def scores(self, codes: np.ndarray) -> np.ndarray:
-        """log10 P of each coded place."""
-        return self.table[self.rows[codes >> 8], codes & 255]
-
-
 # ---------------------------------------------------------------- over the corpus
 
 
-def _tokens(said: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of some documents, and where each document's begin."""
-    buf = np.frombuffer(b"\n".join(said).translate(LOWER), np.uint8)
-    starts, _, hashes = word_hashes(buf)
-    return hashes, np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in said]))
-
-
-def _gram_codes(said: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all places of some documents, each with an end, and where each document's begin."""
-    edge = bytes([EDGE])
-    buf = np.frombuffer(edge * DEPTH + (edge * DEPTH).join([t + edge for t in said]) if said else b"", np.uint8).astype(np.int32)
-    codes = buf[:-2] << 16 | buf[1:-1] << 8 | buf[2:]
-    sizes = np.array([len(t) + 1 for t in said])
-    firsts = np.cumsum(sizes + DEPTH) - sizes - DEPTH
-    return codes, firsts
-
-
-def _count(n: int, folds: int, fold: int):
-    """Per block: how often its training documents have each of its words; kind 1: and each place's code."""
-
-    def ask(parts, _):
-        total = np.zeros(1 << 24, np.uint32)
-        keys, counts = [], []
-        for ids, said in parts:
-            train = [not held_out(i, folds, fold) for i in ids]
-            hashes, firsts = _tokens(said)
-            weight = np.repeat(train, np.diff(firsts)).astype(np.int64)
-            k, of = np.unique(hashes, return_inverse=True)
-            keys.append(k)
-            counts.append(np.bincount(of, weight, len(k)).astype(np.int64))
-            keys.append(END)
-            counts.append(np.array([sum(train)]))
-            learn = [t for t, x in zip(said, train) if x]
-            if learn:
-                codes, firsts = _gram_codes(learn)
-                sizes = np.array([len(t) + 1 for t in learn])
-                inside = np.repeat(firsts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-                code, times = np.unique(codes[inside], return_counts=True)
-                total[code] += times.astype(np.uint32)
-        keys, of = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.bincount(of, np.concatenate(counts), len(keys)).astype(np.int64)
-        cuts = B.bucket_cuts(keys, n)
-        codes = np.flatnonzero(total)
-        share = np.searchsorted(codes, [(i << 24) // n for i in range(n + 1)])
-        for i in range(n):
-            a, b, c, d = cuts[i], cuts[i + 1], share[i], share[i + 1]
-            if b > a or d > c:
-                yield i, 0, (keys[a:b], counts[a:b], codes[c:d].astype(np.int32), total[codes[c:d]])
-
-    return ask
-
-
-def _sum(said):
-    """To each block the counts of its words in all training documents; to block -1 (tokens, types, codes and their counts)."""
-    keys = np.concatenate([d[0] for _, d in said])
-    once, of = np.unique(keys, return_inverse=True)
-    counts = np.bincount(of, np.concatenate([d[1] for _, d in said]), len(once)).astype(np.int64)
-    back = counts[of]
-    at = 0
-    for block, d in said:
-        yield block, 0, back[at : at + len(d[0])].astype(np.uint32 if not len(counts) or counts.max() < 1 << 32 else np.int64)
-        at += len(d[0])
-    codes, of = np.unique(np.concatenate([d[2] for _, d in said]), return_inverse=True)
-    times = np.bincount(of, np.concatenate([d[3] for _, d in said]), len(codes)).astype(np.int64)
-    yield -1, 1, (int(counts.sum()), int((counts > 0).sum()), codes, times)
-
-
-def _score(n: int, folds: int, fold: int, model, tokens: int, types: int):
-    def conclude(parts, heard):
-        held = [(ids, said, *_tokens(said)) for ids, said in parts]
-        mine = np.unique(np.concatenate([h for _, _, h, _ in held] + [END]))
-        cuts = B.bucket_cuts(mine, n)
-        counts = np.zeros(len(mine), np.int64)
-        for i, data in heard.get(0, {}).items():
-            counts[cuts[i] : cuts[i + 1]] = data
-        logs = np.log10(counts + 1.0) - math.log10(tokens + types + 1.0)
-        end = int(np.searchsorted(mine, END)[0])
-        tree = model.value
-        for ids, said, hashes, firsts in held:
-            at = np.searchsorted(mine, hashes)
-            base = np.concatenate([[0.0], np.cumsum(logs[at])])
-            known = np.concatenate([[0], np.cumsum(counts[at] > 0)])
-            codes, begins = _gram_codes(said)
-            score = np.concatenate([[0.0], np.cumsum(tree.scores(codes), dtype=np.float64)])
-            for ident, text, a, b, c in zip(ids, said, firsts[:-1], firsts[1:], begins):
-                yield (
-                    ident, held_out(ident, folds, fold), int(b - a) + 1, int(known[b] - known[a]) + int(counts[end] > 0), tokens,
-                    float(base[b] - base[a] + logs[end]), float(score[c + len(text) + 1] - score[c]), len(text),
-                )
-
-    return conclude
+def _tokens(said: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the distinct lower-cased words each token is, both halves of the digests of these, and where each document's tokens begin; ends are left out."""
+    of, words, counts = numbered_words([t.translate(LOWER) for t in said])
+    return of, *digests(words), np.concatenate([[0], np.cumsum(counts)])
 
 
-# ---------------------------------------------------------------- deeper trees
+def _vocabulary(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct digests of some lists of them, in order, and which each is; the end token is the first that goes in."""
+    first, second, _, where = paired(np.concatenate([END[:1], *(a for a, _ in parts)]), np.concatenate([END[1:], *(b for _, b in parts)]))
+    return first, second, where
 
 
 def _splitters(docs: DataFrame, id_col: str, text_col: str, depth: int, n: int) -> list[int]:
@@ -242,23 +91,23 @@ def _ask(n: int, folds: int, fold: int, depth: int, low: list[int]):
     """Per block: (words, their training counts, per range its number, packed contexts and training counts)."""
 
     def ask(parts, _):
-        held, keys, counts = [], [END], [np.zeros(1, np.int64)]
+        held, words, counts = [], [], [np.zeros(1, np.int64)]
         for ids, said in parts:
             held.append((ids, said))
             train = [not held_out(i, folds, fold) for i in ids]
-            hashes, firsts = _tokens(said)
-            k, of = np.unique(hashes, return_inverse=True)
-            keys += [k, END]
-            counts += [np.bincount(of, np.repeat(train, np.diff(firsts)).astype(np.int64), len(k)).astype(np.int64), np.array([sum(train)])]
-        keys, of = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.bincount(of, np.concatenate(counts), len(keys)).astype(np.int64)
-        cuts = B.bucket_cuts(keys, n)
+            of, one, two, firsts = _tokens(said)
+            words.append((one, two))
+            counts.append(np.bincount(of, np.repeat(train, np.diff(firsts)).astype(np.int64), len(one)).astype(np.int64))
+            counts[0] += sum(train)
+        one, two, where = _vocabulary(words)
+        counts = np.bincount(where, np.concatenate(counts), len(one)).astype(np.int64)
+        cuts = B.bucket_cuts(one, n)
         contexts, byte, count = _entries(held, depth, lambda i: not held_out(i, folds, fold))
         places = np.append(np.searchsorted(contexts, np.array(low, U64)), len(contexts))
         for i in range(n):
             mine = {j: deep.pack(*(x[places[j] : places[j + 1]] for x in (contexts, byte, count))) for j in range(RANGES * i, min(RANGES * (i + 1), len(low))) if places[j + 1] > places[j]}
             if cuts[i + 1] > cuts[i] or mine:
-                yield i, 0, (keys[cuts[i] : cuts[i + 1]], counts[cuts[i] : cuts[i + 1]], mine)
+                yield i, 0, (one[cuts[i] : cuts[i + 1]], counts[cuts[i] : cuts[i + 1]], mine, two[cuts[i] : cuts[i + 1]])
 
     return ask
 
@@ -274,12 +123,17 @@ def _ranges(said, depth: int, low: list[int]):
         yield deep.Subtrees(once, code, total, depth, *_ends(low, j)), back, list(zip(there, cuts[:-1], cuts[1:]))
 
 
+def _summed(said) -> tuple[np.ndarray, np.ndarray]:
+    """How often all training documents have each of a bucket's words, and which of these each word of each block is."""
+    _, _, times, of = paired(np.concatenate([d[0] for _, d in said]), np.concatenate([d[3] for _, d in said]))
+    return np.bincount(of, np.concatenate([d[1] for _, d in said]), len(times)).astype(np.int64), of
+
+
 def _climb(depth: int, low: list[int]):
     """To block -1: tokens, types and the open nodes of a bucket's ranges."""
 
     def answer(said):
-        keys, of = np.unique(np.concatenate([d[0] for _, d in said]), return_inverse=True)
-        counts = np.bincount(of, np.concatenate([d[1] for _, d in said]), len(keys)).astype(np.int64)
+        counts, _ = _summed(said)
         yield -1, 1, (int(counts.sum()), int((counts > 0).sum()), [x for tree, _, _ in _ranges(said, depth, low) for x in tree.opened()])
 
     return answer
@@ -289,9 +143,8 @@ def _tell(depth: int, low: list[int], spine):
     """To each block the training counts of its words, and log10 of the probability of each of its entries."""
 
     def answer(said):
-        keys = np.concatenate([d[0] for _, d in said])
-        once, of = np.unique(keys, return_inverse=True)
-        counts = np.bincount(of, np.concatenate([d[1] for _, d in said]), len(once)).astype(np.int64)[of]
+        counts, of = _summed(said)
+        counts = counts[of]
         told = [[np.zeros(0, np.float32)] for _ in said]
         for tree, back, blocks in _ranges(said, depth, low):
             logs = tree.logs(spine.value).astype(np.float32)
@@ -306,27 +159,27 @@ def _tell(depth: int, low: list[int], spine):
     return answer
 
 
-def _score_deep(n: int, folds: int, fold: int, depth: int, tokens: int, types: int):
+def _score(n: int, folds: int, fold: int, depth: int, tokens: int, types: int):
     def conclude(parts, heard):
         held = [(ids, said, *_tokens(said)) for ids, said in parts]
-        mine = np.unique(np.concatenate([h for _, _, h, _ in held] + [END]))
+        mine, _, where = _vocabulary([(one, two) for _, _, _, one, two, _ in held])
         cuts, counts = B.bucket_cuts(mine, n), np.zeros(len(mine), np.int64)
         answers = heard.get(0, {})
         for i, (words, _) in answers.items():
             counts[cuts[i] : cuts[i + 1]] = words
         told = np.concatenate([deep.unpack_logs(answers[i][1]) for i in sorted(answers)])  # buckets are in the order of their contexts
-        chance, at = np.zeros(sum(len(t) + 1 for _, said, _, _ in held for t in said), np.float32), 0
-        for _, where, keys in deep.by_last(*map(list, zip(*(deep.places(said, depth) for _, said, _, _ in held)))):
+        chance, at = np.zeros(sum(len(t) + 1 for _, said, *_ in held for t in said), np.float32), 0
+        for _, places, keys in deep.by_last(*map(list, zip(*(deep.places(said, depth) for _, said, *_ in held)))):
             once, of = np.unique(keys, return_inverse=True)
-            chance[where] = told[at : at + len(once)][of]
+            chance[places] = told[at : at + len(once)][of]
             at += len(once)
         if at != len(told):
             raise RuntimeError("answers do not fit the questions")
         logs = np.log10(counts + 1.0) - math.log10(tokens + types + 1.0)
-        end = int(np.searchsorted(mine, END)[0])
-        done = 0
-        for ids, said, hashes, firsts in held:
-            at = np.searchsorted(mine, hashes)
+        end, done, told_of = int(where[0]), 0, 1
+        for ids, said, of, one, _, firsts in held:
+            at = where[told_of : told_of + len(one)][of]
+            told_of += len(one)
             base = np.concatenate([[0.0], np.cumsum(logs[at])])
             known = np.concatenate([[0], np.cumsum(counts[at] > 0)])
             begins = np.cumsum([0] + [len(t) + 1 for t in said])
@@ -341,42 +194,25 @@ def _score_deep(n: int, folds: int, fold: int, depth: int, tokens: int, types: i
     return conclude
 
 
-def context_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, depth: int = DEPTH) -> DataFrame:
+def context_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, depth: int = deep.MOST) -> DataFrame:
     """One row per row of docs: id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     score is log10 of the probability that the context tree, learnt from all rows that are not held out, gives to the text's UTF-8 bytes and their end.
     A null text counts as empty: its only token is the end. Repeated rows count each time. A null id is trained on or held out by the CRC of nothing.
-    Without any training text every bit has one half and N is 0. Words are counted by 64-bit hashes. depth: bytes of context, DEPTH to deep.MOST.
+    Its texts are read as they are; only the tokens of base_score are lower-cased. Without any training text every bit has one half and N is 0. Words are told
+    apart by 128-bit cryptographic digests. depth: bytes of context, at most deep.MOST. An empty table gives an empty result; other columns play no part.
     """
-    if not DEPTH <= depth <= deep.MOST:
-        raise ValueError(f"depth must be from {DEPTH} to {deep.MOST}")
+    if not 1 <= depth <= deep.MOST:
+        raise ValueError(f"depth must be from 1 to {deep.MOST}")
     spark = docs.sparkSession
     n = partitions(spark)
     rows = B.blocked(docs, id_col, text_col, n)
     schema = pa.schema([(id_col, pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())])
     ddl = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
     per_byte = -F.col("score") * math.log2(10) / (F.col("n_bytes") + 1)
-    if depth > DEPTH:
-        low = _splitters(docs, id_col, text_col, depth, n)
-        asked = written(B.first_questions(rows, _ask(n, folds, fold, depth, low), n), "questions")
-        totals = [pickle.loads(r[0]) for r in written(B.answered(asked, _climb(depth, low), n), "open").select("data").collect()]  # two contexts a depth from each bucket
-        spine = spark.sparkContext.broadcast(deep.joined([x for t in totals for x in t[2]], depth))
-        told = written(B.answered(asked, _tell(depth, low, spine), n), "told")
-        _remove(spark, asked.inputFiles()[0].rsplit("/", 1)[0])  # the largest of the tables; nothing reads it again
-        out = B.concluded(rows, told, _score_deep(n, folds, fold, depth, sum(t[0] for t in totals), sum(t[1] for t in totals)), schema, ddl)
-        return out.withColumn("bits_per_byte", per_byte).drop("n_bytes")
-    sums = written(B.answered(B.first_questions(rows, _count(n, folds, fold), n), _sum, n), "counts")
-    totals = [pickle.loads(r[0]) for r in sums.where("block = -1").select("data").collect()]  # at most 2**24 codes, and two numbers from each bucket
-    tokens, types = sum(t[0] for t in totals), sum(t[1] for t in totals)
-    codes = np.concatenate([t[2] for t in totals] or [np.zeros(0, np.int32)]).astype(np.int64)
-    times = np.concatenate([t[3] for t in totals] or [np.zeros(0, np.int64)])
-    model = spark.sparkContext.broadcast(ContextTree(codes, times) if len(codes) else Even())  # at most 65,793 rows of 1 KiB
-    out = B.concluded(rows, sums.where("block >= 0"), _score(n, folds, fold, model, tokens, types), schema, ddl)
+    low = _splitters(docs, id_col, text_col, depth, n)
+    asked = written(B.first_questions(rows, _ask(n, folds, fold, depth, low), n), "questions")
+    totals = [pickle.loads(r[0]) for r in B.answered(asked, _climb(depth, low), n).select("data").collect()]  # two contexts a depth from each bucket
+    spine = spark.sparkContext.broadcast(deep.joined([x for t in totals for x in t[2]], depth))
+    out = B.concluded(rows, B.answered(asked, _tell(depth, low, spine), n), _score(n, folds, fold, depth, sum(t[0] for t in totals), sum(t[1] for t in totals)), schema, ddl)
     return out.withColumn("bits_per_byte", per_byte).drop("n_bytes")
-
-
-class Even:
-    """What a tree without training says."""
-
-    def scores(self, codes: np.ndarray) -> np.ndarray:
-        return np.full(len(codes), 8 * math.log10(0.5))
