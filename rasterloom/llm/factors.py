@@ -5,8 +5,8 @@ what the longest-previous-factor array says: in suffix order, the nearest suffix
 with which a suffix has most in common. No machine holds the suffix array of everything, so suffixes are dealt out so that those which share `width` bytes
 meet: each string of that length is known by the smallest hash among its k-byte substrings. First, blocks of documents ask which of these hashes
 more than one document has; then the stretches under such a hash go to its bucket, each distinct stretch once per block with its smallest document. A
-bucket sorts its suffixes up to `width` bytes, a few megabytes at a time, finds previous and next smaller documents, and says for
-each stretch where a suffix has an earlier match.
+bucket sorts its suffixes up to `width` bytes, a few megabytes at a time, and from previous and next smaller documents and the common prefixes on the way
+there gets the length of each suffix's longest previous factor, up to `width`; where it is reached, the suffix has an earlier match.
 """
 
 from __future__ import annotations
@@ -158,9 +158,10 @@ def _stretches(width: int, k: int, n: int):
     return ask
 
 
-def suffix_ranks(text: np.ndarray, where: np.ndarray, width: int) -> np.ndarray:
-    """Ranks of the suffixes that start at `where`, compared up to `width` bytes: sorted by words of eight bytes from the last to the first, the last
-    two overlapping. Only these suffixes are sorted, not those that start between them. text has width bytes more behind it.
+def suffix_order(text: np.ndarray, where: np.ndarray, docs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes that start at `where` in the order of their first `width` bytes, equal ones by document; and how many bytes, up to width, each has in
+    common with the one before it. Sorted by words of eight bytes, the last two overlapping; only these suffixes are sorted, not those that start between
+    them. text has width bytes more behind it.
     """
     if width < 8:
         raise ValueError("matches have 8 bytes at least")
@@ -168,42 +169,45 @@ def suffix_ranks(text: np.ndarray, where: np.ndarray, width: int) -> np.ndarray:
     word = np.zeros(n, U64)
     for i in range(8):
         word = word << U64(8) | text[i : i + n].astype(U64)
-    words = [word[where + at] for at in (*range(0, width - 8, 8), width - 8)]
-    order = np.lexsort(words[::-1])
-    new = np.zeros(len(where), bool)
-    for w in words:
-        w = w[order]
-        new[1:] |= w[1:] != w[:-1]
-    rank = np.empty(len(where), np.int64)
-    rank[order] = np.cumsum(new)
-    return rank
-
-
-def smaller_before(values: np.ndarray) -> np.ndarray:
-    """For each place the nearest one before it with a smaller value, or -1, by pointers that jump over what is not smaller."""
-    low = np.append(values, values.min(initial=0) - 1)  # at -1, smaller than any
-    at = np.arange(len(values)) - 1
-    todo = np.flatnonzero(low[at] >= values)
+    offsets = [*range(0, width - 8, 8), width - 8]
+    words = [word[where + at] for at in offsets]
+    order = np.lexsort((docs, *words[::-1]))
+    common = np.full(len(where), width, np.int32)
+    common[:1] = 0
+    same = np.arange(1, len(where))
+    for at, w in zip(offsets, words):
+        differ = w[order[same]] ^ w[order[same - 1]]
+        found = differ != 0
+        equal = np.zeros(int(found.sum()), np.int32)
+        for byte in range(1, 8):
+            equal += differ[found] < U64(1 << 8 * byte)
+        common[same[found]] = at + equal
+        same = same[~found]
+    return order, common
+
+
+def longest_with_smaller(docs: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """In suffix order: how many bytes each suffix has in common with the nearest one before it that belongs to a smaller document, by pointers that jump
+    over what is not smaller, each with the least common prefix on its way."""
+    low = np.append(docs, docs.min(initial=0) - 1)  # at -1, smaller than any
+    at, reach = np.arange(len(docs)) - 1, common.copy()
+    todo = np.flatnonzero((low[at] >= docs) & (reach > 0))
     while len(todo):
-        at[todo] = at[at[todo]]
-        todo = todo[low[at[todo]] >= values[todo]]
-    return at
-
-
-def earlier_matches(ranks: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Whether each suffix has a factor of the full width in a smaller document: the longest-previous-factor array against that width.
-
-    ranks are equal where suffixes have that width in common, so the common prefix of two suffixes reaches it where no rank differs between them.
-    """
-    order = np.lexsort((docs, ranks))
-    r, d = ranks[order], docs[order]
-    n = len(order)
-    before = smaller_before(d)
-    after = n - 1 - smaller_before(d[::-1].copy())[::-1]
-    has = (before >= 0) & (r[np.maximum(before, 0)] == r)
-    has |= (after < n) & (r[np.minimum(after, n - 1)] == r)
-    out = np.empty(n, bool)
-    out[order] = has
+        over = at[todo]
+        reach[todo] = np.minimum(reach[todo], reach[over])
+        at[todo] = at[over]
+        todo = todo[(low[at[todo]] >= docs[todo]) & (reach[todo] > 0)]
+    return np.where(at >= 0, reach, 0)
+
+
+def previous_factors(text: np.ndarray, where: np.ndarray, docs: np.ndarray, width: int) -> np.ndarray:
+    """The longest-previous-factor array, up to width: for each suffix, how long a string that starts there also starts in a smaller document."""
+    order, common = suffix_order(text, where, docs, width)
+    docs = docs[order]
+    before = longest_with_smaller(docs, common)
+    after = longest_with_smaller(docs[::-1].copy(), np.append(common[1:], 0)[::-1].astype(np.int32))[::-1] if len(docs) else before
+    out = np.empty(len(order), np.int32)
+    out[order] = np.maximum(before, after)
     return out
 
 
@@ -242,7 +246,7 @@ def _matches(width: int):
             text = np.frombuffer(b"".join([names[i] for i in some.tolist()]) + bytes(width), np.uint8)
             long = sizes[some] + width - 1
             where = spans(np.cumsum(long) - long, sizes[some])
-            marked[spans(firsts[some], sizes[some])] = earlier_matches(suffix_ranks(text, where, width), np.repeat(least[some], sizes[some]))
+            marked[spans(firsts[some], sizes[some])] = previous_factors(text, where, np.repeat(least[some], sizes[some]), width) >= width
             at = to
         for (block, (_, _, _, owners)), here in zip(said, which):
             later = np.repeat(owners > least[here], sizes[here])  # another block has the stretch in a smaller document
@@ -288,7 +292,7 @@ def earlier_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A byte of a text's UTF-8 goes if it lies in a string of `width` bytes that also starts in a document with a smaller id; the smallest document keeps
     all. Documents with one id never take from each other, so repeated rows fare alike; a null id counts as the largest. A null text has no bytes, and
-    a shorter text than width keeps all. k: bytes of the substrings whose smallest hash deals a string out; it changes the cost, not the result.
+    a shorter text than width keeps all; an empty table gives an empty result; other columns play no part. k: bytes of the substrings whose smallest hash deals a string out; it changes the cost, not the result.
     """
     if not 8 <= k <= width:
         raise ValueError("8 <= k <= width")
