@@ -1,7 +1,7 @@
 """SimHash near-duplicates by a self-join of a binary trie.
 
-Fingerprints are made text by text. Distinct fingerprints are then joined with themselves: two that differ in at most k bits agree in one of
-k + 1 blocks of bits, so each (block, value) is a bucket, and the fingerprints of a bucket form a binary trie over their sorted order, a node being a
+Fingerprints are made text by text. Distinct fingerprints are then joined with themselves: two that differ in at most k bits agree in all but k of
+b blocks of bits, so each (choice of blocks, value) is a bucket, and the fingerprints of a bucket form a binary trie over their sorted order, a node being a
 range. Pairs of nodes go down together, level by level; a pair adds one where its bits differ and is dropped once it has more than k. Pairs whose
 ranges already belong to one component are dropped too: they cannot change a component. A bucket gives back only a spanning forest of its links, so
 that no group's pairs are ever written out.
@@ -9,13 +9,16 @@ that no group's pairs are ever written out.
 
 from __future__ import annotations
 
+import itertools
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_WHITE, U64, partitions, rows_of, texts, written
+from .common import IS_WHITE, U64, own, partitions, rows_of, texts, written
 from .components import connected_components
 
 BITS = 64
@@ -64,12 +67,33 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "id long, fp long" + ", mark long" * marked)
 
 
-def blocks_of(k: int) -> list[tuple[int, int]]:
-    """(shift, width) of k + 1 blocks that cover the 64 bits."""
-    cuts = [round(i * BITS / (k + 1)) for i in range(k + 2)]
+def blocks_of(blocks: int) -> list[tuple[int, int]]:
+    """(shift, width) of so many blocks that cover the 64 bits."""
+    cuts = [round(i * BITS / blocks) for i in range(blocks + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
+def copies_of(blocks: int, k: int, rows: int, shard_rows: int) -> float:
+    """How often each fingerprint goes out, if it has a key for each choice of all but k of the blocks and buckets are cut into shards."""
+    bits = BITS * (blocks - k) / blocks
+    return math.comb(blocks, k) * max(1.0, rows / 2**bits / shard_rows)
+
+
+def keys_for(k: int, rows: int, shard_rows: int) -> list[list[tuple[int, int]]]:
+    """The blocks that make each key: two fingerprints within k bits agree in all but k blocks at least. More blocks give more and longer keys, so smaller
+    buckets; their number is that with the fewest copies for so many fingerprints."""
+    blocks = min(range(k + 1, k + 5), key=lambda b: copies_of(b, k, rows, shard_rows))
+    return [list(c) for c in itertools.combinations(blocks_of(blocks), blocks - k)]
+
+
+def _key(parts: list[tuple[int, int]], number: int) -> Column:
+    out, at = F.lit(number << 44), 0
+    for shift, width in parts:
+        out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)), at))
+        at += width
+    return out
+
+
 class TrieJoin:
     """The self-join of the tries over some sorted, distinct fingerprints of several buckets."""
 
@@ -173,10 +197,11 @@ def _forest(k: int):
 def linked(distinct: DataFrame, k: int, shard_rows: int = 4000) -> DataFrame:
     """distinct: (fp long), no two equal. Chains (fp, other) that link what lies within k bits, directly or by way of others of a bucket.
 
-    A bucket of more than shard_rows fingerprints is cut into shards by hash, and each pair of shards is joined by itself, so no bucket lands in one task.
+    Keys are made of more bits the more fingerprints there are (keys_for). A bucket that still has more than shard_rows of them, because they are alike, is
+    cut into shards by hash, and each pair of shards is joined by itself, so no bucket lands in one task.
     """
     n = partitions(distinct.sparkSession)
-    keys = F.array(*(F.shiftrightunsigned("fp", s).bitwiseAND((1 << w) - 1).bitwiseOR(F.lit(i << 40)) for i, (s, w) in enumerate(blocks_of(k))))
+    keys = F.array(*(_key(parts, i) for i, parts in enumerate(keys_for(k, distinct.count(), shard_rows))))
     rows = distinct.select("fp", F.explode(keys).alias("bucket"))
     sizes = rows.groupBy("bucket").count().where(F.col("count") > shard_rows).select("bucket", F.ceil(F.col("count") / shard_rows).alias("shards"))
     rows = rows.join(written(sizes, "buckets"), "bucket", "left")
@@ -201,7 +226,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per row of docs: id, fingerprint (16 hex digits), component_id (smallest id reachable over links of at most k bits).
 
     Null and empty texts and texts of white space have fingerprint zero and link like any other. Equal fingerprints are one node, so groups of copies
-    cost one row. Null ids never name a component unless nothing else can (component_id is then null). Repeated rows share a component.
+    cost one row. Components that don't settle in 60 rounds are an error. Null ids never name a component unless nothing else can (component_id is then null). Repeated rows share a component.
     """
     fps = written(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
     found = _rooted(fps, k)
@@ -220,10 +245,11 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = _rooted(fps, k).select("fp", "root")
     rows = fps.groupBy("fp", "id", "mark").agg(F.count("*").alias("copies")).join(found, "fp")
     best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark", "copies")).alias("best"))
-    stays = written(best.select(F.col("best.id").alias("_stays"), F.col("best.mark").alias("_mark"), F.col("best.copies").alias("_copies")), "stays")
-    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("_stays")) & (F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) == F.col("_mark"))
-    if stays.where("_copies > 1").isEmpty():
+    o = own(docs)
+    stays = written(best.select(F.col("best.id").alias(o("stays")), F.col("best.mark").alias(o("mark")), F.col("best.copies").alias(o("copies"))), "stays")
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(o("stays"))) & (F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))) == F.col(o("mark")))
+    if stays.where(F.col(o("copies")) > 1).isEmpty():
         return docs.join(stays, same, "left_semi")
-    once = docs.join(stays.where("_copies = 1"), same, "left_semi")
-    more = docs.join(stays.where("_copies > 1"), same).groupBy("_stays", "_mark").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("_row"))
-    return once.union(more.select(*(F.col(f"_row.`{c}`") for c in docs.columns)))
+    once = docs.join(stays.where(F.col(o("copies")) == 1), same, "left_semi")
+    more = docs.join(stays.where(F.col(o("copies")) > 1), same).groupBy(o("stays"), o("mark")).agg(F.min(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias(o("row")))
+    return once.union(more.select(*(F.col(f"{o('row')}.`{c}`") for c in docs.columns)))

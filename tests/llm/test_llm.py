@@ -78,6 +78,30 @@ def test_trie_spills_by_subtree_and_keeps_all():
     assert len(found) == len(want) and {k: sorted(v) for k, v in found} == dict(want)
 
 
+def test_trie_of_nested_texts_spills_without_recursion():
+    for step in (1, 7):
+        keys = [b"a" * i for i in range(0, 3000, step)] * 2
+        trie = exact.PatriciaTrie(20_000)
+        for i, k in enumerate(keys):
+            trie.insert(k, i)
+        assert trie.spills
+        found = collections.Counter(k for k, v in trie.terminals() for _ in v)
+        assert found == collections.Counter(keys)
+
+
+def test_trie_sends_a_hot_text_in_parts(monkeypatch, spark):
+    trie = exact.PatriciaTrie(10_000, 50)
+    for i in range(1000):
+        trie.insert(b"hot", i)
+        trie.insert(b"x%d" % (i % 70), i)
+        assert trie.bytes <= 3 * 10_000
+    found = list(trie.terminals())
+    assert sorted(i for k, v in found if k == b"hot" for i in v) == list(range(1000)) and max(len(v) for _, v in found) <= 50
+    monkeypatch.setattr(exact, "MOST_COPIES", 3)
+    rows = exact.exact_dedup(spark.createDataFrame([(i, "same") for i in range(20)], "doc_id long, text string"), keep="max").collect()
+    assert {(r.keep_id, r.group_size) for r in rows} == {(19, 20)} and [r.doc_id for r in rows if r.kept] == [19]
+
+
 @pytest.mark.parametrize("keep", ["min", "max"])
 def test_exact(docs, keep):
     got = exact.exact_dedup(docs, keep=keep).collect()
@@ -175,6 +199,21 @@ def test_shards_lose_no_link(spark):
     assert len(set(zip(got, whole))) == len(set(whole)) == len(set(got))
 
 
+def test_simhash_keys_follow_the_number_of_fingerprints(spark, monkeypatch):
+    assert [len(simhash.keys_for(4, n, 4000)) for n in (10**5, 10**9, 10**12)] == [5, 15, 35]
+    assert all(simhash.copies_of(b, 4, n, 4000) <= 60 for b, n in ((5, 10**7), (6, 10**10), (7, 10**12)))
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 20)
+    fps = sorted({int(x ^ (np.int64(1) << a) ^ (np.int64(1) << b)) for x in base for a, b in rng.integers(0, 62, (8, 2))})
+    whole = union_of(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if bin((fps[i] ^ fps[j]) & (1 << 64) - 1).count("1") <= 4])
+    keys = simhash.keys_for
+    for rows in (10**9, 10**12):  # as if there were so many
+        monkeypatch.setattr(simhash, "keys_for", lambda k, _, shard, rows=rows: keys(k, rows, shard))
+        links = [(fps.index(r.fp), fps.index(r.other)) for r in simhash.linked(spark.createDataFrame([(f,) for f in fps], "fp long"), 4).collect()]
+        got = union_of(len(fps), links)
+        assert len(set(zip(got, whole))) == len(set(whole)) == len(set(got))
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 300), (7, 7)] + [(1000, k) for k in range(1001, 1100)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -266,19 +305,31 @@ def test_sketches_never_pass_over_a_similar_pair(spark):
 def test_hot_bands_are_chained_in_parts(spark):
     rnd = random.Random(7)
     base = "".join(rnd.choice("abcdefghij ") for _ in range(120))
-    nodes = spark.createDataFrame([(i, base[:50] + f"{i:05d}" + base[50:]) for i in range(4000)], "node long, norm string")
-    hot = lines.hot_bands(nodes, 5, 0.8, share=4).collect()
-    assert hot and max(r.salts for r in hot) > 1
-    rows = [r for r in lines.chains(nodes, 5, 0.8).collect() if r.kind == 0]
+    said = [base[:50] + f"{i:05d}" + base[50:] for i in range(4000)] + ["tap it", "tap it!"] * 2
+    nodes = spark.createDataFrame(list(enumerate(said)), "node long, norm string")
+    hot = lines.hot_bands(nodes, 5, 0.8)
+    assert hot and max(hot.values()) > 1
     by = collections.defaultdict(list)
-    for r in rows:
+    for r in lines.chains(nodes, 5, 0.8).collect():
         by[r.band].append(r)
-    assert max(map(len, by.values())) >= 3000
+    want = collections.defaultdict(set)
+    for r in lines.band_rows(nodes, 5).collect():
+        want[r.band].add(r.node)
+    assert {b: sorted(x) for b, x in want.items() if len(x) > 1} == {b: sorted(r.node for r in x) for b, x in by.items() if len(x) > 1} and max(map(len, by.values())) >= 3000
     for found in by.values():  # each bucket is one chain
-        ids = [r.node for r in found]
-        place = {x: i for i, x in enumerate(ids)}
-        assert len(set(ids)) == len(ids) == len({r.node for r in found})
-        assert len(set(union_of(len(ids), [(place[r.node], place[r.prev]) for r in found if r.prev is not None]))) == 1
+        place = {r.node: i for i, r in enumerate(found)}
+        assert len(set(union_of(len(found), [(place[r.node], place[r.prev]) for r in found if r.prev is not None]))) == 1
+        if any(r.kind == 1 for r in found):
+            assert {r.whole for r in found} == {min(r.node for r in found if r.kind == 1)}
+
+
+def test_similarity_of_pairs_is_exact():
+    rnd = random.Random(11)
+    said = ["".join(rnd.choice("ab ") for _ in range(rnd.randint(0, 80))) for _ in range(60)]
+    said += [x[: len(x) * 9 // 10] + rnd.choice(["", "zz"]) for x in said]
+    pairs = [(i, j) for i in range(len(said)) for j in range(i)]
+    sets = [{x[i : i + 5] for i in range(len(x) - 4)} for x in said]
+    assert lines.alike(pairs, said, 5, 0.8).tolist() == [len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i, j in pairs]
 
 
 def line_groups(spark, said, **options):
@@ -468,7 +519,7 @@ def plain_ctw(rows, depth=2):
 def test_context_tree(docs):
     rows = [(i, t if len(t) < 4000 else t[:600]) for i, t in pairs()]
     short = docs.withColumn("text", F.when(F.length("text") < 4000, F.col("text")).otherwise(F.substring("text", 1, 600)))
-    got = ctw.context_tree_scores(short).collect()
+    got = ctw.context_tree_scores(short, depth=2).collect()
     low = lambda t: WHITE.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t)) + [None]
     counts = collections.Counter(w for i, t in rows if not ctw.held_out(i) for w in low(t))
     n, v = sum(counts.values()), len(counts)
@@ -523,7 +574,7 @@ def test_deep_context_tree(docs, depth):
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.score) for r in ctw.context_tree_scores(short, depth=depth).collect())
     for a, b in zip(got, sorted((-1 if i is None else i, s) for (i, _), s in zip(rows, deep_ctw(rows, depth))), strict=True):
         assert a[0] == b[0] and a[1] == pytest.approx(b[1], rel=1e-5)
-    base = {r.doc_id: tuple(r)[:6] for r in ctw.context_tree_scores(short).collect()}
+    base = {r.doc_id: tuple(r)[:6] for r in ctw.context_tree_scores(short, depth=2).collect()}
     assert all(base[r.doc_id] == pytest.approx(tuple(r)[:6]) for r in ctw.context_tree_scores(short, depth=depth).collect() if r.doc_id is not None)
 
 
@@ -534,17 +585,11 @@ def test_query_8_looks_back_eight_bytes(spark, monkeypatch):
     df = spark.createDataFrame(list(enumerate(x[:8] + ("cd"[x[1] == "a"]) for x in said)), "doc_id long, text string")
     monkeypatch.setattr(queries, "table", lambda *_: df)
     got = {r.doc_id: r.score for r in queries.op8_context_tree(spark, "").collect()}
-    two = {r.doc_id: r.score for r in ctw.context_tree_scores(df).collect()}
+    two = {r.doc_id: r.score for r in ctw.context_tree_scores(df, depth=2).collect()}
     assert sum(got.values()) > sum(two.values())
     assert ctw.context_tree_scores(df.limit(0), depth=8).count() == 0
 
 
-def test_tree_sums_to_one():
-    codes, _ = ctw._gram_codes([b"abracadabra abracadabra", b"alakazam"])
-    tree = ctw.ContextTree(*(x.astype(np.int64) for x in np.unique(codes, return_counts=True)))
-    assert np.allclose((10.0 ** tree.table.astype(float)).sum(1), 1, atol=1e-4)
-
-
 # ---------------------------------------------------------------- substrings
 
 
@@ -562,6 +607,22 @@ def test_anchors(docs):
     assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in got)
 
 
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_words_with_equal_polynomials_stay_apart(spark):
+    one = thue_morse(1024)
+    two = one.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(34))
+    got = anchors.repeated_passages(spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}")], "doc_id long, text string")).collect()
+    assert [r.n_removed for r in got] == [0, 0]
+    out = next(i for i in range(99) if ctw.held_out(i))
+    known = next(i for i in range(99) if not ctw.held_out(i))
+    got = {r.doc_id: r.n_known for r in ctw.context_tree_scores(spark.createDataFrame([(out, two), (known, one)], "doc_id long, text string"), depth=2).collect()}
+    assert got == {out: 1, known: 2}
+
+
 @pytest.mark.parametrize("k", [8, 24, 50])
 def test_factors(docs, k):
     got = factors.earlier_copies(docs, k=k, whole=True).collect()
@@ -581,17 +642,19 @@ def test_factors(docs, k):
     assert multiset((r[0], r[1], r[2], r[3], r[4], bytes(r.kept)) for r in got) == multiset(want)
 
 
-def test_suffix_ranks_and_smaller_values():
+def test_previous_factors_are_brute_force():
     rng = np.random.default_rng(4)
-    text = rng.integers(0, 3, 400).astype(np.uint8)
-    padded = np.concatenate([text, np.zeros(20, np.uint8)])
-    where = np.arange(0, 380)
-    ranks = factors.suffix_ranks(padded, where, 20)
-    names = [text[i : i + 20].tobytes() for i in where]
-    order = {x: i for i, x in enumerate(sorted(set(names)))}
-    assert ranks.tolist() == [order[x] for x in names]
-    values = rng.integers(0, 9, 200)
-    assert factors.smaller_before(values).tolist() == [max((j for j in range(i) if values[j] < values[i]), default=-1) for i in range(200)]
+    for letters, size, width in ((2, 300, 20), (3, 300, 9), (20, 200, 50), (1, 120, 30)):
+        text = rng.integers(0, letters, size).astype(np.uint8)
+        padded = np.concatenate([text, np.zeros(width, np.uint8)])
+        where = np.sort(rng.choice(size - width, (size - width) * 3 // 4, replace=False))
+        docs = where // 37 % 5
+        names = [padded[i : i + width].tobytes() for i in where]
+        common = lambda a, b: next((k for k in range(width) if a[k] != b[k]), width)
+        order, got = factors.suffix_order(padded, where, docs, width)
+        assert [(names[i], docs[i]) for i in order] == sorted(zip(names, docs)) and got.tolist() == [0, *(common(names[a], names[b]) for a, b in zip(order, order[1:]))]
+        want = [max((common(names[j], names[i]) for j in range(len(where)) if docs[j] < docs[i]), default=0) for i in range(len(where))]
+        assert factors.previous_factors(padded, where, docs, width).tolist() == want
 
 
 # ---------------------------------------------------------------- all of them
