@@ -13,30 +13,29 @@ Hashing and comparing shingles run in Arrow batches, everything else in DataFram
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, mix, partitions, rows_of, texts, written
+from .common import U64, mix, partitions, texts, written
 from .components import connected_components
 
 #: Sets of fewer distinct shingles have exact keys.
 FEW = 8
 #: Classes of sets by their number of distinct shingles, ends included; neighbours overlap by the factor that a similarity of 0.8 allows.
 SMALL, MIDDLE, LARGE = (FEW, 80), (64, 320), (256, 1 << 62)
-#: Hashes of a band. Small sets have BANDS bands of MinHashes, middle ones four seeds of three parts, large ones fourteen parts of one seed.
+#: Hashes of a band. Small sets have BANDS bands of MinHashes, middle ones three seeds of four parts, large ones fourteen parts of one seed.
 HASHES, HASHES_LARGE = 6, 7
-BANDS, SEEDED, PARTS, PARTS_LARGE = 12, 4, 3, 14
+BANDS, SEEDED, PARTS, PARTS_LARGE = 12, 3, 4, 14
 #: Bits of a hash that are sorted below the number of its line.
 LOW = 44
 #: Words of 64 bits in the parity sketch of a set.
-SKETCH = 4
-ODD_SPACE = re.compile("[\t\v\f\r]| {2}")
-SPACES = re.compile("[ \t\v\f\r]+")
+SKETCH = 16
+#: Bits of the filter by which lines that no candidate is are left out of a join: 4 MB at any size, less use beyond some ten million candidates.
+FILTER = 25
 _random = np.random.default_rng(21)
 CHARS = _random.integers(0, 1 << 63, 64, dtype=U64) * U64(2) + U64(1)
 SEEDS = _random.integers(0, 1 << 63, BANDS * HASHES, dtype=U64) * U64(2) + U64(1)
@@ -45,37 +44,52 @@ SEEDS = _random.integers(0, 1 << 63, BANDS * HASHES, dtype=U64) * U64(2) + U64(1
 # ---------------------------------------------------------------- lines
 
 
-def normalised(text: str) -> list[str]:
-    """The lines of a text in lower case, runs of white space as one space, none at the ends."""
-    text = text.lower()
-    if ODD_SPACE.search(text):
-        text = SPACES.sub(" ", text)
-    return [line.strip(" ") for line in text.split("\n")]
-
-
-def numbered_lines(docs: DataFrame, id_col: str, text_col: str, keyed: bool = False) -> DataFrame:
-    """(id, line_no, norm) of every line with a word; keyed: (id, line_no, key), key being 128 bits of norm."""
-    last = pa.field("key", pa.binary()) if keyed else pa.field("norm", pa.string())
-    schema = pa.schema([("id", pa.int64()), ("line_no", pa.int32()), last])
+def normalised(said: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Lines with a word of some texts: in lower case, runs of white space as one space, none at the ends; which text each is of, and its number there."""
+    try:
+        low = pc.utf8_lower(said.cast(pa.large_string()))
+    except pa.ArrowInvalid:  # not UTF-8
+        low = pc.utf8_lower(pa.array([x.decode("utf-8", "replace") for x in said.to_pylist()], pa.large_string()))
+    odd = pc.match_substring(low, "  ")
+    for c in "\t\v\f\r":
+        odd = pc.or_(odd, pc.match_substring(low, c))
+    if pc.any(odd).as_py():
+        low = pc.if_else(odd, pc.replace_substring_regex(low, "[ \t\v\f\r]+", " "), low)
+    parts = pc.split_pattern(low, "\n")
+    counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+    norms = pc.utf8_trim(pc.list_flatten(parts), " ")
+    keep = pc.greater(pc.binary_length(norms), 0)
+    kept = keep.to_numpy(zero_copy_only=False)
+    of = np.repeat(np.arange(len(counts)), counts)
+    number = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return norms.filter(keep), of[kept], number[kept].astype(np.int32)
+
+
+def numbered_lines(docs: DataFrame, id_col: str, text_col: str, whole: bool = True) -> DataFrame:
+    """(id, line_no, key, norm) of every line with a word, key being 128 bits of norm; whole=False: without norm."""
+    schema = pa.schema([("id", pa.int64()), ("line_no", pa.int32()), ("key", pa.binary())] + [("norm", pa.string())] * whole)
 
     def run(batches):
-        for chunk in rows_of(batches, 2 << 20):
-            ids, numbers, norms = [], [], []
-            for doc, text in chunk:
-                for i, norm in enumerate(normalised(text.decode("utf-8", "replace"))):
-                    if norm:
-                        ids.append(doc)
-                        numbers.append(i)
-                        norms.append(key_of(norm) if keyed else norm)
-            for at in range(0, len(ids), 50_000):
-                to = at + 50_000
-                yield pa.RecordBatch.from_arrays([pa.array(x[at:to], f.type) for x, f in zip((ids, numbers, norms), schema)], schema=schema)
+        for batch in batches:
+            for ids, said in text_slices(batch):
+                norms, of, number = normalised(said)
+                for at in range(0, len(norms), 20_000):
+                    some = norms.slice(at, 20_000)
+                    cols = [ids.take(pa.array(of[at : at + 20_000])), pa.array(number[at : at + 20_000]), pa.array(list(map(xxhash.xxh3_128_digest, some.cast(pa.large_binary()).to_pylist())), pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols + [some.cast(pa.string())] * whole, schema=schema)
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "id long, line_no int, " + ("key binary" if keyed else "norm string"))
+    return texts(docs, id_col, text_col).mapInArrow(run, "id long, line_no int, key binary" + ", norm string" * whole)
 
 
-def key_of(norm: str) -> bytes:
-    return xxhash.xxh3_128_digest(norm.encode())
+def text_slices(batch: pa.RecordBatch, most: int = 4 << 20):
+    """(ids, texts as binary) of a batch, of about so many bytes at a time."""
+    said = batch["text"].cast(pa.large_binary() if pa.types.is_large_string(batch["text"].type) else pa.binary())
+    ends = np.cumsum(pc.binary_length(said).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(said):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield batch["id"].slice(at, to - at), said.slice(at, to - at)
+        at = to
 
 
 # ---------------------------------------------------------------- sets and bands
@@ -304,6 +318,23 @@ def similar(pairs: DataFrame, nodes: DataFrame, width: int, threshold: float) ->
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def with_nodes(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of nodes whose number is in wanted. A filter of a fixed size takes most others out before the join, and none of these."""
+    place = F.pmod(F.xxhash64("node"), F.lit(1 << FILTER))
+    maps = wanted.select(F.shiftright(place, 15).alias("map"), place.bitwiseAND(F.lit((1 << 15) - 1)).alias("bit")).groupBy("map").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    bits = np.zeros(1 << (FILTER - 3), np.uint8)
+    for number, held in maps.collect():  # 2**(FILTER - 15) maps of 4 KiB at most
+        bits[number << 12 : (number + 1) << 12] = np.frombuffer(held, np.uint8)
+
+    def run(batches):
+        for batch in batches:
+            at = batch["place"].to_numpy()
+            yield batch.filter(pa.array((bits[at >> 3] >> (at & 7)) & 1 > 0)).drop_columns(["place"])
+
+    some = nodes.withColumn("place", place).mapInArrow(run, nodes.schema)
+    return some.join(wanted, "node", "left_semi")
+
+
 def hot_bands(nodes: DataFrame, width: int, threshold: float, share: int = 64, least: int = 16) -> dict[int, int]:
     """Bands that would make a partition uneven, found in a sample of the lines, and into how many parts to deal them.
 
@@ -393,15 +424,15 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("classes of sizes and keys of small sets are made for similarities of 0.8 or more")
     place = (F.coalesce(F.col("id"), F.lit((1 << 63) - 1)).cast("decimal(19,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("line_no")).cast("decimal(38,0)")
     lines = numbered_lines(docs, id_col, text_col)
-    nodes = lines.groupBy("norm").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
-    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "first", "copies", "norm"), "lines")
+    nodes = lines.groupBy("norm", "key").agg(F.min(place).alias("first"), F.count("*").alias("copies"))
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "key", "first", "copies", "norm"), "lines")
     chained = chains(nodes, width, threshold)
     several = chained.where("kind = 0")
     # a key is all that makes a small set: each is compared with the one line that stands for its set, or for itself less a shingle
     shorts = chained.where("kind > 0 and whole <> node").select(F.col("node").alias("a"), F.col("whole").alias("b"))
     pairs = written(several.where("prev <> node").select(F.greatest("node", "prev").alias("a"), F.least("node", "prev").alias("b")).union(shorts).distinct(), "pairs")
     there = several.select("node").union(pairs.select("a")).union(pairs.select("b")).distinct()
-    candidates = written(nodes.select("node", "norm").join(there, "node", "left_semi"), "candidates")
+    candidates = written(with_nodes(nodes.select("node", "norm"), written(there, "wanted")), "candidates")
     links = written(similar(pairs, candidates, width, threshold), "links")
     roots = written(connected_components(links), "roots")
     # across the components that a bucket still holds
@@ -420,15 +451,9 @@ def line_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not more.isEmpty():
         roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     # of lines that no other is like, the node itself is the component
-    named = nodes.select("node", "norm", "first", "copies").join(roots, "node", "left").select(F.coalesce("root", "node").alias("component"), "norm", "first", "copies", F.col("root").isNotNull().alias("joined"))
-    schema = pa.schema([("component", pa.int64()), ("key", pa.binary()), ("first", pa.decimal128(38, 0)), ("copies", pa.int64()), ("joined", pa.bool_())])
-
-    def keyed(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b["component"], pa.array([key_of(x) for x in b["norm"].to_pylist()], pa.binary()), b["first"], b["copies"], b["joined"]], schema=schema)
-
-    named = written(named.mapInArrow(keyed, "component long, key binary, first decimal(38,0), copies long, joined boolean"), "named")
+    named = nodes.select("node", "key", "first", "copies").join(roots, "node", "left").select(F.coalesce("root", "node").alias("component"), "key", "first", "copies", F.col("root").isNotNull().alias("joined"))
+    named = written(named, "named")
     best = named.where("joined").groupBy("component").agg(F.min("first").alias("stays"), F.sum("copies").alias("size"))
     member = named.join(best, "component", "left").select("key", "component", F.coalesce("size", "copies").alias("component_size"), F.coalesce("stays", "first").alias("stays"))
-    each = numbered_lines(docs, id_col, text_col, keyed=True).select("id", "line_no", "key", place.alias("place")).join(member, "key")
+    each = numbered_lines(docs, id_col, text_col, whole=False).select("id", "line_no", "key", place.alias("place")).join(member, "key")
     return each.select(F.col("id").alias(id_col), "line_no", "component", "component_size", (F.col("place") == F.col("stays")).alias("kept"))
