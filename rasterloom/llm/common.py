@@ -212,6 +212,17 @@ class Recent:
             self.old, self.new = self.new, {}
 
 
+_model: dict = {}
+
+
+def only_model(key: tuple, make: Callable):
+    """The model of that key, made once per Python worker. A worker holds one at a time: the next stage's takes the place of the last one's."""
+    if key not in _model:
+        _model.clear()
+        _model[key] = make()
+    return _model[key]
+
+
 # ---------------------------------------------------------------- placing rows
 
 

@@ -11,14 +11,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import Recent, texts
+from .common import Recent, only_model, texts
 
 SPACE = "▁"
 SEGMENT = re.compile(" +[^ ]*")
@@ -144,10 +143,8 @@ class MergePieces:
         return found
 
 
-@lru_cache(2)
 def loaded(model_path: str) -> MergePieces:
-    """Once per Python worker."""
-    return MergePieces(model_path)
+    return only_model(("pieces", model_path), lambda: MergePieces(model_path))
 
 
 def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", whole: bool = False) -> DataFrame:

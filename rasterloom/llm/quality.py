@@ -11,7 +11,6 @@ from __future__ import annotations
 import base64
 import re
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ import sentencepiece
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .common import WHITE, Recent, rows_of, texts
+from .common import WHITE, Recent, only_model, rows_of, texts
 
 SYMBOLS = b"#*$%&|<>"
 #: The split pattern of the rank files (fixed value).
@@ -100,10 +99,8 @@ class Fertility:
         return np.diff(upto, prepend=0).tolist()
 
 
-@lru_cache(2)
 def loaded(piece_path: str, rank_path: str) -> Fertility:
-    """Once per Python worker."""
-    return Fertility(piece_path, rank_path)
+    return only_model(("fertility", piece_path, rank_path), lambda: Fertility(piece_path, rank_path))
 
 
 def repeated_words(numbers: np.ndarray, width: int = 3) -> int:
