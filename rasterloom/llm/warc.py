@@ -3,7 +3,7 @@
 Writing is a plain text sink whose line separator is the blank lines that end a record; a record of HTML in UTF-8 is text as a whole. Equal payloads are
 stored once: the capture with the largest id is the response, the others are revisits that name it. Reading follows the lengths in the headers, file by
 file. The index: each task sorts the captures of its files, a run; splitters from a bounded sample cut every run into slices by range of (URL key,
-timestamp, id); each range merges its slices with a loser tree. Ranges in order, rows in order within them: a global order of capture histories, in
+timestamp, id); each range writes its slices to its task's disk and merges them from there with a loser tree, a batch of each at a time. Ranges in order, rows in order within them: a global order of capture histories, in
 which even the captures of one URL may lie in several ranges.
 """
 
@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+import tempfile
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,8 +25,10 @@ from .common import partitions, scratch, spots, written
 
 #: Payloads shorter than this are stored in full each time.
 LEAST_BYTES = 1000
-#: Records in a file at most.
-FILE_RECORDS = 2000
+#: Records in a file at most; a page of LARGE_BYTES or more goes to files of its own kind, which hold as many as FILE_BYTES allow.
+FILE_RECORDS, LARGE_BYTES, FILE_BYTES = 2000, 1 << 16, 1 << 27
+#: Runs that are merged at a time.
+FAN_IN = 128
 #: Captures from which the splitters are taken, about.
 SAMPLE_ROWS = 20_000
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -61,7 +65,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
         _line("WARC-Profile", F.when(revisit, F.lit(REVISIT))), _line("WARC-Refers-To", F.when(revisit, _urn(F.col("owner")))),
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block,
     )
-    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(folder)
+    largest = base.agg(F.max("bytes")).first()[0] or 0
+    kinds = [(rows, FILE_RECORDS)] if largest < LARGE_BYTES else [(rows.where(F.col("bytes") < LARGE_BYTES), FILE_RECORDS), (rows.where(F.col("bytes") >= LARGE_BYTES), max(1, min(FILE_RECORDS, FILE_BYTES // largest)))]
+    for some, most in kinds:
+        some.select(record.alias("value")).write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", most).text(folder)
 
 
 def records(content: bytes, name: str = "") -> Iterator[tuple[int, int, dict[bytes, bytes], bytes]]:
@@ -170,6 +177,62 @@ def _key(row) -> tuple:
     return row[0], row[1], row[2] is not None, row[2] or 0, row[7], row[8]
 
 
+class Run:
+    """Rows in order, on the task's own disk: batches go in, rows with their keys come out, a batch at a time."""
+
+    def __init__(self, schema: pa.Schema):
+        self.file = tempfile.TemporaryFile()
+        self.out = pa.ipc.new_stream(self.file, schema)
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        self.out.write_batch(batch)
+
+    def __iter__(self) -> Iterator[tuple]:
+        self.out.close()
+        self.file.seek(0)
+        for batch in pa.ipc.open_stream(self.file):
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                yield _key(row), row
+        self.file.close()
+
+
+def batches_of(rows: Iterable[tuple], schema: pa.Schema, size: int = 4000) -> Iterator[pa.RecordBatch]:
+    out = []
+    for row in rows:
+        out.append(row)
+        if len(out) == size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+
+class ExternalMerge:
+    """Sorted runs one after another, then all of them in order. No more than FAN_IN are open: so many become one run on the next level."""
+
+    def __init__(self, schema: pa.Schema):
+        self.schema, self.levels = schema, [[]]
+
+    def begin(self) -> None:
+        for level, runs in enumerate(self.levels):
+            if len(runs) < FAN_IN:
+                break
+            run = Run(self.schema)
+            for batch in batches_of((row for _, row in LoserTree(runs)), self.schema):
+                run.add(batch)
+            self.levels[level] = []
+            if level + 1 == len(self.levels):
+                self.levels.append([])
+            self.levels[level + 1].append(run)
+        self.levels[0].append(Run(self.schema))
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        self.levels[0][-1].add(batch)
+
+    def rows(self) -> Iterator[tuple]:
+        return (row for _, row in LoserTree([r for runs in self.levels for r in runs]))
+
+
 def merged_index(found: DataFrame) -> DataFrame:
     """found: captures without payloads. The same rows with (range, position): in this order they are sorted by URL key, timestamp, id and place."""
     spark = found.sparkSession
@@ -182,39 +245,48 @@ def merged_index(found: DataFrame) -> DataFrame:
     cuts = sorted(set(keys[len(keys) * i // n] for i in range(1, n))) if keys else []
     places = spots(n)
     names = [c for c, _, _ in CAPTURE]
-    struct = pa.struct([(c, t) for c, t, _ in CAPTURE])
-    slices = pa.schema([("place", pa.int32()), ("range", pa.int32()), ("run", pa.int64()), ("rows", pa.list_(struct))])
+    rows = pa.schema([(c, t) for c, t, _ in CAPTURE])
+    sent = pa.schema([("place", pa.int32()), ("range", pa.int32()), ("run", pa.int64()), ("seq", pa.int64()), *rows])
 
     def cut(batches):
-        rows = sorted((tuple(r.values()) for b in batches for r in b.to_pylist()), key=_key)
-        run, at, of = TaskContext.get().partitionId(), 0, [_key(r) for r in rows]
-        for i in range(len(cuts) + 1):
-            end = bisect_left(of, cuts[i]) if i < len(cuts) else len(rows)
-            if end > at:
-                part = [dict(zip(names, r)) for r in rows[at:end]]
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((places[i], i, run, part), slices)], schema=slices)
-            at = end
+        """A task's captures, sorted by Spark (spilling), are a run: each row gets its range and its place in the run."""
+        run, seq = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            of = [bisect_right(cuts, _key(r)) for r in zip(*(c.to_pylist() for c in batch.columns))]
+            lead = [pa.array([places[i] for i in of], pa.int32()), pa.array(of, pa.int32()), pa.array([run] * len(of), pa.int64()), pa.array(range(seq, seq + len(of)), pa.int64())]
+            seq += len(of)
+            yield pa.RecordBatch.from_arrays([*lead, *batch.columns], schema=sent)
 
-    out_schema = pa.schema([("range", pa.int32()), ("position", pa.int64()), *((c, t) for c, t, _ in CAPTURE)])
+    out_schema = pa.schema([("range", pa.int32()), ("position", pa.int64()), *rows])
 
     def merge(batches):
-        runs: dict[int, list[list]] = {}
+        """Rows come by range, run and place in the run; each range is merged from its runs."""
+        at, merging = None, None
         for batch in batches:
-            for r in batch.to_pylist():
-                runs.setdefault(r["range"], []).append([(_key(t), t) for t in (tuple(x.values()) for x in r["rows"])])
-        for i in sorted(runs):
-            out = []
-            for position, (_, row) in enumerate(LoserTree(runs[i])):
-                out.append((i, position, *row))
-                if len(out) == 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), out_schema)], schema=out_schema)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), out_schema)], schema=out_schema)
+            ranges, runs = batch["range"].to_numpy(), batch["run"].to_numpy()
+            turns = [0, *(np.flatnonzero((ranges[1:] != ranges[:-1]) | (runs[1:] != runs[:-1])) + 1).tolist(), len(ranges)]
+            for a, b in zip(turns, turns[1:]):
+                if b == a:
+                    continue
+                here = (int(ranges[a]), int(runs[a]))
+                if at is None or here[0] != at[0]:
+                    if at is not None:
+                        yield from numbered(at[0], merging)
+                    merging = ExternalMerge(rows)
+                if here != at:
+                    merging.begin()
+                    at = here
+                merging.add(pa.RecordBatch.from_arrays([batch[c].slice(a, b - a) for c in names], schema=rows))
+        if at is not None:
+            yield from numbered(at[0], merging)
+
+    def numbered(number, merging):
+        return batches_of(((number, position, *row) for position, row in enumerate(merging.rows())), out_schema, 20_000)
 
     ddl = ", ".join(f"{c} {d}" for c, _, d in CAPTURE)
-    sliced = found.select(*names).mapInArrow(cut, f"place int, range int, run long, rows array<struct<{', '.join(f'{c}: {d}' for c, _, d in CAPTURE)}>>")
-    return sliced.repartition(n, "place").mapInArrow(merge, f"range int, position long, {ddl}")
+    order = [F.col(c).asc_nulls_first() for c in ("url_key", "timestamp", "page_id", "file", "offset")]
+    runs = found.select(*names).sortWithinPartitions(*order).mapInArrow(cut, f"place int, range int, run long, seq long, {ddl}")
+    return runs.repartition(n, "place").sortWithinPartitions("range", "run", "seq").mapInArrow(merge, f"range int, position long, {ddl}")
 
 
 def archived(pages: DataFrame, folder: str | None = None, **columns) -> DataFrame:
