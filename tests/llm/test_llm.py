@@ -402,6 +402,33 @@ def test_fertility_tells_junk(spark, tmp_path):
     assert by_bands and all(labelled[i] == 0 for i in by_bands)
 
 
+def test_fertility_is_that_of_the_libraries(docs):
+    import base64
+
+    import tiktoken
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    with open(RANKS, "rb") as f:
+        ranks = tiktoken.Encoding("plain", pat_str=quality.RANK_PATTERN, mergeable_ranks={base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, special_tokens={})
+    want = []
+    for (i, t), row in zip(pairs(), fixture_rows()):
+        said = WHITE.findall(t)
+        ids = [x for w in said for x in lib.encode(w)]
+        ranked = sum(len(ranks.encode_ordinary(" " + w)) for w in said)
+        share = sum(lib.is_byte(x) for x in ids) / len(ids) if ids else 0.0
+        spread = -sum(c / len(ids) * math.log2(c / len(ids)) for c in collections.Counter(ids).values())
+        per = 2 * (sum(map(len, said)) + len(said)) / (len(ids) + ranked) if ids else 0.0
+        wins = collections.Counter(zip(said, said[1:], said[2:]))
+        hit = {j + d for j, x in enumerate(zip(said, said[1:], said[2:])) if wins[x] > 1 for d in range(3)}
+        kept = len(said) >= 50 and 100 * len(hit) <= 50 * len(said)
+        if kept and len(ids) >= 50:
+            band = quality.BANDS.get(row[2]) or quality.SCRIPT_BANDS[quality.script_of(t)]
+            kept = band.least_chars_per_token <= per <= band.most_chars_per_token and share <= band.most_byte_share and spread >= band.least_entropy
+        want.append((-1 if i is None else i, len(ids), round(per, 6), round(share, 6), abs(round(spread, 6)), kept))
+    got = quality.quality_rules(docs, PIECES, RANKS).collect()
+    assert multiset((-1 if r.doc_id is None else r.doc_id, r.n_tokens, round(r.chars_per_token, 6), round(r.byte_share, 6), abs(round(r.token_entropy, 6)), r.kept) for r in got) == multiset(want)
+
+
 def test_scripts():
     assert [quality.script_of(x) for x in ("hello été", "привет мир", "日本語です", "12 !", "שלום")] == ["latin", "cyrillic", "cjk", "other", "hebrew"]
 
@@ -421,6 +448,54 @@ def test_raking_meets_the_marginals():
             assert sum(c[3] * x for c, x in zip(cells, p) if c[at] == name) == pytest.approx(share * mass, rel=1e-6)
 
 
+def test_mixing_rows_are_those_of_a_plain_version(docs):
+    """Counts, keys, probabilities by plain proportional fitting and the draw by the hash of the id, row by row."""
+    aim, budget = mixing.Targets({"src0": 0.3, "src1": 0.3}, {"en": 0.3, "de": 0.2}, {"note": 0.01}), 0.05
+    rows = []
+    for i, t, lang, source, *_ in fixture_rows():
+        n = len(WHITE.findall(t or ""))
+        rows.append((i, n, source if source in aim.source else "other", lang if lang in aim.language else "other", "note" if n < 100 else "other"))
+    cells = collections.Counter()
+    for _, n, *key in rows:
+        cells[tuple(key)] += n
+    total, p = sum(cells.values()), dict.fromkeys(cells, budget)
+    for _ in range(2000):
+        for at, shares in enumerate((aim.source, aim.language, aim.topic)):
+            there = {k[at] for k in cells if cells[k]}
+            shares = {k: x for k, x in {**shares, "other": 1 - sum(shares.values())}.items() if any(c[at] == k and cells[c] for c in cells)}
+            for name in there:
+                have = sum(cells[k] * p[k] for k in cells if k[at] == name)
+                for k in cells:
+                    if k[at] == name and have:
+                        p[k] *= shares[name] / sum(shares.values()) * budget * total / have
+    assert max(p.values()) < 1  # so no cell is cut off, and plain fitting is enough
+    draw = lambda i: (xxhash.xxh64_intdigest((42).to_bytes(4, "little"), xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42)) & (1 << 53) - 1) / 2**53
+    got = {(r.doc_id, r.n_tokens): r for r in mixing.mixing_weights(docs, aim, budget).collect()}
+    for i, n, *key in rows:
+        r = got[i, n]
+        assert (r.source_key, r.language_key, r.topic_key) == tuple(key)
+        if n:
+            assert r.probability == pytest.approx(p[tuple(key)], rel=1e-5) and r.weight == pytest.approx(r.probability / budget)
+        if i is not None:
+            assert r.sampled == (draw(i) < r.probability)
+
+
+def test_clashing_names_of_columns(spark):
+    """Tables that have the operators' own names already: nothing is lost, nothing ambiguous, and values stay."""
+    names = "own_id own_sha own_of own_one own_stays own_mark own_copies own_row own_s own_p _id _one _stays weight probability n_tokens sampled keep_id kept component text_sha256 node band norm".split()
+    said = [(i, t, "en", "src0") for i, t in [(1, "a b c"), (2, "a b c"), (None, "x y"), (3, None), (3, None)]]
+    df = spark.createDataFrame([(*r, *[f"{n}{j}" for n in names]) for j, r in enumerate(said)], "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
+    for out in (exact.exact_filter(df), simhash.simhash_dedup(df), mixing.mixing_sample(df, mixing.Targets(), 1.0)):
+        assert out.columns == df.columns
+        for r in out.collect():
+            assert len({r[n].removeprefix(n) for n in names}) == 1
+    found = mixing.mixing_weights(df, mixing.Targets(), 1.0)
+    assert len(set(found.columns)) == len(found.columns) and {r.weight_of_row for r in found.collect()} == {f"weight{j}" for j in range(5)}
+    for out, n in ((exact.exact_dedup(df), 5), (simhash.simhash_components(df), 5), (lines.line_components(df), 3), (quality.quality_rules(df, PIECES, RANKS), 5), (pieces.round_trip(df, PIECES), 5), (anchors.repeated_passages(df), 5), (factors.earlier_copies(df), 5)):
+        assert out.count() == n
+    assert exact.exact_filter(df).count() == 3 and simhash.simhash_dedup(df).count() == 3
+
+
 def test_mixing(docs, spark):
     aim = mixing.Targets({"src0": 0.5}, {"en": 0.5})
     got = mixing.mixing_weights(docs, aim, 0.5).collect()
@@ -463,6 +538,28 @@ def test_loser_tree():
         assert got == sorted(x for r in runs for x in r)
 
 
+def test_external_merge_of_many_runs(monkeypatch):
+    monkeypatch.setattr(warc, "FAN_IN", 3)
+    rnd = random.Random(3)
+    schema = warc.pa.schema([(c, t) for c, t, _ in warc.CAPTURE])
+    row = lambda: (rnd.choice("abc"), str(rnd.randint(0, 9)), rnd.choice([None, rnd.randint(0, 99)]), "response", "", 0, None, "f", rnd.randint(0, 10**6), 1)
+    runs = [sorted((row() for _ in range(rnd.randint(1, 40))), key=warc._key) for _ in range(25)]
+    merging = warc.ExternalMerge(schema)
+    for run in runs:
+        merging.begin()
+        for batch in warc.batches_of(run, schema, 7):
+            merging.add(batch)
+    assert len(merging.levels) >= 3 and list(merging.rows()) == sorted((r for run in runs for r in run), key=warc._key)
+
+
+def test_large_pages_have_files_of_their_own(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 300_000)
+    pages = spark.createDataFrame([(i, f"http://e.org/{i}", "x" * (100_000 + i if i % 2 else 10 + i)) for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    got = warc.archived(pages, f"file://{tmp_path}/archive").collect()
+    assert sorted((r.page_id, r.payload_bytes) for r in got) == [(i, 100_000 + i if i % 2 else 10 + i) for i in range(20)]
+    assert max(f.stat().st_size for f in (tmp_path / "archive").glob("part-*")) < 300_000
+
+
 def test_broken_archive():
     with pytest.raises(ValueError):
         list(warc.records(b"WARC/1.1\r\nContent-Length: 50\r\n\r\nshort\r\n\r\n"))
@@ -669,6 +766,24 @@ def test_empty_tables(spark, empty):
         assert df.count() == 0
 
 
+def test_pipeline_stages_take_any_table(spark, docs, empty):
+    """Nulls, empty and long texts, repeated rows and clashing names through every stage; an empty table too."""
+    import corpus_pipeline
+
+    for df in (docs, empty):
+        at = df
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            at = stage(spark, at, "")
+            assert at.columns == df.columns
+            known = multiset(map(str, df.collect()))
+            rows = multiset(map(str, at.collect()))
+            assert all(known[r] >= n for r, n in rows.items())  # rows stay as they are, or go
+            assert not rows or corpus_pipeline.STAGES[0][1](spark, df, "").count() > 0
+        assert corpus_pipeline.STAGES[-1][1](spark, at, "").count() == at.count()
+    for _, stage in corpus_pipeline.STAGES[1:]:  # each on the whole fixture
+        assert stage(spark, docs, "").count() <= docs.count()
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
