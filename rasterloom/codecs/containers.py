@@ -15,7 +15,7 @@ APP2_PART = 65519
 
 
 def tiff_orientation(data: bytes) -> int | None:
-    """Tag 0x0112 of the first directory, if it is one SHORT of 1 to 8."""
+    """Tag 0x0112 of the first directory, if it is one SHORT of 1 to 8; of a longer directory the first MAX_IFD_ENTRIES entries are looked at."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8 or struct.unpack(order + "H", data[2:4])[0] != 42:
         return None
@@ -23,9 +23,7 @@ def tiff_orientation(data: bytes) -> int | None:
     if at + 2 > len(data):
         return None
     count = struct.unpack(order + "H", data[at : at + 2])[0]
-    if count > MAX_IFD_ENTRIES:
-        return None
-    for i in range(count):
+    for i in range(min(count, MAX_IFD_ENTRIES)):
         entry = data[at + 2 + 12 * i : at + 14 + 12 * i]
         if len(entry) < 12:
             return None

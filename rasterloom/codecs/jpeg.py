@@ -1,6 +1,6 @@
-"""JPEG: sequential and progressive decoding, sequential encoding with Huffman tables made for the picture.
+"""JPEG: sequential and progressive decoding, at eighths of the size too, and both ways of encoding, with Huffman tables made for the picture.
 
-Transforms and colour are numpy over all blocks at once; only the entropy-coded bits go one by one.
+Transforms, colour and entropy coding are numpy over all blocks at once; only reading entropy-coded bits goes code by code.
 """
 
 from __future__ import annotations
@@ -24,8 +24,6 @@ CHROMA = [
     17, 18, 24, 47, 99, 99, 99, 99, 18, 21, 26, 66, 99, 99, 99, 99, 24, 26, 56, 99, 99, 99, 99, 99, 47, 66, 99, 99, 99, 99, 99, 99,
     99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99, 99,
 ]
-_N = np.arange(8)
-DCT = np.where(_N[:, None] == 0, np.sqrt(1 / 8), 0.5 * np.cos((2 * _N[None, :] + 1) * _N[:, None] * np.pi / 16))
 
 
 # ---------------------------------------------------------------- reading
@@ -89,10 +87,79 @@ class _Component:
     def __init__(self, ident: int, h: int, v: int, table: int):
         self.id, self.h, self.v, self.table, self.last = ident, h, v, table, 0
 
+    def frame(self, rows: int, cols: int, progressive: bool) -> None:
+        self.rows, self.cols = rows, cols
+        self.blocks = [[[0] * 64 for _ in range(cols)] for _ in range(rows)] if progressive else None
+        self.places, self.values = [], []
+
+    def coefficients(self) -> np.ndarray:
+        """(rows, cols, 64), in zigzag order."""
+        if self.blocks is not None:
+            return np.array(self.blocks, np.float64)
+        out = np.zeros(self.rows * self.cols * 64)
+        out[self.places] = self.values
+        return out.reshape(self.rows, self.cols, 64)
+
+
+def _sequential(bits_of: list[bytes], comps: list, frame: dict, restart: int) -> None:
+    """A sequential scan: what is not zero goes to its component's places and values."""
+    single = len(comps) == 1
+    if single:
+        c = comps[0]
+        across, down = -(-(-(-frame["width"] * c.h // frame["hmax"])) // 8), -(-(-(-frame["height"] * c.v // frame["vmax"])) // 8)
+        units = [[(c, 64 * (y * c.cols + x))] for y in range(down) for x in range(across)]
+    else:
+        offsets = [(c, v, h) for c in comps for v in range(c.v) for h in range(c.h)]
+        units = ([(c, 64 * ((y * c.v + v) * c.cols + x * c.h + h)) for c, v, h in offsets] for y in range(frame["mcus_y"]) for x in range(frame["mcus_x"]))
+    masks = [(1 << n) - 1 for n in range(17)]
+    part, data, at, have, held = -1, b"", 0, 0, 0
+    for n, unit in enumerate(units):
+        if n == 0 or restart and n % restart == 0:
+            part += 1
+            if part >= len(bits_of):
+                raise undecodable("JPEG restart marker is missing")
+            data, at, have, held = bits_of[part].replace(b"\xff\x00", b"\xff") + bytes(64), 0, 0, 0
+            for c in comps:
+                c.last = 0
+        for c, base in unit:
+            places, values = c.places, c.values
+            dc, ac, k = c.dc, c.ac, 0
+            while k < 64:
+                if have < 32:
+                    held = (held & 0xFFFFFFFF) << 48 | int.from_bytes(data[at : at + 6], "big")
+                    at += 6
+                    have += 48
+                length, said = (ac if k else dc)[held >> (have - 16) & 0xFFFF]
+                have -= length
+                size = said & 15
+                if size or not k:
+                    k += said >> 4
+                    if k > 63:
+                        raise undecodable("JPEG block is too long")
+                    have -= size
+                    value = held >> have & masks[size]
+                    if size and not value >> (size - 1):
+                        value -= masks[size]
+                    if not k:
+                        c.last = value = c.last + value
+                    if value:
+                        places.append(base + k)
+                        values.append(value)
+                    k += 1
+                elif said == 0xF0:
+                    k += 16
+                else:
+                    break
+        if at > len(data):
+            raise undecodable("JPEG is cut off")
+
 
 def _scan(bits_of: list[bytes], comps: list, frame: dict, spectral: tuple, restart: int) -> None:
     ss, se, ah, al = spectral
-    progressive, single = frame["progressive"], len(comps) == 1
+    if not frame["progressive"]:
+        _sequential(bits_of, comps, frame, restart)
+        return
+    single = len(comps) == 1
     if single:
         c = comps[0]
         across, down = -(-(-(-frame["width"] * c.h // frame["hmax"])) // 8), -(-(-(-frame["height"] * c.v // frame["vmax"])) // 8)
@@ -113,9 +180,7 @@ def _scan(bits_of: list[bytes], comps: list, frame: dict, spectral: tuple, resta
             for v in range(1 if single else c.v):
                 for h in range(1 if single else c.h):
                     block = c.blocks[y if single else y * c.v + v][x if single else x * c.h + h]
-                    if not progressive:
-                        _sequential(bits, c, block)
-                    elif ss == 0:
+                    if ss == 0:
                         if ah == 0:
                             c.last += bits.signed(bits.symbol(c.dc))
                             block[0] = c.last << al
@@ -127,25 +192,6 @@ def _scan(bits_of: list[bytes], comps: list, frame: dict, spectral: tuple, resta
                         eob = _refine(bits, c, block, ss, se, al, eob)
 
 
-def _sequential(bits: Bits, c, block: list) -> None:
-    c.last += bits.signed(bits.symbol(c.dc))
-    block[0] = c.last
-    k = 1
-    while k < 64:
-        s = bits.symbol(c.ac)
-        run, size = s >> 4, s & 15
-        if size:
-            k += run
-            if k > 63:
-                raise undecodable("JPEG block is too long")
-            block[k] = bits.signed(size)
-            k += 1
-        elif run == 15:
-            k += 16
-        else:
-            return
-
-
 def _first(bits: Bits, c, block: list, ss: int, se: int, al: int, eob: int) -> int:
     if eob:
         return eob - 1
@@ -226,8 +272,8 @@ def _split_scan(data: bytes, at: int) -> tuple[list[bytes], int]:
             return parts, at
 
 
-def decode(data: bytes) -> np.ndarray:
-    """RGB of 8 bits: of gray, YCbCr, RGB, CMYK or YCCK."""
+def decode(data: bytes, eighths: int = 8) -> np.ndarray:
+    """RGB of 8 bits: of gray, YCbCr, RGB, CMYK or YCCK. eighths: of the size, from the low frequencies of each block alone; axes are rounded up."""
     quant, dc, ac, frame, restart, adobe = {}, {}, {}, None, 0, None
     at = 0
     prefix = b""
@@ -258,7 +304,7 @@ def decode(data: bytes) -> np.ndarray:
                 hmax, vmax = max(c.h for c in comps), max(c.v for c in comps)
                 frame = {"width": w, "height": h, "comps": comps, "hmax": hmax, "vmax": vmax, "mcus_x": -(-w // (8 * hmax)), "mcus_y": -(-h // (8 * vmax)), "progressive": marker == 0xC2}
                 for c in comps:
-                    c.blocks = [[[0] * 64 for _ in range(frame["mcus_x"] * c.h)] for _ in range(frame["mcus_y"] * c.v)]
+                    c.frame(frame["mcus_y"] * c.v, frame["mcus_x"] * c.h, frame["progressive"])
             elif 0xC3 <= marker <= 0xCF and marker != 0xC8 and marker != 0xCC:
                 raise undecodable("JPEG process is not supported")
             elif marker == 0xDD:
@@ -281,7 +327,7 @@ def decode(data: bytes) -> np.ndarray:
                 parts, stop = _split_scan(data, at + end - len(prefix))
                 try:
                     _scan(parts, chosen, frame, (ss, se, a >> 4, a & 15), restart)
-                except (IndexError, AttributeError) as e:
+                except (IndexError, AttributeError, TypeError) as e:
                     raise undecodable("JPEG scan is invalid") from e
                 at, prefix = stop, b"\xff\xd8"
                 break
@@ -289,18 +335,30 @@ def decode(data: bytes) -> np.ndarray:
             break
     if frame is None:
         raise undecodable("JPEG has no picture")
-    return _picture(frame, quant, adobe)
+    return _picture(frame, quant, adobe, eighths)
+
+
+def basis(n: int) -> np.ndarray:
+    """The cosine transform of n points, a row for each frequency."""
+    at = np.arange(n)
+    return np.where(at[:, None] == 0, np.sqrt(1 / n), np.sqrt(2 / n) * np.cos((2 * at[None, :] + 1) * at[:, None] * np.pi / (2 * n)))
+
+
+def _both(blocks: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """matrix applied to rows and columns of (n, k, k) blocks, as two large products."""
+    n, k, _ = blocks.shape
+    half = (blocks.reshape(-1, k) @ matrix).reshape(n, k, -1).transpose(0, 2, 1)
+    return (np.ascontiguousarray(half).reshape(-1, k) @ matrix).reshape(n, matrix.shape[1], -1).transpose(0, 2, 1)
 
 
-def _picture(frame: dict, quant: dict, adobe: int | None) -> np.ndarray:
-    w, h, planes = frame["width"], frame["height"], []
-    back = np.argsort(ZIGZAG)
+def _picture(frame: dict, quant: dict, adobe: int | None, eighths: int = 8) -> np.ndarray:
+    planes, back = [], np.argsort(ZIGZAG)
+    w, h = -(-frame["width"] * eighths // 8), -(-frame["height"] * eighths // 8)
     for c in frame["comps"]:
         if c.table not in quant:
             raise undecodable("JPEG quantisation table is missing")
-        blocks = np.array(c.blocks, np.float64) * quant[c.table]
-        blocks = blocks[..., back].reshape(*blocks.shape[:2], 8, 8)
-        pixels = np.einsum("ki,yxkl,lj->yixj", DCT, blocks, DCT).reshape(blocks.shape[0] * 8, -1)
+        blocks = (c.coefficients() * quant[c.table])[..., back].reshape(-1, 8, 8)[:, :eighths, :eighths]
+        pixels = _both(np.ascontiguousarray(blocks) * (eighths / 8), basis(eighths)).reshape(c.rows, c.cols, eighths, eighths).transpose(0, 2, 1, 3).reshape(c.rows * eighths, -1)
         plane = np.clip(np.floor(pixels + 128.5), 0, 255)
         ch, cw = -(-h * c.v // frame["vmax"]), -(-w * c.h // frame["hmax"])
         planes.append(_upsampled(plane[:ch, :cw], h, w, frame["vmax"] // c.v, frame["hmax"] // c.h))
@@ -388,36 +446,89 @@ def scaled_table(base: list[int], quality: float) -> np.ndarray:
 def _blocks(plane: np.ndarray, table: np.ndarray, rows: int, cols: int) -> np.ndarray:
     """Quantised coefficients in zigzag order of (rows, cols) blocks."""
     p = np.pad(plane, ((0, rows * 8 - plane.shape[0]), (0, cols * 8 - plane.shape[1])), mode="edge") - 128.0
-    coeff = np.einsum("ki,yixj,lj->yxkl", DCT, p.reshape(rows, 8, cols, 8), DCT).reshape(rows, cols, 64)
+    blocks = np.ascontiguousarray(p.reshape(rows, 8, cols, 8).transpose(0, 2, 1, 3)).reshape(-1, 8, 8)
+    coeff = _both(blocks, basis(8).T).reshape(rows, cols, 64)
     return np.round(coeff / table).astype(np.int64)[..., ZIGZAG]
 
 
-def _symbols(block: list[int], last: int) -> tuple[list[tuple[int, int, int]], int]:
-    """(symbol, bits, how many) of a block: first the difference of the mean, then runs."""
-    diff = block[0] - last
-    n = abs(diff).bit_length()
-    out = [(n, diff if diff >= 0 else diff + (1 << n) - 1, n)]
-    run = 0
-    end = 63
-    while end and not block[end]:
-        end -= 1
-    for v in block[1 : end + 1]:
-        if not v:
-            run += 1
-            continue
-        while run > 15:
-            out.append((0xF0, 0, 0))
-            run -= 16
-        n = abs(v).bit_length()
-        out.append((run << 4 | n, v if v > 0 else v + (1 << n) - 1, n))
-        run = 0
-    if end < 63:
-        out.append((0, 0, 0))
-    return out, block[0]
-
-
-def encode(rgb: np.ndarray, quality: float = 80, icc: bytes | None = None, subsample: bool | None = None) -> bytes:
-    """Sequential YCbCr, 4:2:0 below quality 90 unless told otherwise."""
+def _widths(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many bits each value takes, and these bits."""
+    size = np.frexp(np.abs(values).astype(float))[1].astype(np.int64)
+    return size, np.where(values >= 0, values, values + (1 << size) - 1)
+
+
+class Scan:
+    """Codes of a scan in order: (table, symbol, bits, how many). blocks: (n, 64) in the order of the scan; of: the table of each; lo, hi: its frequencies."""
+
+    def __init__(self, blocks: np.ndarray, of: np.ndarray, comp: np.ndarray, lo: int, hi: int):
+        place, table, symbol, bits, size = [], [], [], [], []
+
+        def add(at, t, s, b, n):
+            for into, x in zip((place, table, symbol, bits, size), (at, t, s, b, n)):
+                into.append(np.broadcast_to(x, at.shape))
+
+        n = np.arange(len(blocks))
+        if lo == 0:
+            diff = blocks[:, 0].copy()
+            for c in np.unique(comp):
+                mine = np.flatnonzero(comp == c)
+                diff[mine] = np.diff(blocks[mine, 0], prepend=0)
+            width, said = _widths(diff)
+            add(n * 1024, 2 * of, width, said, width)
+        if hi > 0:
+            first = max(lo, 1)
+            b, k = np.nonzero(blocks[:, first : hi + 1])
+            k += first
+            before = np.concatenate([[0], k[:-1]]) if len(k) else k
+            fresh = np.concatenate([[True], b[1:] != b[:-1]]) if len(b) else np.zeros(0, bool)
+            run = k - np.where(fresh, first - 1, before) - 1
+            width, said = _widths(blocks[b, k])
+            at = b * 1024 + k * 8 + 4
+            add(at, 2 * of[b] + 1, (run & 15) << 4 | width, said, width)
+            for long in range(1, 4):  # runs of sixteen zeros before it
+                some = run >= 16 * long
+                add(at[some] - long, 2 * of[b[some]] + 1, 0xF0, 0, 0)
+            last = np.full(len(blocks), first - 1)
+            np.maximum.at(last, b, k)
+            short = n[last < hi]
+            add(short * 1024 + 1023, 2 * of[short] + 1, 0, 0, 0)
+        order = np.argsort(np.concatenate(place), kind="stable")
+        self.table, self.symbol, self.bits, self.size = (np.concatenate(x).astype(np.int64)[order] for x in (table, symbol, bits, size))
+
+    def tables(self) -> dict[int, tuple[bytes, bytes]]:
+        """By number (twice the class, one more for all but means): the code lengths and symbols that suit the scan."""
+        out = {}
+        for t in np.unique(self.table).tolist():
+            times = np.bincount(self.symbol[self.table == t], minlength=256)
+            out[t] = _lengths(Counter({s: int(times[s]) for s in np.flatnonzero(times).tolist()}))
+        return out
+
+    def coded(self, tables: dict[int, tuple[bytes, bytes]]) -> bytes:
+        code, length = np.zeros((4, 256), np.int64), np.zeros((4, 256), np.int64)
+        for t, made in tables.items():
+            for s, (c, n) in _codes(*made).items():
+                code[t, s], length[t, s] = c, n
+        value = code[self.table, self.symbol] << self.size | self.bits
+        long = length[self.table, self.symbol] + self.size
+        ends = np.cumsum(long)
+        total = int(ends[-1]) if len(ends) else 0
+        bits = np.ones(total + -total % 8, np.uint8)
+        step = 1 << 18
+        for at in range(0, len(long), step):  # some codes at a time: each bit takes a few bytes here
+            n, v, e = long[at : at + step], value[at : at + step], ends[at : at + step]
+            which = np.repeat(np.arange(len(n)), n)
+            start = int(e[0] - n[0])
+            left = e[which] - (start + np.arange(len(which))) - 1
+            bits[start : start + len(which)] = v[which] >> left & 1
+        return np.packbits(bits).tobytes().replace(b"\xff", b"\xff\x00")
+
+
+#: The frequencies of the scans of a progressive picture after that of the means.
+SPECTRA = [(1, 5), (6, 63)]
+
+
+def encode(rgb: np.ndarray, quality: float = 80, icc: bytes | None = None, subsample: bool | None = None, progressive: bool = False) -> bytes:
+    """YCbCr, 4:2:0 below quality 90 unless told otherwise; progressive: means first, then low and high frequencies of each component."""
     quality = min(100.0, max(1.0, float(quality)))
     half = quality < 90 if subsample is None else subsample
     h, w, _ = rgb.shape
@@ -429,42 +540,25 @@ def encode(rgb: np.ndarray, quality: float = 80, icc: bytes | None = None, subsa
     f = 2 if half else 1
     mx, my = -(-w // (8 * f)), -(-h // (8 * f))
     tables = [scaled_table(LUMA, quality), scaled_table(CHROMA, quality)]
-    grids = [_blocks(planes[0], tables[0], my * f, mx * f).tolist(), _blocks(planes[1], tables[1], my, mx).tolist(), _blocks(planes[2], tables[1], my, mx).tolist()]
-    units, last = [], [0, 0, 0]
-    for y in range(my):
-        for x in range(mx):
-            for i, grid in enumerate(grids):
-                for v in range(f if i == 0 else 1):
-                    for u in range(f if i == 0 else 1):
-                        block = grid[y * f + v][x * f + u] if i == 0 else grid[y][x]
-                        symbols, last[i] = _symbols(block, last[i])
-                        units.append((min(i, 1), symbols))
-    freq = [[Counter(), Counter()], [Counter(), Counter()]]
-    for t, symbols in units:
-        freq[t][0][symbols[0][0]] += 1
-        for s, _, _ in symbols[1:]:
-            freq[t][1][s] += 1
-    made = [[_lengths(c) if c else (bytes(16), b"") for c in pair] for pair in freq]
-    codes = [[_codes(*m) for m in pair] for pair in made]
-    bits, have, out = 0, 0, bytearray()
-    for t, symbols in units:
-        table = codes[t][0]
-        for s, value, n in symbols:
-            code, length = table[s]
-            bits = (bits << length | code) << n | value
-            have += length + n
-            table = codes[t][1]
-        if have > 4096:
-            keep = have & 7
-            out += (bits >> keep).to_bytes((have - keep) // 8, "big")
-            bits, have = bits & ((1 << keep) - 1), keep
-    fill = -have % 8
-    out += ((bits << fill) | ((1 << fill) - 1)).to_bytes((have + fill) // 8, "big")
+    grids = [_blocks(planes[0], tables[0], my * f, mx * f), _blocks(planes[1], tables[1], my, mx), _blocks(planes[2], tables[1], my, mx)]
+    # in units of f * f blocks of luma and one of each chroma
+    units = [grids[0].reshape(my, f, mx, f, 64).transpose(0, 2, 1, 3, 4).reshape(my * mx, f * f, 64), *(x.reshape(my * mx, 1, 64) for x in grids[1:])]
+    comp = np.tile(np.repeat(np.arange(3), [f * f, 1, 1]), my * mx)
+    together = np.concatenate(units, axis=1).reshape(-1, 64)
+    scans = [([0, 1, 2], 0, 0 if progressive else 63, Scan(together, np.minimum(comp, 1), comp, 0, 0 if progressive else 63))]
+    for i, grid in enumerate(grids) if progressive else ():
+        shape = planes[i].shape
+        mine = grid[: -(-shape[0] // 8), : -(-shape[1] // 8)].reshape(-1, 64)
+        for lo, hi in SPECTRA:
+            scans.append(([i], lo, hi, Scan(mine, np.full(len(mine), min(i, 1)), np.full(len(mine), i), lo, hi)))
     segment = lambda m, body: bytes([0xFF, m]) + struct.pack(">H", len(body) + 2) + body
-    head = [b"\xff\xd8", segment(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0")]
-    head += [segment(0xE2, p) for p in app2_parts(icc)] if icc else []
-    head += [segment(0xDB, bytes([i]) + t[ZIGZAG].astype(np.uint8).tobytes()) for i, t in enumerate(tables)]
-    head.append(segment(0xC0, struct.pack(">BHHB", 8, h, w, 3) + bytes([1, f << 4 | f, 0, 2, 0x11, 1, 3, 0x11, 1])))
-    head += [segment(0xC4, bytes([kind << 4 | t]) + made[t][kind][0] + made[t][kind][1]) for t in (0, 1) for kind in (0, 1)]
-    head.append(segment(0xDA, bytes([3, 1, 0, 2, 0x11, 3, 0x11, 0, 63, 0])))
-    return b"".join(head) + bytes(out).replace(b"\xff", b"\xff\x00") + b"\xff\xd9"
+    out = [b"\xff\xd8", segment(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0")]
+    out += [segment(0xE2, p) for p in app2_parts(icc)] if icc else []
+    out += [segment(0xDB, bytes([i]) + t[ZIGZAG].astype(np.uint8).tobytes()) for i, t in enumerate(tables)]
+    out.append(segment(0xC2 if progressive else 0xC0, struct.pack(">BHHB", 8, h, w, 3) + bytes([1, f << 4 | f, 0, 2, 0x11, 1, 3, 0x11, 1])))
+    for comps, lo, hi, scan in scans:
+        made = scan.tables()
+        out += [segment(0xC4, bytes([(t & 1) << 4 | t >> 1]) + lengths + symbols) for t, (lengths, symbols) in made.items()]
+        named = b"".join(bytes([c + 1, 0x11 * min(c, 1)]) for c in comps)
+        out += [segment(0xDA, bytes([len(comps)]) + named + bytes([lo, hi, 0])), scan.coded(made)]
+    return b"".join(out) + b"\xff\xd9"

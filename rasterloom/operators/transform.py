@@ -6,6 +6,7 @@ requests should be coalesced first (operators.coalesce), and large sources sprea
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -129,17 +130,27 @@ def estimate(found: dict, out_w: int, out_h: int, held: int, linear: bool) -> di
     }
 
 
-def decode(content: bytes, fmt: str) -> np.ndarray:
+#: Formats that an encoder is there for.
+WRITTEN = ("jpeg", "png")
+
+
+def eighths(w: int, h: int, dst_w: int, dst_h: int, margin: float | None) -> int:
+    """At how many eighths of its size a JPEG is decoded: the fewest that still reach margin times the target; without a margin all."""
+    enough = lambda k, src, dst: -(-src * k // 8) >= min(math.ceil(dst * margin), src)
+    return 8 if margin is None else next((k for k in range(1, 8) if enough(k, w, dst_w) and enough(k, h, dst_h)), 8)
+
+
+def decode(content: bytes, fmt: str, scale: int = 8) -> np.ndarray:
     if fmt == "png":
         return png.decode(content)
     if fmt == "jpeg":
-        return jpeg.decode(content)
+        return jpeg.decode(content, scale)
     raise undecodable(f"{fmt} support is not enabled")
 
 
 def encode(image: np.ndarray, fmt: str, config: Config, quality: float | None = None, icc: bytes | None = None) -> bytes:
     if fmt == "jpeg":
-        return jpeg.encode(raster.flatten(image, config.flatten_bg), config.quality if quality is None else quality, icc)
+        return jpeg.encode(raster.flatten(image, config.flatten_bg), config.quality if quality is None else quality, icc, progressive=config.jpeg_progressive)
     if fmt == "png":
         quantize = config.png_quantize and raster.opaque(image)
         effort = config.png_effort or ("balanced" if config.png_quantize else "fast")
@@ -151,7 +162,7 @@ def encode(image: np.ndarray, fmt: str, config: Config, quality: float | None =
 
 
 def process(content: bytes, max_width: int = 0, max_height: int = 0, output: str | None = None, quality: float | None = None, config: Config = Config()) -> dict:  # noqa: B008
-    """One image. Zero axes have no bound; without an output format the source's own is kept. Raises RowError."""
+    """One image. Zero axes have no bound; without an output format the source's own is kept. Raises RowError. note: the terms of an estimate above log_decoded_bytes_above."""
     if len(content) > config.max_source_bytes:
         raise RowError("SourceTooLarge", "source image too large", f"{len(content)} bytes")
     found = probe(content)
@@ -167,17 +178,27 @@ def process(content: bytes, max_width: int = 0, max_height: int = 0, output: str
     terms = estimate(found, out_w, out_h, len(content), config.resize == "linear")
     if config.max_decoded_bytes is not None and sum(terms.values()) > config.max_decoded_bytes:
         raise RowError("SourceTooLarge", "source image too large", " ".join(f"{k}={v}" for k, v in terms.items()))
-    image = decode(content, found["format"])
+    if fmt not in WRITTEN:  # before any pixel is touched
+        raise undecodable(f"{fmt} support is not enabled")
     stored = (out_h, out_w) if orientation >= 5 else (out_w, out_h)
-    image = raster.orient(raster.resize(image, *stored, linear=config.resize == "linear"), orientation)
+    image = decode(content, found["format"], eighths(found["width"], found["height"], *stored, config.dct_margin))
     icc = found["icc"] if config.icc and found["channels"] != 4 or config.icc and found["format"] == "png" else None
-    return {"format": fmt, "width": out_w, "height": out_h, "orientation": orientation, "cost": terms, "data": encode(image, fmt, config, quality, icc), "error": None}
+    try:
+        image = raster.orient(raster.resize(image, *stored, linear=config.resize == "linear"), orientation)
+        data = encode(image, fmt, config, quality, icc)
+    except RowError:
+        raise
+    except Exception as e:  # the source was read: what fails now is the engine's own fault
+        raise RowError("Internal", "internal image-processing error", repr(e)) from e
+    over = config.log_decoded_bytes_above
+    note = " ".join(f"{k}={v}" for k, v in terms.items()) if over is not None and sum(terms.values()) > over else None
+    return {"format": fmt, "width": out_w, "height": out_h, "orientation": orientation, "cost": terms, "data": data, "note": note, "error": None}
 
 
 COST = pa.struct([(n, pa.int64()) for n in ("staged", "resize_input", "output", "whole_source", "compressed")])
-RESULT = pa.struct([("format", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("orientation", pa.int32()), ("cost", COST), ("data", pa.binary()), ("error", pa.struct([("kind", pa.string()), ("message", pa.string()), ("detail", pa.string())]))])
-RESULT_DDL = "struct<format: string, width: int, height: int, orientation: int, cost: struct<staged: long, resize_input: long, output: long, whole_source: long, compressed: long>, data: binary, error: struct<kind: string, message: string, detail: string>>"
-BLANK = {"format": None, "width": None, "height": None, "orientation": None, "cost": None, "data": None}
+RESULT = pa.struct([("format", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("orientation", pa.int32()), ("cost", COST), ("data", pa.binary()), ("note", pa.string()), ("error", pa.struct([("kind", pa.string()), ("message", pa.string()), ("detail", pa.string())]))])
+RESULT_DDL = "struct<format: string, width: int, height: int, orientation: int, cost: struct<staged: long, resize_input: long, output: long, whole_source: long, compressed: long>, data: binary, note: string, error: struct<kind: string, message: string, detail: string>>"
+BLANK = {"format": None, "width": None, "height": None, "orientation": None, "cost": None, "data": None, "note": None}
 
 
 def _one(row: dict, config: Config) -> dict:
@@ -209,17 +230,19 @@ def transform(df: DataFrame, config: Config = Config()) -> DataFrame:  # noqa: B
 PROBE = pa.struct([("format", pa.string()), ("width", pa.int32()), ("height", pa.int32()), ("orientation", pa.int32()), ("icc_bytes", pa.int32()), ("error", pa.string())])
 
 
+def look(content: bytes | None) -> dict:
+    """What probe() finds, or the error."""
+    try:
+        p = probe(content or b"")
+        return {"format": p["format"], "width": p["width"], "height": p["height"], "orientation": p["orientation"], "icc_bytes": len(p["icc"] or b""), "error": None}
+    except Exception as e:
+        return {"error": classify(e).message}
+
+
 def probed(df: DataFrame) -> DataFrame:
     """df with a column `probe`: format, stored size, orientation, size of the profile, or an error; content is dropped."""
     kept = [c for c in df.columns if c != "content"]
 
-    def look(content: bytes | None) -> dict:
-        try:
-            p = probe(content or b"")
-            return {"format": p["format"], "width": p["width"], "height": p["height"], "orientation": p["orientation"], "icc_bytes": len(p["icc"] or b""), "error": None}
-        except Exception as e:
-            return {"error": classify(e).message}
-
     def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in kept), pa.array([look(c.as_py()) for c in batch["content"]], PROBE)], names=[*kept, "probe"])

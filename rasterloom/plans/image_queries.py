@@ -15,8 +15,7 @@ from ..operators import coalesce, metrics, quality, resample
 QUERIES: dict = {}
 ORACLES: dict = {}
 
-KEY = bytes.fromhex("deadbeef" * 8)
-SALT = bytes.fromhex("cafebabe" * 8)
+KEY, SALT = bytes(range(1, 33)), bytes(range(200, 216))
 
 
 def query(sql: str | None = None):
@@ -158,14 +157,14 @@ def route_parse(spark, sf_dir):
     return d.select("event_id", "signature", "width", "height", at["base"].alias("base"), at["format"].alias("format"), status.alias("status"))
 
 
-OPTION_LISTS = [
-    "width=750,quality=80", "height=1024", "width=100,height=200,quality=1,format=webp", "width=1,format=auto", "fit=cover", "width=1,width=2", "width=5,quality", "width=5,,height=2", "width=0", "width=9000",
-    "quality=80", "width=10,quality=101", "width=10,format=gif", "", "height=8192,format=jpg", "width=abc", "width=3,quality=0,fit=1",
-]
-_OPT = ", ".join(f"'{o}'" for o in OPTION_LISTS)
+#: An option list made from a row: each option is there if a prime divides the id, with a value that may be out of range; both engines read this expression.
+SAID = """concat_ws(',', CASE WHEN event_id % 2 = 0 THEN 'width=' || (user_id * 7 % 9500) END, CASE WHEN event_id % 3 = 0 THEN 'height=' || (event_id % 8300) END,
+ CASE WHEN event_id % 5 = 0 THEN 'quality=' || (user_id % 120) END, CASE WHEN event_id % 7 = 0 THEN 'format=' || event_type END, CASE WHEN event_id % 11 = 0 THEN event_type || '=' || user_id END,
+ CASE WHEN event_id % 13 = 0 THEN 'height=' || user_id END, CASE WHEN event_id % 17 = 0 THEN event_type END,
+ CASE WHEN event_id % 4 = 2 THEN 'format=' || CASE user_id % 6 WHEN 0 THEN 'jpg' WHEN 1 THEN 'jpeg' WHEN 2 THEN 'png' WHEN 3 THEN 'webp' WHEN 4 THEN 'avif' ELSE 'auto' END END, CASE WHEN event_id % 23 = 0 THEN 'quality=' || event_type END)"""
 
 
-@query(f"""WITH l AS (SELECT event_id, ([{_OPT}])[CAST(event_id % {len(OPTION_LISTS)} + 1 AS INTEGER)] AS said FROM events),
+@query(f"""WITH l AS (SELECT event_id, {SAID} AS said FROM events),
 x AS (SELECT event_id, unnest(string_split(said, ',')) AS item, generate_subscripts(string_split(said, ','), 1) AS i FROM l),
 k AS (SELECT *, split_part(item, '=', 1) AS key, substr(item, instr(item, '=') + 1) AS value, instr(item, '=') > 0 AS has FROM x),
 f AS (SELECT *, CASE WHEN NOT has THEN 'malformed option: ' || item WHEN key NOT IN ('width', 'height', 'quality', 'format') THEN 'unknown option: ' || key
@@ -177,21 +176,20 @@ g AS (SELECT event_id, arg_min(fault, i) FILTER (fault IS NOT NULL) AS fault, ma
 e AS (SELECT *, coalesce(fault, CASE WHEN w IS NULL AND h IS NULL THEN 'no dimension' END) AS error FROM g)
 SELECT event_id, CASE WHEN error IS NULL THEN coalesce(w, 0) END AS width, CASE WHEN error IS NULL THEN coalesce(h, 0) END AS height, CASE WHEN error IS NULL THEN q END AS quality, CASE WHEN error IS NULL THEN fmt END AS format, error FROM e""")
 def options_parse(spark, sf_dir):
-    said = F.element_at(F.array(*map(F.lit, OPTION_LISTS)), (F.col("event_id") % len(OPTION_LISTS) + 1).cast("int"))
-    d = _t(spark, sf_dir, "events").select("event_id", said.alias("said"))
+    d = _t(spark, sf_dir, "events").select("event_id", F.expr(SAID).alias("said"))
     return d.select("event_id", grammar.options(F.col("said")).alias("o")).select("event_id", "o.*")
 
 
-KEYS = ["photo.jpg", "albums/2026/photo.jpg", "my..file.jpg", "dir.d/...jpg", "ver@2/photo.jpg", "..", "../x", "a/../x", "a/b/..", "./a", "a/./b", "/etc/passwd", "a//b", "a/b/", "a b/c.jpg", "café.jpg", "a%2e%2e/x.jpg", "photo@2x.jpg", "q?x", "h#x"]
-_KEYS = ", ".join(f"'{k}'" for k in KEYS)
-_BAD = [k for k in KEYS if k in ("q?x", "h#x") or any(p in ("", ".", "..") for p in k.split("/"))]
+#: A source key made from a row: a folder, a middle part that may be none or lead elsewhere, a name and an end that a key may not have.
+SOURCE_KEY = """concat('s', page_id % 50, '/', CASE page_id % 7 WHEN 0 THEN '' WHEN 1 THEN '.' WHEN 2 THEN '..' WHEN 3 THEN 'm..' WHEN 4 THEN '%25' WHEN 5 THEN '...m' ELSE 'm' END, '/', page_id,
+ CASE page_id % 11 WHEN 0 THEN '?v' WHEN 1 THEN '#v' WHEN 2 THEN '/' WHEN 3 THEN '@3x' WHEN 4 THEN ' ü' ELSE '.jpg' END)"""
 
 
-@query(f"""WITH k AS (SELECT page_id, ([{_KEYS}])[CAST(page_id % {len(KEYS)} + 1 AS INTEGER)] AS key FROM pages)
-SELECT page_id, key, key NOT IN ({", ".join(f"'{k}'" for k in _BAD)}) AS valid, length(key) - 2 * (length(key) - length(replace(key, '%', ''))) AS decoded_length FROM k""")
+@query(f"""WITH k AS (SELECT page_id, {SOURCE_KEY} AS key FROM pages)
+SELECT page_id, key, len(list_filter(string_split(key, '/'), lambda x: x IN ('', '.', '..'))) = 0 AND strpos(key, '?') = 0 AND strpos(key, '#') = 0 AS valid,
+length(key) - 2 * (length(key) - length(replace(key, '%', ''))) AS decoded_length FROM k""")
 def path_validate(spark, sf_dir):
-    key = F.element_at(F.array(*map(F.lit, KEYS)), (F.col("page_id") % len(KEYS) + 1).cast("int"))
-    d = _t(spark, sf_dir, "pages").select("page_id", key.alias("key"))
+    d = _t(spark, sf_dir, "pages").select("page_id", F.expr(SOURCE_KEY).alias("key"))
     return d.select("page_id", "key", grammar.valid_path(F.col("key")).alias("valid"), grammar.decoded_length(F.col("key")).cast("long").alias("decoded_length"))
 
 
@@ -217,16 +215,16 @@ def url_sign(spark, sf_dir):
     return d.select("page_id", "path", grammar.signature(F.col("path"), KEY, SALT).alias("signature"))
 
 
-ACCEPTS = ["image/avif,image/webp,*/*", "image/webp,*/*", "image/apng,*/*", "", "text/html,image/webp;q=0.1,image/avif;q=0.9"]
-_ACC = ", ".join(f"'{a}'" for a in ACCEPTS)
+#: An Accept header made from a row: types in an order of their own, some with weights.
+ACCEPT = """concat_ws(', ', CASE WHEN event_id % 3 = 0 THEN 'text/' || event_type END, CASE WHEN event_id % 4 < 2 THEN 'image/webp;q=0.' || (user_id % 10) END, CASE WHEN event_id % 5 = 1 THEN 'image/avif' END,
+ CASE WHEN event_id % 2 = 1 THEN 'image/svg+xml' END)"""
 
 
-@query(f"""WITH a AS (SELECT event_id, ([{_ACC}])[CAST(event_id % 5 + 1 AS INTEGER)] AS accept, CASE WHEN event_id % 7 = 0 THEN 'png' END AS explicit FROM events),
+@query(f"""WITH a AS (SELECT event_id, {ACCEPT} AS accept, CASE WHEN event_id % 7 = 0 THEN 'png' END AS explicit FROM events),
 n AS (SELECT *, CASE WHEN instr(accept, 'image/avif') > 0 THEN 'avif' WHEN instr(accept, 'image/webp') > 0 THEN 'webp' END AS negotiated FROM a)
 SELECT event_id, negotiated, coalesce(explicit, negotiated, 'jpeg') AS format, 'Accept' AS vary FROM n""")
 def negotiate_format(spark, sf_dir):
-    e = F.col("event_id")
-    d = _t(spark, sf_dir, "events").select(e, F.element_at(F.array(*map(F.lit, ACCEPTS)), (e % 5 + 1).cast("int")).alias("accept"), F.when(e % 7 == 0, "png").alias("explicit"))
+    d = _t(spark, sf_dir, "events").select("event_id", F.expr(ACCEPT).alias("accept"), F.when(F.col("event_id") % 7 == 0, "png").alias("explicit"))
     n = grammar.negotiated(F.col("accept"), ["avif", "webp"])
     return d.select("event_id", n.alias("negotiated"), grammar.precedence(F.col("explicit"), n, F.lit("jpeg")).alias("format"), F.lit("Accept").alias("vary"))
 
@@ -342,11 +340,11 @@ def counter_delta(spark, sf_dir):
     return metrics.deltas(scrapes, "event_type", "day", "total", "n").select("event_type", F.date_format("day", "yyyy-MM-dd").alias("day"), "d_count", "d_total", _r(F.col("mean"), "mean"))
 
 
-@query("SELECT event_id, 'req=' || event_id || ' status=' || CASE event_type WHEN 'error' THEN '500' ELSE '200' END || ' path=/resize/' || user_id || '/0/x.jpg' || CASE event_type WHEN 'error' THEN ' err=internal' ELSE '' END AS line FROM events")
+@query("SELECT event_id, 'req=' || event_id || ' status=' || CASE event_type WHEN 'error' THEN '500' ELSE '200' END || ' ms=' || (user_id % 500) || '.' || (event_id % 10) || ' path=/resize/' || user_id || '/0/x.jpg' || CASE event_type WHEN 'error' THEN ' err=internal' ELSE '' END AS line FROM events")
 def log_lines(spark, sf_dir):
     bad = F.col("event_type") == "error"
-    line = metrics.access_line(F.col("event_id"), F.when(bad, 500).otherwise(200), F.lit(0.0), F.concat(F.lit("/resize/"), F.col("user_id").cast("string"), F.lit("/0/x.jpg")), F.when(bad, "internal"))
-    return _t(spark, sf_dir, "events").select("event_id", F.replace(line, F.lit(" ms=0.0"), F.lit("")).alias("line"))
+    line = metrics.access_line(F.col("event_id"), F.when(bad, 500).otherwise(200), F.col("user_id") % 500 + (F.col("event_id") % 10) / 10, F.concat(F.lit("/resize/"), F.col("user_id").cast("string"), F.lit("/0/x.jpg")), F.when(bad, "internal"))
+    return _t(spark, sf_dir, "events").select("event_id", line.alias("line"))
 
 
 @query("""WITH r AS (SELECT event_id, event_id % 1000 AS key FROM events), j AS (SELECT event_id, key, p.page_id, p.url FROM r LEFT JOIN pages p ON p.page_id = key)
@@ -360,10 +358,10 @@ def source_join(spark, sf_dir):
 # ---------------------------------------------------------------- studies of quality
 
 
-@query("SELECT l_shipmode_ AS service, round(avg(CASE WHEN q = 1 THEN v END), 6) AS q1, round(avg(CASE WHEN q = 2 THEN v END), 6) AS q2, round(avg(CASE WHEN q = 3 THEN v END), 6) AS q3 FROM (SELECT l_returnflag AS l_shipmode_, l_linenumber AS q, l_extendedprice AS v FROM lineitem) GROUP BY 1")
+@query("SELECT l_shipmode_ AS service, " + ", ".join(f"round(avg(CASE WHEN q = {q} THEN v END), 6) AS q{q}" for q in range(1, 8)) + " FROM (SELECT l_returnflag AS l_shipmode_, l_linenumber AS q, l_extendedprice AS v FROM lineitem) GROUP BY 1")
 def quality_pivot(spark, sf_dir):
-    d = quality.pivoted(_t(spark, sf_dir, "lineitem").withColumn("service", F.col("l_returnflag")), ["service"], "l_linenumber", "l_extendedprice", [1, 2, 3])
-    return d.select("service", *(_r(F.col(f"q{q}"), f"q{q}") for q in (1, 2, 3)))
+    d = quality.pivoted(_t(spark, sf_dir, "lineitem").withColumn("service", F.col("l_returnflag")), ["service"], "l_linenumber", "l_extendedprice", list(range(1, 8)))
+    return d.select("service", *(_r(F.col(f"q{q}"), f"q{q}") for q in range(1, 8)))
 
 
 _CURVE = "c AS (SELECT l_suppkey AS item, l_returnflag AS service, l_linenumber AS q, avg(l_quantity) AS score, avg(l_extendedprice) AS bytes FROM lineitem GROUP BY 1, 2, 3)"
@@ -439,9 +437,9 @@ def srgb_lut(spark, sf_dir):
     return spark.range(256).select(F.col("id").alias("s"), colour.to_linear(F.col("id")).alias("linear"))
 
 
-@query(f"SELECT v, {_SRGB.format(v='v')} AS srgb FROM range(0, 65536, 17) t(v)")
+@query(f"SELECT v, {_SRGB.format(v='v')} AS srgb FROM range(65536) t(v)")
 def linear_lut(spark, sf_dir):
-    return spark.range(0, 65536, 17).select(F.col("id").alias("v"), colour.from_linear(F.col("id")).alias("srgb"))
+    return spark.range(65536).select(F.col("id").alias("v"), colour.from_linear(F.col("id")).alias("srgb"))
 
 
 _BYTES = "b AS (SELECT l_orderkey, l_linenumber, CAST(l_orderkey % 256 AS BIGINT) AS r, CAST(l_partkey % 256 AS BIGINT) AS g, CAST(l_suppkey % 256 AS BIGINT) AS bl, CAST((l_orderkey * 7 + l_linenumber * 31) % 256 AS BIGINT) AS a FROM lineitem)"
@@ -479,13 +477,14 @@ def rgb_luma10(spark, sf_dir):
 _CH = "CAST(greatest(least(floor({d} / {k}::DOUBLE / 255.0 * 1023 + 512 + 0.5), 1023), 0) AS BIGINT)"
 
 
-@query(f"""WITH {_BYTES}, m AS (SELECT l_orderkey, (l_linenumber - 1) // 2 AS block, avg(r) AS r, avg(g) AS g, avg(bl) AS b FROM b GROUP BY 1, 2), y AS (SELECT *, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS y FROM m)
-SELECT l_orderkey, CAST(block AS BIGINT) AS block, {_CH.format(d='(b - y)', k='1.772')} AS cb, {_CH.format(d='(r - y)', k='1.402')} AS cr FROM y""")
+@query(f"""WITH {_BYTES}, m AS (SELECT l_orderkey // 2 AS block_y, (l_linenumber - 1) // 2 AS block_x, avg(r) AS r, avg(g) AS g, avg(bl) AS b FROM b GROUP BY 1, 2), y AS (SELECT *, 0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b AS y FROM m)
+SELECT CAST(block_y AS BIGINT) AS block_y, CAST(block_x AS BIGINT) AS block_x, {_CH.format(d='(b - y)', k='1.772')} AS cb, {_CH.format(d='(r - y)', k='1.402')} AS cr FROM y""")
 def rgb_chroma420(spark, sf_dir):
-    block = F.floor((F.col("l_linenumber") - 1) / 2).cast("long")
-    m = _bytes(spark, sf_dir).groupBy("l_orderkey", block.alias("block")).agg(F.avg("r").alias("r"), F.avg("g").alias("g"), F.avg("bl").alias("b"))
+    """Blocks of two rows (orders) by two columns (lines)."""
+    row, column = F.shiftright("l_orderkey", 1).cast("long"), F.shiftright(F.col("l_linenumber") - 1, 1).cast("long")
+    m = _bytes(spark, sf_dir).groupBy(row.alias("block_y"), column.alias("block_x")).agg(F.avg("r").alias("r"), F.avg("g").alias("g"), F.avg("bl").alias("b"))
     cb, cr = colour.chroma10(F.col("r"), F.col("g"), F.col("b"))
-    return m.select("l_orderkey", "block", cb.alias("cb"), cr.alias("cr"))
+    return m.select("block_y", "block_x", cb.alias("cb"), cr.alias("cr"))
 
 
 @query(f"""WITH {_BYTES}, y AS (SELECT l_orderkey, l_linenumber, r * 4 / 1023.0::DOUBLE AS y, (g * 4 - 512) / 1023.0::DOUBLE AS u, (bl * 4 - 512) / 1023.0::DOUBLE AS v FROM b), c AS (SELECT *, y + 2 * (1 - 0.299::DOUBLE) * v AS rr, y + 2 * (1 - 0.114::DOUBLE) * u AS bb FROM y)
@@ -511,8 +510,8 @@ def orient_pixels(spark, sf_dir):
     return resample.oriented(p, F.lit(16), F.lit(4), F.col("o")).select("vec_id", "x", "y", "v")
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 10 = 3 AND length(text) > 1000 THEN NULL ELSE text END AS profile FROM documents WHERE length(text) > 0")
+@query("SELECT doc_id, CASE WHEN doc_id % 10 = 3 AND length(text) > 1000 THEN NULL WHEN text = '' THEN NULL ELSE text END AS profile FROM documents")
 def icc_reassemble(spark, sf_dir):
     parts = resample.icc_chunks(_t(spark, sf_dir, "documents").select("doc_id", "text"), "text", 1000)
     parts = parts.where(~((F.col("doc_id") % 10 == 3) & (F.col("count") > 1) & (F.col("seq") == F.col("count"))))
-    return resample.icc_reassembled(parts, "doc_id")
+    return _t(spark, sf_dir, "documents").select("doc_id").join(resample.icc_reassembled(parts, "doc_id"), "doc_id", "left")  # without a part there is no profile

@@ -33,7 +33,8 @@ SELECT p_partkey, CAST(greatest(round(w * least(24.0::DOUBLE / w, 20.0::DOUBLE /
 def transform_png(spark, sf_dir):
     """PNGs of one colour each, made, resized in linear light, encoded and read again."""
     k = F.col("p_partkey")
-    rows = base._t(spark, sf_dir, "part").select(k, (8 + k % 57).cast("int").alias("w"), (8 + (k * 7) % 41).cast("int").alias("h"), *((k * m % 256).cast("int").alias(n) for n, m in (("r", 1), ("g", 3), ("b", 5))))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # one small file would be one task
+    rows = base._t(spark, sf_dir, "part").repartition(n, "p_partkey").select(k, (8 + k % 57).cast("int").alias("w"), (8 + (k * 7) % 41).cast("int").alias("h"), *((k * m % 256).cast("int").alias(n) for n, m in (("r", 1), ("g", 3), ("b", 5))))
 
     def paint(batches):
         for batch in batches:

@@ -344,3 +344,59 @@ def test_streams(spark, tmp_path):
     keyed = stream().select("ts", (F.col("user_id") % 5).alias("width"), F.lit(1).alias("height"), F.lit("f").alias("file"), "format", F.lit(None).cast("int").alias("quality"))
     got = requests.drained(requests.leaders(keyed, "60 days"), "leaders", f"file://{tmp_path}/c3", "append")
     assert got.count() == request_log(events).select(F.col("user_id") % 5, "format").distinct().count()
+
+
+def test_sql_functions(spark):
+    from rasterloom.functions import sql
+    from rasterloom.operators.transform import Config
+
+    sql.register(spark, Config(log_decoded_bytes_above=1))
+    image = np.arange(5 * 4 * 3, dtype=np.uint8).reshape(5, 4, 3)
+    rows = [(1, bytearray(png.encode(image))), (2, bytearray(b"not an image at all")), (3, None)]
+    spark.createDataFrame(rows, "id int, content binary").createOrReplaceTempView("sql_sources")
+    got = {r.id: r for r in spark.sql("SELECT id, transform_image(content, 2, 0, 'png', CAST(NULL AS DOUBLE)) AS t, image_probe(content) AS p FROM sql_sources").collect()}
+    assert (got[1].t.width, got[1].t.height, got[1].t.error) == (2, 3, None) and got[1].t.note.startswith("staged=60") and (got[1].p.width, got[1].p.height) == (4, 5)
+    assert got[2].t.error.kind == "Undecodable" and got[3].t.error.kind == "SourceNotFound" and got[2].p.error
+    pixels = spark.sql("SELECT id, p.* FROM sql_sources, LATERAL explode_pixels(content) p").collect()
+    assert {(r.id, r.x, r.y): (r.r, r.g, r.b, r.a) for r in pixels} == {(1, x, y): (*map(int, image[y, x]), 255) for x in range(4) for y in range(5)}
+    spark.createDataFrame([(1, 2, 2, bytearray(b"b")), (1, 1, 2, bytearray(b"a")), (2, 1, 2, bytearray(b"x"))], "id int, seq int, count int, data binary").createOrReplaceTempView("sql_parts")
+    assert {r.id: r.icc and bytes(r.icc) for r in spark.sql("SELECT id, icc_assemble(seq, count, data) AS icc FROM sql_parts GROUP BY id").collect()} == {1: b"ab", 2: None}
+
+
+def test_a_format_without_an_encoder_is_refused_before_pixels(monkeypatch):
+    from rasterloom.errors import RowError
+    from rasterloom.operators import transform
+
+    content = png.encode(np.zeros((4, 4, 3), np.uint8))
+    monkeypatch.setattr(transform, "decode", lambda *_: pytest.fail("decoded"))
+    for fmt in ("webp", "avif"):
+        with pytest.raises(RowError) as e:
+            transform.process(content, output=fmt)
+        assert e.value.kind == "Undecodable"
+
+
+def test_faults_of_the_engine_are_internal(monkeypatch):
+    from rasterloom.operators import transform
+
+    def broken(*_, **__):
+        raise IndexError("a bug")
+
+    monkeypatch.setattr(transform, "encode", broken)
+    row = transform._one({"content": png.encode(np.zeros((4, 4, 3), np.uint8))}, transform.Config())
+    assert row["error"]["kind"] == "Internal" and row["error"]["message"] == "internal image-processing error"
+
+
+def test_long_directories_are_read_as_far_as_the_limit():
+    def tiff(count, at):
+        entries = [struct.pack("<HHIHH", 0x0112, 3, 1, 6, 0) if i == at else struct.pack("<HHII", 0x0100, 4, 1, 9) for i in range(count)]
+        return b"II*\0" + struct.pack("<IH", 8, count) + b"".join(entries)
+
+    assert containers.tiff_orientation(tiff(600, 3)) == 6 and containers.tiff_orientation(tiff(600, 511)) == 6 and containers.tiff_orientation(tiff(600, 512)) is None
+
+
+def test_clashing_columns_of_requests(spark):
+    from rasterloom.operators import coalesce
+
+    requests = spark.createDataFrame([(1, "k", "mine", "x")], "id int, key string, _there string, own_there string")
+    got = coalesce.with_sources(requests, spark.createDataFrame([("k", "u")], "key string, url string"), "key").collect()[0]
+    assert (got["_there"], got["own_there"], got.url, got.error) == ("mine", "x", "u", None)
