@@ -3,7 +3,7 @@
 Every document is cut into non-overlapping blocks of words, the anchors; a repeated window of w words holds at least one whole anchor of its own document
 if an anchor has (w + 1) // 2 words. The anchors of all documents are the index; every rolling window of an anchor's length is a probe. An anchor that a
 probe from anywhere else hits is extended: each window of w words around it is looked up among all the windows around hits, and runs of windows that
-are there twice are the maximal exact repeats. Anchors and probes meet by 48 bits of a rolling hash over digests of their words, where a mistaken hit only
+are there twice are the maximal exact repeats. Anchors and probes meet by 48 bits of a rolling hash over hashes of their words, where a mistaken hit only
 costs another look. What decides are 128-bit cryptographic digests of the words of a window, taken from the text itself.
 """
 
@@ -13,25 +13,25 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 
 from . import blocks as B
-from .common import U64, WORDS, digests, numbered_words, paired, partitions
+from .common import U64, WORDS, Words, digests, paired, partitions
 
 
-class Words:
-    """The words of some documents in a row, hashed; where each document's begin."""
+class Passages(Words):
+    """The words of some documents in a row, hashed."""
 
     def __init__(self, said: list[bytes]):
-        of, words, self.counts = numbered_words(said)
-        self.hashes = digests(words)[0][of]
-        self.line = b" ".join([x for t in said for x in t.split()])
-        sizes = np.array([len(x) for x in words], np.int64)[of]
-        self.ends = np.cumsum(sizes + 1) - 1
-        self.begins = self.ends - sizes
-        self.firsts = np.concatenate([[0], np.cumsum(self.counts)])
-        self.left = np.repeat(self.firsts[1:], self.counts) - np.arange(len(self.hashes))  # words to the document's end, this one included
-        self.at = np.arange(len(self.hashes)) - np.repeat(self.firsts[:-1], self.counts)
+        super().__init__(said)
+        self.hashes = np.array([xxhash.xxh3_64_intdigest(x) for x in self.words], U64)[self.of]
+        self.line = self.joined()
+        self.ends = np.cumsum(self.sizes + 1) - 1
+        self.begins = self.ends - self.sizes
+        counts = np.diff(self.firsts)
+        self.left = np.repeat(self.firsts[1:], counts) - np.arange(len(self.hashes))  # words to the document's end, this one included
+        self.at = np.arange(len(self.hashes)) - np.repeat(self.firsts[:-1], counts)
 
     def exactly(self, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Digests of the windows that start there, each of its words joined by one space."""
@@ -50,7 +50,7 @@ def _anchors(width: int, n: int):
     def ask(parts, _):
         probes, anchors = [], []
         for _, said in parts:
-            words = Words(said)
+            words = Passages(said)
             starts, keys = words.windows(width)
             keys = B.shorten(keys)
             probes.append(keys)
@@ -78,7 +78,7 @@ def _hit(said):
         yield block, 0, B.bits(several[np.searchsorted(once, k[mine])])
 
 
-def _read_hits(parts: list[Words], width: int, n: int, heard: dict) -> np.ndarray:
+def _read_hits(parts: list[Passages], width: int, n: int, heard: dict) -> np.ndarray:
     """The sorted short keys of this block's anchors that were hit."""
     mine = []
     for words in parts:
@@ -93,7 +93,7 @@ def _read_hits(parts: list[Words], width: int, n: int, heard: dict) -> np.ndarra
     return mine[hit]
 
 
-def _around(words: Words, hits: np.ndarray, anchor: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _around(words: Passages, hits: np.ndarray, anchor: int, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, keys and second keys of the windows that hold an anchor that was hit."""
     n = len(words.hashes)
     starts = np.flatnonzero((words.left >= anchor) & (words.at % anchor == 0))
@@ -112,7 +112,7 @@ def _windows(anchor: int, width: int, n: int):
     """Per block: the windows around hits, marked if they are there twice."""
 
     def ask(parts, heard):
-        words = [Words(said) for _, said in parts]
+        words = [Passages(said) for _, said in parts]
         hits = _read_hits(words, anchor, n, heard)
         found = [_around(w, hits, anchor, width)[1:] for w in words]
         first, second, times, _ = paired(np.concatenate([f for f, _ in found]), np.concatenate([s for _, s in found]))
@@ -140,9 +140,9 @@ def _repeated(said):
 
 def _removal(anchor: int, width: int, n: int, whole: bool):
     def conclude(parts, heard):
-        held = [(ids, said, Words(said)) for ids, said in parts]
-        hits = _read_hits([w for _, _, w in held], anchor, n, heard)
-        around = [_around(w, hits, anchor, width) for _, _, w in held]
+        held = [(ids, Passages(said)) for ids, said in parts]
+        hits = _read_hits([w for _, w in held], anchor, n, heard)
+        around = [_around(w, hits, anchor, width) for _, w in held]
         first, _, _, where = paired(np.concatenate([a[1] for a in around]), np.concatenate([a[2] for a in around]))
         cuts = B.bucket_cuts(first, n)
         again = np.zeros(len(first), bool)
@@ -150,18 +150,18 @@ def _removal(anchor: int, width: int, n: int, whole: bool):
             a, b = cuts[i], cuts[i + 1]
             again[a:b] = B.flags(data, b - a)
         at = 0
-        for (ids, said, words), (starts, _, _) in zip(held, around):
+        for (ids, words), (starts, _, _) in zip(held, around):
             starts, at = starts[again[where[at : at + len(starts)]]], at + len(starts)
             turn = np.zeros(len(words.hashes) + 1, np.int32)
             np.add.at(turn, starts, 1)
             np.add.at(turn, starts + width, -1)
             gone = np.cumsum(turn[:-1]) > 0
-            for doc, text, a, b in zip(ids, said, words.firsts[:-1], words.firsts[1:]):
-                mask, kept = gone[a:b], text.split()
+            for doc, a, b in zip(ids, words.firsts[:-1].tolist(), words.firsts[1:].tolist()):
+                mask = gone[a:b]
                 removed = int(mask.sum())
+                line = words.line[words.begins[a] : words.ends[b - 1]] if b > a else b""
                 if removed:
-                    kept = [w for w, g in zip(kept, mask.tolist()) if not g]
-                line = b" ".join(kept)
+                    line = b" ".join([w for w, g in zip(line.split(b" "), mask.tolist()) if not g])
                 row = (doc, int(b - a), removed, hashlib.sha256(line).hexdigest())
                 if whole:
                     turns = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0))

@@ -158,23 +158,35 @@ def digests(said: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return halves[:, 0].copy(), halves[:, 1].copy()
 
 
-class Numbers(dict):
-    """The number of each word, in the order in which they are first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        return number
-
-
-def numbered_words(said: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Which of the distinct words each word of some documents in a row is; the distinct words; how many words each document has."""
-    numbers, counts = Numbers(), []
-    of: list[int] = []
-    for text in said:
-        words = text.split()
-        of += map(numbers.__getitem__, words)
-        counts.append(len(words))
-    return np.array(of, np.int64), list(numbers), np.array(counts, np.int64)
+def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of these bytes start and end."""
+    white = np.ones(len(buf) + 2, bool)
+    white[1:-1] = IS_WHITE[buf]
+    turns = np.flatnonzero(white[1:] != white[:-1])
+    return turns[::2], turns[1::2]
+
+
+class Words:
+    """The words of some documents in a row: `of` says which of the distinct `words` each is, sizes how long it is, firsts where each document's words begin."""
+
+    def __init__(self, said: list[bytes]):
+        self.buf = np.frombuffer(b"\n".join(said), np.uint8)
+        starts, self.to = word_spans(self.buf)
+        self.sizes = self.to - starts
+        offsets = np.concatenate([[0], np.cumsum(self.sizes)])
+        bare = self.buf[~IS_WHITE[self.buf]]
+        found = pa.Array.from_buffers(pa.large_binary(), len(self.sizes), [None, pa.py_buffer(offsets), pa.py_buffer(bare)]).dictionary_encode()
+        self.of, self.words = found.indices.to_numpy().astype(np.int64), found.dictionary.to_pylist()
+        self.firsts = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in said]))
+
+    def joined(self) -> bytes:
+        """All words with one space after each, but for the last of all."""
+        keep = ~IS_WHITE[self.buf]
+        keep[self.to[self.to < len(keep)]] = True  # the white space after a word
+        line = self.buf[keep]
+        ends = np.cumsum(self.sizes + 1) - 1
+        line[ends[ends < len(line)]] = 32
+        return line.tobytes()
 
 
 def paired(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import deep
-from .common import U64, digests, numbered_words, paired, partitions, rows_of, texts, written
+from .common import U64, Words, digests, paired, partitions, rows_of, texts, written
 from .simhash import LOWER
 
 #: A bucket of a deeper tree goes through its contexts in so many ranges, one at a time.
@@ -41,8 +41,8 @@ def held_out(ident, folds: int = 7, fold: int = 2) -> bool:
 
 def _tokens(said: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Which of the distinct lower-cased words each token is, both halves of the digests of these, and where each document's tokens begin; ends are left out."""
-    of, words, counts = numbered_words([t.translate(LOWER) for t in said])
-    return of, *digests(words), np.concatenate([[0], np.cumsum(counts)])
+    found = Words([t.translate(LOWER) for t in said])
+    return found.of, *digests(found.words), found.firsts
 
 
 def _vocabulary(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -450,7 +450,7 @@ def test_raking_meets_the_marginals():
 
 def test_mixing_rows_are_those_of_a_plain_version(docs):
     """Counts, keys, probabilities by plain proportional fitting and the draw by the hash of the id, row by row."""
-    aim, budget = mixing.Targets({"src0": 0.3, "src1": 0.3}, {"en": 0.3, "de": 0.2}, {"note": 0.01}), 0.05
+    aim, budget = mixing.Targets({"src0": 0.3, "src1": 0.3}, {"en": 0.3, "de": 0.2}, {"note": 0.01}), 0.01
     rows = []
     for i, t, lang, source, *_ in fixture_rows():
         n = len(WHITE.findall(t or ""))
@@ -470,10 +470,10 @@ def test_mixing_rows_are_those_of_a_plain_version(docs):
                         p[k] *= shares[name] / sum(shares.values()) * budget * total / have
     assert max(p.values()) < 1  # so no cell is cut off, and plain fitting is enough
     draw = lambda i: (xxhash.xxh64_intdigest((42).to_bytes(4, "little"), xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42)) & (1 << 53) - 1) / 2**53
-    got = {(r.doc_id, r.n_tokens): r for r in mixing.mixing_weights(docs, aim, budget).collect()}
+    got = {(r.doc_id, r.n_tokens, r.source_key, r.language_key, r.topic_key): r for r in mixing.mixing_weights(docs, aim, budget).collect()}
+    assert set(got) == {(i, n, *key) for i, n, *key in rows}
     for i, n, *key in rows:
-        r = got[i, n]
-        assert (r.source_key, r.language_key, r.topic_key) == tuple(key)
+        r = got[i, n, *key]
         if n:
             assert r.probability == pytest.approx(p[tuple(key)], rel=1e-5) and r.weight == pytest.approx(r.probability / budget)
         if i is not None:
