@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..codecs import png
+from ..codecs import jpeg, png
 from ..operators import transform
 from ..streaming import requests
 from . import image_queries as base
@@ -56,6 +56,38 @@ def transform_png(spark, sf_dir):
     return done.mapInArrow(look, "p_partkey long, out_w int, out_h int, r int, g int, b int, error string")
 
 
+@query("""SELECT s_suppkey, CAST(greatest(round(w * least(60.0::DOUBLE / w, 50.0::DOUBLE / h, 1.0)), 1) AS INTEGER) AS out_w, CAST(greatest(round(h * least(60.0::DOUBLE / w, 50.0::DOUBLE / h, 1.0)), 1) AS INTEGER) AS out_h,
+true AS near, 'jpeg' AS format, CAST(NULL AS VARCHAR) AS error FROM (SELECT s_suppkey, 96 + s_suppkey % 65 AS w, 64 + (s_suppkey * 7) % 57 AS h FROM supplier)""")
+def transform_jpeg(spark, sf_dir):
+    """JPEGs of a smooth picture, made, decoded, resized in linear light, encoded (progressive) and read again: sizes, and whether the middle has kept its colour."""
+    k = F.col("s_suppkey")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = base._t(spark, sf_dir, "supplier").repartition(n, "s_suppkey").select(k, (96 + k % 65).cast("int").alias("w"), (64 + (k * 7) % 57).cast("int").alias("h"))
+
+    def picture(key, w, h):
+        y, x = np.mgrid[0:h, 0:w]
+        return np.stack([255 * x / w, 255 * y / h, np.full((h, w), key % 256)], 2).astype(np.uint8)
+
+    def paint(batches):
+        for batch in batches:
+            out = [jpeg.encode(picture(*r), 90) for r in zip(*(batch[c].to_pylist() for c in ("s_suppkey", "w", "h")))]
+            yield pa.RecordBatch.from_arrays([batch["s_suppkey"], pa.array(out, pa.binary())], names=["s_suppkey", "content"])
+
+    made = rows.mapInArrow(paint, "s_suppkey long, content binary").withColumns({"max_width": F.lit(60), "max_height": F.lit(50), "output": F.lit("jpeg")})
+    done = transform.transform(made).select("s_suppkey", "result")
+
+    def look(batches):
+        for batch in batches:
+            out = []
+            for key, result in zip(batch["s_suppkey"].to_pylist(), batch["result"].to_pylist()):
+                pixels = jpeg.decode(result["data"]) if result["data"] else np.zeros((1, 1, 3), np.uint8)
+                middle = pixels[pixels.shape[0] // 2, pixels.shape[1] // 2].astype(int)
+                out.append({"s_suppkey": key, "out_w": result["width"], "out_h": result["height"], "near": bool((abs(middle - [128, 128, key % 256]) <= 16).all()), "format": result["format"], "error": (result["error"] or {}).get("kind")})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("s_suppkey", pa.int64()), ("out_w", pa.int32()), ("out_h", pa.int32()), ("near", pa.bool_()), ("format", pa.string()), ("error", pa.string())]))
+
+    return done.mapInArrow(look, "s_suppkey long, out_w int, out_h int, near boolean, format string, error string")
+
+
 @query(f"WITH {base.LOG} SELECT class, format, count(*) AS requests FROM l GROUP BY 1, 2")
 def stream_requests_total(spark, sf_dir):
     """The counters over a stream of the log's files, until all that is there has been read."""
