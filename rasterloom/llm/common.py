@@ -57,7 +57,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def released(*tables: DataFrame) -> None:
+    """Written tables that nothing reads any more go at once, not at the end of the session."""
+    for df in tables:
+        _remove(df.sparkSession, df.scratch_path)
 
 
 def own(df: DataFrame) -> Callable[[str], str]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import released, written
 
 
 def _tally(edges: DataFrame) -> tuple:
@@ -29,7 +29,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
         small = large.join(least, F.col("a") == F.col("node"))
         small = small.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).union(least.select("node", "least"))
-        edges = written(small.distinct(), "edges")
+        old, edges = edges, written(small.distinct(), "edges")
+        released(old, large)
         now = _tally(edges)
         if now == before:
             break

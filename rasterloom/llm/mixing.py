@@ -8,6 +8,7 @@ is a hash of the id: the same documents at any partitioning and after any loss.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -89,12 +90,25 @@ def raked(cells: list[tuple[str, str, str, int]], targets: Targets, budget: floa
     return p
 
 
+def shortfall(cells: list[tuple[str, str, str, int]], p: np.ndarray, targets: Targets, budget: float) -> list[tuple[str, str, float, float]]:
+    """(marginal, category, wanted share, reached share) of the categories that miss their share of budget * all tokens by over a hundredth of it."""
+    tokens = np.array([c[3] for c in cells], float)
+    mass, out = budget * tokens.sum(), []
+    for i, (name, shares) in enumerate((("source", targets.source), ("language", targets.language), ("topic", targets.topic))):
+        keys = np.array([c[i] for c in cells], object)
+        for category, wanted in _wanted(shares, keys, tokens).items():
+            reached = float((tokens * p)[keys == category].sum() / mass) if mass else wanted
+            if abs(reached - wanted) > 0.01 * max(wanted, 1e-9):
+                out.append((name, category, wanted, reached))
+    return out
+
+
 def mixing_weights(docs: DataFrame, targets: Targets, budget: float, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, prefix: str = "") -> DataFrame:
     """docs with n_tokens, source_key, language_key, topic_key, weight (probability over budget), probability and sampled, each name after `prefix`.
 
     A null text has no tokens; null or unnamed categories count as "other"; documents of cells without tokens have the budget as their probability. Ties do
     not arise: rows with one id share their uniform number, and a repeated row is sampled or left with its twin. An empty table gives an empty result. A column of docs that
-    has one of these names already is kept under its name and "_of_row".
+    has one of these names already is kept under its name and "_of_row". Shares that can't be met, as no probability exceeds one, are a warning.
     """
     if not 0 < budget <= 1:
         raise ValueError("budget is a share of the tokens")
@@ -114,6 +128,8 @@ def mixing_weights(docs: DataFrame, targets: Targets, budget: float, seed: int =
     names = [c["source_key"], c["language_key"], c["topic_key"]]
     cells = [tuple(r) for r in keyed.groupBy(*names).agg(F.sum(c["n_tokens"])).collect()]  # at most MOST_CELLS
     p = raked(cells, targets, budget)
+    if missed := shortfall(cells, p, targets, budget):
+        warnings.warn("shares that the tokens there are can't give: " + "; ".join(f"{m} {k}: {r:.3f} of {w:.3f}" for m, k, w, r in missed), stacklevel=2)
     if cells:
         rates = docs.sparkSession.createDataFrame([(*x[:3], float(y)) for x, y in zip(cells, p)], f"{o('s')} string, {o('l')} string, {o('t')} string, {o('p')} double")
         keyed = keyed.join(F.broadcast(rates), (F.col(names[0]) == F.col(o("s"))) & (F.col(names[1]) == F.col(o("l"))) & (F.col(names[2]) == F.col(o("t"))), "left")

@@ -448,6 +448,13 @@ def test_raking_meets_the_marginals():
             assert sum(c[3] * x for c, x in zip(cells, p) if c[at] == name) == pytest.approx(share * mass, rel=1e-6)
 
 
+def test_shares_that_cannot_be_met_are_told():
+    cells = [("a", "en", "x", 100), ("b", "en", "x", 900)]
+    p = mixing.raked(cells, mixing.Targets({"a": 0.5, "b": 0.5}), 0.5)
+    assert {(m, k): round(r, 3) for m, k, _, r in mixing.shortfall(cells, p, mixing.Targets({"a": 0.5, "b": 0.5}), 0.5)}["source", "a"] == 0.2
+    assert mixing.shortfall(cells, mixing.raked(cells, mixing.Targets({"a": 0.1, "b": 0.9}), 0.5), mixing.Targets({"a": 0.1, "b": 0.9}), 0.5) == []
+
+
 def test_mixing_rows_are_those_of_a_plain_version(docs):
     """Counts, keys, probabilities by plain proportional fitting and the draw by the hash of the id, row by row."""
     aim, budget = mixing.Targets({"src0": 0.3, "src1": 0.3}, {"en": 0.3, "de": 0.2}, {"note": 0.01}), 0.01
