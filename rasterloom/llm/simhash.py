@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import IS_WHITE, U64, own, partitions, rows_of, texts, written
+from .common import U64, own, partitions, rows_of, texts, written
 from .components import connected_components
 
 BITS = 64
