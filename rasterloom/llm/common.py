@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import hashlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -232,15 +235,57 @@ class Recent:
             self.old, self.new = self.new, {}
 
 
+#: A Python worker that has had no task for so many seconds lets go of its model.
+IDLE = 2.0
 _model: dict = {}
+_taken = 0
+_lock = threading.RLock()
 
 
 def only_model(key: tuple, make: Callable):
     """The model of that key, made once per Python worker. A worker holds one at a time: the next stage's takes the place of the last one's."""
-    if key not in _model:
+    global _taken
+    with _lock:
+        _taken += 1
+        if key not in _model:
+            _model.clear()
+            _model[key] = make()
+        return _model[key]
+
+
+def _let_go(taken: int) -> None:
+    with _lock:
+        if _taken != taken or not _model:  # taken again meanwhile
+            return
         _model.clear()
-        _model[key] = make()
-    return _model[key]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+
+def _task_over() -> None:
+    later = threading.Timer(IDLE, _let_go, (_taken,))
+    later.daemon = True
+    later.start()
+
+
+def rested(run: Callable) -> Callable:
+    """run, for mapInArrow, with an end: unless its worker soon takes up another task with a model, it lets go of this one.
+
+    Spark deals tasks out to its idle workers in turn, and after stages with several Python steps there are more of them than cores: else each would come to
+    hold a model, which none of the running tasks uses.
+    """
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _task_over()
+
+    return task
 
 
 # ---------------------------------------------------------------- placing rows

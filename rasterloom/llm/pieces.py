@@ -13,14 +13,17 @@ import hashlib
 import re
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import Recent, only_model, texts
+from .common import Recent, only_model, rested, texts
 
 SPACE = "▁"
 SEGMENT = re.compile(" +[^ ]*")
+#: Characters after which results go out: what a task holds does not grow with the number of rows in a batch.
+CHARS = 1 << 21
 
 
 class MergePieces:
@@ -160,25 +163,34 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
         names += ", ids array<int>, decoded string"
     schema = pa.schema(fields)
 
+    def made(out):
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
     def run(batches):
         model, sha = loaded(model_path), hashlib.sha256
         end = str(model.end)
         for batch in batches:
-            for at in range(0, len(batch), 2000):
-                part, out = batch.slice(at, 2000), []
-                for doc, text in zip(part["id"].to_pylist(), part["text"].to_pylist()):
-                    new, known = model.segments.new, model.known
-                    found = [new.get(s) or known(s) for s in model.split(text)]
-                    ids = "".join([f[0] for f in found])
-                    decoded = "".join([f[1] for f in found])
-                    if decoded[:1] == " ":
-                        decoded = decoded[1:]
-                    row = (doc, sum([f[2] for f in found]) + 1, sha((ids[1:] + " " + end if ids else end).encode()).hexdigest(), sha(decoded.encode()).hexdigest())
-                    if whole:
-                        row += ([int(i) for i in ids.split()] + [model.end], decoded)
-                    out.append(row)
-                    model.segments.age()
-                    model.pairs.age()
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-
-    return texts(docs, id_col, text_col).mapInArrow(run, names)
+            out, held = [], 0
+            for doc, text in zip(batch["id"].to_pylist(), batch["text"]):
+                text = text.as_py()
+                new, known = model.segments.new, model.known
+                found = [new.get(s) or known(s) for s in model.split(text)]
+                ids = "".join([f[0] for f in found])
+                decoded = "".join([f[1] for f in found])
+                if decoded[:1] == " ":
+                    decoded = decoded[1:]
+                ids = ids[1:] + " " + end if ids else end
+                row = (doc, sum([f[2] for f in found]) + 1, sha(ids.encode()).hexdigest(), sha(decoded.encode()).hexdigest())
+                if whole:
+                    row += (np.fromstring(ids, np.int32, sep=" "), decoded)
+                out.append(row)
+                held += len(text)
+                model.segments.age()
+                model.pairs.age()
+                if held > CHARS or len(out) == 2000:
+                    yield made(out)
+                    out, held = [], 0
+            if out:
+                yield made(out)
+
+    return texts(docs, id_col, text_col).mapInArrow(rested(run), names)

@@ -18,7 +18,7 @@ import sentencepiece
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .common import WHITE, Recent, only_model, rows_of, texts
+from .common import WHITE, Recent, only_model, rested, rows_of, texts
 
 SYMBOLS = b"#*$%&|<>"
 #: The split pattern of the rank files (fixed value).
@@ -173,7 +173,7 @@ def quality_rules(docs: DataFrame, piece_path: str, rank_path: str, id_col: str
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     chosen = texts(docs, id_col, text_col, *([lang_col] if lang_col else []))
-    return chosen.mapInArrow(run, f"`{id_col}` long, " + ", ".join(f"{a} {c}" for a, _, c in COLUMNS))
+    return chosen.mapInArrow(rested(run), f"`{id_col}` long, " + ", ".join(f"{a} {c}" for a, _, c in COLUMNS))
 
 
 def quality_filter(docs: DataFrame, piece_path: str, rank_path: str, text_col: str = "text", lang_col: str | None = "lang", bands: dict | None = None, least_tokens: int = 50) -> DataFrame:
@@ -191,4 +191,4 @@ def quality_filter(docs: DataFrame, piece_path: str, rank_path: str, text_col: s
                 model.words.age()
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(rested(run), docs.schema)

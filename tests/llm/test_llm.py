@@ -7,10 +7,12 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -573,6 +575,41 @@ def test_broken_archive():
     assert warc.url_key("https://User@WWW.Example.org:80/A?b") == "org,example,www)/A?b"
 
 
+def test_an_idle_worker_lets_its_model_go(monkeypatch):
+    from rasterloom.llm import common
+
+    monkeypatch.setattr(common, "IDLE", 0.3)
+    made = []
+
+    def run(batches):
+        common.only_model(("test",), lambda: made.append(1) or {})
+        yield from batches
+
+    task = common.rested(run)
+    assert list(task([1, 2])) == [1, 2] and list(task([3])) == [3] and made == [1]  # soon again: the same model
+    for _ in range(100):
+        if not common._model:
+            break
+        time.sleep(0.1)
+    assert not common._model and list(task([4])) == [4] and made == [1, 1]
+
+
+def test_pieces_go_out_by_characters(spark, monkeypatch):
+    rows = [(i, f"some words {i} " * 40) for i in range(60)] + [(60, None), (61, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = pieces.round_trip(df, PIECES, whole=True).collect()
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert {r.doc_id: r.ids for r in got} == {i: model.encode(t or "", add_eos=True) for i, t in rows}
+    sizes, run = [], {}
+    monkeypatch.setattr(pieces, "CHARS", 1000)
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, ddl: run.setdefault("f", f))
+    pieces.round_trip(df, PIECES, whole=True)
+    batch = pa.RecordBatch.from_pydict({"id": [i for i, _ in rows], "text": [t or "" for _, t in rows]})
+    for out in run["f"](iter([batch])):
+        sizes.append(len(out))
+    assert sum(sizes) == len(rows) and max(sizes) < 10
+
+
 # ---------------------------------------------------------------- context trees
 
 
