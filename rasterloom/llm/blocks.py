@@ -8,6 +8,7 @@ no key at all. Blocks and buckets fill one partition each; both shrink as the se
 
 from __future__ import annotations
 
+import gc
 import pickle
 from collections.abc import Callable, Iterable, Iterator
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, spots, texts
+from .common import U64, spots, texts, written
 
 MESSAGE = pa.schema([("place", pa.int32()), ("bucket", pa.int32()), ("block", pa.int32()), ("kind", pa.int32()), ("data", pa.binary())])
 MESSAGE_DDL = "place int, bucket int, block int, kind int, data binary"
@@ -161,8 +162,16 @@ def next_questions(blocks: DataFrame, answers: DataFrame, ask: Ask, n: int) -> D
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, MESSAGE_DDL)
 
 
-def answered(questions: DataFrame, answer: Callable[[list[tuple[int, object]]], Iterable[tuple[int, int, object]]], n: int) -> DataFrame:
-    """Each bucket sees [(block, data)] of all blocks and gives (block, kind, data) back."""
+def gathered(questions: DataFrame, n: int) -> DataFrame:
+    """The questions as a table, those of a bucket in one file and there in one row group, so that no task reads a part of them: dealt out once however often they are answered."""
+    out = written(questions.repartition(n, "place"), "questions", **{"parquet.block.size": (1 << 31) - 1, "maxRecordsPerFile": 0})
+    gc.collect()
+    questions.sparkSession._jvm.System.gc()  # what was dealt out lies on the executors' disks until the driver has collected its garbage
+    return out
+
+
+def answered(questions: DataFrame, answer: Callable[[list[tuple[int, object]]], Iterable[tuple[int, int, object]]], n: int | None = None) -> DataFrame:
+    """Each bucket sees [(block, data)] of all blocks and gives (block, kind, data) back. Without n the questions are gathered."""
 
     def run(batches):
         heard: dict[int, list] = {}
@@ -175,7 +184,7 @@ def answered(questions: DataFrame, answer: Callable[[list[tuple[int, object]]],
             for at in range(0, len(out), 64):
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out[at : at + 64]), MESSAGE)], schema=MESSAGE)
 
-    return questions.repartition(n, "place").mapInArrow(run, MESSAGE_DDL)
+    return (questions.repartition(n, "place") if n else questions).mapInArrow(run, MESSAGE_DDL)
 
 
 def concluded(blocks: DataFrame, answers: DataFrame, conclude: Callable, schema: pa.Schema, ddl: str) -> DataFrame:

@@ -55,11 +55,11 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: the lineage ends there, and no lost executor brings it back."""
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """The rows as a table in the shared folder: the lineage ends there, and no lost executor brings it back. options: of the writer."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out

@@ -17,16 +17,19 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import deep
-from .common import U64, Words, digests, paired, partitions, rows_of, texts, written
+from .common import U64, Words, digests, paired, partitions, rows_of, texts
 from .simhash import LOWER
 
 #: A bucket of a deeper tree goes through its contexts in so many ranges, one at a time.
 RANGES = 2
+#: And a range of more entries than that, those of all blocks counted, in so many parts.
+MOST = 1 << 20
 #: The digest of the end token: of a space, which no word is.
 END = np.concatenate(digests([b" "]))
 
@@ -55,10 +58,12 @@ def _splitters(docs: DataFrame, id_col: str, text_col: str, depth: int, n: int)
     """The smallest context of each range; there are at most RANGES for each of n buckets."""
 
     def run(batches):
-        held = [deep.sampled([t for _, t in chunk], depth, 256) for chunk in rows_of(batches, 4 << 20)]
+        # what partitions take must not be the same contexts: then a few common ones would be all that is found, however many partitions there are
+        salt = deep.mix(np.array([TaskContext.get().partitionId() + 1], U64))[0]
+        held = [deep.sampled([t for _, t in chunk], depth, 256, salt) for chunk in rows_of(batches, 4 << 20)]
         if held:
             found = np.concatenate(held)
-            found = found[np.argsort(deep.mix(found))[:1024]].view(np.int64)
+            found = found[np.argsort(deep.mix(found ^ salt))[:1024]].view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(found)], names=["context"])
 
     rows = texts(docs, id_col, text_col).mapInArrow(run, "context long").toArrow()  # at most 1024 from each partition
@@ -71,10 +76,17 @@ def _entries(held: list, depth: int, train) -> tuple[np.ndarray, np.ndarray, np.
     learn = np.concatenate([np.repeat(np.array([train(i) for i in ids], bool), [len(t) + 1 for t in said]) for ids, said in held])
     contexts, byte, counts = [], [], []
     for v, at, keys in deep.by_last(*map(list, zip(*(deep.places(said, depth) for _, said in held)))):
-        taught, times = np.unique(keys[learn[at]], return_counts=True)
-        once = np.union1d(taught, keys[~learn[at]])
-        count = np.zeros(len(once), np.int64)
-        count[np.searchsorted(once, taught)] = times
+        mine = learn[at]
+        taught, times = deep.tallied(keys[mine])
+        other, _ = deep.tallied(keys[~mine])
+        at = np.searchsorted(taught, other)
+        new = at == len(taught)
+        new[~new] = taught[at[~new]] != other[~new]
+        at = at[new] + np.arange(np.count_nonzero(new))  # where the places of held-out texts alone go
+        once, count = np.empty(len(taught) + len(at), U64), np.zeros(len(taught) + len(at), np.int64)
+        known = np.ones(len(once), bool)
+        known[at] = False
+        once[at], once[known], count[known] = other[new], taught, times
         c, b = deep.split(v, once)
         contexts.append(c)
         byte.append(b)
@@ -112,15 +124,28 @@ def _ask(n: int, folds: int, fold: int, depth: int, low: list[int]):
     return ask
 
 
+def _parts(found: list[np.ndarray], first: int, last: int) -> list[tuple[int, int]]:
+    """The ends of the parts in which to go through a range, with about MOST entries each. They follow from the entries, so they are the same each time."""
+    n = -(-sum(map(len, found)) // MOST)
+    if n < 2:
+        return [(first, last)]
+    some = np.sort(np.concatenate([c[::64] for c in found]))
+    low = sorted({first, *(int(x) for x in some[[len(some) * i // n for i in range(1, n)]])})
+    return list(zip(low, [*(x - 1 for x in low[1:]), last]))
+
+
 def _ranges(said, depth: int, low: list[int]):
-    """The subtrees of each range of a bucket, which code each entry of each block is, and (index of the block, where its entries begin and end)."""
+    """The subtrees of each range of a bucket, or of each part of one, which code each entry of each block is, and (index of the block, where its entries begin and end)."""
     for j in sorted({j for _, d in said for j in d[2]}):
         there = [k for k, (_, d) in enumerate(said) if j in d[2]]
         found = [deep.unpack(said[k][1][2][j]) for k in there]
-        cuts = np.cumsum([0] + [len(f[1]) for f in found])
-        once, code, total, back = deep.entries(*(np.concatenate(c) for c in zip(*found)))
-        del found
-        yield deep.Subtrees(once, code, total, depth, *_ends(low, j)), back, list(zip(there, cuts[:-1], cuts[1:]))
+        for first, last in _parts([f[0] for f in found], *_ends(low, j)):
+            ends = [np.searchsorted(f[0], U64(first)).item() for f in found], [np.searchsorted(f[0], U64(last), "right").item() for f in found]
+            cuts = np.cumsum([0] + [b - a for a, b in zip(*ends)])
+            if not cuts[-1]:
+                continue
+            once, code, total, back = deep.entries(*(np.concatenate([x[a:b] for x, a, b in zip(c, *ends)]) for c in zip(*found)))
+            yield deep.Subtrees(once, code, total, depth, first, last), back, list(zip(there, cuts[:-1], cuts[1:]))
 
 
 def _summed(said) -> tuple[np.ndarray, np.ndarray]:
@@ -134,7 +159,10 @@ def _climb(depth: int, low: list[int]):
 
     def answer(said):
         counts, _ = _summed(said)
-        yield -1, 1, (int(counts.sum()), int((counts > 0).sum()), [x for tree, _, _ in _ranges(said, depth, low) for x in tree.opened()])
+        opened = []
+        for tree, _, _ in _ranges(said, depth, low):
+            opened = deep.summed(opened + tree.opened())
+        yield -1, 1, (int(counts.sum()), int((counts > 0).sum()), opened)
 
     return answer
 
@@ -170,7 +198,7 @@ def _score(n: int, folds: int, fold: int, depth: int, tokens: int, types: int):
         told = np.concatenate([deep.unpack_logs(answers[i][1]) for i in sorted(answers)])  # buckets are in the order of their contexts
         chance, at = np.zeros(sum(len(t) + 1 for _, said, *_ in held for t in said), np.float32), 0
         for _, places, keys in deep.by_last(*map(list, zip(*(deep.places(said, depth) for _, said, *_ in held)))):
-            once, of = np.unique(keys, return_inverse=True)
+            once, of = deep.ranked(keys)
             chance[places] = told[at : at + len(once)][of]
             at += len(once)
         if at != len(told):
@@ -211,8 +239,8 @@ def context_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ddl = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
     per_byte = -F.col("score") * math.log2(10) / (F.col("n_bytes") + 1)
     low = _splitters(docs, id_col, text_col, depth, n)
-    asked = written(B.first_questions(rows, _ask(n, folds, fold, depth, low), n), "questions")
-    totals = [pickle.loads(r[0]) for r in B.answered(asked, _climb(depth, low), n).select("data").collect()]  # two contexts a depth from each bucket
+    asked = B.gathered(B.first_questions(rows, _ask(n, folds, fold, depth, low), n), n)
+    totals = [pickle.loads(r[0]) for r in B.answered(asked, _climb(depth, low)).select("data").collect()]  # two contexts a depth from each bucket
     spine = spark.sparkContext.broadcast(deep.joined([x for t in totals for x in t[2]], depth))
-    out = B.concluded(rows, B.answered(asked, _tell(depth, low, spine), n), _score(n, folds, fold, depth, sum(t[0] for t in totals), sum(t[1] for t in totals)), schema, ddl)
+    out = B.concluded(rows, B.answered(asked, _tell(depth, low, spine)), _score(n, folds, fold, depth, sum(t[0] for t in totals), sum(t[1] for t in totals)), schema, ddl)
     return out.withColumn("bits_per_byte", per_byte).drop("n_bytes")

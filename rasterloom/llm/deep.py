@@ -36,17 +36,45 @@ def kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - math.log(math.pi) - log_gamma(zeros + ones + 1.0)
 
 
-SMALL = kt(*np.meshgrid(np.arange(128.0), np.arange(128.0), indexing="ij"))
+SMALL = kt(*np.meshgrid(np.arange(128.0), np.arange(128.0), indexing="ij")).ravel()
 
 
 def kt_of(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """kt of whole numbers, the small ones from a table."""
-    out = SMALL[np.minimum(zeros, 127).astype(np.int64), np.minimum(ones, 127).astype(np.int64)]
-    big = np.flatnonzero((zeros > 127) | (ones > 127))
-    out[big] = kt(zeros[big], ones[big])
+    out = SMALL[np.minimum(zeros, 127) << 7 | np.minimum(ones, 127)]
+    big = np.flatnonzero((zeros | ones) > 127)
+    out[big] = kt(zeros[big].astype(float), ones[big].astype(float))
     return out
 
 
+def mixture(own: np.ndarray, product: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The log of the mean of both, and the share that the first has in it; both come as logs."""
+    apart = own - product
+    less = np.exp(-np.abs(apart))
+    mixed = np.maximum(own, product) + np.log((1 + less) / 2)
+    return mixed, np.where(apart >= 0, 1.0, less) / (1 + less)
+
+
+def ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct numbers, and which of them each is."""
+    order = np.argsort(values)
+    found = values[order]
+    new = np.ones(len(found), bool)
+    np.not_equal(found[1:], found[:-1], out=new[1:])
+    of = np.empty(len(found), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return found[new], of
+
+
+def tallied(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct numbers, and how often each is there."""
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    return values[first], np.diff(np.append(first, len(values)))
+
+
 def mask(depth: int) -> np.uint64:
     return U64(ALL << (64 - 8 * depth) & ALL)
 
@@ -67,8 +95,8 @@ def places(said: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 def entries(contexts: np.ndarray, byte: np.ndarray, count: np.ndarray | None = None):
     """Distinct contexts in order; distinct (rank of the context, byte) in order, as codes, with their counts; which of these each place is."""
-    once, of = np.unique(contexts, return_inverse=True)
-    code, back = np.unique(of << 8 | byte, return_inverse=True)
+    once, of = ranked(contexts)
+    code, back = ranked(of << 8 | byte)
     return once, code, np.bincount(back, count, len(code)).astype(np.int64), back.astype(np.int32)
 
 
@@ -77,9 +105,11 @@ def by_last(contexts: list[np.ndarray], byte: list[np.ndarray]):
     last = np.concatenate([(c >> U64(56)).astype(np.uint8) for c in contexts])
     keys = np.concatenate([c << U64(8) | b for c, b in zip(contexts, byte)])
     contexts.clear()
-    for v in np.flatnonzero(np.bincount(last, minlength=256)).tolist():
-        at = np.flatnonzero(last == v)
-        yield v, at, keys[at]
+    order = np.argsort(last, kind="stable")  # of bytes: a radix sort
+    ends = np.cumsum(np.bincount(last, minlength=256)).tolist()
+    for v, (a, b) in enumerate(zip([0, *ends], ends)):
+        if b > a:
+            yield v, order[a:b], keys[order[a:b]]
 
 
 def split(v: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,10 +149,10 @@ def unpack_logs(packed: tuple) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, n).T).view(np.float32).ravel()
 
 
-def sampled(said: list[bytes], depth: int, most: int = 64) -> np.ndarray:
-    """Some of the distinct contexts of some documents."""
-    once = np.unique(places(said, depth)[0][::8])
-    return once[np.argsort(mix(once))[:most]]
+def sampled(said: list[bytes], depth: int, most: int = 64, salt: int = 0) -> np.ndarray:
+    """Some of the distinct contexts of some documents, others for another salt."""
+    once, _ = tallied(places(said, depth)[0][::8])
+    return once[np.argsort(mix(once ^ U64(salt)))[:most]]
 
 
 class Subtrees:
@@ -139,9 +169,9 @@ class Subtrees:
                 short = once & mask(d - 1)
                 new = np.concatenate([[True], short[1:] != short[:-1]])
                 up = (np.cumsum(new) - 1)[code >> 8] << 8 | code & 255
-                fewer, of = np.unique(up, return_inverse=True)
+                fewer, of = ranked(up)
                 self.levels[d] = once, code, count, of.astype(np.int32)
-                self.levels[d - 1] = short[new], fewer, np.bincount(of, count, len(fewer)), None
+                self.levels[d - 1] = short[new], fewer, np.bincount(of, count, len(fewer)).astype(np.int64), None
 
     def _nodes(self, bit: int) -> list[tuple]:
         """By depth: (which node each code is of, first code of each, zeros, ones, parents)."""
@@ -150,16 +180,16 @@ class Subtrees:
             key = code >> (8 - bit)
             new = np.concatenate([[True], key[1:] != key[:-1]])
             of, first = np.cumsum(new, dtype=np.int32) - 1, np.flatnonzero(new).astype(np.int32)
-            one = code >> (7 - bit) & 1
-            ones = np.bincount(of, count * one, len(first))
-            out.append((of, first, np.bincount(of, count, len(first)) - ones, ones, out[-1][0][up[first]] if out else None))
+            ones = np.add.reduceat(count * (code >> (7 - bit) & 1), first)
+            out.append((of, first, np.add.reduceat(count, first) - ones, ones, out[-1][0][up[first]] if out else None))
         return out
 
     def _label(self, d: int, bit: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of nodes: whether open, the context, the bits so far with a one in front."""
+        """Which nodes are open, and of these the context and the bits so far with a one in front."""
         once, code, _, _ = self.levels[d]
-        at = code[first] >> 8
-        return self.open[d][at], once[at], 1 << bit | (code[first] & 255) >> (8 - bit)
+        at = np.flatnonzero(self.open[d][code[first] >> 8])
+        mine = code[first[at]]
+        return at, once[mine >> 8], 1 << bit | (mine & 255) >> (8 - bit)
 
     def _shares(self, nodes: list[tuple], bit: int):
         """From the leaves up: (depth, log of own estimate, sum of the closed children's logs or None, the share of the own estimate)."""
@@ -170,8 +200,7 @@ class Subtrees:
             product, mixed, share = None, own, np.ones(len(own))
             if below is not None:
                 product = np.bincount(*below, len(own))
-                mixed = math.log(0.5) + np.logaddexp(own, product)
-                share = np.exp(math.log(0.5) + own - mixed)
+                mixed, share = mixture(own, product)
             yield d, product, share
             if d:
                 shut = ~self.open[d][self.levels[d][1][first] >> 8]
@@ -183,9 +212,9 @@ class Subtrees:
         for bit in range(8):
             nodes = self._nodes(bit)
             for d, product, _ in self._shares(nodes, bit):
-                is_open, contexts, label = self._label(d, bit, nodes[d][1])
-                if is_open.any():
-                    out.append((d, *(x[is_open] for x in (contexts, label, nodes[d][2], nodes[d][3], product))))
+                at, contexts, label = self._label(d, bit, nodes[d][1])
+                if len(at):
+                    out.append((d, contexts, label, nodes[d][2][at], nodes[d][3][at], product[at]))
         return out
 
     def logs(self, spine: dict) -> np.ndarray:
@@ -198,9 +227,9 @@ class Subtrees:
             for d in range(self.depth + 1):
                 _, first, zeros, ones, parents = nodes[d]
                 chance = (ones + 0.5) / (zeros + ones + 1)
-                is_open, contexts, label = self._label(d, bit, first)
-                if is_open.any():
-                    share[d][is_open], chance[is_open] = looked_up(spine[d], contexts[is_open], label[is_open])
+                at, contexts, label = self._label(d, bit, first)
+                if len(at):
+                    share[d][at], chance[at] = looked_up(spine[d], contexts, label)
                 if d:
                     reach, sure = (reach * (1 - share[d - 1]))[parents], sure[parents]
                 sure = sure + reach * share[d] * chance
@@ -216,23 +245,29 @@ def looked_up(level: tuple, contexts: np.ndarray, label: np.ndarray) -> tuple[np
     return share[at], chance[at]
 
 
+def summed(found: list[tuple]) -> list[tuple]:
+    """Open nodes of several ranges as one entry a depth: (depth, contexts, nodes, zeros, ones, product), each node once."""
+    out = []
+    for d in sorted({f[0] for f in found}):
+        contexts, label, zeros, ones, product = (np.concatenate(c) for c in zip(*(f[1:] for f in found if f[0] == d)))
+        once, of = ranked(contexts)
+        code, of = ranked(of << 8 | label)
+        zeros, ones = (np.bincount(of, x, len(code)).astype(np.int64) for x in (zeros, ones))
+        out.append((d, once[code >> 8], code & 255, zeros, ones, np.bincount(of, product, len(code))))
+    return out
+
+
 def joined(found: list[tuple], depth: int) -> dict[int, tuple]:
     """Open nodes of all buckets together: by depth (contexts, codes, shares, chances of a one)."""
     out, below = {}, None
-    for d in range(depth - 1, -1, -1):
-        mine = [f[1:] for f in found if f[0] == d]
-        if not mine:
-            continue
-        contexts, label, zeros, ones, product = (np.concatenate(c) for c in zip(*mine))
-        once, of = np.unique(contexts, return_inverse=True)
-        code, of = np.unique(of << 8 | label, return_inverse=True)
-        zeros, ones, product = (np.bincount(of, x, len(code)) for x in (zeros, ones, product))
+    for d, contexts, label, zeros, ones, product in reversed(summed(found)):
+        once, of = ranked(contexts)
+        code = of << 8 | label  # in order already
         if below is not None:
             contexts, label, mixed = below
             at = np.searchsorted(code, np.searchsorted(once, contexts & mask(d)) << 8 | label)
             product += np.bincount(at, mixed, len(code))
-        own = kt_of(zeros, ones)
-        mixed = math.log(0.5) + np.logaddexp(own, product)
-        out[d] = once, code, np.exp(math.log(0.5) + own - mixed), (ones + 0.5) / (zeros + ones + 1)
+        mixed, share = mixture(kt_of(zeros, ones), product)
+        out[d] = once, code, share, (ones + 0.5) / (zeros + ones + 1)
         below = once[code >> 8], code & 255, mixed
     return out

@@ -731,6 +731,39 @@ def test_query_8_looks_back_eight_bytes(spark, monkeypatch):
     assert ctw.context_tree_scores(df.limit(0), depth=8).count() == 0
 
 
+def test_a_crowded_range_goes_in_parts(monkeypatch):
+    from rasterloom.llm import deep
+
+    low = [0, ord("n") << 56]
+    said = []
+    for block in range(4):
+        chosen = random.Random(block)
+        text = [" ".join(chosen.choices(["anna", "bob", "nine", "nana", "banana", "ox"], k=60)).encode() for _ in range(20)]
+        contexts, byte, count = ctw._entries([(list(range(20)), text)], 8, lambda i: i % 4 > 0)
+        ends = np.append(np.searchsorted(contexts, np.array(low, np.uint64)), len(contexts))
+        said.append((block, (np.zeros(0, np.uint64), np.zeros(0, np.int64), {j: deep.pack(*(x[ends[j] : ends[j + 1]] for x in (contexts, byte, count))) for j in range(2)}, np.zeros(0, np.uint64))))
+    told, most = [], []
+    for limit in (1 << 20, 200):
+        monkeypatch.setattr(ctw, "MOST", limit)
+        most.append(max(len(back) for _, back, _ in ctw._ranges(said, 8, low)))
+        ((_, _, (_, _, opened)),) = ctw._climb(8, low)(said)
+        spine = type("Spine", (), {"value": deep.joined(opened, 8)})
+        told.append([deep.unpack_logs(data[1]) for _, _, data in ctw._tell(8, low, spine)(said)])
+    assert most[0] > 1000 and most[1] < 500
+    for a, b in zip(*told, strict=True):
+        assert len(a) == len(b) and a == pytest.approx(b, rel=1e-5, abs=1e-7)
+
+
+def test_ranges_of_contexts_are_even_however_many(spark):
+    words = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{i}" for i in range(4000)]
+    rows = [(i, " ".join(words)) for i in range(16)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(16, "doc_id").select("doc_id", "text")
+    low = np.array(ctw._splitters(spark.createDataFrame(df.rdd, df.schema), "doc_id", "text", 8, 400), np.uint64)
+    contexts, _, _ = ctw._entries([([i], [t.encode()]) for i, t in rows], 8, lambda i: True)
+    sizes = np.diff(np.append(np.searchsorted(contexts, low), len(contexts)))
+    assert len(low) > 500 and sizes.max() < 12 * len(contexts) / 800
+
+
 # ---------------------------------------------------------------- substrings
 
 
