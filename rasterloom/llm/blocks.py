@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import gc
 import pickle
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -165,8 +166,10 @@ def next_questions(blocks: DataFrame, answers: DataFrame, ask: Ask, n: int) -> D
 def gathered(questions: DataFrame, n: int) -> DataFrame:
     """The questions as a table, those of a bucket in one file and there in one row group, so that no task reads a part of them: dealt out once however often they are answered."""
     out = written(questions.repartition(n, "place"), "questions", **{"parquet.block.size": (1 << 31) - 1, "maxRecordsPerFile": 0})
-    gc.collect()
-    questions.sparkSession._jvm.System.gc()  # what was dealt out lies on the executors' disks until the driver has collected its garbage
+    for _ in range(2):  # what was dealt out lies on the executors' disks until the driver has collected its garbage; its listeners hold it a little longer
+        time.sleep(0.7)
+        gc.collect()
+        questions.sparkSession._jvm.System.gc()
     return out
 
 

@@ -100,7 +100,7 @@ def _ends(low: list[int], i: int) -> tuple[int, int]:
 
 
 def _ask(n: int, folds: int, fold: int, depth: int, low: list[int]):
-    """Per block: (words, their training counts, per range its number, packed contexts and training counts)."""
+    """Per block: (words' first halves, packed, their training counts, per range its number, packed contexts and training counts, words' second halves)."""
 
     def ask(parts, _):
         held, words, counts = [], [], [np.zeros(1, np.int64)]
@@ -119,7 +119,7 @@ def _ask(n: int, folds: int, fold: int, depth: int, low: list[int]):
         for i in range(n):
             mine = {j: deep.pack(*(x[places[j] : places[j + 1]] for x in (contexts, byte, count))) for j in range(RANGES * i, min(RANGES * (i + 1), len(low))) if places[j + 1] > places[j]}
             if cuts[i + 1] > cuts[i] or mine:
-                yield i, 0, (one[cuts[i] : cuts[i + 1]], counts[cuts[i] : cuts[i + 1]], mine, two[cuts[i] : cuts[i + 1]])
+                yield i, 0, (deep.pack_keys(one[cuts[i] : cuts[i + 1]]), deep.narrow(counts[cuts[i] : cuts[i + 1]]), mine, two[cuts[i] : cuts[i + 1]])
 
     return ask
 
@@ -150,7 +150,7 @@ def _ranges(said, depth: int, low: list[int]):
 
 def _summed(said) -> tuple[np.ndarray, np.ndarray]:
     """How often all training documents have each of a bucket's words, and which of these each word of each block is."""
-    _, _, times, of = paired(np.concatenate([d[0] for _, d in said]), np.concatenate([d[3] for _, d in said]))
+    _, _, times, of = paired(np.concatenate([deep.unpack_keys(d[0]) for _, d in said]), np.concatenate([d[3] for _, d in said]))
     return np.bincount(of, np.concatenate([d[1] for _, d in said]), len(times)).astype(np.int64), of
 
 
@@ -180,9 +180,9 @@ def _tell(depth: int, low: list[int], spine):
                 told[k].append(logs[back[a:b]])
         at = 0
         for (block, d), logs in zip(said, told):
-            mine = counts[at : at + len(d[0])]
-            yield block, 0, (mine.astype(np.uint32) if not len(mine) or mine.max() < 1 << 32 else mine, deep.pack_logs(np.concatenate(logs)))
-            at += len(d[0])
+            mine = counts[at : at + len(d[3])]
+            yield block, 0, (deep.narrow(mine), deep.pack_logs(np.concatenate(logs)))
+            at += len(d[3])
 
     return answer
 

@@ -138,6 +138,24 @@ def unpack(packed: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(once, data[8 * n : 9 * n].astype(np.int64) + 1), data[9 * n : 9 * n + m], count
 
 
+def pack_keys(keys: np.ndarray) -> tuple:
+    """Sorted numbers of 64 bits as differences in planes of bytes."""
+    step = keys.copy()
+    step[1:] ^= keys[:-1]
+    return len(keys), pa.compress(np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack_keys(packed: tuple) -> np.ndarray:
+    n, data = packed
+    data = np.frombuffer(pa.decompress(data, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.bitwise_xor.accumulate(np.ascontiguousarray(data.reshape(8, n).T).view(U64).ravel()) if n else np.zeros(0, U64)
+
+
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Whole numbers in the smallest type that holds them."""
+    return counts.astype(np.min_scalar_type(counts.max())) if len(counts) else counts
+
+
 def pack_logs(logs: np.ndarray) -> tuple:
     """Numbers of 32 bits in planes of bytes."""
     return len(logs), pa.compress(np.ascontiguousarray(logs.view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)

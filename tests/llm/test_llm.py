@@ -741,7 +741,7 @@ def test_a_crowded_range_goes_in_parts(monkeypatch):
         text = [" ".join(chosen.choices(["anna", "bob", "nine", "nana", "banana", "ox"], k=60)).encode() for _ in range(20)]
         contexts, byte, count = ctw._entries([(list(range(20)), text)], 8, lambda i: i % 4 > 0)
         ends = np.append(np.searchsorted(contexts, np.array(low, np.uint64)), len(contexts))
-        said.append((block, (np.zeros(0, np.uint64), np.zeros(0, np.int64), {j: deep.pack(*(x[ends[j] : ends[j + 1]] for x in (contexts, byte, count))) for j in range(2)}, np.zeros(0, np.uint64))))
+        said.append((block, (deep.pack_keys(np.zeros(0, np.uint64)), np.zeros(0, np.int64), {j: deep.pack(*(x[ends[j] : ends[j + 1]] for x in (contexts, byte, count))) for j in range(2)}, np.zeros(0, np.uint64))))
     told, most = [], []
     for limit in (1 << 20, 200):
         monkeypatch.setattr(ctw, "MOST", limit)
@@ -754,6 +754,15 @@ def test_a_crowded_range_goes_in_parts(monkeypatch):
         assert len(a) == len(b) and a == pytest.approx(b, rel=1e-5, abs=1e-7)
 
 
+def test_keys_and_counts_come_back_from_messages():
+    from rasterloom.llm import deep
+
+    for keys in ([], [0], [3, 5, 1 << 40, (1 << 64) - 1]):
+        assert deep.unpack_keys(deep.pack_keys(np.array(keys, np.uint64))).tolist() == keys
+    for counts in ([], [0, 255], [256], [1 << 33, 1]):
+        assert deep.narrow(np.array(counts, np.int64)).tolist() == counts
+
+
 def test_ranges_of_contexts_are_even_however_many(spark):
     words = [f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{i}" for i in range(4000)]
     rows = [(i, " ".join(words)) for i in range(16)]
