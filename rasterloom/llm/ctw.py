@@ -90,7 +90,7 @@ def _entries(held: list, depth: int, train) -> tuple[np.ndarray, np.ndarray, np.
         c, b = deep.split(v, once)
         contexts.append(c)
         byte.append(b)
-        counts.append(count)
+        counts.append(deep.narrow(count))
     return np.concatenate(contexts), np.concatenate(byte), np.concatenate(counts)
 
 

@@ -102,9 +102,12 @@ def entries(contexts: np.ndarray, byte: np.ndarray, count: np.ndarray | None = N
 
 def by_last(contexts: list[np.ndarray], byte: list[np.ndarray]):
     """For each last byte of a context: it, which places have it, and of these the other bytes with the byte that follows, as one number."""
-    last = np.concatenate([(c >> U64(56)).astype(np.uint8) for c in contexts])
-    keys = np.concatenate([c << U64(8) | b for c, b in zip(contexts, byte)])
-    contexts.clear()
+    last, keys, done = np.empty(sum(map(len, contexts)), np.uint8), np.empty(sum(map(len, contexts)), U64), 0
+    while contexts:  # the lists go as the numbers come, so that a block is not held twice
+        c, b = contexts.pop(), byte.pop()
+        part = slice(len(last) - done - len(c), len(last) - done)
+        last[part], keys[part] = c >> U64(56), c << U64(8) | b
+        done += len(c)
     order = np.argsort(last, kind="stable")  # of bytes: a radix sort
     ends = np.cumsum(np.bincount(last, minlength=256)).tolist()
     for v, (a, b) in enumerate(zip([0, *ends], ends)):
