@@ -108,11 +108,16 @@ def by_last(contexts: list[np.ndarray], byte: list[np.ndarray]):
         part = slice(len(last) - done - len(c), len(last) - done)
         last[part], keys[part] = c >> U64(56), c << U64(8) | b
         done += len(c)
-    order = np.argsort(last, kind="stable")  # of bytes: a radix sort
-    ends = np.cumsum(np.bincount(last, minlength=256)).tolist()
-    for v, (a, b) in enumerate(zip([0, *ends], ends)):
-        if b > a:
-            yield v, order[a:b], keys[order[a:b]]
+    sizes = np.bincount(last, minlength=256)
+    share = (np.cumsum(sizes) - sizes) * 8 // max(1, len(last))  # values in at most eight shares, for no index of all places is held at once
+    for k in np.unique(share).tolist():
+        values = np.flatnonzero(share == k).tolist()
+        at = np.flatnonzero((last >= values[0]) & (last <= values[-1]))
+        at = at[np.argsort(last[at], kind="stable")]  # of bytes: a radix sort
+        ends = np.cumsum(sizes[values]).tolist()
+        for v, a, b in zip(values, [0, *ends], ends):
+            if b > a:
+                yield v, at[a:b], keys[at[a:b]]
 
 
 def split(v: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
