@@ -11,9 +11,11 @@ told those of its own words.
 
 from __future__ import annotations
 
+import bisect
 import math
 import pickle
 import zlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,20 @@ def _tokens(said: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return found.of, *digests(found.words), found.firsts
 
 
+def _merged(parts: Iterable[tuple[list, list[bytes]]], most: int = 8 << 20) -> Iterator[tuple[list, list[bytes]]]:
+    """Chunks of documents as fewer ones, so that a word's digest is made less often."""
+    ids, said, size = [], [], 0
+    for a, b in parts:
+        ids += a
+        said += b
+        size += sum(map(len, b))
+        if size >= most:
+            yield ids, said
+            ids, said, size = [], [], 0
+    if ids:
+        yield ids, said
+
+
 def _vocabulary(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct digests of some lists of them, in order, and which each is; the end token is the first that goes in."""
     first, second, _, where = paired(np.concatenate([END[:1], *(a for a, _ in parts)]), np.concatenate([END[1:], *(b for _, b in parts)]))
@@ -71,11 +87,11 @@ def _splitters(docs: DataFrame, id_col: str, text_col: str, depth: int, n: int)
     return sorted({0, *(int(x) for x in found[[len(found) * i // (RANGES * n) for i in range(1, RANGES * n)]])} if len(found) else {0})
 
 
-def _entries(held: list, depth: int, train) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A block's distinct (context, byte) in order, and how often its training documents have each."""
-    learn = np.concatenate([np.repeat(np.array([train(i) for i in ids], bool), [len(t) + 1 for t in said]) for ids, said in held])
-    contexts, byte, counts = [], [], []
-    for v, at, keys in deep.by_last(*map(list, zip(*(deep.places(said, depth) for _, said in held)))):
+def _by_last(held: list, depth: int, train) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """A block's distinct (context, byte) in order, and how often its training documents have each, a last byte of the contexts at a time."""
+    places = deep.Places([t for _, said in held for t in said], depth)
+    learn = np.repeat(np.array([train(i) for ids, _ in held for i in ids], bool), [len(t) + 1 + deep.MOST for _, said in held for t in said])
+    for v, at, keys in places.by_last():
         mine = learn[at]
         taught, times = deep.tallied(keys[mine])
         other, _ = deep.tallied(keys[~mine])
@@ -87,11 +103,40 @@ def _entries(held: list, depth: int, train) -> tuple[np.ndarray, np.ndarray, np.
         known = np.ones(len(once), bool)
         known[at] = False
         once[at], once[known], count[known] = other[new], taught, times
-        c, b = deep.split(v, once)
-        contexts.append(c)
-        byte.append(b)
-        counts.append(deep.narrow(count))
-    return np.concatenate(contexts), np.concatenate(byte), np.concatenate(counts)
+        yield *deep.split(v, once), deep.narrow(count)
+
+
+def _entries(held: list, depth: int, train) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All of them at once."""
+    return tuple(map(np.concatenate, zip(*_by_last(held, depth, train))))
+
+
+def _packed(held: list, depth: int, train, low: list[int]) -> dict[int, tuple]:
+    """They by range, packed as soon as a range is whole."""
+    out, rest, j = {}, [], 0
+    for found in _by_last(held, depth, train):
+        rest.append(found)
+        done = bisect.bisect_right(low, int(found[0][-1]))  # ranges before the one of the last context are whole
+        if done - 1 > j:
+            j = done - 1
+            rest = _cut(out, rest, low, j)
+    if rest:
+        _cut(out, rest, low, len(low))
+    return out
+
+
+def _cut(out: dict, rest: list, low: list[int], upto: int) -> list:
+    """Ranges below that number go to out; what is left of rest."""
+    columns = tuple(map(np.concatenate, zip(*rest)))
+    first = bisect.bisect_right(low, int(columns[0][0])) - 1
+    ends = np.searchsorted(columns[0], np.array(low[first + 1 : upto + 1], U64)).tolist()
+    if upto == len(low):
+        ends.append(len(columns[0]))
+    for j, a, b in zip(range(first, upto), [0, *ends], ends):
+        if b > a:
+            out[j] = deep.pack(*(x[a:b] for x in columns))
+    at = ends[-1] if ends else 0
+    return [tuple(x[at:].copy() for x in columns)] if at < len(columns[0]) else []
 
 
 def _ends(low: list[int], i: int) -> tuple[int, int]:
@@ -104,7 +149,7 @@ def _ask(n: int, folds: int, fold: int, depth: int, low: list[int]):
 
     def ask(parts, _):
         held, words, counts = [], [], [np.zeros(1, np.int64)]
-        for ids, said in parts:
+        for ids, said in _merged(parts):
             held.append((ids, said))
             train = [not held_out(i, folds, fold) for i in ids]
             of, one, two, firsts = _tokens(said)
@@ -114,10 +159,9 @@ def _ask(n: int, folds: int, fold: int, depth: int, low: list[int]):
         one, two, where = _vocabulary(words)
         counts = np.bincount(where, np.concatenate(counts), len(one)).astype(np.int64)
         cuts = B.bucket_cuts(one, n)
-        contexts, byte, count = _entries(held, depth, lambda i: not held_out(i, folds, fold))
-        places = np.append(np.searchsorted(contexts, np.array(low, U64)), len(contexts))
+        packed = _packed(held, depth, lambda i: not held_out(i, folds, fold), low)
         for i in range(n):
-            mine = {j: deep.pack(*(x[places[j] : places[j + 1]] for x in (contexts, byte, count))) for j in range(RANGES * i, min(RANGES * (i + 1), len(low))) if places[j + 1] > places[j]}
+            mine = {j: packed[j] for j in range(RANGES * i, min(RANGES * (i + 1), len(low))) if j in packed}
             if cuts[i + 1] > cuts[i] or mine:
                 yield i, 0, (deep.pack_keys(one[cuts[i] : cuts[i + 1]]), deep.narrow(counts[cuts[i] : cuts[i + 1]]), mine, two[cuts[i] : cuts[i + 1]])
 
@@ -189,17 +233,18 @@ def _tell(depth: int, low: list[int], spine):
 
 def _score(n: int, folds: int, fold: int, depth: int, tokens: int, types: int):
     def conclude(parts, heard):
-        held = [(ids, said, *_tokens(said)) for ids, said in parts]
+        held = [(ids, said, *_tokens(said)) for ids, said in _merged(parts)]
         mine, _, where = _vocabulary([(one, two) for _, _, _, one, two, _ in held])
         cuts, counts = B.bucket_cuts(mine, n), np.zeros(len(mine), np.int64)
         answers = heard.get(0, {})
         for i, (words, _) in answers.items():
             counts[cuts[i] : cuts[i + 1]] = words
         told = np.concatenate([deep.unpack_logs(answers[i][1]) for i in sorted(answers)])  # buckets are in the order of their contexts
-        chance, at = np.zeros(sum(len(t) + 1 for _, said, *_ in held for t in said), np.float32), 0
-        for _, places, keys in deep.by_last(*map(list, zip(*(deep.places(said, depth) for _, said, *_ in held)))):
+        places = deep.Places([t for _, said, *_ in held for t in said], depth)
+        chance, at = np.zeros(len(places.buf), np.float32), 0
+        for _, where_to, keys in places.by_last():
             once, of = deep.ranked(keys)
-            chance[places] = told[at : at + len(once)][of]
+            chance[where_to] = told[at : at + len(once)][of]
             at += len(once)
         if at != len(told):
             raise RuntimeError("answers do not fit the questions")
@@ -210,14 +255,12 @@ def _score(n: int, folds: int, fold: int, depth: int, tokens: int, types: int):
             told_of += len(one)
             base = np.concatenate([[0.0], np.cumsum(logs[at])])
             known = np.concatenate([[0], np.cumsum(counts[at] > 0)])
-            begins = np.cumsum([0] + [len(t) + 1 for t in said])
-            score = np.concatenate([[0.0], np.cumsum(chance[done : done + begins[-1]], dtype=np.float64)])
-            done += begins[-1]
-            for ident, text, a, b, c in zip(ids, said, firsts[:-1], firsts[1:], begins):
+            for ident, text, a, b, c in zip(ids, said, firsts[:-1], firsts[1:], places.firsts[done:].tolist()):
                 yield (
                     ident, held_out(ident, folds, fold), int(b - a) + 1, int(known[b] - known[a]) + int(counts[end] > 0), tokens,
-                    float(base[b] - base[a] + logs[end]), float(score[c + len(text) + 1] - score[c]), len(text),
+                    float(base[b] - base[a] + logs[end]), float(chance[c : c + len(text) + 1].sum(dtype=np.float64)), len(text),
                 )
+            done += len(ids)
 
     return conclude
 
@@ -234,7 +277,7 @@ def context_tree_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         raise ValueError(f"depth must be from 1 to {deep.MOST}")
     spark = docs.sparkSession
     n = partitions(spark)
-    rows = B.blocked(docs, id_col, text_col, n)
+    rows = B.packed(docs, id_col, text_col, n)
     schema = pa.schema([(id_col, pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())])
     ddl = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
     per_byte = -F.col("score") * math.log2(10) / (F.col("n_bytes") + 1)

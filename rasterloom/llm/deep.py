@@ -79,18 +79,39 @@ def mask(depth: int) -> np.uint64:
     return U64(ALL << (64 - 8 * depth) & ALL)
 
 
-def places(said: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Context and byte of every place of some documents, their ends included."""
-    edge = bytes([EDGE])
-    buf = np.frombuffer(b"".join([edge * depth + t + edge for t in said]), np.uint8)
-    sizes = np.array([len(t) + 1 + depth for t in said])
-    keep = np.ones(len(buf), bool)
-    for j in range(depth):
-        keep[np.cumsum(sizes) - sizes + j] = False
-    wide, contexts = buf.astype(U64), np.zeros(len(buf), U64)
-    for j in range(1, depth + 1):
-        contexts[j:] |= wide[:-j] << U64(64 - 8 * j)
-    return contexts[keep], buf[keep]
+class Places:
+    """The places of some documents, their ends included: each has a context and a byte that follows it."""
+
+    def __init__(self, said: list[bytes], depth: int):
+        edge = bytes([EDGE])
+        self.depth = depth
+        self.data = b"".join([x for t in said for x in (edge * MOST, t, edge)])
+        self.buf = np.frombuffer(self.data, np.uint8)
+        self.wide = np.ndarray((max(0, len(self.buf) - 7),), "<u8", self.data, strides=(1,))  # the eight bytes from each on, the last one foremost
+        sizes = np.array([len(t) + 1 for t in said], np.int64)
+        self.firsts = np.cumsum(sizes + MOST) - sizes  # of each document
+        self.is_place = np.ones(len(self.buf), bool)
+        for j in range(1, MOST + 1):
+            self.is_place[self.firsts - j] = False
+
+    def contexts(self, at: np.ndarray) -> np.ndarray:
+        found = self.wide[at - MOST]
+        return found if self.depth == MOST else found & mask(self.depth)
+
+    def by_last(self):
+        """For each last byte of a context: it, which places have it, and of these the other bytes with the byte that follows, as one number."""
+        last = self.buf[:-1]  # of the place after it
+        sizes = np.bincount(last[self.is_place[1:]], minlength=256)
+        share = (np.cumsum(sizes) - sizes) * 8 // max(1, int(sizes.sum()))  # values in at most eight shares, for no index of all places is held at once
+        index = np.int32 if len(self.buf) < 1 << 31 else np.int64
+        for k in np.unique(share).tolist():
+            values = np.flatnonzero(share == k).tolist()
+            at = np.flatnonzero((last >= values[0]) & (last <= values[-1]) & self.is_place[1:]).astype(index)
+            at = at[np.argsort(last[at], kind="stable")] + index(1)  # of bytes: a radix sort
+            ends = np.cumsum(sizes[values]).tolist()
+            for v, a, b in zip(values, [0, *ends], ends):
+                if b > a:
+                    yield v, at[a:b], self.contexts(at[a:b]) << U64(8) | self.buf[at[a:b]]
 
 
 def entries(contexts: np.ndarray, byte: np.ndarray, count: np.ndarray | None = None):
@@ -100,26 +121,6 @@ def entries(contexts: np.ndarray, byte: np.ndarray, count: np.ndarray | None = N
     return once, code, np.bincount(back, count, len(code)).astype(np.int64), back.astype(np.int32)
 
 
-def by_last(contexts: list[np.ndarray], byte: list[np.ndarray]):
-    """For each last byte of a context: it, which places have it, and of these the other bytes with the byte that follows, as one number."""
-    last, keys, done = np.empty(sum(map(len, contexts)), np.uint8), np.empty(sum(map(len, contexts)), U64), 0
-    while contexts:  # the lists go as the numbers come, so that a block is not held twice
-        c, b = contexts.pop(), byte.pop()
-        part = slice(len(last) - done - len(c), len(last) - done)
-        last[part], keys[part] = c >> U64(56), c << U64(8) | b
-        done += len(c)
-    sizes = np.bincount(last, minlength=256)
-    share = (np.cumsum(sizes) - sizes) * 8 // max(1, len(last))  # values in at most eight shares, for no index of all places is held at once
-    for k in np.unique(share).tolist():
-        values = np.flatnonzero(share == k).tolist()
-        at = np.flatnonzero((last >= values[0]) & (last <= values[-1]))
-        at = at[np.argsort(last[at], kind="stable")]  # of bytes: a radix sort
-        ends = np.cumsum(sizes[values]).tolist()
-        for v, a, b in zip(values, [0, *ends], ends):
-            if b > a:
-                yield v, at[a:b], keys[at[a:b]]
-
-
 def split(v: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Contexts and bytes of such numbers."""
     return keys >> U64(8) | U64(v << 56), (keys & U64(255)).astype(np.uint8)
@@ -175,9 +176,11 @@ def unpack_logs(packed: tuple) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, n).T).view(np.float32).ravel()
 
 
-def sampled(said: list[bytes], depth: int, most: int = 64, salt: int = 0) -> np.ndarray:
+def sampled(said: list[bytes], depth: int, most: int = 64, salt: int = 0, step: int = 32) -> np.ndarray:
     """Some of the distinct contexts of some documents, others for another salt."""
-    once, _ = tallied(places(said, depth)[0][::8])
+    found = Places(said, depth)
+    at = np.arange(MOST + int(salt) % step, len(found.buf), step)
+    once, _ = tallied(found.contexts(at[found.is_place[at]]))
     return once[np.argsort(mix(once ^ U64(salt)))[:most]]
 
 
