@@ -178,7 +178,7 @@ def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """The words of some documents in a row: `of` says which of the distinct `words` each is, sizes how long it is, firsts where each document's words begin."""
+    """The words of some documents in a row: `of` says which of the `distinct` ones (in Arrow; as a list: `words`) each is, sizes how long it is, firsts where each document's words begin."""
 
     def __init__(self, said: list[bytes]):
         self.buf = np.frombuffer(b"\n".join(said), np.uint8)
@@ -187,9 +187,13 @@ class Words:
         offsets = np.concatenate([[0], np.cumsum(self.sizes)])
         bare = self.buf[~IS_WHITE[self.buf]]
         found = pa.Array.from_buffers(pa.large_binary(), len(self.sizes), [None, pa.py_buffer(offsets), pa.py_buffer(bare)]).dictionary_encode()
-        self.of, self.words = found.indices.to_numpy().astype(np.int64), found.dictionary.to_pylist()
+        self.of, self.distinct = found.indices.to_numpy().astype(np.int64), found.dictionary
         self.firsts = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in said]))
 
+    @property
+    def words(self) -> list[bytes]:
+        return self.distinct.to_pylist()
+
     def joined(self) -> bytes:
         """All words with one space after each, but for the last of all."""
         keep = ~IS_WHITE[self.buf]
@@ -259,11 +263,16 @@ def _let_go(taken: int) -> None:
             return
         _model.clear()
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # another C library
-            pass
+        given_back()
+
+
+def given_back() -> None:
+    """What was freed in this process goes back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def _task_over() -> None:

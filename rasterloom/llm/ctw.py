@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import deep
-from .common import U64, Words, digests, paired, partitions, rows_of, texts
+from .common import U64, Words, digests, given_back, paired, partitions, rows_of, texts
 from .simhash import LOWER
 
 #: A bucket of a deeper tree goes through its contexts in so many ranges, one at a time.
@@ -44,13 +44,13 @@ def held_out(ident, folds: int = 7, fold: int = 2) -> bool:
 # ---------------------------------------------------------------- over the corpus
 
 
-def _tokens(said: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Which of the distinct lower-cased words each token is, both halves of the digests of these, and where each document's tokens begin; ends are left out."""
+def _tokens(said: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Which of the distinct lower-cased words each token is, these words, and where each document's tokens begin; ends are left out."""
     found = Words([t.translate(LOWER) for t in said])
-    return found.of, *digests(found.words), found.firsts
+    return found.of.astype(np.int32), found.distinct, found.firsts
 
 
-def _merged(parts: Iterable[tuple[list, list[bytes]]], most: int = 8 << 20) -> Iterator[tuple[list, list[bytes]]]:
+def _merged(parts: Iterable[tuple[list, list[bytes]]], most: int = 4 << 20) -> Iterator[tuple[list, list[bytes]]]:
     """Chunks of documents as fewer ones, so that a word's digest is made less often."""
     ids, said, size = [], [], 0
     for a, b in parts:
@@ -64,10 +64,12 @@ def _merged(parts: Iterable[tuple[list, list[bytes]]], most: int = 8 << 20) -> I
         yield ids, said
 
 
-def _vocabulary(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct digests of some lists of them, in order, and which each is; the end token is the first that goes in."""
-    first, second, _, where = paired(np.concatenate([END[:1], *(a for a, _ in parts)]), np.concatenate([END[1:], *(b for _, b in parts)]))
-    return first, second, where
+def _vocabulary(parts: list[pa.Array]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Digests of the distinct words of some lists of them, in order, and which each word is; the end token is the first that goes in."""
+    found = pa.concat_arrays(parts or [pa.array([], pa.large_binary())]).dictionary_encode()
+    one, two = digests(found.dictionary.to_pylist())
+    first, second, _, where = paired(np.append(END[:1], one), np.append(END[1:], two))
+    return first, second, np.append(where[:1], where[1:][found.indices.to_numpy()])
 
 
 def _splitters(docs: DataFrame, id_col: str, text_col: str, depth: int, n: int) -> list[int]:
@@ -76,7 +78,7 @@ def _splitters(docs: DataFrame, id_col: str, text_col: str, depth: int, n: int)
     def run(batches):
         # what partitions take must not be the same contexts: then a few common ones would be all that is found, however many partitions there are
         salt = deep.mix(np.array([TaskContext.get().partitionId() + 1], U64))[0]
-        held = [deep.sampled([t for _, t in chunk], depth, 256, salt) for chunk in rows_of(batches, 4 << 20)]
+        held = [deep.sampled([t for _, t in (chunk[int(salt) % 4 :: 4] if len(chunk) >= 64 else chunk)], depth, 256, salt) for chunk in rows_of(batches, 4 << 20)]
         if held:
             found = np.concatenate(held)
             found = found[np.argsort(deep.mix(found ^ salt))[:1024]].view(np.int64)
@@ -152,13 +154,15 @@ def _ask(n: int, folds: int, fold: int, depth: int, low: list[int]):
         for ids, said in _merged(parts):
             held.append((ids, said))
             train = [not held_out(i, folds, fold) for i in ids]
-            of, one, two, firsts = _tokens(said)
-            words.append((one, two))
-            counts.append(np.bincount(of, np.repeat(train, np.diff(firsts)).astype(np.int64), len(one)).astype(np.int64))
+            of, distinct, firsts = _tokens(said)
+            words.append(distinct)
+            counts.append(np.bincount(of[np.repeat(train, np.diff(firsts))], minlength=len(distinct)))
             counts[0] += sum(train)
         one, two, where = _vocabulary(words)
+        del words
         counts = np.bincount(where, np.concatenate(counts), len(one)).astype(np.int64)
         cuts = B.bucket_cuts(one, n)
+        given_back()
         packed = _packed(held, depth, lambda i: not held_out(i, folds, fold), low)
         for i in range(n):
             mine = {j: packed[j] for j in range(RANGES * i, min(RANGES * (i + 1), len(low))) if j in packed}
@@ -233,34 +237,45 @@ def _tell(depth: int, low: list[int], spine):
 
 def _score(n: int, folds: int, fold: int, depth: int, tokens: int, types: int):
     def conclude(parts, heard):
-        held = [(ids, said, *_tokens(said)) for ids, said in _merged(parts)]
-        mine, _, where = _vocabulary([(one, two) for _, _, _, one, two, _ in held])
+        held, words, said = [], [], []
+        for ids, some in _merged(parts):
+            of, distinct, firsts = _tokens(some)
+            held.append((ids, of, len(distinct), firsts))
+            words.append(distinct)
+            said += some
+        places = deep.Places(said, depth)
+        mine, _, where = _vocabulary(words)
+        del words, said, some, distinct
         cuts, counts = B.bucket_cuts(mine, n), np.zeros(len(mine), np.int64)
-        answers = heard.get(0, {})
-        for i, (words, _) in answers.items():
-            counts[cuts[i] : cuts[i + 1]] = words
-        told = np.concatenate([deep.unpack_logs(answers[i][1]) for i in sorted(answers)])  # buckets are in the order of their contexts
-        places = deep.Places([t for _, said, *_ in held for t in said], depth)
+        answers = heard.pop(0, {})
+        told = np.empty(sum(packed[0] for _, packed in answers.values()), np.float32)
+        at = 0
+        for i in sorted(answers):  # buckets are in the order of their contexts
+            counted, packed = answers.pop(i)
+            counts[cuts[i] : cuts[i + 1]] = counted
+            told[at : at + packed[0]] = deep.unpack_logs(packed)
+            at += packed[0]
+        logs = np.log10(counts + 1.0) - math.log10(tokens + types + 1.0)
+        end, told_of, rows = int(where[0]), 1, []
+        while held:  # these go before the places take their room
+            ids, of, size, firsts = held.pop(0)
+            at = where[told_of : told_of + size][of]
+            told_of += size
+            base = np.concatenate([[0.0], np.cumsum(logs[at])])
+            known = np.concatenate([[0], np.cumsum(counts[at] > 0)])
+            for ident, a, b in zip(ids, firsts[:-1], firsts[1:]):
+                rows.append((ident, held_out(ident, folds, fold), int(b - a) + 1, int(known[b] - known[a]) + int(counts[end] > 0), tokens, float(base[b] - base[a] + logs[end])))
+        del of, at, base, known, where, mine, counts, logs
+        given_back()
         chance, at = np.zeros(len(places.buf), np.float32), 0
-        for _, where_to, keys in places.by_last():
-            once, of = deep.ranked(keys)
+        for _, where_to, keys in places.by_last(deep.SHARE):
+            once, of = deep.ranked(keys, np.int32)
             chance[where_to] = told[at : at + len(once)][of]
             at += len(once)
         if at != len(told):
             raise RuntimeError("answers do not fit the questions")
-        logs = np.log10(counts + 1.0) - math.log10(tokens + types + 1.0)
-        end, done, told_of = int(where[0]), 0, 1
-        for ids, said, of, one, _, firsts in held:
-            at = where[told_of : told_of + len(one)][of]
-            told_of += len(one)
-            base = np.concatenate([[0.0], np.cumsum(logs[at])])
-            known = np.concatenate([[0], np.cumsum(counts[at] > 0)])
-            for ident, text, a, b, c in zip(ids, said, firsts[:-1], firsts[1:], places.firsts[done:].tolist()):
-                yield (
-                    ident, held_out(ident, folds, fold), int(b - a) + 1, int(known[b] - known[a]) + int(counts[end] > 0), tokens,
-                    float(base[b] - base[a] + logs[end]), float(chance[c : c + len(text) + 1].sum(dtype=np.float64)), len(text),
-                )
-            done += len(ids)
+        for row, a, size in zip(rows, places.firsts.tolist(), places.sizes.tolist()):
+            yield *row, float(chance[a : a + size].sum(dtype=np.float64)), size - 1
 
     return conclude
 

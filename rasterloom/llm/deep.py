@@ -19,6 +19,8 @@ from .common import U64, mix
 MOST = 8
 EDGE = 255
 ALL = (1 << 64) - 1
+#: About so many places are sorted at a time.
+SHARE = 1 << 17
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -55,14 +57,14 @@ def mixture(own: np.ndarray, product: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return mixed, np.where(apart >= 0, 1.0, less) / (1 + less)
 
 
-def ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def ranked(values: np.ndarray, index: type = np.int64) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct numbers, and which of them each is."""
     order = np.argsort(values)
     found = values[order]
     new = np.ones(len(found), bool)
     np.not_equal(found[1:], found[:-1], out=new[1:])
-    of = np.empty(len(found), np.int64)
-    of[order] = np.cumsum(new) - 1
+    of = np.empty(len(found), index)
+    of[order] = np.cumsum(new, dtype=index) - index(1)
     return found[new], of
 
 
@@ -88,36 +90,64 @@ class Places:
         self.data = b"".join([x for t in said for x in (edge * MOST, t, edge)])
         self.buf = np.frombuffer(self.data, np.uint8)
         self.wide = np.ndarray((max(0, len(self.buf) - 7),), "<u8", self.data, strides=(1,))  # the eight bytes from each on, the last one foremost
-        sizes = np.array([len(t) + 1 for t in said], np.int64)
-        self.firsts = np.cumsum(sizes + MOST) - sizes  # of each document
-        self.is_place = np.ones(len(self.buf), bool)
-        for j in range(1, MOST + 1):
-            self.is_place[self.firsts - j] = False
+        self.sizes = np.array([len(t) + 1 for t in said], np.int64)
+        self.firsts = np.cumsum(self.sizes + MOST) - self.sizes  # of each document
 
     def contexts(self, at: np.ndarray) -> np.ndarray:
         found = self.wide[at - MOST]
         return found if self.depth == MOST else found & mask(self.depth)
 
-    def by_last(self):
-        """For each last byte of a context: it, which places have it, and of these the other bytes with the byte that follows, as one number."""
+    def by_last(self, most: int | None = None):
+        """In the order of their contexts, places that have one last byte: it, which they are, and of each the other bytes with the byte that follows, as one number.
+
+        most: those of a frequent last byte come in several parts of about so many, so that what is sorted stays small; places of one context are in one part.
+        """
         last = self.buf[:-1]  # of the place after it
-        sizes = np.bincount(last[self.is_place[1:]], minlength=256)
-        share = (np.cumsum(sizes) - sizes) * 8 // max(1, int(sizes.sum()))  # values in at most eight shares, for no index of all places is held at once
+        sizes = np.zeros(256, np.int64)
+        for at in range(0, len(last), 1 << 20):
+            sizes += np.bincount(last[at : at + (1 << 20)], minlength=256)
+        share = ((np.cumsum(sizes) - sizes) * 8 // max(1, int(sizes.sum()))).astype(np.uint8)  # values in at most eight shares, for no index of all places is held at once
+        of = share[last]
+        for j in range(MOST):
+            edge = self.firsts - 2 - j
+            of[edge[edge >= 0]] = 255  # no place comes next
         index = np.int32 if len(self.buf) < 1 << 31 else np.int64
-        for k in np.unique(share).tolist():
-            values = np.flatnonzero(share == k).tolist()
-            at = np.flatnonzero((last >= values[0]) & (last <= values[-1]) & self.is_place[1:]).astype(index)
-            at = at[np.argsort(last[at], kind="stable")] + index(1)  # of bytes: a radix sort
-            ends = np.cumsum(sizes[values]).tolist()
-            for v, a, b in zip(values, [0, *ends], ends):
-                if b > a:
-                    yield v, at[a:b], self.contexts(at[a:b]) << U64(8) | self.buf[at[a:b]]
+        pairs = np.ndarray((max(0, len(self.buf) - 1),), "<u2", self.data, strides=(1,))  # the last two bytes of the place two on
+        for k in np.unique(share[sizes > 0]).tolist():
+            at = np.flatnonzero(of == k).astype(index)
+            if not len(at):
+                continue
+            sort_by = last[at] if most is None or self.depth == 1 else pairs[at - index(1)]
+            order = np.argsort(sort_by, kind="stable")  # of so few bits: a radix sort
+            at, sort_by = at[order] + index(1), sort_by[order]
+            del order
+            shift, begin = 8 * (sort_by.itemsize - 1), 0
+            ends = np.append(np.flatnonzero(sort_by[1:] != sort_by[:-1]) + 1, len(at))
+            values = (sort_by[ends - 1] >> shift).tolist()
+            for end, v, then in zip(ends.tolist(), values, [*values[1:], None]):
+                if v != then or end - begin >= most:
+                    yield v, at[begin:end], self.keys(at[begin:end])
+                    begin = end
+
+    def keys(self, at: np.ndarray) -> np.ndarray:
+        found = self.contexts(at)
+        found <<= U64(8)
+        found |= self.buf[at]
+        return found
 
 
 def entries(contexts: np.ndarray, byte: np.ndarray, count: np.ndarray | None = None):
     """Distinct contexts in order; distinct (rank of the context, byte) in order, as codes, with their counts; which of these each place is."""
-    once, of = ranked(contexts)
-    code, back = ranked(of << 8 | byte)
+    low = contexts.min() if len(contexts) else U64(0)
+    if len(contexts) and contexts.max() - low < U64(1 << 56):  # both are one number: sorted once
+        found, back = ranked(contexts - low << U64(8) | byte)
+        short = found >> U64(8)
+        new = np.ones(len(found), bool)
+        np.not_equal(short[1:], short[:-1], out=new[1:])
+        once, code = short[new] + low, np.cumsum(new) - 1 << 8 | (found & U64(255)).astype(np.int64)
+    else:
+        once, of = ranked(contexts)
+        code, back = ranked(of << 8 | byte)
     return once, code, np.bincount(back, count, len(code)).astype(np.int64), back.astype(np.int32)
 
 
@@ -176,11 +206,12 @@ def unpack_logs(packed: tuple) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, n).T).view(np.float32).ravel()
 
 
-def sampled(said: list[bytes], depth: int, most: int = 64, salt: int = 0, step: int = 32) -> np.ndarray:
+def sampled(said: list[bytes], depth: int, most: int = 64, salt: int = 0, step: int = 8) -> np.ndarray:
     """Some of the distinct contexts of some documents, others for another salt."""
     found = Places(said, depth)
     at = np.arange(MOST + int(salt) % step, len(found.buf), step)
-    once, _ = tallied(found.contexts(at[found.is_place[at]]))
+    of = np.searchsorted(found.firsts, at, "right") - 1
+    once, _ = tallied(found.contexts(at[at < (found.firsts + found.sizes)[of]]))
     return once[np.argsort(mix(once ^ U64(salt)))[:most]]
 
 
@@ -248,7 +279,7 @@ class Subtrees:
 
     def logs(self, spine: dict) -> np.ndarray:
         """log10 of the probability of each code's byte in its context."""
-        out = np.zeros(len(self.levels[-1][1]))
+        out = np.ones(len(self.levels[-1][1]))
         for bit in range(8):
             nodes = self._nodes(bit)
             share = {d: s for d, _, s in self._shares(nodes, bit)}
@@ -264,8 +295,8 @@ class Subtrees:
                 sure = sure + reach * share[d] * chance
             one = (self.levels[-1][1] >> (7 - bit) & 1).astype(bool)
             sure = sure[nodes[-1][0]]
-            out += np.log10(np.where(one, sure, 1 - sure))
-        return out
+            out *= np.where(one, sure, 1 - sure)  # of eight bits, none so small that the product could vanish
+        return np.log10(out)
 
 
 def looked_up(level: tuple, contexts: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -754,6 +754,50 @@ def test_a_crowded_range_goes_in_parts(monkeypatch):
         assert len(a) == len(b) and a == pytest.approx(b, rel=1e-5, abs=1e-7)
 
 
+def test_places_are_those_of_a_plain_version():
+    from rasterloom.llm import deep
+
+    said = [b"", b"ab", b"banana \xff\xff\0band", b"abab" * 50, b"n"]
+    for depth in (1, 3, 8):
+        want = sorted((bytes([255]) * depth + t)[p : p + depth][::-1] + (t + b"\xff")[p : p + 1] for t in said for p in range(len(t) + 1))
+        for most in (None, 1, 20):
+            found, seen = [], []
+            places = deep.Places(said, depth)
+            for v, at, keys in places.by_last(most):
+                assert len(set(at.tolist())) == len(at) and (places.buf[at - 1] == v).all()
+                contexts, byte = deep.split(v, np.sort(keys))
+                found += [int(c).to_bytes(8, "big")[:depth] + bytes([b]) for c, b in zip(contexts, byte)]
+                seen += at.tolist()
+            assert found == want and len(set(seen)) == len(seen) == sum(len(t) + 1 for t in said)
+
+
+def test_packed_blocks_hold_every_row_once_and_leave_a_shuffle_small(spark):
+    from rasterloom.llm import blocks
+
+    rows = fixture_rows()
+    df = spark.createDataFrame(rows, DDL).repartition(3)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = blocks.packed(df, "doc_id", "text", n).toArrow()
+    assert len(set(found["block"].to_pylist())) <= max(1, n // 2)
+    back = [(i, t.decode()) for ids, said in blocks._documents(found) for i, t in zip(ids, said)]
+    assert sorted(back, key=str) == sorted(pairs(), key=str)
+    assert sum(len(x) for x in found["data"].to_pylist()) < sum(len(t.encode()) for _, t in pairs()) // 2
+
+
+def test_ranges_are_packed_as_the_contexts_come():
+    from rasterloom.llm import deep
+
+    held = [([1, 2, 3], [b"anna banana bandana", b"", b"zz top zoo"])]
+    contexts, byte, count = ctw._entries(held, 8, lambda i: i < 3)
+    for step in (1, 3, 50):
+        low = [0, *np.unique(contexts)[1::step].tolist(), (1 << 64) - 1]
+        found = ctw._packed(held, 8, lambda i: i < 3, low)
+        of = np.searchsorted(np.array(low, np.uint64), contexts, "right") - 1
+        assert sorted(found) == np.unique(of).tolist()
+        for j, data in found.items():
+            assert all((x == y[of == j]).all() for x, y in zip(deep.unpack(data), (contexts, byte, count)))
+
+
 def test_keys_and_counts_come_back_from_messages():
     from rasterloom.llm import deep
 
