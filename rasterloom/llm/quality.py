@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,8 @@ import sentencepiece
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .common import WHITE, Recent, only_model, rested, rows_of, texts
+from .common import WHITE, Recent, Words, only_model, rested, rows_of, texts
+from .deep import ranked, tallied
 
 SYMBOLS = b"#*$%&|<>"
 #: The split pattern of the rank files (fixed value).
@@ -78,18 +81,23 @@ class Fertility:
         for b, i in ranks.items():
             self.rank_bytes[i] = len(b)
         self.is_byte = np.array([self.pieces.is_byte(i) for i in range(self.pieces.get_piece_size())])
-        self.least_plain = int(np.flatnonzero(self.is_byte).max(initial=-1)) + 1
-        self.words, self.next = Recent(cache), 0
-
-    def learn(self, words: set[bytes]) -> None:
-        """number, ids under the pieces, how many of them are bytes, how many tokens under the ranks."""
-        new = [w for w in words if self.words.get(w) is None]
-        if not new:
-            return
-        said = [w.decode("utf-8", "replace") for w in new]
-        for w, ids, more in zip(new, self.pieces.encode(said, num_threads=1), self.ranked(said)):
-            self.words.put(w, (self.next, ids, int(self.is_byte[ids].sum()) if ids and min(ids) < self.least_plain else 0, more))
-            self.next += 1
+        self.words = Recent(cache)
+
+    def tokens(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of distinct words: their ids under the pieces one after another, how many each has, how many tokens each has under the ranks."""
+        found = list(map(self.words.get, words))
+        new = [i for i, f in enumerate(found) if f is None]
+        if new:
+            said = [words[i].decode("utf-8", "replace") for i in new]
+            ids = self.pieces.encode(said, num_threads=1)
+            ends = (4 * np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))).tolist()
+            flat = np.fromiter(chain.from_iterable(ids), np.int32, ends[-1] // 4).tobytes()
+            for i, a, b, more in zip(new, [0, *ends], ends, self.ranked(said)):
+                found[i] = flat[a:b], more
+                self.words.put(words[i], found[i])
+        flat, more = zip(*found) if found else ((), ())
+        sizes = np.fromiter(map(len, flat), np.int64, len(flat)) // 4
+        return np.frombuffer(b"".join(flat), np.int32), sizes, np.array(more, np.int64)
 
     def ranked(self, words: list[str]) -> list[int]:
         """How many rank tokens each word has: no token goes over a space that starts a word, so one call does for all."""
@@ -103,27 +111,30 @@ def loaded(piece_path: str, rank_path: str) -> Fertility:
     return only_model(("fertility", piece_path, rank_path), lambda: Fertility(piece_path, rank_path))
 
 
-def repeated_words(numbers: np.ndarray, width: int = 3) -> int:
-    """Words in windows of that width that are there twice or more, first ones included."""
-    if len(numbers) <= width:
-        return 0
-    _, small = np.unique(numbers, return_inverse=True)
-    key = small[: len(small) - width + 1].astype(np.int64)
+def repeated_words(of: np.ndarray, doc: np.ndarray, n: int, width: int = 3) -> np.ndarray:
+    """By document, words in windows of that width that are there twice or more in it, first ones included. of: which word each is, doc: of which of the n documents."""
+    wins = len(of) - width + 1
+    if wins < 1:
+        return np.zeros(n, np.int64)
+    small, key = int(of.max()) + 1, of[:wins].astype(np.int64)
     for i in range(1, width):
-        _, key = np.unique(key * (int(small.max()) + 1) + small[i : len(small) - width + 1 + i], return_inverse=True)
-    again = np.bincount(key)[key] > 1
-    hit = np.zeros(len(numbers), bool)
+        _, key = ranked(key * small + of[i : wins + i])
+    whole = np.flatnonzero(doc[:wins] == doc[width - 1 :])
+    _, key = ranked(key[whole] * n + doc[whole])
+    again = whole[np.bincount(key)[key] > 1] if len(whole) else whole
+    hit = np.zeros(len(of), bool)
     for i in range(width):
-        hit[i : i + len(again)] |= again
-    return int(hit.sum())
+        hit[again + i] = True
+    return np.bincount(doc[hit], minlength=n)
 
 
-def entropy(ids: np.ndarray) -> float:
-    """Of the tokens' distribution within the text, in bits."""
-    if not len(ids):
-        return 0.0
-    counts = np.unique(ids, return_counts=True)[1]
-    return float(np.log2(len(ids)) - (counts * np.log2(counts)).sum() / len(ids))
+def entropies(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """By document, of its tokens' distribution, in bits. ids: of all documents, one after another; sizes: how many each has."""
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
+    once, counts = tallied(doc << 32 | ids)
+    spent = np.bincount(once >> 32, counts * np.log2(counts), len(sizes))
+    least = np.maximum(sizes, 1)
+    return np.where(sizes > 0, np.log2(least) - spent / least, 0.0)
 
 
 COLUMNS = [
@@ -132,26 +143,33 @@ COLUMNS = [
 ]
 
 
-def measured(text: bytes, lang: str | None, model: Fertility, bands: dict, least_tokens: int) -> tuple:
-    words = text.split()
-    model.learn(set(words).difference(model.words.new))
-    found = [model.words.new[w] for w in words]
-    n = len(words)
-    word_chars = len(text.decode("utf-8", "replace")) - (len(text) - len(text.translate(None, WHITE)))
-    symbols = len(text) - len(text.translate(None, SYMBOLS))
-    lines = [x for x in text.split(b"\n") if x.translate(None, WHITE)]
-    repeats = repeated_words(np.array([f[0] for f in found], np.int64))
-    failed = n < 50 or 100 * repeats > 50 * n
-    ids = np.array([i for f in found for i in f[1]], np.int64)
-    tokens, ranked = len(ids), sum([f[3] for f in found])
-    per = 2.0 * (word_chars + n) / (tokens + ranked) if tokens + ranked else 0.0
-    share = sum([f[2] for f in found]) / tokens if tokens else 0.0
-    spread = entropy(ids)
-    kept = not failed
-    if kept and tokens >= least_tokens:
-        band = bands.get(lang) or SCRIPT_BANDS[script_of(text.decode("utf-8", "replace"))]
-        kept = band.least_chars_per_token <= per <= band.most_chars_per_token and share <= band.most_byte_share and spread >= band.least_entropy
-    return n, word_chars, symbols, len(lines) - len(set(lines)), repeats, failed, tokens, per, share, spread, kept
+def measured(said: list[bytes], langs: list, model: Fertility, bands: dict, least_tokens: int) -> list[tuple]:
+    """What COLUMNS names of each of some documents. Words are looked up once for all of them, and counted in arrays."""
+    words = Words(said)
+    n_words = np.diff(np.append(words.firsts[: len(said)], len(words.of)))
+    doc = np.repeat(np.arange(len(said)), n_words)
+    flat, sizes, more = model.tokens(words.words)
+    model.words.age()
+    each = sizes[words.of]
+    starts = (np.cumsum(sizes) - sizes)[words.of]
+    ids = flat[np.repeat(starts - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+    n_tokens = np.bincount(doc, each, len(said)).astype(np.int64)
+    n_bytes = np.bincount(np.repeat(np.arange(len(said)), n_tokens)[model.is_byte[ids]], minlength=len(said))
+    columns = n_words, repeated_words(words.of, doc, len(said)), n_tokens, n_bytes, np.bincount(doc, more[words.of], len(said)).astype(np.int64), entropies(ids, n_tokens)
+    out = []
+    for text, lang, n, repeats, tokens, odd, ranked_tokens, spread in zip(said, langs, *(c.tolist() for c in columns)):
+        word_chars = len(text.decode("utf-8", "replace")) - (len(text) - len(text.translate(None, WHITE)))
+        symbols = len(text) - len(text.translate(None, SYMBOLS))
+        lines = [x for x in text.split(b"\n") if x and not x.isspace()]
+        failed = n < 50 or 100 * repeats > 50 * n
+        per = 2.0 * (word_chars + n) / (tokens + ranked_tokens) if tokens + ranked_tokens else 0.0
+        share = odd / tokens if tokens else 0.0
+        kept = not failed
+        if kept and tokens >= least_tokens:
+            band = bands.get(lang) or SCRIPT_BANDS[script_of(text.decode("utf-8", "replace"))]
+            kept = band.least_chars_per_token <= per <= band.most_chars_per_token and share <= band.most_byte_share and spread >= band.least_entropy
+        out.append((n, word_chars, symbols, len(lines) - len(set(lines)), repeats, failed, tokens, per, share, spread, kept))
+    return out
 
 
 def quality_rules(docs: DataFrame, piece_path: str, rank_path: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang", bands: dict | None = None, least_tokens: int = 50) -> DataFrame:
@@ -166,16 +184,29 @@ def quality_rules(docs: DataFrame, piece_path: str, rank_path: str, id_col: str
     def run(batches):
         model = loaded(piece_path, rank_path)
         for chunk in rows_of(batches, 4 << 20):
-            out = []
-            for doc, text, *lang in chunk:
-                out.append((doc, *measured(text, lang[0] if lang else None, model, bands, least_tokens)))
-                model.words.age()
+            docs, said, *langs = zip(*chunk)
+            out = [(doc, *row) for doc, row in zip(docs, measured(said, langs[0] if langs else [None] * len(said), model, bands, least_tokens))]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
     chosen = texts(docs, id_col, text_col, *([lang_col] if lang_col else []))
     return chosen.mapInArrow(rested(run), f"`{id_col}` long, " + ", ".join(f"{a} {c}" for a, _, c in COLUMNS))
 
 
+def slices(said: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, list[bytes]]]:
+    """Texts of a batch, nulls as empty ones, about so many bytes at a time, and where they begin."""
+    held, size, at = [], 0, 0
+    for text in (said.cast(pa.large_binary()) if pa.types.is_large_string(said.type) else said.cast(pa.binary())).to_pylist():
+        text = text or b""
+        if held and size + len(text) > most:
+            yield at, held
+            at += len(held)
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield at, held
+
+
 def quality_filter(docs: DataFrame, piece_path: str, rank_path: str, text_col: str = "text", lang_col: str | None = "lang", bands: dict | None = None, least_tokens: int = 50) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns, judged where they stand: no shuffle. Rows that repeat stay or go alike."""
     bands = BANDS if bands is None else bands
@@ -183,12 +214,10 @@ def quality_filter(docs: DataFrame, piece_path: str, rank_path: str, text_col: s
     def run(batches):
         model = loaded(piece_path, rank_path)
         for batch in batches:
-            said = batch[text_col].cast(pa.binary()).to_pylist()
-            langs = batch[lang_col].to_pylist() if lang_col else [None] * len(said)
+            langs = batch[lang_col].to_pylist() if lang_col else [None] * len(batch)
             keep = []
-            for text, lang in zip(said, langs):
-                keep.append(measured(text or b"", lang, model, bands, least_tokens)[-1])
-                model.words.age()
+            for at, said in slices(batch[text_col]):
+                keep += [row[-1] for row in measured(said, langs[at : at + len(said)], model, bands, least_tokens)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(rested(run), docs.schema)

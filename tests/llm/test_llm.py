@@ -431,6 +431,18 @@ def test_fertility_is_that_of_the_libraries(docs):
     assert multiset((-1 if r.doc_id is None else r.doc_id, r.n_tokens, round(r.chars_per_token, 6), round(r.byte_share, 6), abs(round(r.token_entropy, 6)), r.kept) for r in got) == multiset(want)
 
 
+def test_words_of_many_documents_are_looked_up_once(monkeypatch):
+    model = quality.Fertility(PIECES, RANKS)
+    said = [t.encode() for _, t in pairs()] + [" ".join(w for w in "a b ab c d é x1".split() for _ in range(9)).encode()] * 40 + [b"", b"a b c", b"\xff a \xff a b \xff a"]
+    alone = [quality.measured([t], ["en"], model, quality.BANDS, 50)[0] for t in said]
+    seen = []
+    monkeypatch.setattr(model.words, "get", lambda w, get=model.words.get: seen.append(w) or get(w))
+    together = quality.measured(said, ["en"] * len(said), model, quality.BANDS, 50)
+    assert len(seen) == len(set(seen)) > 50
+    for a, b in zip(alone, together, strict=True):
+        assert a[:9] == b[:9] and a[9] == pytest.approx(b[9], abs=1e-9) and a[10] == b[10]
+
+
 def test_scripts():
     assert [quality.script_of(x) for x in ("hello été", "привет мир", "日本語です", "12 !", "שלום")] == ["latin", "cyrillic", "cjk", "other", "hebrew"]
 
