@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import deep
-from .common import U64, Words, digests, given_back, paired, partitions, rows_of, texts
+from .common import U64, Words, digests, given_back, kept_at_hand, paired, partitions, rows_of, texts
 from .simhash import LOWER
 
 #: A bucket of a deeper tree goes through its contexts in so many ranges, one at a time.
@@ -78,7 +78,8 @@ def _splitters(docs: DataFrame, id_col: str, text_col: str, depth: int, n: int)
     def run(batches):
         # what partitions take must not be the same contexts: then a few common ones would be all that is found, however many partitions there are
         salt = deep.mix(np.array([TaskContext.get().partitionId() + 1], U64))[0]
-        held = [deep.sampled([t for _, t in (chunk[int(salt) % 4 :: 4] if len(chunk) >= 64 else chunk)], depth, 256, salt) for chunk in rows_of(batches, 4 << 20)]
+        some = (b.take(pa.array(np.arange(int(salt) % 4, len(b), 4))) if len(b) >= 64 else b for b in batches)
+        held = [deep.sampled([t for _, t in chunk], depth, 256, salt) for chunk in rows_of(some, 4 << 20)]
         if held:
             found = np.concatenate(held)
             found = found[np.argsort(deep.mix(found ^ salt))[:1024]].view(np.int64)
@@ -150,6 +151,7 @@ def _ask(n: int, folds: int, fold: int, depth: int, low: list[int]):
     """Per block: (words' first halves, packed, their training counts, per range its number, packed contexts and training counts, words' second halves)."""
 
     def ask(parts, _):
+        kept_at_hand()
         held, words, counts = [], [], [np.zeros(1, np.int64)]
         for ids, said in _merged(parts):
             held.append((ids, said))
@@ -206,6 +208,7 @@ def _climb(depth: int, low: list[int]):
     """To block -1: tokens, types and the open nodes of a bucket's ranges."""
 
     def answer(said):
+        kept_at_hand()
         counts, _ = _summed(said)
         opened = []
         for tree, _, _ in _ranges(said, depth, low):
@@ -219,6 +222,7 @@ def _tell(depth: int, low: list[int], spine):
     """To each block the training counts of its words, and log10 of the probability of each of its entries."""
 
     def answer(said):
+        kept_at_hand()
         counts, of = _summed(said)
         counts = counts[of]
         told = [[np.zeros(0, np.float32)] for _ in said]
@@ -237,6 +241,7 @@ def _tell(depth: int, low: list[int], spine):
 
 def _score(n: int, folds: int, fold: int, depth: int, tokens: int, types: int):
     def conclude(parts, heard):
+        kept_at_hand()
         held, words, said = [], [], []
         for ids, some in _merged(parts):
             of, distinct, firsts = _tokens(some)

@@ -215,6 +215,13 @@ def sampled(said: list[bytes], depth: int, most: int = 64, salt: int = 0, step:
     return once[np.argsort(mix(once ^ U64(salt)))[:most]]
 
 
+def between(count: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of whole numbers from each first to the next, by one running sum."""
+    upto = np.cumsum(count)[np.append(first[1:], len(count)) - 1]
+    upto[1:] -= upto[:-1].copy()
+    return upto
+
+
 class Subtrees:
     """The part of the tree in a range of contexts, low to high, both included."""
 
@@ -240,8 +247,9 @@ class Subtrees:
             key = code >> (8 - bit)
             new = np.concatenate([[True], key[1:] != key[:-1]])
             of, first = np.cumsum(new, dtype=np.int32) - 1, np.flatnonzero(new).astype(np.int32)
-            ones = np.add.reduceat(count * (code >> (7 - bit) & 1), first)
-            out.append((of, first, np.add.reduceat(count, first) - ones, ones, out[-1][0][up[first]] if out else None))
+            both = between(count, first)
+            ones = between(count * (code >> (7 - bit) & 1), first)
+            out.append((of, first, both - ones, ones, out[-1][0][up[first]] if out else None))
         return out
 
     def _label(self, d: int, bit: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
