@@ -8,14 +8,13 @@ is first compared with the one before it, a chain and not all pairs; what the ex
 Buckets that still hold several components then compare lines across components, those outside the bucket's largest component with the rest. A parity
 sketch of each set bounds the difference of two sets from below, so it passes over pairs without losing one. One line of each component stays: the first by document id and line number.
 
-Hashing and comparing shingles run in Arrow batches, everything else in DataFrame operations: see README for the figures of native forms.
+Hashing and comparing shingles and going through sorted buckets run in Arrow batches, everything else in DataFrame operations: see README for the figures of native forms.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +33,9 @@ BANDS, SEEDED, PARTS, PARTS_LARGE = 12, 3, 4, 14
 LOW = 44
 #: Words of 64 bits in the parity sketch of a set.
 SKETCH = 16
-#: Bits of the filter by which lines that no candidate is are left out of a join: 4 MB at any size, less use beyond some ten million candidates.
+#: The bits of a band's number that say a row's kind.
+KINDS = 3
+#: Bits of the filter by which lines that no candidate is are left out of a join: half a million words at any size, less use beyond some ten million candidates.
 FILTER = 25
 _random = np.random.default_rng(21)
 CHARS = _random.integers(0, 1 << 63, 64, dtype=U64) * U64(2) + U64(1)
@@ -44,52 +45,15 @@ SEEDS = _random.integers(0, 1 << 63, BANDS * HASHES, dtype=U64) * U64(2) + U64(1
 # ---------------------------------------------------------------- lines
 
 
-def normalised(said: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Lines with a word of some texts: in lower case, runs of white space as one space, none at the ends; which text each is of, and its number there."""
-    try:
-        low = pc.utf8_lower(said.cast(pa.large_string()))
-    except pa.ArrowInvalid:  # not UTF-8
-        low = pc.utf8_lower(pa.array([x.decode("utf-8", "replace") for x in said.to_pylist()], pa.large_string()))
-    odd = pc.match_substring(low, "  ")
-    for c in "\t\v\f\r":
-        odd = pc.or_(odd, pc.match_substring(low, c))
-    if pc.any(odd).as_py():
-        low = pc.if_else(odd, pc.replace_substring_regex(low, "[ \t\v\f\r]+", " "), low)
-    parts = pc.split_pattern(low, "\n")
-    counts = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
-    norms = pc.utf8_trim(pc.list_flatten(parts), " ")
-    keep = pc.greater(pc.binary_length(norms), 0)
-    kept = keep.to_numpy(zero_copy_only=False)
-    of = np.repeat(np.arange(len(counts)), counts)
-    number = np.arange(len(of)) - np.repeat(np.cumsum(counts) - counts, counts)
-    return norms.filter(keep), of[kept], number[kept].astype(np.int32)
-
-
 def numbered_lines(docs: DataFrame, id_col: str, text_col: str, whole: bool = True) -> DataFrame:
     """(id, line_no, key, norm) of every line with a word, key being 128 bits of norm; whole=False: without norm."""
-    schema = pa.schema([("id", pa.int64()), ("line_no", pa.int32()), ("key", pa.binary())] + [("norm", pa.string())] * whole)
-
-    def run(batches):
-        for batch in batches:
-            for ids, said in text_slices(batch):
-                norms, of, number = normalised(said)
-                for at in range(0, len(norms), 20_000):
-                    some = norms.slice(at, 20_000)
-                    cols = [ids.take(pa.array(of[at : at + 20_000])), pa.array(number[at : at + 20_000]), pa.array(list(map(xxhash.xxh3_128_digest, some.cast(pa.large_binary()).to_pylist())), pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols + [some.cast(pa.string())] * whole, schema=schema)
-
-    return texts(docs, id_col, text_col).mapInArrow(run, "id long, line_no int, key binary" + ", norm string" * whole)
-
-
-def text_slices(batch: pa.RecordBatch, most: int = 4 << 20):
-    """(ids, texts as binary) of a batch, of about so many bytes at a time."""
-    said = batch["text"].cast(pa.large_binary() if pa.types.is_large_string(batch["text"].type) else pa.binary())
-    ends = np.cumsum(pc.binary_length(said).to_numpy(zero_copy_only=False).astype(np.int64))
-    at = 0
-    while at < len(said):
-        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
-        yield batch["id"].slice(at, to - at), said.slice(at, to - at)
-        at = to
+    odd = F.lit(False)
+    for c in ("  ", "\t", "\v", "\f", "\r"):  # most lines have none of these: no regular expression goes over them
+        odd = odd | F.contains("line", F.lit(c))
+    low = texts(docs, id_col, text_col).select("id", F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("line_no", "line"))
+    line = F.when(odd, F.regexp_replace("line", "[ \\t\\x0B\\f\\r]+", " ")).otherwise(F.col("line"))
+    lines = low.select("id", "line_no", F.trim(line).alias("norm")).where("norm <> ''")
+    return lines.select("id", "line_no", F.unhex(F.md5(F.col("norm").cast("binary"))).alias("key"), *["norm"] * whole)
 
 
 # ---------------------------------------------------------------- sets and bands
@@ -218,25 +182,37 @@ def _norms(batches, chars: int = 1 << 18):
         yield np.array(nodes, np.int64), norms
 
 
-def band_rows(nodes: DataFrame, width: int, threshold: float = 0.8, hot: dict[int, int] | None = None) -> DataFrame:
-    """(band, part, kind, node) of (node, norm). hot: into how many parts some bands are dealt by a hash of the line; all others are one part, 0."""
-    schema = pa.schema([("band", pa.int64()), ("part", pa.int16()), ("kind", pa.int8()), ("node", pa.int64())])
+def packed_rows(nodes: DataFrame, width: int, threshold: float = 0.8, hot: dict[int, int] | None = None) -> DataFrame:
+    """(place, node), and part if bands are hot: place is a band with its row's kind in the lowest two bits, so that one number is dealt out and sorted by."""
     names = np.array(sorted(hot or ()), np.int64)
     salts = np.array([hot[x] for x in names.tolist()], np.int64) if hot else names
+    schema = pa.schema([("place", pa.int64()), ("node", pa.int64())] + [("part", pa.int16())] * bool(hot))
 
     def run(batches):
         for node, norms in _norms(batches):
             bands, kinds, lines = bands_of(norms, width, threshold)
-            bands, node = bands.view(np.int64), node[lines]
-            part = np.zeros(len(bands), np.int16)
+            bands, node = bands.view(np.int64) & ~KINDS, node[lines]
+            cols = [bands | kinds, node]
             if len(names):
+                part = np.zeros(len(bands), np.int16)
                 at = np.minimum(np.searchsorted(names, bands), len(names) - 1)
                 split = names[at] == bands
                 part[split] = 1 + mix(node[split].astype(U64)) % salts[at[split]].astype(U64)
+                cols.append(part)
             for at in range(0, len(bands), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in (bands, part, kinds, node)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]) for x in cols], schema=schema)
+
+    return nodes.select("node", "norm").mapInArrow(run, "place long, node long" + ", part short" * bool(hot))
+
 
-    return nodes.select("node", "norm").mapInArrow(run, "band long, part short, kind byte, node long")
+def band_of(place: str) -> Column:
+    return F.col(place).bitwiseAND(F.lit(~KINDS))
+
+
+def band_rows(nodes: DataFrame, width: int, threshold: float = 0.8, hot: dict[int, int] | None = None) -> DataFrame:
+    """(band, part, kind, node) of (node, norm). hot: into how many parts some bands are dealt by a hash of the line; all others are one part, 0."""
+    kind = F.col("place").bitwiseAND(F.lit(KINDS)).cast("byte")
+    return packed_rows(nodes, width, threshold, hot).select(band_of("place").alias("band"), (F.col("part") if hot else F.lit(0).cast("short")).alias("part"), kind.alias("kind"), "node")
 
 
 def sketched(nodes: DataFrame, width: int) -> DataFrame:
@@ -319,20 +295,16 @@ def similar(pairs: DataFrame, nodes: DataFrame, width: int, threshold: float) ->
 
 
 def with_nodes(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of nodes whose number is in wanted. A filter of a fixed size takes most others out before the join, and none of these."""
-    place = F.pmod(F.xxhash64("node"), F.lit(1 << FILTER))
-    maps = wanted.select(F.shiftright(place, 15).alias("map"), place.bitwiseAND(F.lit((1 << 15) - 1)).alias("bit")).groupBy("map").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    bits = np.zeros(1 << (FILTER - 3), np.uint8)
-    for number, held in maps.collect():  # 2**(FILTER - 15) maps of 4 KiB at most
-        bits[number << 12 : (number + 1) << 12] = np.frombuffer(held, np.uint8)
+    """The rows of nodes whose number is in wanted, which names none twice. A filter of a fixed size takes most others out before the join, and none of these.
 
-    def run(batches):
-        for batch in batches:
-            at = batch["place"].to_numpy()
-            yield batch.filter(pa.array((bits[at >> 3] >> (at & 7)) & 1 > 0)).drop_columns(["place"])
-
-    some = nodes.withColumn("place", place).mapInArrow(run, nodes.schema)
-    return some.join(wanted, "node", "left_semi")
+    The join is an inner one: a semi-join would be pushed below the filter, and then all texts go over the shuffle.
+    """
+    place = F.xxhash64("node").bitwiseAND(F.lit((1 << FILTER) - 1))
+    word, bit = F.shiftright(place, 6).alias("word"), place.bitwiseAND(F.lit(63)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    words = wanted.select(word, one.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))  # 2**(FILTER - 6) at most
+    some = nodes.withColumn("word", word).join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(one) != 0).select(*nodes.columns)
+    return some.join(wanted, "node").select(*nodes.columns)
 
 
 def hot_bands(nodes: DataFrame, width: int, threshold: float, share: int = 64, least: int = 16) -> dict[int, int]:
@@ -350,7 +322,7 @@ CHAIN = pa.schema([("band", pa.int64()), ("part", pa.int16()), ("kind", pa.int8(
 
 
 def _chain(by_part: bool):
-    """Rows in order of their buckets: each with the one before it in its bucket, and the one that stands for an exact key. Lines alone in a bucket go, but
+    """Packed rows in order of their buckets: each with the one before it in its bucket, and the one that stands for an exact key. Lines alone in a bucket go, but
     if the bucket is a part of a hot one."""
 
     def run(batches):
@@ -358,7 +330,9 @@ def _chain(by_part: bool):
         for batch in batches:
             if not len(batch):
                 continue
-            band, part, kind, node = (batch[i].to_numpy(zero_copy_only=False) for i in range(4))
+            place, node = (batch[i].to_numpy(zero_copy_only=False) for i in range(2))
+            band, kind = place & ~KINDS, (place & KINDS).astype(np.int8)
+            part = batch[2].to_numpy(zero_copy_only=False) if by_part else np.zeros(len(band), np.int16)
             prev, whole = np.full(len(node), -1), np.full(len(node), -1)
             if last is not None:
                 band, part, kind, node, prev, whole = (np.concatenate([x, y]) for x, y in zip(last, (band, part, kind, node, prev, whole)))
@@ -400,13 +374,14 @@ def chains(nodes: DataFrame, width: int, threshold: float) -> DataFrame:
     """
     n, ddl = partitions(nodes.sparkSession), "band long, part short, kind byte, node long, prev long, whole long"
     hot = hot_bands(nodes, width, threshold)
-    rows = band_rows(nodes, width, threshold, hot).repartition(n, "band", "part").sortWithinPartitions("band", "part", "kind", "node")
-    found = rows.mapInArrow(_chain(True), ddl)
+    rows = packed_rows(nodes, width, threshold, hot)
     if not hot:
-        return written(found.drop("part"), "chains")
-    found = written(found, "chains")
+        rows = rows.repartition(n, band_of("place")).sortWithinPartitions("place", "node")
+        return written(rows.mapInArrow(_chain(False), ddl).drop("part"), "chains")
+    rows = rows.repartition(n, band_of("place"), "part").sortWithinPartitions(band_of("place"), "part", "place", "node")
+    found = written(rows.mapInArrow(_chain(True), ddl), "chains")
     alone = F.col("prev").isNull() & (F.col("part") > 0)
-    heads = found.where(alone).select("band", F.lit(0).cast("short").alias("part"), "kind", "node").repartition(n, "band").sortWithinPartitions("band", "kind", "node")
+    heads = found.where(alone).select(F.col("band").bitwiseOR(F.col("kind")).alias("place"), "node").repartition(n, band_of("place")).sortWithinPartitions("place", "node")
     return found.where(~alone).unionByName(heads.mapInArrow(_chain(False), ddl)).drop("part")
 
 
